@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from tessera.llm import chat, mixing, quality
+from tessera.llm import chat, minhash, mixing, quality
 
 QUERIES = {
     "op3_weak_supervision": quality.query,
+    "op5_circulant_minhash": minhash.query,
     "op6_mix_sources": mixing.query,
     "op8_snapshot_collapse": chat.query,
 }
 SQL = {
+    "op5_circulant_minhash": minhash.SQL,
     "op6_mix_sources": mixing.SQL,
     "op8_snapshot_collapse": chat.SQL,
 }
