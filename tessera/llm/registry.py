@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tessera.llm import chat, minhash, mixing, quality
+from tessera.llm import chat, minhash, mixing, pii, quality
 
 QUERIES = {
+    "op1_pii_crf": pii.query,
     "op3_weak_supervision": quality.query,
     "op5_circulant_minhash": minhash.query,
     "op6_mix_sources": mixing.query,
