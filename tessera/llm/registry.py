@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tessera.llm import chat, minhash, mixing, pii, quality
+from tessera.llm import arrow_tokens, chat, minhash, mixing, pii, quality
 
 QUERIES = {
     "op1_pii_crf": pii.query,
     "op3_weak_supervision": quality.query,
+    "op4_arrow_tokens": arrow_tokens.query,
     "op5_circulant_minhash": minhash.query,
     "op6_mix_sources": mixing.query,
     "op8_snapshot_collapse": chat.query,
