@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import arrow_tokens, chat, minhash, mixing, pii, quality
+from tessera.llm import arrow_tokens, chat, minhash, mixing, pii, quality, wfst
 
 QUERIES = {
     "op1_pii_crf": pii.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_circulant_minhash": minhash.query,
     "op6_mix_sources": mixing.query,
     "op8_snapshot_collapse": chat.query,
+    "op9_sentencepiece_wfst": wfst.query,
 }
 SQL = {
     "op5_circulant_minhash": minhash.SQL,
