@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import arrow_tokens, chat, minhash, mixing, pii, quality, wfst
+from tessera.llm import ann, arrow_tokens, chat, minhash, mixing, pii, quality, wfst
 
 QUERIES = {
     "op1_pii_crf": pii.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_mix_sources": mixing.query,
     "op8_snapshot_collapse": chat.query,
     "op9_sentencepiece_wfst": wfst.query,
+    "op10_learned_partitions": ann.query,
 }
 SQL = {
     "op5_circulant_minhash": minhash.SQL,
