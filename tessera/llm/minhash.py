@@ -7,10 +7,13 @@ over slices. Signatures are cut into bands; documents that share a band are cand
 only if the exact Jaccard similarity of the two whole shingle sets reaches the threshold.
 
 Documents of equal sets are one node, known by a 128-bit digest of the set. In buckets of up to SMALL nodes all pairs
-are candidates. In larger buckets nodes are first compared with a few leaders, chosen anew each round, which joins
-most of a large group in work linear in its size; then exactly those pairs of nodes that are still in different
-components are compared, so no link between components is lost. Pairs whose signatures agree in far too few places
-(five standard deviations under the threshold) or whose sizes exclude it are not verified.
+are candidates. In each larger bucket the node with the fewest shingles of its own is the pivot. It is compared with
+all others, which joins most of a large group in work linear in its size. Of the pairs that are still in different
+components, those can be no link for which a lower bound on the symmetric difference of the two sets is too large: the
+shingles that only the one node holds, those that only the other holds, and the difference between how many of the
+pivot's shingles the two have lost. All others are compared, so no link between components is lost. Pairs whose
+signatures agree in far too few places (five standard deviations under the threshold) or whose sizes exclude it are
+not verified.
 
 With 26 bands of 5 rows a pair of similarity 0.85 shares no band with probability 4e-7; with 32 bands of 4 rows one
 of 0.8 with 5e-8.
@@ -38,8 +41,6 @@ from tessera.llm.components import components
 RING = 1 << 22
 SEED = 20240117
 SMALL = 8
-#: Leaders a round in large buckets.
-ROUNDS = (1, 4, 16)
 #: Words whose hashes a Python worker remembers.
 REMEMBERED = 400_000
 
@@ -140,17 +141,16 @@ def _likely(percent: int, shifts: int):
     return likely
 
 
-def _verified(percent: int):
-    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hit = []
-            for p, q in zip(batch.column("sa"), batch.column("sb"), strict=True):
-                x, y = (np.frombuffer(s.as_buffer(), np.uint64) for s in (p, q))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                hit.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield batch.filter(pa.array(hit, pa.bool_())).select(["a", "b"])
+def _overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        n = [len(np.intersect1d(np.frombuffer(p.as_buffer(), np.uint64), np.frombuffer(q.as_buffer(), np.uint64), assume_unique=True)) for p, q in zip(batch.column("sa"), batch.column("sb"), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array([len(p.as_buffer()) // 8 for p in batch.column("sa")], pa.int64()), pa.array([len(q.as_buffer()) // 8 for q in batch.column("sb")], pa.int64()), pa.array(n, pa.int64())], ["a", "b", "n_a", "n_b", "shared"])
+
 
-    return verified
+def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b, n_a, n_b, shared) by the whole sets."""
+    a, b = (sets.select(F.col("node").alias(x), F.col("shingles").alias(f"s{x}")) for x in "ab")
+    return materialize(pairs.join(a, "a").join(b, "b").mapInArrow(_overlap, "a binary, b binary, n_a long, n_b long, shared long"), "minhash-overlaps")
 
 
 def _links(pairs: DataFrame, sigs: DataFrame, sets: DataFrame, percent: int, shifts: int) -> DataFrame:
@@ -158,14 +158,55 @@ def _links(pairs: DataFrame, sigs: DataFrame, sets: DataFrame, percent: int, shi
     a, b = (sigs.select(F.col("node").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}")) for x in "ab")
     near = pairs.join(a, "a").join(b, "b").where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)").select("a", "b", "sig_a", "sig_b")
     near = materialize(near.mapInArrow(_likely(percent, shifts), "a binary, b binary"), "minhash-likely")
-    a, b = (sets.select(F.col("node").alias(x), F.col("shingles").alias(f"s{x}")) for x in "ab")
-    return materialize(near.join(a, "a").join(b, "b").mapInArrow(_verified(percent), "a binary, b binary"), "minhash-links")
+    return _linked(_overlaps(near, sets), percent)
+
+
+def _linked(overlaps: DataFrame, percent: int) -> DataFrame:
+    return overlaps.where(f"100 * shared >= {percent} * (n_a + n_b - shared)").select("a", "b")
 
 
 def _ordered(x: Column, y: Column) -> list[Column]:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
+def _own(sets: DataFrame) -> DataFrame:
+    """(node, n_shingles, own): how many of its shingles no other of these nodes holds."""
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = [np.frombuffer(s.as_buffer(), np.int64) for s in batch.column("shingles")]
+            offsets = np.concatenate([[0], np.cumsum([len(g) for g in got])]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int64), *got])))], ["node", "hashes"])
+
+    held = sets.mapInArrow(each, "node binary, hashes array<long>").select("node", F.explode("hashes").alias("hash"))
+    alone = held.groupBy("hash").agg(F.count("*").alias("n"), F.min("node").alias("node")).where("n = 1").groupBy("node").agg(F.count("*").alias("own"))
+    return sets.select("node", (F.length("shingles") / 8).cast("long").alias("n_shingles")).join(alone, "node", "left").select("node", "n_shingles", F.coalesce("own", F.lit(0)).alias("own"))
+
+
+def _large(slots: DataFrame, links: DataFrame, sigs: DataFrame, sets: DataFrame, percent: int, shifts: int) -> DataFrame:
+    """The links that large buckets add. Every link of a bucket joins components that the result joins too."""
+    members = slots.select("node").distinct()
+    held = materialize(sets.join(members, "node", "left_semi").dropDuplicates(["node"]), "minhash-large-sets")
+    own = materialize(_own(held), "minhash-own")
+    slots = materialize(slots.join(own, "node"), "minhash-large")
+    pivots = slots.groupBy("bucket").agg(F.min(F.struct("own", F.xxhash64("node"), "node")).alias("p")).select("bucket", F.col("p.node").alias("pivot"))
+    by_pivot = materialize(slots.join(pivots, "bucket"), "minhash-pivots")
+    pairs = by_pivot.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
+    seen = _overlaps(pairs, held)
+    links = links.union(_linked(seen, percent))
+    comps = components(links)
+    lost = seen.select(F.col("a").alias("pivot"), F.col("b").alias("node"), (F.col("n_a") - F.col("shared")).alias("lost"))
+    mine = by_pivot.join(lost, ["pivot", "node"], "left").join(comps, "node", "left")
+    mine = materialize(mine.select("bucket", "node", "n_shingles", "own", F.coalesce("lost", F.lit(0)).alias("lost"), F.coalesce("comp", "node").alias("comp")), "minhash-labelled")
+    mixed = mine.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
+    # A node whose own shingles alone exceed what any partner of the largest possible size allows has no link.
+    x = mine.join(mixed, "bucket").where(f"own * {100 + percent} <= n_shingles * {100 - percent} * (1 + {100 / percent})")
+    y = x.select("bucket", *[F.col(c).alias(f"{c}_y") for c in ("node", "n_shingles", "own", "lost", "comp")])
+    apart = f"(own + own_y + abs(lost - lost_y)) * {100 + percent} <= (n_shingles + n_shingles_y) * {100 - percent}"
+    sized = f"100 * least(n_shingles, n_shingles_y) >= {percent} * greatest(n_shingles, n_shingles_y)"
+    pairs = x.join(y, "bucket").where(f"comp < comp_y AND {apart} AND {sized}").select(*_ordered(F.col("node"), F.col("node_y"))).distinct()
+    return links.union(_links(pairs, sigs, held, percent, shifts))
+
+
 def classes(docs: DataFrame, percent: int = 80, width: int = 5, bands: int = 32, rows: int = 4, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of ``docs``. Texts are read, never shuffled whole."""
     shifts = bands * rows
@@ -186,19 +227,7 @@ def classes(docs: DataFrame, percent: int = 80, width: int = 5, bands: int = 32,
     links = _links(pairs, sigs, sets, percent, shifts)
     large = slots.where(f"n > {SMALL}").select("bucket", "node")
     if not large.isEmpty():
-        comps = components(links)
-        for salt, leaders in enumerate(ROUNDS):
-            mine = _labelled(large, comps)
-            slot = F.pmod(F.xxhash64("node", F.lit(salt)), F.lit(leaders)).alias("slot")
-            lead = mine.groupBy("bucket", slot).agg(F.min(F.struct(F.xxhash64("node", F.lit(salt + 100)), "node", "comp")).alias("lead"))
-            lead = lead.select("bucket", F.col("lead.node").alias("leader"), F.col("lead.comp").alias("lead_comp"))
-            pairs = mine.join(lead, "bucket").where("comp <> lead_comp").select(*_ordered(F.col("node"), F.col("leader"))).distinct()
-            links = links.union(_links(pairs, sigs, sets, percent, shifts))
-            comps = components(links)
-        mine = _labelled(large, comps)
-        other = mine.select("bucket", F.col("node").alias("other"), F.col("comp").alias("other_comp"))
-        pairs = mine.join(other, "bucket").where("comp < other_comp").select(*_ordered(F.col("node"), F.col("other"))).distinct()
-        links = links.union(_links(pairs, sigs, sets, percent, shifts))
+        links = _large(large, links, sigs, sets, percent, shifts)
     comps = components(links)
     named = sketch.select("doc_id", "n_shingles", "node").join(comps, "node", "left").select("doc_id", "n_shingles", F.coalesce("comp", "node").alias("comp"))
     named = materialize(named, "minhash-named")
@@ -212,14 +241,6 @@ def _one_text(source: DataFrame, first: DataFrame) -> DataFrame:
     return first.join(source, "doc_id").select("node", "text")
 
 
-def _labelled(slots: DataFrame, comps: DataFrame) -> DataFrame:
-    """Slots of the buckets that still hold several components, with each node's component."""
-    mine = slots.join(comps, "node", "left").select("bucket", "node", F.coalesce("comp", "node").alias("comp"))
-    mine = materialize(mine, "minhash-labelled")
-    mixed = mine.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
-    return materialize(mine.join(mixed, "bucket"), "minhash-mixed")
-
-
 def deduplicate(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
     """``docs`` with one row of each group: the one of the smallest doc_id. Of rows that repeat an id one stays."""
     kept = classes(docs, key=key, **options).where("kept").groupBy("doc_id").agg(F.count("*").alias("n"))
