@@ -20,9 +20,11 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +38,9 @@ from tessera.llm.common import materialize, shared_path, table
 LENGTH = 1024
 SEQUENCES = 64
 END = 1
-#: Distinct words a Python worker remembers.
-REMEMBERED = 600_000
+#: Distinct words, and pieces of words, that a Python worker remembers.
+WORDS = 250_000
+PIECES = 500_000
 
 
 def tokenizer_json(path: str | None = None) -> str:
@@ -56,7 +59,7 @@ def splits_at_space(definition: str) -> bool:
     pre = d.get("pre_tokenizer") or {}
     steps = pre.get("pretokenizers", [pre])
     first = steps[0] if steps else {}
-    dropped = first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert") and r"[^\s\p{L}\p{N}]+" in str(first.get("pattern"))
+    dropped = first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert") and r"[^\s\p{L}\p{N}]+" in first.get("pattern", {}).get("Regex", "")
     known = {"NFC", "Replace", "Lowercase", "Sequence"}
     norm = d.get("normalizer") or {}
     plain = {norm.get("type"), *(x["type"] for x in norm.get("normalizers", []))} <= known | {None}
@@ -64,37 +67,71 @@ def splits_at_space(definition: str) -> bool:
     return bool(dropped and plain and bare and not d.get("post_processor"))
 
 
-def _encode(definition: str, end: int | None, wide: bool):
-    by_word, kind = splits_at_space(definition), np.uint32 if wide else np.uint16
+#: Words of nothing but these are cut by ``_PIECE`` as the tokenizer's own pattern cuts them, after lower-casing, which
+#: maps each of their letters to one letter and leaves them composed.
+_SIMPLE = re.compile(r"[!-&(-~À-ÖØ-öø-ÿ]*")
+_PIECE = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+class Encoder:
+    """A tokenizer with a memory of words and of the pieces of words."""
+
+    def __init__(self, definition: str, wide: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        tok = Tokenizer.from_str(definition)
-        known: dict[str, bytes] = {}
-        tail = b"" if end is None else np.array([end], kind).tobytes()
-        for batch in batches:
-            texts, out = [t or "" for t in batch.column(1).to_pylist()], []
-            if not by_word:
-                out = [np.array(e.ids, kind).tobytes() + tail for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
-            for text in texts if by_word else ():
-                # Space, line feed, tab: white space for the tokenizer too. Other kinds are left to it.
-                words = text.replace("\n", " ").replace("\t", " ").split(" ")
-                try:
-                    out.append(b"".join(map(known.__getitem__, words)) + tail)
-                    continue
-                except KeyError:
-                    pass
-                if len(known) > REMEMBERED:
-                    known.clear()
-                new = list(set(words).difference(known))
-                for at in range(0, len(new), 4096):
-                    part = new[at : at + 4096]
-                    for w, e in zip(part, tok.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                        known[w] = np.array(e.ids, kind).tobytes()
-                out.append(b"".join(map(known.__getitem__, words)) + tail)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["doc_id", "ids"])
+        self.tok, self.kind = Tokenizer.from_str(definition), np.uint32 if wide else np.uint16
+        self.by_word = splits_at_space(definition)
+        self.special = tuple(t["content"] for t in json.loads(definition).get("added_tokens", []))
+        self.words: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.kind).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, words: set[str]) -> None:
+        cut = {}
+        for w in words:
+            simple = _SIMPLE.fullmatch(w) and not any(t in w for t in self.special)
+            cut[w] = _PIECE.findall(w.lower()) if simple else [w]
+        if len(self.pieces) > PIECES:
+            self.pieces.clear()
+        new = list({p for parts in cut.values() for p in parts}.difference(self.pieces))
+        for at in range(0, len(new), 2048):
+            part = new[at : at + 2048]
+            self.pieces.update(zip(part, self._whole(part), strict=True))
+        for w, parts in cut.items():
+            self.words[w] = b"".join([self.pieces[p] for p in parts])
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        if not self.by_word:
+            return self._whole(texts)
+        # Space, line feed, tab: white space for the tokenizer too. Other kinds are left to it.
+        split = [text.replace("\n", " ").replace("\t", " ").split(" ") for text in texts]
+        needed = set().union(*split)
+        if new := needed.difference(self.words):
+            if len(self.words) + len(new) > WORDS:
+                self.words.clear()
+                new = needed
+            self._learn(new)
+        return [b"".join(map(self.words.__getitem__, words)) for words in split]
+
+
+#: One a Python worker and definition, kept from task to task.
+@lru_cache(2)
+def _encoder(definition: str, wide: bool) -> Encoder:
+    return Encoder(definition, wide)
+
+
+def _encode(definition: str, end: int | None, wide: bool):
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = _encoder(definition, wide)
+        tail = b"" if end is None else np.array([end], encoder.kind).tobytes()
+        for large in batches:
+            for at in range(0, large.num_rows, 256):
+                batch = large.slice(at, 256)
+                ids = [x + tail for x in encoder([t or "" for t in batch.column(1).to_pylist()])]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
     return encode
 
