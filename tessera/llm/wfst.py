@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -185,9 +186,15 @@ class Machine:
         return text[1:] if text[:1] == " " else text
 
 
+#: One a Python worker and model, kept from task to task.
+@lru_cache(2)
+def _machine(model: bytes) -> Machine:
+    return Machine(model)
+
+
 def _encoder(model: bytes):
     def encode(columns: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        machine = Machine(model)
+        machine = _machine(model)
         for texts in columns:
             yield pd.Series([machine.encode(t or "") for t in texts], dtype=object)
 
@@ -196,7 +203,7 @@ def _encoder(model: bytes):
 
 def _decoder(model: bytes):
     def decode(columns: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        machine = Machine(model)
+        machine = _machine(model)
         for ids in columns:
             yield pd.Series([machine.decode([] if x is None else x.tolist()) for x in ids], dtype=object)
 
@@ -215,7 +222,7 @@ def decode(docs: DataFrame, ids: str = "ids", to: str = "text", model: str | Non
 
 def _round_trip(model: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = Machine(model)
+        machine = _machine(model)
         for batch in batches:
             ids, same = [], []
             for t in batch.column(1):
