@@ -25,7 +25,6 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.llm.common import materialize, table
@@ -153,7 +152,7 @@ def _file(router: Router, probes: int, every: int):
 
 def _best(k: int):
     def best(key: tuple, rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        out: dict[str, list] = {"query_id": [], "vec_id": [], "score": []}
+        out: dict[str, list] = {"query_id": [], "part": [], "ids": [], "scores": []}
         if len(rows) and len(queries):
             x, ids = np.stack(rows["vector"].to_numpy()).astype(np.float64), rows["vec_id"].to_numpy()
             order = np.argsort(ids, kind="stable")
@@ -169,21 +168,26 @@ def _best(k: int):
                     near = np.flatnonzero((row >= least) & (ids != own))
                     s = (x[near] * q).sum(axis=1)  # the same sum for equal vectors, wherever they stand
                     best = np.lexsort((ids[near], -s))[:k]
-                    out["query_id"] += [own] * len(best)
-                    out["vec_id"] += ids[near[best]].tolist()
-                    out["score"] += s[best].tolist()
-        return pd.DataFrame(out).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
+                    out["query_id"].append(own)
+                    out["part"].append(key[0])
+                    out["ids"].append(ids[near[best]])
+                    out["scores"].append(-s[best])
+        return pd.DataFrame(out).astype({"query_id": "int64", "part": "int32"})
 
     return best
 
 
 def _merge(found: DataFrame, k: int) -> DataFrame:
-    w = W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    """(query_id, rank, vec_id, score) of (query_id, part, ids, scores): first the blocks of a part, then the parts, each time the k least of (negated score, id)."""
+    least = lambda c: F.slice(F.sort_array(F.flatten(F.collect_list(c))), 1, k).alias("best")
+    pairs = found.select("query_id", "part", F.arrays_zip(F.col("scores").alias("s"), F.col("ids").alias("i")).alias("best"))
+    best = pairs.groupBy("query_id", "part").agg(least("best")).groupBy("query_id").agg(least("best"))
+    got = best.select("query_id", F.posexplode("best").alias("at", "b"))
+    return got.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("b")["i"].alias("vec_id"), (-F.col("b")["s"]).alias("score"))
 
 
 def _search(filed: DataFrame, sent: DataFrame, k: int) -> DataFrame:
-    """(query_id, vec_id, score): each block's best. ``sent`` has (query_id, vector, part). Part counts are at most SAMPLE / 64 rows, hence the broadcasts."""
+    """(query_id, part, ids, scores): each block's best, scores negated. ``sent`` has (query_id, vector, part). Part counts are at most SAMPLE / 64 rows, hence the broadcasts."""
     rows_in = filed.groupBy("part").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n_rows"))
     queries_in = sent.groupBy("part").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n_queries"))
     sizes = F.broadcast(materialize(rows_in.join(queries_in, "part"), "ann-blocks"))
@@ -194,7 +198,7 @@ def _search(filed: DataFrame, sent: DataFrame, k: int) -> DataFrame:
     right = sent.join(sizes, "part").select("query_id", "vector", "part", "n_rows", deal("query_id", "n_queries").alias("query_block"))
     right = right.select("query_id", "vector", "part", every("n_rows").alias("row_block"), "query_block")
     keys = ["part", "row_block", "query_block"]
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_best(k), "query_id long, vec_id long, score double")
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_best(k), "query_id long, part int, ids array<long>, scores array<double>")
 
 
 def search(vectors: DataFrame, every: int = 20, k: int = 20, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -227,7 +231,7 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, key: str = "vec_id"
         everywhere = short.select("query_id", "vector", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
         again = _merge(_search(rows, everywhere, k), k)
         found = found.join(short.select("query_id"), "query_id", "left_anti").unionByName(again)
-    return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return found.select("query_id", "rank", "vec_id", "score")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
