@@ -1,22 +1,50 @@
-"""A pipeline over ``documents``: rules, near duplicates, personal data, mixing, token ids."""
+"""A pipeline over ``documents``: quality rules, near duplicates, personal data, mixing, token ids.
+
+Each stage takes the documents that the stage before it kept, written as Parquet in between. The first four return the
+columns of ``documents``; the last returns them with the ids of the text and their number.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessera.llm import mixing, quality
+from tessera.llm import minhash, mixing, pii, quality, wfst
 from tessera.llm.common import shared_path, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the base rules or that the weak supervision finds bad go."""
     return quality.keep_good(docs)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies (five-word shingles, similarity of 0.8 or more) the smallest doc_id stays."""
+    return minhash.deduplicate(docs, percent=80, width=5, bands=32, rows=4)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Spans of personal data give way to their kinds; n_chars follows the text."""
+    return pii.redact(docs).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as its source's rate asks for."""
     return mixing.mix(docs)
 
 
-STAGES = [("quality_rules", quality_rules), ("mix_sources", mix_sources)]
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return wfst.encode(docs).withColumn("n_ids", F.size("ids").cast("long"))
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("near_duplicates", near_duplicates),
+    ("personal_data", personal_data),
+    ("mix_sources", mix_sources),
+    ("token_ids", token_ids),
+]
+#: No SQL expresses the personal data and token stages.
 ORACLE_SQL = None
 
 
