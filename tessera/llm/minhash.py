@@ -10,8 +10,8 @@ Documents of equal sets are one node, known by a 128-bit digest of the set. In b
 are candidates. In each larger bucket the node with the fewest shingles of its own is the pivot. It is compared with
 all others, which joins most of a large group in work linear in its size. Of the pairs that are still in different
 components, those can be no link for which a lower bound on the symmetric difference of the two sets is too large: the
-shingles that only the one node holds, those that only the other holds, and the difference between how many of the
-pivot's shingles the two have lost. All others are compared, so no link between components is lost. Pairs whose
+shingles that only the one node holds, those that only the other holds, the difference between how many of the
+pivot's shingles the two have lost, and that between how many they have gained that others hold too. All others are compared, so no link between components is lost. Pairs whose
 signatures agree in far too few places (five standard deviations under the threshold) or whose sizes exclude it are
 not verified.
 
@@ -194,14 +194,15 @@ def _large(slots: DataFrame, links: DataFrame, sigs: DataFrame, sets: DataFrame,
     seen = _overlaps(pairs, held)
     links = links.union(_linked(seen, percent))
     comps = components(links)
-    lost = seen.select(F.col("a").alias("pivot"), F.col("b").alias("node"), (F.col("n_a") - F.col("shared")).alias("lost"))
+    lost = seen.select(F.col("a").alias("pivot"), F.col("b").alias("node"), (F.col("n_a") - F.col("shared")).alias("lost"), (F.col("n_b") - F.col("shared")).alias("gained"))
     mine = by_pivot.join(lost, ["pivot", "node"], "left").join(comps, "node", "left")
-    mine = materialize(mine.select("bucket", "node", "n_shingles", "own", F.coalesce("lost", F.lit(0)).alias("lost"), F.coalesce("comp", "node").alias("comp")), "minhash-labelled")
+    mine = materialize(mine.select("bucket", "node", "n_shingles", "own", "lost", (F.col("gained") - F.col("own")).alias("common"), F.coalesce("comp", "node").alias("comp")), "minhash-labelled")
     mixed = mine.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
     # A node whose own shingles alone exceed what any partner of the largest possible size allows has no link.
-    x = mine.join(mixed, "bucket").where(f"own * {100 + percent} <= n_shingles * {100 - percent} * (1 + {100 / percent})")
-    y = x.select("bucket", *[F.col(c).alias(f"{c}_y") for c in ("node", "n_shingles", "own", "lost", "comp")])
-    apart = f"(own + own_y + abs(lost - lost_y)) * {100 + percent} <= (n_shingles + n_shingles_y) * {100 - percent}"
+    # The pivot, which has nothing lost or gained, has met all others already.
+    x = mine.join(mixed, "bucket").where(f"lost IS NOT NULL AND own * {100 + percent} <= n_shingles * {100 - percent} * (1 + {100 / percent})")
+    y = x.select("bucket", *[F.col(c).alias(f"{c}_y") for c in ("node", "n_shingles", "own", "lost", "common", "comp")])
+    apart = f"(own + own_y + abs(lost - lost_y) + abs(common - common_y)) * {100 + percent} <= (n_shingles + n_shingles_y) * {100 - percent}"
     sized = f"100 * least(n_shingles, n_shingles_y) >= {percent} * greatest(n_shingles, n_shingles_y)"
     pairs = x.join(y, "bucket").where(f"comp < comp_y AND {apart} AND {sized}").select(*_ordered(F.col("node"), F.col("node_y"))).distinct()
     return links.union(_links(pairs, sigs, held, percent, shifts))
