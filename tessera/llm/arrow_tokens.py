@@ -25,9 +25,11 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -38,9 +40,8 @@ from tessera.llm.common import materialize, shared_path, table
 LENGTH = 1024
 SEQUENCES = 64
 END = 1
-#: Distinct words, and pieces of words, that a Python worker remembers.
-WORDS = 250_000
-PIECES = 500_000
+#: Distinct pieces of texts that a Python worker remembers.
+PIECES = 900_000
 
 
 def tokenizer_json(path: str | None = None) -> str:
@@ -67,14 +68,15 @@ def splits_at_space(definition: str) -> bool:
     return bool(dropped and plain and bare and not d.get("post_processor"))
 
 
-#: Words of nothing but these are cut by ``_PIECE`` as the tokenizer's own pattern cuts them, after lower-casing, which
-#: maps each of their letters to one letter and leaves them composed.
-_SIMPLE = re.compile(r"[!-&(-~À-ÖØ-öø-ÿ]*")
-_PIECE = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+#: Texts of nothing but these are cut by ``_PIECE`` as the tokenizer's own pattern cuts them, after lower-casing, which
+#: maps each of their letters to one letter and leaves them composed. No apostrophe: contractions are pieces too. No
+#: angle bracket: special tokens are found before all else.
+_SIMPLE = re.compile(r"[ \n\t!-&(-;=-~À-ÖØ-öø-ÿ]*")
+_PIECE = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^ \n\ta-zß-öø-ÿ0-9]+")
 
 
 class Encoder:
-    """A tokenizer with a memory of words and of the pieces of words."""
+    """A tokenizer with a memory of pieces: runs of letters or signs, single digits, and words of other texts."""
 
     def __init__(self, definition: str, wide: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -82,39 +84,39 @@ class Encoder:
 
         self.tok, self.kind = Tokenizer.from_str(definition), np.uint32 if wide else np.uint16
         self.by_word = splits_at_space(definition)
-        self.special = tuple(t["content"] for t in json.loads(definition).get("added_tokens", []))
-        self.words: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
-    def _whole(self, texts: list[str]) -> list[bytes]:
+    def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, words: set[str]) -> None:
-        cut = {}
-        for w in words:
-            simple = _SIMPLE.fullmatch(w) and not any(t in w for t in self.special)
-            cut[w] = _PIECE.findall(w.lower()) if simple else [w]
-        if len(self.pieces) > PIECES:
+    def _cut(self, text: str) -> list[str]:
+        if _SIMPLE.fullmatch(text):
+            return _PIECE.findall(text.lower())
+        # Space, line feed, tab: white space for the tokenizer too. Other kinds are left to it.
+        return text.replace("\n", " ").replace("\t", " ").split(" ")
+
+    def _coded(self, distinct: list[str]) -> list[bytes]:
+        known = list(map(self.pieces.get, distinct))
+        missing = [k for k, x in enumerate(known) if x is None]
+        if len(self.pieces) + len(missing) > PIECES:
             self.pieces.clear()
-        new = list({p for parts in cut.values() for p in parts}.difference(self.pieces))
-        for at in range(0, len(new), 2048):
-            part = new[at : at + 2048]
-            self.pieces.update(zip(part, self._whole(part), strict=True))
-        for w, parts in cut.items():
-            self.words[w] = b"".join([self.pieces[p] for p in parts])
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
+        for at in range(0, len(missing), 2048):
+            part = [distinct[k] for k in missing[at : at + 2048]]
+            for k, p, x in zip(missing[at : at + 2048], part, self.whole(part), strict=True):
+                known[k] = self.pieces[p] = x
+        return known
+
+    def __call__(self, texts: list[str], tail: bytes = b"") -> list[bytes]:
         if not self.by_word:
-            return self._whole(texts)
-        # Space, line feed, tab: white space for the tokenizer too. Other kinds are left to it.
-        split = [text.replace("\n", " ").replace("\t", " ").split(" ") for text in texts]
-        needed = set().union(*split)
-        if new := needed.difference(self.words):
-            if len(self.words) + len(new) > WORDS:
-                self.words.clear()
-                new = needed
-            self._learn(new)
-        return [b"".join(map(self.words.__getitem__, words)) for words in split]
+            return [x + tail for x in self.whole(texts)]
+        cut = [self._cut(text) for text in texts]
+        coded = pc.dictionary_encode(pa.array(chain.from_iterable(cut), pa.large_string()))
+        # Taking a piece's bytes for each of its places lays the ids of all texts side by side.
+        laid = pa.array(self._coded(coded.dictionary.to_pylist()), pa.large_binary()).take(coded.indices)
+        ends = np.frombuffer(laid.buffers()[1], np.int64, len(laid) + 1) if len(laid) else np.zeros(1, np.int64)
+        at = ends[np.cumsum([0, *map(len, cut)])].tolist()
+        data = memoryview(laid.buffers()[2] or b"")
+        return [bytes(data[a:b]) + tail for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
 #: One a Python worker and definition, kept from task to task.
@@ -128,9 +130,9 @@ def _encode(definition: str, end: int | None, wide: bool):
         encoder = _encoder(definition, wide)
         tail = b"" if end is None else np.array([end], encoder.kind).tobytes()
         for large in batches:
-            for at in range(0, large.num_rows, 256):
-                batch = large.slice(at, 256)
-                ids = [x + tail for x in encoder([t or "" for t in batch.column(1).to_pylist()])]
+            for at in range(0, large.num_rows, 512):
+                batch = large.slice(at, 512)
+                ids = encoder([t or "" for t in batch.column(1).to_pylist()], tail)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
     return encode
