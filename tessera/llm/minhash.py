@@ -196,15 +196,17 @@ def _large(slots: DataFrame, links: DataFrame, sigs: DataFrame, sets: DataFrame,
     comps = components(links)
     lost = seen.select(F.col("a").alias("pivot"), F.col("b").alias("node"), (F.col("n_a") - F.col("shared")).alias("lost"), (F.col("n_b") - F.col("shared")).alias("gained"))
     mine = by_pivot.join(lost, ["pivot", "node"], "left").join(comps, "node", "left")
-    mine = materialize(mine.select("bucket", "node", "n_shingles", "own", "lost", (F.col("gained") - F.col("own")).alias("common"), F.coalesce("comp", "node").alias("comp")), "minhash-labelled")
+    mine = materialize(mine.select("bucket", "band", "node", "n_shingles", "own", "lost", (F.col("gained") - F.col("own")).alias("common"), F.coalesce("comp", "node").alias("comp")), "minhash-labelled")
     mixed = mine.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
     # A node whose own shingles alone exceed what any partner of the largest possible size allows has no link.
     # The pivot, which has nothing lost or gained, has met all others already.
-    x = mine.join(mixed, "bucket").where(f"lost IS NOT NULL AND own * {100 + percent} <= n_shingles * {100 - percent} * (1 + {100 / percent})")
-    y = x.select("bucket", *[F.col(c).alias(f"{c}_y") for c in ("node", "n_shingles", "own", "lost", "common", "comp")])
+    x = mine.join(mixed, "bucket").join(sigs.select("node", "bands"), "node").where(f"lost IS NOT NULL AND own * {100 + percent} <= n_shingles * {100 - percent} * (1 + {100 / percent})")
+    y = x.select("bucket", *[F.col(c).alias(f"{c}_y") for c in ("node", "n_shingles", "own", "lost", "common", "comp", "bands")])
     apart = f"(own + own_y + abs(lost - lost_y) + abs(common - common_y)) * {100 + percent} <= (n_shingles + n_shingles_y) * {100 - percent}"
     sized = f"100 * least(n_shingles, n_shingles_y) >= {percent} * greatest(n_shingles, n_shingles_y)"
-    pairs = x.join(y, "bucket").where(f"comp < comp_y AND {apart} AND {sized}").select(*_ordered(F.col("node"), F.col("node_y"))).distinct()
+    # A pair meets in each bucket that it shares and is taken in the first.
+    once = "array_position(zip_with(bands, bands_y, (p, q) -> p = q), true) = band + 1"
+    pairs = x.join(y, "bucket").where(f"comp < comp_y AND {apart} AND {sized} AND {once}").select(*_ordered(F.col("node"), F.col("node_y")))
     return links.union(_links(pairs, sigs, held, percent, shifts))
 
 
@@ -215,18 +217,18 @@ def classes(docs: DataFrame, percent: int = 80, width: int = 5, bands: int = 32,
     sketch = materialize(source.mapInArrow(_sketch(bands, rows, width), "doc_id long, n_shingles long, node binary, bands array<long>, sig binary"), "minhash-sketch")
     filled = sketch.where("node IS NOT NULL")
     # A node is in a bucket once, however many documents share its set.
-    slots = filled.select("node", F.explode("bands").alias("bucket")).distinct()
+    slots = filled.select("node", F.posexplode("bands").alias("band", "bucket")).distinct()
     sizes = slots.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     slots = materialize(slots.join(sizes, "bucket"), "minhash-buckets")
     members = slots.select("node").distinct()
-    sigs = materialize(filled.select("node", "n_shingles", "sig").join(members, "node", "left_semi").groupBy("node", "n_shingles", "sig").agg(F.lit(1).alias("one")).drop("one"), "minhash-signatures")
+    sigs = materialize(filled.select("node", "n_shingles", "sig", "bands").join(members, "node", "left_semi").groupBy("node", "n_shingles", "sig", "bands").agg(F.lit(1).alias("one")).drop("one"), "minhash-signatures")
     first = filled.groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(members, "node", "left_semi")
     sets = materialize(_one_text(source, first).mapInArrow(_sets(width), "node binary, shingles binary"), "minhash-sets")
 
     small = slots.where(f"n <= {SMALL}")
     pairs = small.select("bucket", F.col("node").alias("x")).join(small.select("bucket", F.col("node").alias("y")), "bucket").where("x < y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
     links = _links(pairs, sigs, sets, percent, shifts)
-    large = slots.where(f"n > {SMALL}").select("bucket", "node")
+    large = slots.where(f"n > {SMALL}").select("bucket", "band", "node")
     if not large.isEmpty():
         links = _large(large, links, sigs, sets, percent, shifts)
     comps = components(links)
