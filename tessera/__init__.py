@@ -1,0 +1 @@
+"""Analytics over corpora of code and text, as Spark plans."""
