@@ -79,9 +79,14 @@ def syntax_nodes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     """
     c = F.col(text)
 
-    lists = [F.transform(F.regexp_extract_all(c, F.lit(f"({X.ascii_edges(p)})"), F.lit(1)), lambda h, k=k: F.struct(F.lit(k).alias("type"), h.alias("node"))) for k, p in NODE_PATTERNS]
+
+    def found(kind: str, pattern: str) -> Column:
+        hits = F.regexp_extract_all(c, F.lit(f"({X.ascii_edges(pattern)})"), F.lit(1))
+        return F.transform(hits, lambda h: F.struct(F.lit(kind).alias("type"), h.alias("node")))
+
+    lists = [found(kind, pattern) for kind, pattern in NODE_PATTERNS]
     got = docs.select(key, c.alias("_text"), F.posexplode(F.concat(*lists)).alias("seq", "n"))
-    line = F.size(F.split(F.substring_index(F.col("_text"), F.col("n.node"), 1), "\n"))
+    line = F.expr(r"size(split(substring(_text, 1, instr(_text, n.node) - 1), '\n'))")
     return got.select(key, F.col("n.type").alias("type"), "seq", F.col("n.node").alias("node"), line.cast("long").alias("start_line"))
 
 

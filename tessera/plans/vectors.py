@@ -14,8 +14,10 @@ QUERY = "the and that tion"
 AS_OF = "2024-06-01 00:00:00"
 
 
-def _near(metric, **options):
+def _near(metric, labels=None, **options):
     def run(spark, d):
+        if labels:
+            options["where"] = vector.payload_filter(label=labels)
         got = vector.knn_of_row(table(spark, d, "embeddings"), 0, k=10, metric=metric, **options)
         return got.select("vec_id", "label", r6("score").alias("score"))
 
@@ -138,7 +140,7 @@ QUERIES = {
     "knn_dot": _near("dot"),
     "knn_euclid": _near("euclid"),
     "knn_manhattan": _near("manhattan"),
-    "knn_filtered": _near("cosine", where=vector.payload_filter(label=[1, 2, 3])),
+    "knn_filtered": _near("cosine", labels=[1, 2, 3]),
     "knn_threshold_exclude": _near("cosine", threshold=0.1, exclude=[0, 1, 2, 3]),
     "knn_batch_per_query": _batch,
     "dim_truncate": _adapt("truncation", 32),
