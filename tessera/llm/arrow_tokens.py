@@ -283,8 +283,8 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read(manifest: DataFrame) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of every document in the files of a manifest; a task for a few files."""
-    spread = manifest.select("file", "base").repartition(F.col("file"))
+    """(doc_id, start, n_tokens, ids_crc32) of every document in the files of a manifest; a task a file, however small the manifest's rows are."""
+    spread = manifest.select("file", "base").repartition(max(1, manifest.count()))
     return spread.mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 

@@ -265,15 +265,15 @@ def _records(rows: list[tuple]) -> pd.DataFrame:
 
 
 def read(files: DataFrame) -> DataFrame:
-    """A row a record of the archives named in ``files`` (file)."""
-    return files.select("file").repartition(F.col("file")).mapInPandas(_read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, file string, offset long")
+    """A row a record of the archives named in ``files`` (file); a task an archive, however small the list is."""
+    return files.select("file").repartition(max(1, files.count())).mapInPandas(_read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, file string, offset long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every record read back from the archives, with its time from the merged history."""
     runs = write(table(spark, sf_dir, "pages"))
     history = merge_runs(runs).select("file", "offset", "ts")
-    records = read(runs.select("file").distinct())
+    records = read(materialize(runs.select("file").distinct(), "warc-files"))
     return history.join(records, ["file", "offset"]).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "ts")
 
 
