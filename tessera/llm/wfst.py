@@ -35,9 +35,9 @@ from pyspark.sql import functions as F
 from tessera.llm.common import table
 
 MARK = "▁"
-#: Distinct words, and pairs of neighbours, that a Python worker remembers.
-REMEMBERED = 700_000
-PAIRS = 600_000
+#: Distinct words (the older half goes when the newer is full), and pairs of neighbours, that a Python worker remembers.
+REMEMBERED = 400_000
+PAIRS = 400_000
 INF = float("inf")
 
 
@@ -81,6 +81,7 @@ class Machine:
         self.pairs: dict[int, dict[int, bool]] = {}
         self.n_pairs = 0
         self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.floor = min(self.score[k] for k in self.ids.values()) - 10.0
 
     def _merged(self, s: str) -> list[str]:
@@ -161,10 +162,13 @@ class Machine:
         """Ids of a word as text.split gives it: behind a space, or behind a line feed that it begins with."""
         got = self.words.get(key)
         if got is None:
-            if len(self.words) >= REMEMBERED:
-                self.words.clear()
-            path = self.shortest("\n") + self.shortest(key[1:]) if key[:1] == "\n" else self.shortest(MARK + key)
-            got = self.words[key] = np.array(path, np.int32).tobytes()
+            if len(self.words) >= REMEMBERED // 2:
+                self.words, self.older = {}, self.words
+            got = self.older.get(key)
+            if got is None:
+                path = self.shortest("\n") + self.shortest(key[1:]) if key[:1] == "\n" else self.shortest(MARK + key)
+                got = np.array(path, np.int32).tobytes()
+            self.words[key] = got
         return got
 
     def encode(self, text: str) -> np.ndarray:
@@ -192,13 +196,18 @@ def _machine(model: bytes) -> Machine:
     return Machine(model)
 
 
+def _lists(ids: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int32), *ids])))
+
+
 def _encoder(model: bytes):
-    def encode(columns: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def encode(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         machine = _machine(model)
         for texts in columns:
-            yield pd.Series([machine.encode(t or "") for t in texts], dtype=object)
+            yield _lists([machine.encode(t.as_py() or "") for t in texts])
 
-    return F.pandas_udf(encode, "array<int>")
+    return F.arrow_udf(encode, "array<int>")
 
 
 def _decoder(model: bytes):
@@ -229,9 +238,7 @@ def _round_trip(model: bytes):
                 text = t.as_py() or ""
                 ids.append(machine.encode(text))
                 same.append(machine.decode(ids[-1].tolist()) == text)
-            offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int32), *ids])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets).astype(np.int64)), lists, pa.array(same, pa.bool_())], ["doc_id", "n_ids", "ids", "round_trip"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in ids], pa.int64()), _lists(ids), pa.array(same, pa.bool_())], ["doc_id", "n_ids", "ids", "round_trip"])
 
     return run
 
