@@ -1,9 +1,10 @@
 """Layout-aware text of web pages.
 
 A tree builder reads the markup with the usual implied tags (a new paragraph, list item, row or cell ends the one
-before it; an end tag closes what is open inside) and a renderer walks the tree by visibility and layout: all text
-that a reader would see, blocks apart from each other as they stand on the page, list items behind bullets or numbers
-and indented by depth, table cells in columns of equal width, preformatted text as it is.
+before it; a head ends where content of the body begins; an end tag closes what is open inside) and a renderer walks
+the tree by visibility and layout: all text that a reader would see, blocks apart from each other as they stand on the
+page, list items behind bullets or numbers and indented by depth, table cells in columns of equal width, preformatted
+text as it is.
 
 The tree is walked without recursion, so depth is no limit, and each page is one row of one batch: nothing is
 gathered across pages.
@@ -46,6 +47,8 @@ IMPLIED = {
     "tfoot": ({"thead", "tbody", "tfoot", "tr", "caption"}, {"table"}),
     "option": ({"option"}, {"select"}),
 }
+#: An open element of the kind ends at any other start tag than these, and at text that is not blank.
+ONLY = {"head": frozenset("base basefont bgsound link meta title style script template noscript".split())}
 #: Tables within tables beyond this depth are laid out as plain blocks, their cells as lines.
 NESTED = 30
 _SCOPE = frozenset("table td th caption html button".split())
@@ -91,7 +94,13 @@ class Open:
         found = [p[k] for t in tags if (p := self.places.get(t)) and (k := bisect_right(p, floor)) < len(p)]
         return min(found, default=0)
 
+    def leave(self, tag: str = "") -> None:
+        """Before a start tag or, with none, before text that is not blank."""
+        if (now := self.nodes[-1].tag) in ONLY and tag not in ONLY[now]:
+            self.cut(len(self.nodes) - 1)
+
     def imply(self, tag: str) -> None:
+        self.leave(tag)
         if tag in _CLOSES_P and (p := self.last(("p",))) > self.last(_SCOPE):
             self.cut(p)
         if tag in IMPLIED:
@@ -116,7 +125,10 @@ def tree(page: str) -> Node:
         end = m.start() if m else len(page)
         if end > at:
             text = page[at:end]
-            stack.nodes[-1].children.append(entities.unescape(text) if "&" in text else text)
+            text = entities.unescape(text) if "&" in text else text
+            if stack.nodes[-1].tag in ONLY and _BLANK.sub("", text):
+                stack.leave()
+            stack.nodes[-1].children.append(text)
         if not m:
             break
         at, tag = m.end(), (m[2] or "").lower()

@@ -25,6 +25,19 @@ def test_odd_markup():
     assert H.text_of(deep).strip() == "x" and H.text_of("<ul><li>" * 3000 + "x").endswith("- x")
 
 
+def test_head_ends_without_its_end_tag():
+    cases = {
+        "<html><head><title>T</title><body><p>text": "text",
+        "<head><meta charset=x><link rel=y> <style>s</style><script>u</script><template><div>v</div></template><noscript>w</noscript>\n<p>a": "a",
+        "<head><title>T</title> plain <b>bold</b>": "plain bold",
+        "<head><title>T</title>&nbsp;x": "x",
+        "<head><head><title>T</title></head><body>z": "z",
+        "<head><html><body>y": "y",
+    }
+    for page, text in cases.items():
+        assert H.text_of(page).strip() == text, page
+
+
 def test_extract(spark):
     pages = spark.createDataFrame([(1, "<p>a", 2), (2, None, 3), (1, "<p>a", 2)], "page_id long, html string, todo int")
     got = H.extract(pages)
