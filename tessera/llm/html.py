@@ -48,7 +48,7 @@ IMPLIED = {
     "option": ({"option"}, {"select"}),
 }
 #: An open element of the kind ends at any other start tag than these, and at text that is not blank.
-ONLY = {"head": frozenset("base basefont bgsound link meta title style script template noscript".split())}
+ONLY = {"head": frozenset("base basefont bgsound link meta title style script template noscript".split()), "colgroup": frozenset(("col", "template"))}
 #: Tables within tables beyond this depth are laid out as plain blocks, their cells as lines.
 NESTED = 30
 _SCOPE = frozenset("table td th caption html button".split())
@@ -270,20 +270,57 @@ def _rows(node: Node, depth: int) -> tuple[list[str], list[list[Node]]]:
         elif not visible(item):
             continue
         elif item.tag == "tr":
-            rows.append([c for c in item.children if isinstance(c, Node) and c.tag in ("td", "th") and visible(c)])
+            cells, rest = _cells(item)
+            rows.append(cells)
+            captions += [render(_wrap(*run), depth) for run in rest]
         elif item.tag in ("td", "th"):
             loose.append(item)
         elif item.tag == "caption":
             captions.append(render(item, depth))
         elif item.tag in ("thead", "tbody", "tfoot"):
             todo += reversed(item.children)
-        elif item.tag not in ("col", "colgroup"):
+        elif item.tag == "colgroup":
+            todo += reversed(item.children)
+        elif item.tag != "col":
             captions.append(render(_wrap(item), depth))
     if loose:
         rows.append(loose)
     return [c for c in captions if c], rows
 
 
+def _cells(row: Node) -> tuple[list[Node], list[list]]:
+    """The cells of a row, also those inside other elements, and the runs of what else stands in it."""
+    around, parents, todo = set(), {}, [row]
+    while todo:
+        node = todo.pop()
+        for c in node.children:
+            if isinstance(c, str) or not visible(c):
+                continue
+            if c.tag in ("td", "th"):
+                up = node
+                while up is not row and up not in around:
+                    around.add(up)
+                    up = parents[up]
+            elif c.tag != "table":
+                parents[c] = node
+                todo.append(c)
+    cells, rest, run = [], [], []
+    todo = list(reversed(row.children))
+    while todo:
+        item = todo.pop()
+        if isinstance(item, Node) and item.tag in ("td", "th"):
+            if visible(item):
+                cells.append(item)
+        elif item in around:
+            todo += reversed(item.children)
+        else:
+            run.append(item)
+            continue
+        rest.append(run)
+        run = []
+    return cells, [r for r in [*rest, run] if r]
+
+
 def _wrap(*children) -> Node:
     node = Node("#part")
     node.children = list(children)

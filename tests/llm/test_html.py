@@ -38,6 +38,26 @@ def test_head_ends_without_its_end_tag():
         assert H.text_of(page).strip() == text, page
 
 
+def test_rows_keep_all_their_text():
+    cases = {
+        "<table><tr><form><td>a</td><td>b</td></form></tr><tr><td>c<td>d</table>": "a  b\nc  d",
+        "<table><tr>text<td>b</table>": "text\nb",
+        "<table><tr><div>c</div></tr></table>": "c",
+        "<table><tr><div><b>x</b> y<td>k</td>z</div><td>l<td hidden>m</table>": "x y\nz\nk  l",
+        "<table><tr><form hidden><td>a</td></form><td>b</table>": "b",
+        "<table><tr><div><table><tr><td>in</table></div><td>out</table>": "in\nout",
+    }
+    for page, text in cases.items():
+        assert H.text_of(page) == text, page
+    assert H.text_of("<table><tr>" + "<div>" * 3000 + "<td>x</td>") == "x"
+
+
+def test_colgroup_ends_without_its_end_tag():
+    for start in ("<tr><td>", "<td>", "<tbody><tr><td>", "<thead><tr><th>", "<tfoot><tr><td>", "<colgroup><col><tr><td>", "<caption>", "<p>", ""):
+        assert H.text_of(f"<table><colgroup><col>\n{start}x") == "x", start
+    assert H.text_of("<table><colgroup><col><col></colgroup><tr><td>a<td>b</table>") == "a  b"
+
+
 def test_extract(spark):
     pages = spark.createDataFrame([(1, "<p>a", 2), (2, None, 3), (1, "<p>a", 2)], "page_id long, html string, todo int")
     got = H.extract(pages)
