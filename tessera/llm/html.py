@@ -10,7 +10,7 @@ The tree is walked without recursion, so depth is no limit, and each page is one
 gathered across pages.
 
 Defined cases: null and empty pages give the empty text; unclosed, stray and unknown tags are tolerated; markup that
-breaks off inside a tag ends there; entities without semicolon are read as browsers read them; repeated rows give
+breaks off inside a tag ends there; drawings and formulas give their text, form fields their content and choices; entities without semicolon are read as browsers read them; repeated rows give
 equal texts; an empty table gives an empty result; extra columns pass through ``extract`` untouched.
 """
 
@@ -29,7 +29,7 @@ from tessera.llm.common import table
 
 #: Fixed values of the HTML standard: elements without content, without visible text, and of block layout.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = frozenset("head title script style template noscript iframe object audio video canvas svg math datalist select textarea".split())
+HIDDEN = frozenset("head title script style template noscript iframe object audio video canvas datalist annotation annotation-xml".split())
 RAW = frozenset("script style title textarea iframe noscript xmp".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup html legend li main menu nav ol p pre section summary table ul caption tr td th".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl table figure".split())
@@ -46,7 +46,14 @@ IMPLIED = {
     "tbody": ({"thead", "tbody", "tfoot", "tr", "caption"}, {"table"}),
     "tfoot": ({"thead", "tbody", "tfoot", "tr", "caption"}, {"table"}),
     "option": ({"option"}, {"select"}),
+    "optgroup": ({"option", "optgroup"}, {"select"}),
 }
+#: Of a drawing, what holds text to see, and what is only defined and never drawn where it stands.
+DRAWN = frozenset(("text", "foreignobject"))
+DEFINED = frozenset("defs symbol clippath mask pattern marker metadata desc lineargradient radialgradient filter".split())
+#: Start tags that end a drawing or formula, unless an element of the second kind lies between.
+_BREAKS = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
+_FOREIGN, _HOSTS = ("svg", "math"), ("foreignobject", "desc", "annotation-xml", "mi", "mo", "mn", "ms", "mtext")
 #: An open element of the kind ends at any other start tag than these, and at text that is not blank.
 ONLY = {"head": frozenset("base basefont bgsound link meta title style script template noscript".split()), "colgroup": frozenset(("col", "template"))}
 #: Tables within tables beyond this depth are laid out as plain blocks, their cells as lines.
@@ -56,8 +63,12 @@ _SCOPE = frozenset("table td th caption html button".split())
 _WALLED = frozenset("table td th tr tbody thead tfoot body html".split())
 _RAW_ENDS = {tag: re.compile(f"</{tag}[\\s/>]|\\Z", re.I) for tag in RAW}
 
-_TOKEN = re.compile(r"<!--(?:.*?-->|.*\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*+)(?:>|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
-_ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_S = r"[\x20\t\n\f\r]"
+#: A quote opens a value only directly behind the equals sign of its attribute; anywhere else it is a character as any other.
+_VALUE = rf"{_S}*+={_S}*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z)|[^\x20\t\n\f\r>\"'][^\x20\t\n\f\r>]*+)?"
+_NAME = r"[^\x20\t\n\f\r/>][^\x20\t\n\f\r/>=]*+"
+_TOKEN = re.compile(rf"<!--(?:.*?-->|.*\Z)|<(/?)([a-zA-Z][^\x20\t\n\f\r/>]*+)((?:{_NAME}(?:{_VALUE})?+|[\x20\t\n\f\r/]++)*+)(?:>|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
+_ATTRIBUTE = re.compile(rf"({_NAME})(?:{_S}*+={_S}*+(?:\"([^\"]*+)(?:\"|\Z)|'([^']*+)(?:'|\Z)|([^\x20\t\n\f\r>\"'][^\x20\t\n\f\r>]*+))?)?+")
 _GONE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
 _BLANK = re.compile(r"[\x20\t\n\f\r]+")
 
@@ -71,6 +82,10 @@ class Node:
     def attributes(self) -> dict[str, str]:
         return {m[1].lower(): entities.unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(self.attrs)}
 
+    def closed(self) -> bool:
+        """Whether the tag ends with a slash that is not part of a value."""
+        return self.attrs.endswith("/") and all(m.end() < len(self.attrs) for m in _ATTRIBUTE.finditer(self.attrs))
+
 
 class Open:
     """The open elements, with the places of each tag, so that no search walks the stack."""
@@ -101,6 +116,8 @@ class Open:
 
     def imply(self, tag: str) -> None:
         self.leave(tag)
+        if tag in _BREAKS and (p := self.foreign()):
+            self.cut(p)
         if tag in _CLOSES_P and (p := self.last(("p",))) > self.last(_SCOPE):
             self.cut(p)
         if tag in IMPLIED:
@@ -108,6 +125,11 @@ class Open:
             if at := self.first_above(ends, self.last(within)):
                 self.cut(at)
 
+    def foreign(self) -> int:
+        """The place of the drawing or formula whose own elements come next, 0 if none."""
+        at = self.last(_FOREIGN)
+        return at if at and at > self.last(_HOSTS) else 0
+
     def close(self, tag: str) -> None:
         at = self.last((tag,))
         wall = 0 if tag in _WALLED else self.last(("table", "td", "th"))
@@ -142,10 +164,11 @@ def tree(page: str) -> Node:
         stack.nodes[-1].children.append(node)
         if tag in RAW:
             stop = _RAW_ENDS[tag].search(page, at)
-            node.children.append(page[at : stop.start()])
+            text = page[at : stop.start()]
+            node.children.append(entities.unescape(text) if tag == "textarea" else text)
             closing = page.find(">", stop.start())
             at = len(page) if closing < 0 else closing + 1
-        elif tag not in VOID:
+        elif tag not in VOID and not (node.attrs.endswith("/") and (tag in _FOREIGN or stack.foreign()) and node.closed()):
             stack.push(node)
     return root
 
@@ -200,6 +223,24 @@ class Lines:
         self.gap = max(self.gap, int(spaced))
 
 
+#: Ends the line.
+_LINE = Node("#line")
+
+
+def _drawn(svg: Node) -> list[Node]:
+    """The pieces of text of a drawing, each a line of its own."""
+    found, todo = [], list(reversed(svg.children))
+    while todo:
+        item = todo.pop()
+        if isinstance(item, str) or item.tag in DEFINED or not visible(item):
+            continue
+        if item.tag in DRAWN:
+            found += [_LINE, item, _LINE]
+        else:
+            todo += reversed(item.children)
+    return found
+
+
 def render(root: Node, depth: int = 0) -> str:
     out = Lines()
     # Steps still to take: a string, a node to open, or (a node, what it changed) to close.
@@ -230,6 +271,19 @@ def render(root: Node, depth: int = 0) -> str:
             alt = item.attributes().get("alt", "") if item.attrs else ""
             if alt:
                 out.text(alt, False)
+        elif tag == "svg":
+            todo += [(x, False) for x in reversed(_drawn(item))]
+        elif tag == "textarea":
+            out.block(False)
+            todo += [(_LINE, False), (item.children[0].removeprefix("\n") if item.children else "", True)]
+        elif tag in ("option", "optgroup"):
+            label = item.attributes().get("label", "") if item.attrs else ""
+            out.block(False)
+            todo.append((_LINE, False))
+            todo += [(child, pre) for child in reversed(item.children)] if tag == "optgroup" or not label else []
+            todo += [(_LINE, False), (label, False)] if label else []
+        elif item is _LINE:
+            out.block(False)
         elif tag == "table" and depth < NESTED:
             out.block(True)
             for line in grid(item, depth + 1):

@@ -58,6 +58,43 @@ def test_colgroup_ends_without_its_end_tag():
     assert H.text_of("<table><colgroup><col><col></colgroup><tr><td>a<td>b</table>") == "a  b"
 
 
+def test_quotes_open_values_only_behind_equals():
+    cases = {
+        '<td width=10">Price</td> and "more"': "Price\nand \"more\"",
+        "<p title=it's>text</p>don't": "text\n\ndon't",
+        "<p \">a": "a",
+        "<p title=\"x>y\" 'z>b": "b",
+        "<p title = 'x>y'>c": "c",
+        "<p a='1'b=\"2>\"c>d": "d",
+        "<p a=>e": "e",
+        "<p a==\"f>g": "g",
+        "<div title=a'b hidden>h</div>i": "i",
+        "<img alt=\"j>k\"/>": "j>k",
+        "<img alt=l'm>": "l'm",
+        "</p title='>'>n": "n",
+        "o<a href=\"p>q": "o",
+    }
+    for page, text in cases.items():
+        assert H.text_of(page) == text, page
+    assert H.text_of("<p" + " a='1'" * 20000 + " b" * 20000 + "=" * 20000 + ">x") == "x" and H.text_of("<p " + "\"'" * 20000 + ">x") == "x"
+
+
+def test_displayed_elements_are_kept():
+    cases = {
+        "x <math><mi>a</mi><mo>=</mo><mn>1</mn><annotation>tex</annotation></math> y": "x a=1 y",
+        "a <svg viewBox='0 0'><title>t</title><defs><text>d</text></defs><path d=M0/><g><text>one <tspan>two</tspan></text><text>three</text></g>loose</svg> b": "a\none two\nthree\nb",
+        "a <svg><path d='M0'/></svg>b": "a b",
+        "a <svg/>b": "a b",
+        "<svg><defs/><text>x</text><foreignObject><p>y</foreignObject></svg>": "x\n\ny",
+        "<svg><path d=1><p>out": "out",
+        "<textarea>\n a &amp; b\n  <b>c</textarea>d": " a & b\n  <b>c\nd",
+        "<select><option>a<option label=l>b<optgroup label=g><option>c</select>d": "a\nl\ng\nc\nd",
+        "<datalist><option>a</datalist>b": "b",
+    }
+    for page, text in cases.items():
+        assert H.text_of(page) == text, page
+
+
 def test_extract(spark):
     pages = spark.createDataFrame([(1, "<p>a", 2), (2, None, 3), (1, "<p>a", 2)], "page_id long, html string, todo int")
     got = H.extract(pages)
