@@ -127,6 +127,23 @@ def _sets(width: int):
     return sets
 
 
+def _each_set(width: int):
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = {xxhash.xxh3_128_digest(s): s for t in batch.column(0) if (s := shingle_set(t.as_py(), width).tobytes())}
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in (list(found), list(found.values()))], ["node", "shingles"])
+
+    return each
+
+
+def _node(width: int):
+    def node(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield pa.array([xxhash.xxh3_128_digest(s) if (s := shingle_set(t.as_py(), width).tobytes()) else None for t in texts], pa.binary())
+
+    return F.arrow_udf(node, "binary")
+
+
 def _likely(percent: int, shifts: int):
     """Candidates whose signatures' last bytes agree often enough; 1 in 256 agrees by chance."""
     t = percent / 100
@@ -212,6 +229,14 @@ def _large(slots: DataFrame, links: DataFrame, sigs: DataFrame, sets: DataFrame,
 
 def classes(docs: DataFrame, percent: int = 80, width: int = 5, bands: int = 32, rows: int = 4, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of ``docs``. Texts are read, never shuffled whole."""
+    named, _ = _named(docs, percent, width, bands, rows, key, text)
+    least = named.where("comp IS NOT NULL").groupBy("comp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).where("n > 1").select("comp", "least")
+    got = named.join(least, "comp", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
+    return got.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def _named(docs: DataFrame, percent: int, width: int, bands: int, rows: int, key: str, text: str) -> tuple[DataFrame, DataFrame | None]:
+    """(doc_id, n_shingles, node, comp) for each row of ``docs``, and the ids (null among them) of more than one row, None if there are none."""
     shifts = bands * rows
     source = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     sketch = materialize(source.mapInArrow(_sketch(bands, rows, width), "doc_id long, n_shingles long, node binary, bands array<long>, sig binary"), "minhash-sketch")
@@ -223,7 +248,15 @@ def classes(docs: DataFrame, percent: int = 80, width: int = 5, bands: int = 32,
     members = slots.select("node").distinct()
     sigs = materialize(filled.select("node", "n_shingles", "sig", "bands").join(members, "node", "left_semi").groupBy("node", "n_shingles", "sig", "bands").agg(F.lit(1).alias("one")).drop("one"), "minhash-signatures")
     first = filled.groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(members, "node", "left_semi")
-    sets = materialize(_one_text(source, first).mapInArrow(_sets(width), "node binary, shingles binary"), "minhash-sets")
+    odd = materialize(sketch.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "minhash-odd")
+    odd = None if odd.isEmpty() else odd
+    alone = first if odd is None else _by_id(first, odd, "left_anti")
+    sets = _one_text(source, alone).mapInArrow(_sets(width), "node binary, shingles binary")
+    if odd is not None:
+        # Such an id does not tell which of its texts has the node's set: all are read.
+        each = _by_id(source, odd, "left_semi").select("text").mapInArrow(_each_set(width), "node binary, shingles binary")
+        sets = sets.union(each.join(_by_id(first, odd, "left_semi").select("node"), "node", "left_semi").dropDuplicates(["node"]))
+    sets = materialize(sets, "minhash-sets")
 
     small = slots.where(f"n <= {SMALL}")
     pairs = small.select("bucket", F.col("node").alias("x")).join(small.select("bucket", F.col("node").alias("y")), "bucket").where("x < y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
@@ -232,24 +265,40 @@ def classes(docs: DataFrame, percent: int = 80, width: int = 5, bands: int = 32,
     if not large.isEmpty():
         links = _large(large, links, sigs, sets, percent, shifts)
     comps = components(links)
-    named = sketch.select("doc_id", "n_shingles", "node").join(comps, "node", "left").select("doc_id", "n_shingles", F.coalesce("comp", "node").alias("comp"))
-    named = materialize(named, "minhash-named")
-    least = named.where("comp IS NOT NULL").groupBy("comp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).where("n > 1").select("comp", "least")
-    got = named.join(least, "comp", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
-    return got.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    named = sketch.select("doc_id", "n_shingles", "node").join(comps, "node", "left").select("doc_id", "n_shingles", "node", F.coalesce("comp", "node").alias("comp"))
+    return materialize(named, "minhash-named"), odd
 
 
-def _one_text(source: DataFrame, first: DataFrame) -> DataFrame:
-    """(node, text) by the node's smallest doc_id. A doc_id that is given twice may bring texts of other nodes too; ``_sets`` drops those by their digest."""
-    return first.join(source, "doc_id").select("node", "text")
+def _by_id(rows: DataFrame, ids: DataFrame, how: str, id: str = "doc_id") -> DataFrame:
+    """``rows`` by whether their id is among ``ids``; null is an id as any other."""
+    return rows.join(ids.select(F.col("doc_id").alias("_other_id")), F.col(id).eqNullSafe(F.col("_other_id")), how)
 
 
-def deduplicate(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
-    """``docs`` with one row of each group: the one of the smallest doc_id. Of rows that repeat an id one stays."""
-    kept = classes(docs, key=key, **options).where("kept").groupBy("doc_id").agg(F.count("*").alias("n"))
-    kept = materialize(kept, "minhash-kept")
-    got = docs.join(kept.select(F.col("doc_id").alias(f"_kept_{key}")), F.col(key).cast("long").eqNullSafe(F.col(f"_kept_{key}")), "left_semi")
-    return got if kept.where("n > 1").isEmpty() else got.dropDuplicates([key])
+def _one_text(source: DataFrame, first: DataFrame) -> DataFrame:
+    """(node, text) by the node's smallest doc_id, which one row has."""
+    first = first.select("node", F.col("doc_id").alias("_first_id"))
+    return first.join(source, F.col("_first_id").eqNullSafe(F.col("doc_id"))).select("node", "text")
+
+
+def deduplicate(docs: DataFrame, percent: int = 80, width: int = 5, bands: int = 32, rows: int = 4, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with one row of each group: the one of the smallest doc_id, null the last.
+
+    Rows of one id with texts that are no copies of each other are documents of their own. Of rows that repeat both
+    the id and the set one stays; without an id and without words all stay.
+    """
+    named, odd = _named(docs, percent, width, bands, rows, key, text)
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "node")).alias("best")
+    kept = named.where("comp IS NOT NULL").groupBy("comp").agg(best).select("best.doc_id", "best.node")
+    kept = materialize(kept.union(named.where("comp IS NULL").select("doc_id", "node").distinct()), "minhash-kept")
+    tagged = docs.withColumn("_row_id", F.col(key).cast("long"))
+    if odd is None:
+        return _by_id(tagged, kept, "left_semi", "_row_id").select(*docs.columns)
+    alone = _by_id(tagged, _by_id(kept, odd, "left_anti"), "left_semi", "_row_id").select(*docs.columns)
+    many = _by_id(tagged, odd, "left_semi", "_row_id").withColumn("_row_node", _node(width)(F.col(text)))
+    many = many.join(_by_id(kept, odd, "left_semi").select(F.col("doc_id").alias("_kept_id"), F.col("node").alias("_kept_node")), F.expr("_row_id <=> _kept_id AND _row_node <=> _kept_node"), "left_semi")
+    many = materialize(many, "minhash-many")
+    bare = "_row_id IS NULL AND _row_node IS NULL"
+    return alone.union(many.where(f"NOT ({bare})").dropDuplicates(["_row_id", "_row_node"]).select(*docs.columns)).union(many.where(bare).select(*docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -58,6 +58,26 @@ def test_deduplicate(spark):
     assert M.deduplicate(docs.limit(0)).count() == 0
 
 
+def test_null_and_repeated_ids(spark):
+    words = lambda *n: " ".join(f"w{i}" for i in n)
+    a, link, b = words(*range(10)), words(*range(1, 11)), words(*range(2, 12))
+    options = {"percent": 80, "width": 1, "bands": 32, "rows": 4}
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    # Two chains through rows without id, one null alone and two of them.
+    for more in ([], [(None, "else")]):
+        got = {r.doc_id: r.component_id for r in M.classes(frame([(1, a), (None, link), (2, b), *more]), **options).collect() if r.doc_id}
+        assert got == {1: 1, 2: 1}
+    rows = [(None, words(*range(20, 30))), (None, words(*range(21, 31))), (None, "other"), (None, ""), (None, None)]
+    rows += [(5, "five a"), (5, "two b"), (2, "two b"), (7, "seven x"), (7, "seven y z q r s"), (8, "seven X"), (9, "nine"), (9, "Nine"), (9, None), (9, None)]
+    rows += [(None, words(*range(100, 200), k)) for k in range(20)]
+    kept = [tuple(r) for r in M.deduplicate(frame(rows), **options).collect()]
+    count = lambda *which: sum(r in which for r in kept)
+    assert count(*rows[:2]) == 1 and count(rows[2]) == 1 and count(*rows[3:5]) == 2
+    assert count((5, "five a")) == 1 and count((5, "two b")) == 0 and count((2, "two b")) == 1
+    assert count((7, "seven x")) == 1 and count((7, "seven y z q r s")) == 1 and count((8, "seven X")) == 0
+    assert count((9, "nine"), (9, "Nine")) == 1 and count((9, None)) == 1 and count(*rows[-20:]) == 1 and len(kept) == 11
+
+
 def test_signature_is_circulant():
     s = M.shingle_set(" ".join(map(str, range(500))), 3)
     sig = M.signature(s, 16)
