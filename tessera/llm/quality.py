@@ -60,7 +60,7 @@ _FEATURES = rf"""
 inline(transform(array(coalesce(text, '')), t -> element_at(transform(
   array(filter(split(t, '[\\x20\\x09-\\x0D]+'), w -> w <> '')),
   ws -> element_at(transform(
-    array(filter(split(t, '\n'), l -> translate(l, ' \t\n\u000b\f\r', '') <> '')),
+    array(filter(split(t, '\n'), l -> translate(l, ' \t\n\u000b\u000c\r', '') <> '')),
     ls -> element_at(transform(array(regexp_replace(t, '\\P{{L}}+', '')), lt -> struct(
       CAST(size(ws) AS BIGINT) AS n_words,
       CAST(length(array_join(ws, '')) AS BIGINT) AS word_chars,

@@ -35,6 +35,13 @@ def test_features_match_brute_force(spark):
         assert (g.n_words, g.word_chars, g.n_symbols, g.n_dup_lines, g.n_repeat_words, g.base_failed) == brute(r.text)
 
 
+def test_form_feeds_are_blank_and_f_is_a_word(spark):
+    cases = {"a\n\f\n\f": (0, 1), "f\nf": (1, 2), "ff\n\f \nff": (1, 2), "\v\n\v\nb": (0, 1)}
+    got = Q.features(spark.createDataFrame([(t,) for t in cases], "text string"), "text").collect()
+    assert {r.text: (r.n_dup_lines, r.n_lines) for r in got} == cases
+    assert all(r.n_dup_lines == brute(r.text)[3] for r in got)
+
+
 def test_clean_kept_and_columns_stay(spark):
     docs = rows(spark)
     kept = Q.keep_good(docs)
