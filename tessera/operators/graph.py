@@ -187,16 +187,25 @@ def dead_code(functions: DataFrame, calls: DataFrame) -> DataFrame:
     return quiet.join(calls.select(F.col("callee").alias("name")), "name", "left_anti")
 
 
-def depth(entries: DataFrame, edges: DataFrame, most: int = 50) -> DataFrame:
-    """The largest distance from an entry point, breadth first from all entries at once."""
-    front = seen = entries.select("id").distinct()
-    level = 0
-    for d in range(1, most + 1):
-        front = saved(front.join(edges.select(F.col("src").alias("id"), "dst"), "id").select(F.col("dst").alias("id")).distinct().join(seen, "id", "left_anti"))
+def closure(starts: DataFrame, edges: DataFrame, most: int | None = None) -> DataFrame:
+    """(id, distance) of all that can be reached, breadth first from all starts at once, until nothing new comes or ``most`` edges on."""
+    step = saved(edges.select(F.col("src").alias("id"), "dst").distinct())
+    front = seen = saved(starts.select("id").distinct().withColumn("distance", F.lit(0)))
+    d = 0
+    while most is None or d < most:
+        d += 1
+        front = saved(front.join(step, "id").select(F.col("dst").alias("id")).distinct().join(seen, "id", "left_anti").withColumn("distance", F.lit(d)))
         if front.isEmpty():
             break
-        seen, level = seen.union(front), d
-    return entries.sparkSession.range(1).select(F.lit(level).cast("long").alias("depth"))
+        seen = seen.union(front)
+        if d % 8 == 0:
+            seen = saved(seen)
+    return seen
+
+
+def depth(entries: DataFrame, edges: DataFrame, most: int | None = None) -> DataFrame:
+    """The largest distance from an entry point, breadth first from all entries at once."""
+    return closure(entries, edges, most).agg(F.coalesce(F.max("distance"), F.lit(0)).cast("long").alias("depth"))
 
 
 def risk(n_in: Column, n_out: Column, complexity: Column) -> Column:
@@ -219,22 +228,26 @@ def counts(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     return v.union(e)
 
 
-def dominators(root, edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """(id, dominators): nodes on every path from the root, itself included, as a sorted array; by intersection until nothing changes."""
-    every = saved(reach(edges.sparkSession.range(1).select(F.lit(root).alias("id")), edges, rounds).select("id"))
-    e = saved(edges.select("src", "dst").join(every.withColumnRenamed("id", "src"), "src").distinct())
-    whole = every.agg(F.sort_array(F.collect_set("id")).alias("all"))
-    dom = every.crossJoin(F.broadcast(whole)).select("id", F.when(F.col("id") == root, F.array("id")).otherwise(F.col("all")).alias("dom"))  # one row
-    dom = saved(dom)
-    for _ in range(rounds):
-        sets = e.join(dom.select(F.col("id").alias("src"), "dom"), "src").groupBy(F.col("dst").alias("id")).agg(F.collect_list("dom").alias("ds"))
-        meet = F.aggregate(F.slice("ds", 2, F.greatest(F.size("ds") - 1, F.lit(0))), F.element_at("ds", 1), lambda a, b: F.array_intersect(a, b))
-        new = dom.join(sets, "id", "left").select("id", F.when(F.col("id") == root, F.array("id")).otherwise(F.sort_array(F.array_union(F.array("id"), F.coalesce(meet, F.array().cast(dom.schema["dom"].dataType))))).alias("dom"))
-        new = saved(new)
-        if new.join(dom, ["id", "dom"], "left_anti").isEmpty():
+def dominators(root, edges: DataFrame) -> DataFrame:
+    """(id, dominators): nodes on every path from the root, itself included, as a sorted array; by intersection until nothing changes.
+
+    The sets are rows (id, dom). A node not met yet holds all nodes and has no rows; of the others a dominator is what
+    as many of the nodes before hold as have been met.
+    """
+    e = saved(edges.select("src", "dst").where((F.col("src") != F.col("dst")) & (F.col("dst") != F.lit(root))).distinct())
+    top = F.lit(root).cast(e.schema["src"].dataType)
+    first = e.sparkSession.range(1).select(top.alias("id"), top.alias("dom"))
+    doms, n = saved(first), 1
+    while True:
+        met = e.join(doms.where("id = dom").select(F.col("id").alias("src")), "src").groupBy("dst").agg(F.count("*").alias("n_met"))
+        held = e.join(doms.withColumnRenamed("id", "src"), "src").groupBy("dst", "dom").agg(F.count("*").alias("n_held"))
+        shared = held.join(met, "dst").where("n_held = n_met").select(F.col("dst").alias("id"), "dom")
+        new = saved(shared.union(met.select("dst", "dst")).union(first).distinct())
+        m = new.count()
+        if m == n and new.join(doms, ["id", "dom"], "left_anti").isEmpty():
             break
-        dom = new
-    return dom.select("id", F.col("dom").alias("dominators"))
+        doms, n = new, m
+    return doms.groupBy("id").agg(F.sort_array(F.collect_list("dom")).alias("dominators"))
 
 
 def ranked(ranks: DataFrame, k: int = 10, score: str = "rank") -> DataFrame:

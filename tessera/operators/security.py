@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.operators.graph import reach
+from tessera.operators.graph import closure
 
 #: Issue, severity and patterns, in any case.
 PATTERNS = (
@@ -66,7 +66,7 @@ def missing_check(condition: Column) -> Column:
 def tainted(edges: DataFrame, uses: DataFrame) -> DataFrame:
     """Variables that taint reaches along def-use edges (src, dst) from those of ``uses`` (id, code) that read a source."""
     dirty = uses.where(F.exists(F.array(*[F.lit(s) for s in SOURCES]), lambda s: F.contains(F.col("code"), s))).select("id")
-    return reach(dirty, edges, 50).select("id").distinct()
+    return closure(dirty, edges).select("id")
 
 
 # ---- findings

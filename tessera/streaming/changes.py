@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.operators import sync
+from tessera.operators.graph import saved
 
 OUT = "path string, ts timestamp, kind string, previous string, current string"
 
@@ -68,13 +69,17 @@ def priority(kind: Column, size: Column, language: Column) -> Column:
 def batches(events: DataFrame, size: int = 50, by: str = "priority", order: str = "seq") -> DataFrame:
     """``events`` with the number of the batch in which they are taken: highest priority first, in order inside.
 
-    Ranks are counted within priorities and hash blocks, so no window holds all rows: a place is the rows of higher
-    priority, plus those of the same priority that come before.
+    Rows are dealt by ranges of (priority, order) and counted inside each range, so no task holds all rows of a
+    priority: a place is the rows of the ranges before, plus those of the same range that come before. Rows without a
+    priority come last.
     """
-    per = events.groupBy(by).agg(F.count("*").alias("_n"))
-    above = per.alias("a").join(per.alias("b"), F.col(f"b.{by}") > F.col(f"a.{by}"), "left").groupBy(F.col(f"a.{by}").alias(by)).agg(F.coalesce(F.sum("b._n"), F.lit(0)).alias("_above"))
-    placed = events.withColumn("_r", F.row_number().over(W.partitionBy(by).orderBy(order))).join(F.broadcast(above), by)  # five priorities
-    return placed.withColumn("batch", F.floor((F.col("_above") + F.col("_r") - 1) / size)).drop("_r", "_above")
+    place = [F.desc(by), F.asc(order)]
+    ranged = saved(events.repartitionByRange(*place).sortWithinPartitions(*place).withColumn("_id", F.monotonically_increasing_id()))
+    ranged = ranged.withColumns({"_range": F.shiftright("_id", 33), "_r": F.col("_id").bitwiseAND((1 << 33) - 1)})  # the parts of such an id
+    per = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
+    above = per.alias("a").join(per.alias("b"), F.col("b._range") < F.col("a._range"), "left").groupBy(F.col("a._range").alias("_range")).agg(F.coalesce(F.sum("b._n"), F.lit(0)).alias("_above"))
+    placed = ranged.join(F.broadcast(above), "_range")  # a row a range
+    return placed.withColumn("batch", F.floor((F.col("_above") + F.col("_r")) / size)).drop("_r", "_above", "_id", "_range")
 
 
 def history(events: DataFrame, n: int = 10) -> DataFrame:

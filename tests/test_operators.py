@@ -124,6 +124,29 @@ def test_graph_cases(spark):
     assert [r.name for r in graph.dead_code(f, spark.createDataFrame([("a",)], "callee string")).collect()] == ["c"]
 
 
+def test_graph_beyond_fifty_edges(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(53)] + [(53, 0), (53, 53), (90, 53)], "src long, dst long")
+    start = spark.createDataFrame([(0,)], "id long")
+    assert graph.depth(start, chain).first().depth == 53
+    uses = spark.createDataFrame([(0, "x = req.body"), (1, "y")], "id long, code string")
+    assert sorted(r.id for r in security.tainted(chain, uses).collect()) == list(range(54))
+    assert {r.id: r.dominators for r in graph.dominators(0, chain).collect()} == {i: list(range(i + 1)) for i in range(54)}
+
+
+def test_dominators_of_joins_and_loops(spark):
+    e = [(0, 1), (0, 2), (1, 3), (2, 3), (3, 4), (4, 1), (4, 5), (2, 5), (5, 6), (6, 3), (7, 6), (6, 0), (0, 0)]
+    got = {r.id: r.dominators for r in graph.dominators(0, spark.createDataFrame(e, "src long, dst long")).collect()}
+
+    def reached(cut):
+        seen, todo = set(), [0] if cut != 0 else []
+        while todo:
+            seen.add(x := todo.pop())
+            todo += [b for a, b in e if a == x and b != cut and b not in seen]
+        return seen
+
+    assert got == {v: [d for d in range(8) if v not in reached(d)] for v in reached(None)} | {0: [0]}
+
+
 def test_consistency_literals(spark):
     m = spark.createDataFrame([("1", "v", "g"), ("2", None, "g"), ("3", "v", None), ("4", None, None)], "entity_id string, vector_id string, graph_id string")
     found = sync.issues(m).collect()

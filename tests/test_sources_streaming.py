@@ -125,3 +125,12 @@ def test_index_batch(spark):
 def test_priority(spark):
     df = spark.createDataFrame([("deleted", 10, "go"), ("created", 2_000_000, "text"), ("modified", 5000, "text")], "kind string, size long, language string")
     assert [r.p for r in df.select(C.priority(F.col("kind"), F.col("size"), F.col("language")).alias("p")).collect()] == [4, 0, 2]
+
+
+def test_batches_count_over_ranges(spark):
+    rows = [(i * 7919 % 1009, (i * i) % 5 if i % 50 else None) for i in range(1000)]
+    got = C.batches(spark.createDataFrame(rows, "seq long, priority int"), 50)
+    assert "Window" not in got._jdf.queryExecution().toString()
+    want = sorted(rows, key=lambda r: (-1 if r[1] is None else r[1], -r[0]), reverse=True)
+    assert {(r.seq, r.priority): r.batch for r in got.collect()} == {r: k // 50 for k, r in enumerate(want)}
+    assert got.columns == ["seq", "priority", "batch"]
