@@ -20,8 +20,6 @@ PATTERNS = (
 SOURCES = ("req.body", "req.params", "req.query", "request.body", "input", "user_input", "form_data", "post_data")
 SINKS = ("query", "execute", "exec", "innerHTML", "document.write", "eval", "Function", "setTimeout", "setInterval")
 SECRETS = ("password", "secret", "key", "token", "credential")
-#: Texts of more lines are not searched for secrets.
-SECRET_LINES = 1000
 
 
 def lines_of(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -52,11 +50,12 @@ def flows(docs: DataFrame, key: str = "page_id", text: str = "html") -> DataFram
     return both.select(key, F.explode("sources").alias("source"), "sinks").select(key, "source", F.explode("sinks").alias("sink"))
 
 
-def secrets(docs: DataFrame, key: str = "page_id", text: str = "html") -> DataFrame:
-    """(key, name, line_no): lines that name something secret; texts of over a thousand lines are left out."""
-    short = docs.where(F.size(F.split(text, "\n")) <= SECRET_LINES)
+def secrets(docs: DataFrame, key: str = "page_id", text: str = "html", most_lines: int | None = None) -> DataFrame:
+    """(key, name, line_no): lines that name something secret; with ``most_lines``, texts of more lines are left out."""
+    if most_lines is not None:
+        docs = docs.where(F.size(F.split(text, "\n")) <= most_lines)
     names = F.filter(F.array(*[F.lit(s) for s in SECRETS]), lambda s: F.contains(F.lower("line"), s))
-    return lines_of(short, key, text).select(key, "line_no", F.explode(names).alias("name"))
+    return lines_of(docs, key, text).select(key, "line_no", F.explode(names).alias("name"))
 
 
 def missing_check(condition: Column) -> Column:

@@ -138,6 +138,10 @@ def _flows(spark, d):
 
 
 def _secrets(spark, d):
+    return security.secrets(_docs(spark, d), "doc_id", "text", 1000)  # as its SQL
+
+
+def _secrets_all(spark, d):
     return security.secrets(_docs(spark, d), "doc_id", "text")
 
 
@@ -167,7 +171,7 @@ QUERIES = {
     "chunk_lines": _chunks(False), "chunk_lines_compat": _chunks(True), "dedup_exact": _exact, "dedup_savings": _savings, "dedup_semantic": _semantic, "dedup_fuzzy": _fuzzy,
     "jaccard_pairs": _pairs, "duplicate_check": _known, "path_proximity": _pages_path, "structural_similarity": _structural, "snippet_validity": _snippet_valid,
     "syntax_nodes": _nodes, "node_summary": _node_summary, "snippet_rules": _rules, "marked_snippets": _marked,
-    "security_scan": _scan, "security_flows": _flows, "security_secrets": _secrets,
+    "security_scan": _scan, "security_flows": _flows, "security_secrets": _secrets, "security_secrets_all": _secrets_all,
     "findings_summary": lambda s, d: security.by(findings(s, d), "file", "severity"),
     "findings_top_rules": lambda s, d: security.top_rules(findings(s, d)),
     "high_risk_files": lambda s, d: security.high_risk_files(findings(s, d), 2),

@@ -147,6 +147,11 @@ def test_dominators_of_joins_and_loops(spark):
     assert got == {v: [d for d in range(8) if v not in reached(d)] for v in reached(None)} | {0: [0]}
 
 
+def test_secrets_of_long_texts(spark):
+    docs = spark.createDataFrame([(1, "x\n" * 1200 + "a Token")], "page_id long, html string")
+    assert [tuple(r) for r in security.secrets(docs).collect()] == [(1, 1201, "token")]
+
+
 def test_consistency_literals(spark):
     m = spark.createDataFrame([("1", "v", "g"), ("2", None, "g"), ("3", "v", None), ("4", None, None)], "entity_id string, vector_id string, graph_id string")
     found = sync.issues(m).collect()
