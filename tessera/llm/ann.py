@@ -1,37 +1,47 @@
 """Approximate nearest neighbours by learned partitions.
 
-On a bounded sample a neighbour graph is built and cut into equally large parts with few edges between them: a part is
-halved along its main direction, then members are exchanged while that cuts fewer edges, and so on. A small network
-learns where a vector's neighbours lie. Every row of the table is filed under its most probable part; a query is sent
-to its several most probable parts, whose rows are ranked by exact inner products in double precision. How many parts
-that is follows from the recall on held-out rows of the sample: few where vectors cluster, most of them where
-neighbours are hardly nearer than others.
-
-Each part is dealt into blocks of at most BLOCK rows, and the queries of a part into blocks too, so a vector that a
-third of the rows share makes more tasks, not a larger one. A block returns each query's best few, which are merged.
-The sample has at most SAMPLE rows and the parts at most SAMPLE / 64, whatever the table holds; a table of up to
-ROWS_PER_PART rows is one part and searched whole. A query that meets too few rows is sent to all parts.
-
-Defined cases: vectors that are null, empty, zero, of another length than the sample's, or hold nulls or non-finite
-numbers take no part; a repeated vec_id is one query and each of its rows a candidate for others; equal scores are
-ordered by vec_id; fewer candidates than asked for are all returned; an empty table gives an empty result; extra
-columns are ignored.
+A part is split thus: on a bounded sample of its rows a neighbour graph is built and cut into equally large parts with
+few edges between them (the part is halved along its main direction, then members are exchanged while that cuts fewer
+edges, and so on), and a small network learns where a vector's neighbours lie. Every row of the part is filed under
+its most probable new part; a query is sent to its several most probable ones, and the rows that it meets are ranked
+by exact inner products in double precision. How many parts a query is sent to follows from the recall on held-out
+rows of the sample: few where vectors cluster, most of them where neighbours are hardly nearer than others.
+
+The whole table is one part at first, which is split at every size that has ``2 * part_rows`` rows; any part that still
+has over BLOCK rows is split again, by a network of its own, so the number of parts grows with the rows and the depth
+with their logarithm. Networks are fitted in tasks, one a part, on at most SAMPLE of its rows; nothing is collected to
+the driver but the counts of rows by length and whether a table is empty.
+
+Of rows with equal vectors only the k + 1 of smallest id can be among any query's k nearest, so the others are left
+out of the search before it begins, and a vector that a third of the rows share costs nothing. A part that no network
+divides is dealt into blocks of at most BLOCK rows, and the queries of a part into blocks too. A block returns each
+query's best few, which are merged. A query that meets too few rows is sent to all parts.
+
+Defined cases: vectors that are null, empty, zero, of another length than most, or hold nulls or non-finite numbers
+take no part; a repeated vec_id is one query (its least vector), its rows are candidates for others, once each if
+their vectors are equal too; equal scores are ordered by vec_id; fewer candidates than asked for are all returned; an
+empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import io
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize, table
+from tessera.llm.common import materialize, scratch, table
 
+#: Most rows of a part that its network is fitted on.
 SAMPLE = 8192
+#: Rows that a new part gets at least, on average, where the caller names no number; parts of the sample have 64.
 ROWS_PER_PART = 1024
 BLOCK = 2048
+#: Rows or queries that one task routes at a time.
+ROUTED = 8192
 NEIGHBOURS = 10
 HIDDEN = 128
 #: A query is sent to as many parts as found this share of the neighbours of sample rows that training did not see.
@@ -93,6 +103,16 @@ class Router:
     def __init__(self, scale: float, weights: list[np.ndarray]):
         self.scale, self.weights = scale, weights
 
+    def dumps(self) -> bytes:
+        out = io.BytesIO()
+        np.savez(out, scale=self.scale, **{f"w{k}": w.astype(np.float32) for k, w in enumerate(self.weights)})
+        return out.getvalue()
+
+    @classmethod
+    def loads(cls, raw: bytes) -> Router:
+        with np.load(io.BytesIO(raw)) as f:
+            return cls(float(f["scale"]), [f[f"w{k}"].astype(np.float64) for k in range(4)])
+
     def __call__(self, x: np.ndarray) -> np.ndarray:
         w1, b1, w2, b2 = self.weights
         z = np.maximum(x * self.scale @ w1 + b1, 0) @ w2 + b2
@@ -137,42 +157,113 @@ def probes_for(router: Router, rows: np.ndarray, queries: np.ndarray, k: int, re
     return int(np.searchsorted(hit, recall) + 1) if p.shape[1] > 1 else 1
 
 
-def _file(router: Router, probes: int, every: int):
-    def file(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            if not len(b):
-                continue
-            p = router(np.stack(b["vector"].to_numpy()))
-            best = np.argsort(-p, axis=1, kind="stable")[:, :probes].astype(np.int32)
-            sent = [list(map(int, x)) if i % every == 0 else None for i, x in zip(b["vec_id"], best, strict=True)]
-            yield pd.DataFrame({"vec_id": b["vec_id"], "vector": b["vector"], "part": best[:, 0], "sent": sent})
+def _matrix(vectors: pa.ChunkedArray) -> np.ndarray:
+    flat = np.concatenate([np.zeros(0), *[c.flatten().to_numpy(zero_copy_only=False) for c in vectors.chunks]])
+    return flat.reshape(len(vectors), -1) if len(vectors) else flat.reshape(0, 0)
 
-    return file
+
+def parts_for(n: int, sampled: int, part_rows: int) -> int:
+    """How many parts n rows are split into, by a sample of so many of them."""
+    parts = 1
+    while parts * 2 * part_rows <= n and parts * 2 * 64 <= sampled:
+        parts *= 2
+    return parts
+
+
+def _fitter(k: int, part_rows: int):
+    def fit_part(key: tuple, rows: pa.Table) -> pa.Table:
+        n = rows.column("n")[0].as_py()
+        order = np.lexsort((rows.column("vec_id").to_numpy(), rows.column("place").to_numpy()))[:SAMPLE]
+        x = _matrix(rows.column("vector"))[order]
+        held = min(HELD_OUT, len(x) // 8)
+        parts = parts_for(n, len(x) - held, part_rows)
+        router = fit(x[held:], parts) if parts > 1 else None
+        probes = min(parts, probes_for(router, x[held:], x[:held], k)) if router else 1
+        made = {"part": [key[0].as_py()], "parts": [parts], "probes": [probes], "model": [router.dumps() if router else None]}
+        return pa.table(made, pa.schema([("part", pa.string()), ("parts", pa.int32()), ("probes", pa.int32()), ("model", pa.binary())]))
+
+    return fit_part
+
+
+#: Ends the name of a part that is not split any more.
+LEAF = "!"
+
+
+def _router(every: str | None):
+    """``every``: the column of the router's row that tells to how many parts an item is sent; none: to the best one."""
+
+    def route(key: tuple, items: pa.Table, routers: pa.Table) -> pa.Table:
+        part, model = key[0].as_py(), routers.column("model")[0].as_py()
+        if model is None or not len(items):
+            return items.select(["id", "vector"]).append_column("part", pa.array([part + LEAF] * len(items), pa.string()))
+        n = routers.column(every)[0].as_py() if every else 1
+        best = np.argsort(-Router.loads(model)(_matrix(items.column("vector"))), axis=1, kind="stable")[:, :n]
+        sent = items.select(["id", "vector"]).take(pa.array(np.repeat(np.arange(len(items)), n)))
+        return sent.append_column("part", pa.array([f"{part}.{b}" for b in best.ravel()], pa.string()))
+
+    return route
+
+
+def _routed(items: DataFrame, routers: DataFrame, every: str | None = None) -> DataFrame:
+    """``items`` (id, vector, part), those of the routers' parts sent on; a task has at most about ROUTED of them."""
+    blocks = items.join(routers.select("part"), "part").groupBy("part").agg(F.ceil(F.count("*") / ROUTED).cast("int").alias("blocks"))
+    blocks = materialize(blocks, "ann-blocks")
+    dealt = items.join(blocks, "part").select("id", "vector", "part", F.pmod(F.xxhash64("id", "vector"), F.col("blocks")).cast("int").alias("block"))
+    each = blocks.select(F.col("part").alias("of"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("nth"))
+    models = routers.join(each, F.col("part") == F.col("of")).select("parts", "probes", "model", F.col("of"), "nth")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in items.select("id", "vector", "part").schema)
+    sent = dealt.groupBy("part", "block").cogroup(models.groupBy("of", "nth")).applyInArrow(_router(every), schema)
+    return sent.unionByName(items.join(routers.select("part"), "part", "left_anti").select("id", "vector", "part"))
+
+
+def _split(rows: DataFrame, k: int, part_rows: int) -> tuple[DataFrame, list[DataFrame]]:
+    """``rows`` (vec_id, vector) with their final parts, and the routers (part, parts, probes, model) of each level."""
+    filed, levels = rows.select(F.col("vec_id").alias("id"), "vector", F.lit("").alias("part")), []
+    while True:
+        sizes = materialize(filed.groupBy("part").agg(F.count("*").alias("n")), "ann-sizes")
+        wide = materialize(sizes.where(f"part = '' OR (n > {BLOCK} AND NOT endswith(part, '{LEAF}'))"), "ann-wide")
+        if wide.isEmpty():
+            return filed.withColumnRenamed("id", "vec_id"), levels
+        place = F.pmod(F.xxhash64("id", "vector", F.lit(SEED)), F.lit(1 << 30)).alias("place")
+        drawn = filed.join(wide, "part").select("part", "n", F.col("id").alias("vec_id"), "vector", place)
+        drawn = drawn.where(F.col("place") * F.col("n") < F.lit((1 << 30) * 2 * SAMPLE))
+        fitted = drawn.groupBy("part").applyInArrow(_fitter(k, part_rows), "part string, parts int, probes int, model binary")
+        levels.append(materialize(fitted, "ann-routers"))
+        filed = materialize(_routed(filed, levels[-1]), "ann-filed")
+
+
+def _descend(queries: DataFrame, levels: list[DataFrame], every: str) -> DataFrame:
+    """(query_id, vector, part): ``queries`` (query_id, vector) with all parts that they are sent to."""
+    sent = queries.select(F.col("query_id").alias("id"), "vector", F.lit("").alias("part"))
+    for routers in levels:
+        sent = materialize(_routed(sent, routers, every), "ann-sent")
+    return sent.withColumnRenamed("id", "query_id")
 
 
 def _best(k: int):
-    def best(key: tuple, rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+    schema = pa.schema([("query_id", pa.int64()), ("part", pa.string()), ("ids", pa.list_(pa.int64())), ("scores", pa.list_(pa.float64()))])
+
+    def best(key: tuple, rows: pa.Table, queries: pa.Table) -> pa.Table:
         out: dict[str, list] = {"query_id": [], "part": [], "ids": [], "scores": []}
         if len(rows) and len(queries):
-            x, ids = np.stack(rows["vector"].to_numpy()).astype(np.float64), rows["vec_id"].to_numpy()
+            x, ids = _matrix(rows.column("vector")).astype(np.float64), rows.column("vec_id").to_numpy()
             order = np.argsort(ids, kind="stable")
             x, ids = x[order], ids[order]
-            n = min(k, len(x))
-            for at in range(0, len(queries), 256):
-                part = queries.iloc[at : at + 256]
-                qs = np.stack(part["vector"].to_numpy()).astype(np.float64)
-                rough = np.where(ids[None, :] == part["query_id"].to_numpy()[:, None], -np.inf, qs @ x.T)
-                slack = 1e-9 * np.linalg.norm(qs, axis=1) * np.linalg.norm(x, axis=1).max()
-                edge = np.partition(rough, len(x) - n, axis=1)[:, len(x) - n] - slack
-                for q, own, row, least in zip(qs, part["query_id"], rough, edge, strict=True):
+            n, asked, qx = min(k, len(x)), queries.column("query_id").to_numpy(), _matrix(queries.column("vector")).astype(np.float64)
+            longest = np.linalg.norm(x, axis=1).max()
+            for at in range(0, len(asked), 256):
+                qs, own_ids = qx[at : at + 256], asked[at : at + 256]
+                rough = np.where(ids[None, :] == own_ids[:, None], -np.inf, qs @ x.T)
+                edge = np.partition(rough, len(x) - n, axis=1)[:, len(x) - n] - 1e-9 * np.linalg.norm(qs, axis=1) * longest
+                for q, own, row, least in zip(qs, own_ids, rough, edge, strict=True):
                     near = np.flatnonzero((row >= least) & (ids != own))
                     s = (x[near] * q).sum(axis=1)  # the same sum for equal vectors, wherever they stand
                     best = np.lexsort((ids[near], -s))[:k]
                     out["query_id"].append(own)
-                    out["part"].append(key[0])
+                    out["part"].append(key[0].as_py())
                     out["ids"].append(ids[near[best]])
                     out["scores"].append(-s[best])
-        return pd.DataFrame(out).astype({"query_id": "int64", "part": "int32"})
+        return pa.table(out, schema)
 
     return best
 
@@ -187,52 +278,44 @@ def _merge(found: DataFrame, k: int) -> DataFrame:
 
 
 def _search(filed: DataFrame, sent: DataFrame, k: int) -> DataFrame:
-    """(query_id, part, ids, scores): each block's best, scores negated. ``sent`` has (query_id, vector, part). Part counts are at most SAMPLE / 64 rows, hence the broadcasts."""
+    """(query_id, part, ids, scores): each block's best, scores negated. ``filed`` has (vec_id, vector, part), ``sent`` (query_id, vector, part)."""
     rows_in = filed.groupBy("part").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n_rows"))
     queries_in = sent.groupBy("part").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n_queries"))
-    sizes = F.broadcast(materialize(rows_in.join(queries_in, "part"), "ann-blocks"))
-    deal = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    sizes = materialize(rows_in.join(queries_in, "part"), "ann-blocks")
+    deal = lambda n, *c: F.pmod(F.xxhash64(*c), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = filed.join(sizes, "part").select("vec_id", "vector", "part", "n_queries", deal("vec_id", "n_rows").alias("row_block"))
+    left = filed.join(sizes, "part").select("vec_id", "vector", "part", "n_queries", deal("n_rows", "vec_id", "vector").alias("row_block"))
     left = left.select("vec_id", "vector", "part", "row_block", every("n_queries").alias("query_block"))
-    right = sent.join(sizes, "part").select("query_id", "vector", "part", "n_rows", deal("query_id", "n_queries").alias("query_block"))
+    right = sent.join(sizes, "part").select("query_id", "vector", "part", "n_rows", deal("n_queries", "query_id").alias("query_block"))
     right = right.select("query_id", "vector", "part", every("n_rows").alias("row_block"), "query_block")
     keys = ["part", "row_block", "query_block"]
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_best(k), "query_id long, part int, ids array<long>, scores array<double>")
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_best(k), "query_id long, part string, ids array<long>, scores array<double>")
 
 
-def search(vectors: DataFrame, every: int = 20, k: int = 20, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(query_id, rank, vec_id, score) for the rows whose id is divisible by ``every``."""
-    v = F.col(vector).cast("array<double>")
+def search(vectors: DataFrame, every: int = 20, k: int = 20, key: str = "vec_id", vector: str = "embedding", part_rows: int | None = None) -> DataFrame:
+    """(query_id, rank, vec_id, score) for the rows whose id is divisible by ``every``. Parts get ``part_rows`` rows at least, on average."""
+    v = F.col(vector)
+    v = v if vectors.schema[vector].dataType.simpleString() == "array<float>" else v.cast("array<double>")
     sound = vectors.select(F.col(key).cast("long").alias("vec_id"), v.alias("vector")).where(F.col("vec_id").isNotNull() & usable(F.col("vector")))
-    sample = sound.orderBy(F.xxhash64("vec_id", F.lit(SEED)), "vec_id").limit(SAMPLE).toPandas()
-    out = "query_id long, rank int, vec_id long, score double"
-    if not len(sample):
-        return vectors.sparkSession.createDataFrame([], out)
-    dim = int(sample["vector"].map(len).mode()[0])
-    sound = sound.where(F.size("vector") == dim)
-    n = sound.count()
-    x = np.stack([a for a in sample["vector"] if len(a) == dim])
-    parts = 1
-    while parts * 2 * ROWS_PER_PART <= n and parts * 2 * 64 <= len(x):
-        parts *= 2
-    held = min(HELD_OUT, len(x) // 8)
-    router = fit(x[held:], parts)
-    probes = min(parts, probes_for(router, x[held:], x[:held], k)) if held else parts
-    filed = materialize(sound.mapInPandas(_file(router, probes, every), "vec_id long, vector array<double>, part int, sent array<int>"), "ann-filed")
-    asked = filed.where("sent IS NOT NULL").groupBy(F.col("vec_id").alias("query_id")).agg(F.min(F.struct("vector", "sent")).alias("q"))
-    asked = materialize(asked.select("query_id", "q.vector", "q.sent"), "ann-queries")
-    rows = filed.select("vec_id", "vector", "part")
-    found = materialize(_merge(_search(rows, asked.select("query_id", "vector", F.explode("sent").alias("part")), k), k), "ann-found")
-    short = found.groupBy("query_id").agg(F.count("*").alias("n"))
-    short = asked.join(short, "query_id", "left").where(F.coalesce("n", F.lit(0)) < min(k, n - 1)).select("query_id", "vector")
-    if probes < parts and not short.isEmpty():
-        short = materialize(short, "ann-short")
-        everywhere = short.select("query_id", "vector", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
-        again = _merge(_search(rows, everywhere, k), k)
-        found = found.join(short.select("query_id"), "query_id", "left_anti").unionByName(again)
-    return found.select("query_id", "rank", "vec_id", "score")
+    dim = sound.groupBy(F.size("vector").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").first()
+    if dim is None:
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    sound = sound.where(F.size("vector") == dim.dim)
+    with scratch(vectors.sparkSession) as work:
+        asked = sound.where(F.col("vec_id") % every == 0).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("vector").alias("vector"))
+        asked = materialize(asked, "ann-queries")
+        nearest = F.row_number().over(W.partitionBy("vector").orderBy("vec_id"))
+        rows = materialize(sound.distinct().withColumn("nth", nearest).where(f"nth <= {k + 1}").drop("nth"), "ann-rows")
+        n = rows.count()
+        filed, levels = _split(rows, k, part_rows or ROWS_PER_PART)
+        found = materialize(_merge(_search(filed, _descend(asked, levels, "probes"), k), k), "ann-found")
+        short = found.groupBy("query_id").agg(F.count("*").alias("n"))
+        short = materialize(asked.join(short, "query_id", "left").where(F.coalesce("n", F.lit(0)) < min(k, n - 1)).select("query_id", "vector"), "ann-short")
+        if not short.isEmpty():
+            again = _merge(_search(filed, _descend(short, levels, "parts"), k), k)
+            found = materialize(found.join(short.select("query_id"), "query_id", "left_anti").unionByName(again), "ann-found")
+        return work.keep(found).select("query_id", "rank", "vec_id", "score")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search(table(spark, sf_dir, "embeddings"))
+    return search(table(spark, sf_dir, "embeddings"), part_rows=64)

@@ -60,3 +60,33 @@ def test_parts_are_balanced():
     x = np.random.default_rng(3).normal(size=(1000, 6))
     sizes = np.bincount(A.balanced_parts(x, A.neighbours(x, 10), 8), minlength=8)
     assert sizes.max() - sizes.min() <= 3
+
+
+def test_levels_of_parts(spark, monkeypatch):
+    monkeypatch.setattr(A, "BLOCK", 300)
+    monkeypatch.setattr(A, "SAMPLE", 600)
+    seen, split = {}, A._split
+
+    def watched(*args):
+        filed, routers = split(*args)
+        seen.update(levels=len(routers), parts=filed.select("part").distinct().count(), rows=filed.count())
+        return filed, routers
+
+    monkeypatch.setattr(A, "_split", watched)
+    r = np.random.default_rng(2)
+    centres = r.normal(size=(60, 8))
+    v = (centres[r.integers(0, 60, 3000)] + 0.2 * r.normal(size=(3000, 8))).astype(np.float32)
+    data = [(i, [float(x) for x in row]) for i, row in enumerate(v)]
+    got = collected(A.search(spark.createDataFrame(data, "vec_id long, embedding array<float>"), part_rows=32))
+    want = brute(data, 20, 20)
+    assert seen["levels"] >= 2 and seen["parts"] > 8 and seen["rows"] == 3000
+    hit = sum(len({a[1] for a in got[q]} & {a[1] for a in want[q]}) for q in want)
+    assert got.keys() == want.keys() and hit / (20 * len(want)) >= 0.9
+
+
+def test_repeated_rows_and_clashing_columns(spark):
+    same = [(i, [1.0, 0.0]) for i in range(100)]  # a vector that most rows share
+    data = [*same, (20, [1.0, 0.0]), (200, [0.0, 1.0]), (200, [0.5, 0.5]), (7, [0.9, 0.1]), (7, [0.9, 0.1])]
+    got = collected(A.search(spark.createDataFrame([(*r, 0, "x") for r in data], "vec_id long, embedding array<float>, n int, part string"), k=3, part_rows=8))
+    assert [a[1] for a in got[20]] == [0, 1, 2] and [a[1] for a in got[0]] == [1, 2, 3]
+    assert [a[1] for a in got[200]] == [7, 0, 1] and set(got) == {0, 20, 40, 60, 80, 200}  # its least vector asks
