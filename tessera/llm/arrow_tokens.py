@@ -5,15 +5,18 @@ A file holds record batches of SEQUENCES rows; a row is ``ids`` (a fixed-size li
 are equally large, so sequence n is row n % SEQUENCES of batch n // SEQUENCES, and a memory map serves it without
 copying or decoding. Beside each file lies a small stream of (doc_id, start, n_tokens), the places of its documents.
 
-Documents are shuffled once, by ranges of doc_id; each range is one task, which encodes as it writes, and one file. Files get their final name by one rename after they are complete, and a task that is run again
-writes the same bytes, so lost executors do no harm. The start of a file is the sum of the files before it, taken
+Documents are shuffled once, by ranges of doc_id; each range is one task, which encodes as it writes, and one file.
+Files get their final name by one rename after they are complete, and a task that is run again writes the same bytes,
+so lost executors do no harm. The start of a file is the sum of the files before it, taken
 from the files' own totals; no count of documents passes through the driver.
 
 Words recur, so each Python worker encodes a distinct word once while it remembers it. That is exact for a tokenizer
-that never joins across white space, which ``splits_at_space`` checks on its definition; others get whole texts.
+that splits at white space in the one way that ``splits_at_space`` compares its definition with; others get whole texts.
 
-Defined cases: null text is empty and has the end id only; equal doc_ids are ordered by their texts; a null
-doc_id comes first; an empty table writes no file and gives no row; extra columns are ignored.
+Defined cases: null text is empty and has the end id only; rows of equal doc_id, which may fill several files, are
+ordered by a hash of their texts, then the texts; a null doc_id comes first; an empty table writes no file and gives
+no row; extra columns are ignored, whatever their names. Files on a store that cannot be mapped are read whole, so one
+task's share of the texts is what a reader holds.
 """
 
 from __future__ import annotations
@@ -54,18 +57,24 @@ def tokenizer_json(path: str | None = None) -> str:
         return f.read()
 
 
+#: The one normaliser and the one way of splitting whose pieces ``_cut`` makes too.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": PATTERN}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+
 def splits_at_space(definition: str) -> bool:
-    """Whether white space is dropped between pre-tokens, no added token holds any, and nothing is added in front."""
+    """Whether the tokenizer splits texts as ``_cut`` does: exactly this normaliser and pre-tokenizer, added tokens without white space, nothing behind."""
     d = json.loads(definition)
-    pre = d.get("pre_tokenizer") or {}
-    steps = pre.get("pretokenizers", [pre])
-    first = steps[0] if steps else {}
-    dropped = first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert") and r"[^\s\p{L}\p{N}]+" in first.get("pattern", {}).get("Regex", "")
-    known = {"NFC", "Replace", "Lowercase", "Sequence"}
-    norm = d.get("normalizer") or {}
-    plain = {norm.get("type"), *(x["type"] for x in norm.get("normalizers", []))} <= known | {None}
-    bare = not any(c.isspace() for t in d.get("added_tokens", []) for c in t["content"]) and not any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in d.get("added_tokens", []))
-    return bool(dropped and plain and bare and not d.get("post_processor"))
+    added = d.get("added_tokens", [])
+    bare = not any(c.isspace() for t in added for c in t["content"]) and all("<" in t["content"][:1] for t in added) and not any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in added)
+    return bare and d.get("normalizer") == NORMALIZER and d.get("pre_tokenizer") == PRE_TOKENIZER and not d.get("post_processor")
 
 
 #: Texts of nothing but these are cut by ``_PIECE`` as the tokenizer's own pattern cuts them, after lower-casing, which
@@ -222,7 +231,7 @@ def _write(folder: str, definition: str, end: int | None, length: int):
             out.add(batch.column(0).to_pylist(), batch.column(1).to_pylist())
             n += batch.num_rows
         if out is not None:
-            name = f"part-{TaskContext.get().partitionId():06d}"
+            name = f"part-{TaskContext.get().partitionId():09d}"
             out.close(name)
             yield pa.RecordBatch.from_pydict({"file": [f"{folder}/{name}"], "first_id": pa.array([first], pa.int64()), "n_docs": [n], "n_ids": [out.total]})
 
@@ -233,10 +242,11 @@ def write(docs: DataFrame, folder: str | None = None, tokenizer: str | None = No
     """Write the files of ``docs`` in ascending order of the key; returns the manifest (file, first_id, n_docs, n_ids, base), a row a file."""
     spark = docs.sparkSession
     folder = folder or shared_path(spark, "arrow-tokens")
-    order = F.col("doc_id").asc_nulls_first()
-    ranged = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).repartitionByRange(order).sortWithinPartitions(order, "text")
+    # The hash lets rows that share an id fill several ranges; texts themselves would go to the driver as samples.
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
+    ranged = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).repartitionByRange(*order).sortWithinPartitions(*order, "text")
     parts = materialize(ranged.mapInArrow(_write(folder, tokenizer_json(tokenizer), end, length), "file string, first_id long, n_docs long, n_ids long"), "arrow-manifest")
-    before = W.orderBy(F.col("first_id").asc_nulls_first()).rowsBetween(W.unboundedPreceding, -1)
+    before = W.orderBy("file").rowsBetween(W.unboundedPreceding, -1)  # names count the ranges; a row a file
     return parts.withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).cast("long"))
 
 

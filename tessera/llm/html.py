@@ -4,14 +4,17 @@ A tree builder reads the markup with the usual implied tags (a new paragraph, li
 before it; a head ends where content of the body begins; an end tag closes what is open inside) and a renderer walks
 the tree by visibility and layout: all text that a reader would see, blocks apart from each other as they stand on the
 page, list items behind bullets or numbers and indented by depth, table cells in columns of equal width, preformatted
-text as it is.
+text as it is. Cells that span rows or columns keep their places free of others; columns without any text take no room.
 
-The tree is walked without recursion, so depth is no limit, and each page is one row of one batch: nothing is
-gathered across pages.
+The tree is walked without recursion and tables are laid out from the innermost to the outermost, so depth is no
+limit, and each page is one row of one batch: nothing is gathered across pages.
 
 Defined cases: null and empty pages give the empty text; unclosed, stray and unknown tags are tolerated; markup that
-breaks off inside a tag ends there; drawings and formulas give their text, form fields their content and choices; entities without semicolon are read as browsers read them; repeated rows give
-equal texts; an empty table gives an empty result; extra columns pass through ``extract`` untouched.
+breaks off inside a tag ends there; drawings and formulas give their text, form fields their content and choices, and
+objects, which are not loaded, what stands in for them; what ``visibility`` hides is left out, but for elements inside
+that it shows again; entities without semicolon are read as browsers read them; repeated rows give equal texts; an
+empty table gives an empty result; extra columns pass through ``extract`` untouched, but for one of the name that the
+text gets, which the text replaces.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ from tessera.llm.common import table
 
 #: Fixed values of the HTML standard: elements without content, without visible text, and of block layout.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = frozenset("head title script style template noscript iframe object audio video canvas datalist annotation annotation-xml".split())
+HIDDEN = frozenset("head title script style template noscript iframe audio video canvas datalist annotation annotation-xml".split())
 RAW = frozenset("script style title textarea iframe noscript xmp".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup html legend li main menu nav ol p pre section summary table ul caption tr td th".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl table figure".split())
@@ -56,8 +59,8 @@ _BREAKS = frozenset("b big blockquote body br center code dd div dl dt em embed
 _FOREIGN, _HOSTS = ("svg", "math"), ("foreignobject", "desc", "annotation-xml", "mi", "mo", "mn", "ms", "mtext")
 #: An open element of the kind ends at any other start tag than these, and at text that is not blank.
 ONLY = {"head": frozenset("base basefont bgsound link meta title style script template noscript".split()), "colgroup": frozenset(("col", "template"))}
-#: Tables within tables beyond this depth are laid out as plain blocks, their cells as lines.
-NESTED = 30
+#: Fixed values of the HTML standard: most columns and rows that a cell spans.
+MOST_COLUMNS, MOST_ROWS = 1000, 65534
 _SCOPE = frozenset("table td th caption html button".split())
 #: End tags that reach out of a table cell.
 _WALLED = frozenset("table td th tr tbody thead tfoot body html".split())
@@ -69,15 +72,18 @@ _VALUE = rf"{_S}*+={_S}*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z)|[^\x20\t\n\f\r>\"
 _NAME = r"[^\x20\t\n\f\r/>][^\x20\t\n\f\r/>=]*+"
 _TOKEN = re.compile(rf"<!--(?:.*?-->|.*\Z)|<(/?)([a-zA-Z][^\x20\t\n\f\r/>]*+)((?:{_NAME}(?:{_VALUE})?+|[\x20\t\n\f\r/]++)*+)(?:>|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(rf"({_NAME})(?:{_S}*+={_S}*+(?:\"([^\"]*+)(?:\"|\Z)|'([^']*+)(?:'|\Z)|([^\x20\t\n\f\r>\"'][^\x20\t\n\f\r>]*+))?)?+")
-_GONE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+_GONE = re.compile(r"display\s*:\s*none", re.I)
+_VISIBILITY = re.compile(r"visibility\s*:\s*([a-z]+)", re.I)
 _BLANK = re.compile(r"[\x20\t\n\f\r]+")
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "children")
+    """``unseen``: hidden by visibility, which its elements may revoke. ``lines``: the layout of a table, once it is known."""
+
+    __slots__ = ("tag", "attrs", "children", "unseen", "lines")
 
     def __init__(self, tag: str, attrs: str = ""):
-        self.tag, self.attrs, self.children = tag, attrs, []
+        self.tag, self.attrs, self.children, self.unseen, self.lines = tag, attrs, [], False, None
 
     def attributes(self) -> dict[str, str]:
         return {m[1].lower(): entities.unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(self.attrs)}
@@ -183,6 +189,31 @@ def visible(node: Node) -> bool:
     return True
 
 
+def veil(root: Node) -> None:
+    """Marks what visibility hides and takes its own text away."""
+    todo = [(root, False)]
+    while todo:
+        node, unseen = todo.pop()
+        if node.attrs and (found := _VISIBILITY.findall(node.attributes().get("style") or "")):
+            unseen = found[-1].lower() in ("hidden", "collapse")
+        node.unseen = unseen
+        if unseen:
+            node.children = [c for c in node.children if isinstance(c, Node)]
+        todo += [(c, unseen) for c in node.children if isinstance(c, Node)]
+
+
+def lay_tables(root: Node) -> None:
+    """Lays out all tables, those inside others first."""
+    tables, todo = [], [root]
+    while todo:
+        node = todo.pop()
+        if node.tag == "table":
+            tables.append(node)
+        todo += [c for c in node.children if isinstance(c, Node) and visible(c)]
+    for table in reversed(tables):
+        table.lines = grid(table)
+
+
 class Lines:
     """Text laid out in lines. ``gap`` is how many empty lines stand before the next text."""
 
@@ -241,7 +272,8 @@ def _drawn(svg: Node) -> list[Node]:
     return found
 
 
-def render(root: Node, depth: int = 0) -> str:
+def render(root: Node) -> str:
+    """The text below a node whose tables are laid out."""
     out = Lines()
     # Steps still to take: a string, a node to open, or (a node, what it changed) to close.
     todo: list = [(child, False) for child in reversed(root.children)]
@@ -263,6 +295,8 @@ def render(root: Node, depth: int = 0) -> str:
         tag = item.tag
         if tag == "br":
             out.end(keep=True)
+        elif item.unseen and tag in ("hr", "img"):
+            out.block(False) if tag == "hr" else None
         elif tag == "hr":
             out.block(False)
             out.now.append("---")
@@ -277,16 +311,16 @@ def render(root: Node, depth: int = 0) -> str:
             out.block(False)
             todo += [(_LINE, False), (item.children[0].removeprefix("\n") if item.children else "", True)]
         elif tag in ("option", "optgroup"):
-            label = item.attributes().get("label", "") if item.attrs else ""
+            label = item.attributes().get("label", "") if item.attrs and not item.unseen else ""
             out.block(False)
             todo.append((_LINE, False))
             todo += [(child, pre) for child in reversed(item.children)] if tag == "optgroup" or not label else []
             todo += [(_LINE, False), (label, False)] if label else []
         elif item is _LINE:
             out.block(False)
-        elif tag == "table" and depth < NESTED:
+        elif tag == "table":
             out.block(True)
-            for line in grid(item, depth + 1):
+            for line in item.lines or ():
                 out.now.append(line)
                 out.end(keep=True)
             out.block(True)
@@ -302,7 +336,7 @@ def render(root: Node, depth: int = 0) -> str:
                     numbers[-1] = n + 1
                 bullet = "- " if n is None else f"{n}. "
                 out.indent += len(bullet)
-                out.bullet = bullet
+                out.bullet = "" if item.unseen else bullet
             elif tag in ("blockquote", "dd"):
                 out.indent += 2
             todo += [(child, pre or tag == "pre") for child in reversed(item.children)]
@@ -312,7 +346,7 @@ def render(root: Node, depth: int = 0) -> str:
     return "\n".join(out.lines)
 
 
-def _rows(node: Node, depth: int) -> tuple[list[str], list[list[Node]]]:
+def _rows(node: Node) -> tuple[list[str], list[list[Node]]]:
     """The captions and rows of a table; tables inside its cells are theirs."""
     captions, rows, todo = [], [], list(reversed(node.children))
     loose: list = []
@@ -326,17 +360,17 @@ def _rows(node: Node, depth: int) -> tuple[list[str], list[list[Node]]]:
         elif item.tag == "tr":
             cells, rest = _cells(item)
             rows.append(cells)
-            captions += [render(_wrap(*run), depth) for run in rest]
+            captions += [render(_wrap(*run)) for run in rest]
         elif item.tag in ("td", "th"):
             loose.append(item)
         elif item.tag == "caption":
-            captions.append(render(item, depth))
+            captions.append(render(item))
         elif item.tag in ("thead", "tbody", "tfoot"):
             todo += reversed(item.children)
         elif item.tag == "colgroup":
             todo += reversed(item.children)
         elif item.tag != "col":
-            captions.append(render(_wrap(item), depth))
+            captions.append(render(_wrap(item)))
     if loose:
         rows.append(loose)
     return [c for c in captions if c], rows
@@ -381,29 +415,56 @@ def _wrap(*children) -> Node:
     return node
 
 
-def grid(node: Node, depth: int = 0) -> list[str]:
-    """A table in aligned columns, cells of several lines included; colspan leaves columns empty."""
-    captions, rows = _rows(node, depth)
-    cells: list[list[list[str]]] = []
+def _span(cell: Node, name: str, most: int) -> int:
+    """How many columns or rows a cell covers; 0 rows stand for all that follow."""
+    given = cell.attributes().get(name, "").strip() if cell.attrs else ""
+    n = int(given) if re.fullmatch(r"[0-9]{1,9}", given) else 1
+    return min(n, most) if n else most if name == "rowspan" else 1
+
+
+def grid(node: Node) -> list[str]:
+    """A table in aligned columns, cells of several lines included. A cell stands in the first column that none of the rows above covers."""
+    captions, rows = _rows(node)
+    cells: list[list[tuple[int, list[str]]]] = []
+    covered: list[tuple[int, int, int]] = []  # first column, the one behind the last, rows left
     for row in rows:
-        line: list[list[str]] = []
+        line, at, k, new = [], 0, 0, []
         for c in row:
-            line.append(render(_wrap(*c.children), depth).split("\n"))
-            span = c.attributes().get("colspan", "1") if c.attrs else "1"
-            line += [[""]] * (min(int(span), 100) - 1 if re.fullmatch(r"[0-9]{1,4}", span) and int(span) else 0)
-        if any(x != [""] for x in line):
+            while k < len(covered) and covered[k][0] <= at:
+                at = max(at, covered[k][1])
+                k += 1
+            text = render(_wrap(*c.children))
+            if text:
+                line.append((at, text.split("\n")))
+            wide, tall = _span(c, "colspan", MOST_COLUMNS), _span(c, "rowspan", MOST_ROWS)
+            if tall > 1:
+                new.append((at, at + wide, tall))
+            at += wide
+        covered = sorted((a, b, n - 1) for a, b, n in covered + new if n > 1)
+        if line:
             cells.append(line)
-    widths = [max(len(s) for row in cells if k < len(row) for s in row[k]) for k in range(max(map(len, cells), default=0))]
+    widths: dict[int, int] = {}
+    for row in cells:
+        for at, text in row:
+            widths[at] = max(widths.get(at, 0), *map(len, text))
+    used = sorted(widths)
     out = [s for c in captions for s in c.split("\n")]
     for row in cells:
-        for k in range(max(map(len, row))):
-            parts = [(c[k] if k < len(c) else "").ljust(w) for c, w in zip(row, widths, strict=False)]
+        of = dict(row)
+        for k in range(max(len(text) for _, text in row)):
+            parts = [(of[at][k] if at in of and k < len(of[at]) else "").ljust(widths[at]) for at in used]
             out.append("  ".join(parts).rstrip(" "))
     return out
 
 
 def text_of(page: str | None) -> str:
-    return render(tree(page)) if page else ""
+    if not page:
+        return ""
+    root = tree(page)
+    if _VISIBILITY.search(page):
+        veil(root)
+    lay_tables(root)
+    return render(root)
 
 
 def _extractor():

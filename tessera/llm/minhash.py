@@ -11,9 +11,11 @@ are candidates. In each larger bucket the node with the fewest shingles of its o
 all others, which joins most of a large group in work linear in its size. Of the pairs that are still in different
 components, those can be no link for which a lower bound on the symmetric difference of the two sets is too large: the
 shingles that only the one node holds, those that only the other holds, the difference between how many of the
-pivot's shingles the two have lost, and that between how many they have gained that others hold too. All others are compared, so no link between components is lost. Pairs whose
-signatures agree in far too few places (five standard deviations under the threshold) or whose sizes exclude it are
-not verified.
+pivot's shingles the two have lost, and that between how many they have gained that others hold too. All others are
+compared, so no link between components is lost; a large bucket is dealt into blocks for it, so that it makes more
+tasks and no larger ones. Pairs whose sizes exclude the threshold are not verified. Nor are those whose signatures
+agree in far too few places (five standard deviations under the threshold; 3e-7 of the links, as rare as links that
+share no band) unless ``every_pair`` is set.
 
 With 26 bands of 5 rows a pair of similarity 0.85 shares no band with probability 4e-7; with 32 bands of 4 rows one
 of 0.8 with 5e-8.
@@ -34,13 +36,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize, table
+from tessera.llm.common import materialize, scratch, table
 from tessera.llm.components import components
 
 #: Places on the ring.
 RING = 1 << 22
 SEED = 20240117
+#: Nodes of a bucket of which all pairs are compared at once; more go by a pivot first, with the same links in the end.
 SMALL = 8
+#: Nodes of a large bucket in a block, about.
+BLOCK = 256
 #: Words whose hashes a Python worker remembers.
 REMEMBERED = 100_000
 
@@ -170,11 +175,12 @@ def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return materialize(pairs.join(a, "a").join(b, "b").mapInArrow(_overlap, "a binary, b binary, n_a long, n_b long, shared long"), "minhash-overlaps")
 
 
-def _links(pairs: DataFrame, sigs: DataFrame, sets: DataFrame, percent: int, shifts: int) -> DataFrame:
+def _links(pairs: DataFrame, sigs: DataFrame, sets: DataFrame, percent: int, shifts: int, every_pair: bool) -> DataFrame:
     """Those of the pairs (a, b) that are links."""
     a, b = (sigs.select(F.col("node").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}")) for x in "ab")
     near = pairs.join(a, "a").join(b, "b").where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)").select("a", "b", "sig_a", "sig_b")
-    near = materialize(near.mapInArrow(_likely(percent, shifts), "a binary, b binary"), "minhash-likely")
+    near = near.select("a", "b") if every_pair else near.mapInArrow(_likely(percent, shifts), "a binary, b binary")
+    near = materialize(near, "minhash-likely")
     return _linked(_overlaps(near, sets), percent)
 
 
@@ -199,7 +205,13 @@ def _own(sets: DataFrame) -> DataFrame:
     return sets.select("node", (F.length("shingles") / 8).cast("long").alias("n_shingles")).join(alone, "node", "left").select("node", "n_shingles", F.coalesce("own", F.lit(0)).alias("own"))
 
 
-def _large(slots: DataFrame, links: DataFrame, sigs: DataFrame, sets: DataFrame, percent: int, shifts: int) -> DataFrame:
+def _blocks(rows: DataFrame, sizes: DataFrame) -> DataFrame:
+    """``rows`` of buckets with their block ``own_block`` and the number ``n_blocks`` of blocks in their bucket."""
+    sizes = sizes.select("bucket", F.ceil(F.col("n_rows") / BLOCK).cast("int").alias("n_blocks"))
+    return rows.join(sizes, "bucket").withColumn("own_block", F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int"))
+
+
+def _large(slots: DataFrame, links: DataFrame, sigs: DataFrame, sets: DataFrame, percent: int, shifts: int, every_pair: bool) -> DataFrame:
     """The links that large buckets add. Every link of a bucket joins components that the result joins too."""
     members = slots.select("node").distinct()
     held = materialize(sets.join(members, "node", "left_semi").dropDuplicates(["node"]), "minhash-large-sets")
@@ -217,32 +229,44 @@ def _large(slots: DataFrame, links: DataFrame, sigs: DataFrame, sets: DataFrame,
     mixed = mine.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
     # A node whose own shingles alone exceed what any partner of the largest possible size allows has no link.
     # The pivot, which has nothing lost or gained, has met all others already.
-    x = mine.join(mixed, "bucket").join(sigs.select("node", "bands"), "node").where(f"lost IS NOT NULL AND own * {100 + percent} <= n_shingles * {100 - percent} * (1 + {100 / percent})")
-    y = x.select("bucket", *[F.col(c).alias(f"{c}_y") for c in ("node", "n_shingles", "own", "lost", "common", "comp", "bands")])
+    open_ = mine.join(mixed, "bucket").where(f"lost IS NOT NULL AND own * {100 + percent} <= n_shingles * {100 - percent} * (1 + {100 / percent})")
+    open_ = materialize(open_, "minhash-open")
+    open_ = _blocks(open_.join(sigs.select("node", "bands"), "node"), open_.groupBy("bucket").agg(F.count("*").alias("n_rows")))
+    # Each block meets itself and those after it: one side is sent on to these, the other to those before.
+    x = open_.withColumn("block", F.explode(F.expr("sequence(own_block, n_blocks - 1)")))
+    y = open_.withColumn("from_block", F.explode(F.expr("sequence(0, own_block)")))
+    y = y.select("bucket", F.col("from_block").alias("own_block"), F.col("own_block").alias("block"), *[F.col(c).alias(f"{c}_y") for c in ("node", "n_shingles", "own", "lost", "common", "comp", "bands")])
     apart = f"(own + own_y + abs(lost - lost_y) + abs(common - common_y)) * {100 + percent} <= (n_shingles + n_shingles_y) * {100 - percent}"
     sized = f"100 * least(n_shingles, n_shingles_y) >= {percent} * greatest(n_shingles, n_shingles_y)"
     # A pair meets in each bucket that it shares and is taken in the first.
     once = "array_position(zip_with(bands, bands_y, (p, q) -> p = q), true) = band + 1"
-    pairs = x.join(y, "bucket").where(f"comp < comp_y AND {apart} AND {sized} AND {once}").select(*_ordered(F.col("node"), F.col("node_y")))
-    return links.union(_links(pairs, sigs, held, percent, shifts))
+    met = "comp <> comp_y AND (own_block < block OR node < node_y)"
+    pairs = x.join(y, ["bucket", "own_block", "block"]).where(f"{met} AND {apart} AND {sized} AND {once}").select(*_ordered(F.col("node"), F.col("node_y")))
+    return links.union(_links(pairs, sigs, held, percent, shifts, every_pair))
 
 
-def classes(docs: DataFrame, percent: int = 80, width: int = 5, bands: int = 32, rows: int = 4, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for each row of ``docs``. Texts are read, never shuffled whole."""
-    named, _ = _named(docs, percent, width, bands, rows, key, text)
+def classes(docs: DataFrame, percent: int = 80, width: int = 5, bands: int = 32, rows: int = 4, key: str = "doc_id", text: str = "text", every_pair: bool = False) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for each row of ``docs``. Texts are shuffled once, by id, for the sets of those that share a bucket."""
+    named, _ = _named(docs, percent, width, bands, rows, key, text, every_pair)
     least = named.where("comp IS NOT NULL").groupBy("comp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).where("n > 1").select("comp", "least")
     got = named.join(least, "comp", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
     return got.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def _named(docs: DataFrame, percent: int, width: int, bands: int, rows: int, key: str, text: str) -> tuple[DataFrame, DataFrame | None]:
+def _named(docs: DataFrame, percent: int, width: int, bands: int, rows: int, key: str, text: str, every_pair: bool = False) -> tuple[DataFrame, DataFrame | None]:
     """(doc_id, n_shingles, node, comp) for each row of ``docs``, and the ids (null among them) of more than one row, None if there are none."""
+    with scratch(docs.sparkSession) as work:
+        named, odd = _name(docs, percent, width, bands, rows, key, text, every_pair)
+        return work.keep(named), None if odd is None else work.keep(odd)
+
+
+def _name(docs: DataFrame, percent: int, width: int, bands: int, rows: int, key: str, text: str, every_pair: bool) -> tuple[DataFrame, DataFrame | None]:
     shifts = bands * rows
     source = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     sketch = materialize(source.mapInArrow(_sketch(bands, rows, width), "doc_id long, n_shingles long, node binary, bands array<long>, sig binary"), "minhash-sketch")
     filled = sketch.where("node IS NOT NULL")
-    # A node is in a bucket once, however many documents share its set.
-    slots = filled.select("node", F.posexplode("bands").alias("band", "bucket")).distinct()
+    # A node is in a bucket once, however many documents share its set; its bands are dealt out behind the shuffle.
+    slots = filled.select("node", "bands").distinct().select("node", F.posexplode("bands").alias("band", "bucket"))
     sizes = slots.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     slots = materialize(slots.join(sizes, "bucket"), "minhash-buckets")
     members = slots.select("node").distinct()
@@ -260,10 +284,10 @@ def _named(docs: DataFrame, percent: int, width: int, bands: int, rows: int, key
 
     small = slots.where(f"n <= {SMALL}")
     pairs = small.select("bucket", F.col("node").alias("x")).join(small.select("bucket", F.col("node").alias("y")), "bucket").where("x < y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
-    links = _links(pairs, sigs, sets, percent, shifts)
+    links = _links(pairs, sigs, sets, percent, shifts, every_pair)
     large = slots.where(f"n > {SMALL}").select("bucket", "band", "node")
     if not large.isEmpty():
-        links = _large(large, links, sigs, sets, percent, shifts)
+        links = _large(large, links, sigs, sets, percent, shifts, every_pair)
     comps = components(links)
     named = sketch.select("doc_id", "n_shingles", "node").join(comps, "node", "left").select("doc_id", "n_shingles", "node", F.coalesce("comp", "node").alias("comp"))
     return materialize(named, "minhash-named"), odd

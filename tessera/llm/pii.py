@@ -13,8 +13,9 @@ is the best path of the whole text.
 Spans of the field that overlap a base span are dropped: base spans always stay. Offsets are code points, end
 exclusive.
 
-Defined cases: null and empty text has no spans and stays as it is; repeated rows give equal spans; texts of any length are treated whole
-and in linear time; an empty table gives an empty result; extra columns pass through ``redact`` untouched.
+Defined cases: null and empty text has no spans and stays as it is; repeated rows give equal spans; texts of any length
+are treated whole and in linear time; an empty table gives an empty result; extra columns pass through ``find`` and
+``redact`` untouched, but for one of the name that ``find`` gives its spans, which they replace.
 """
 
 from __future__ import annotations
@@ -278,8 +279,9 @@ def viterbi(e: np.ndarray, moves: np.ndarray) -> np.ndarray:
 
 
 _SUSPECT = re.compile(r"[0-9@]")
-#: Shapes that tokens without digit and @ can have.
-_SAFE = ("word", "-", "w" * 65, "email", "phone", "visa", "host", "contact", "a-b")
+#: A token of each shape that tokens without digit and @ can have: letters or not, long, and the cues. Only the cue for
+#: mail has a form that is not all letters.
+_SAFE = ("word", "-", "w" * 65, "email", "e-mail", "phone", "visa", "host")
 
 
 class Decoder:
@@ -356,14 +358,16 @@ class Decoder:
         for text, path in zip(texts, self.paths(texts), strict=True):
             got: list[tuple[str, int, int]] = []
             for start, end, y in path:
-                trim = _TRIM.replace("(", "") if LABELS[y] == "phone" else _TRIM
-                token = text[start:end]
-                a = start + len(token) - len(token.lstrip(trim))
-                b = end - (len(token) - len(token.rstrip(trim)))
+                phone, token = LABELS[y] == "phone", text[start:end]
+                a = start + len(token) - len(token.lstrip(_TRIM.replace("(", "") if phone else _TRIM))
+                b = end - (len(token) - len(token.rstrip(_TRIM)))
                 if a >= b:
                     continue
+                if phone:  # one bracket may open a number, and is closed inside it
+                    a += max(0, len(text[a:b]) - len(text[a:b].lstrip("(")) - 1)
+                    b += text[a:b].count("(") > text[a:b].count(")") and text[b : b + 1] == ")"
                 last = got[-1] if got else None
-                if last and last[0] == LABELS[y] == "phone" and text[a] != "+" and not text[last[2] : a].strip("\x20"):
+                if phone and last and last[0] == "phone" and text[a] != "+" and not text[last[2] : a].strip("\x20"):
                     got[-1] = ("phone", last[1], b)
                 else:
                     got.append((LABELS[y], a, b))

@@ -2,20 +2,22 @@
 
 Captures are written to archives of one gzip member a record, an archive a task. Each archive has its index run: a
 line a record, sorted by URL key and timestamp. The runs are merged k ways by a loser tree: the key space is cut into
-ranges, every range takes its slice of each run, and a loser tree merges the slices, so the history of all captures
-is ordered globally and no task holds more than a range. Ranges are cut by URL key, timestamp, page and place, so a
-URL that a third of the captures share spans several.
+ranges of about RANGE_LINES lines, every range takes its slice of each run in the run's own order (Spark's sort by run
+and place in it spills to disk), and a loser tree merges the slices as iterators, so the history of all captures is
+ordered globally and no task holds more than a range, as Arrow columns. Ranges are cut by URL key, timestamp, page and
+place, so a URL that a third of the captures share spans several. ``placed`` numbers the lines of the whole history.
 
 Of captures with equal payloads (by length and SHA-1, of at least ``least_bytes``) the one with the largest page_id
 is a response, the others are revisits that refer to it. The largest page_id of each payload is found by partial
 maxima on the map side and comes back by a join on the digest, which Spark splits where one payload is very common.
 
-Archives get their name by one rename after they are complete, and a task that runs again writes the same records
-to the same name, so lost executors do no harm.
+An attempt of a task writes an archive of its own name, by one rename after it is complete, and only the runs of
+committed attempts are read, so an archive that a lost executor left behind is not part of the result.
 
 Defined cases: null html is the empty payload; a null url has the empty key and no target URI; equal page_ids of one
 payload: one of the rows is the response (the smallest by url, then any of equal rows), the others refer to it; a null
-page_id is smaller than all others; an empty table writes no archive and gives no row; extra columns are ignored.
+page_id is smaller than all others; captures without a time are dated by their page_id, of which 31 bits count; an
+empty table writes no archive and gives no row; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,21 +28,27 @@ import hashlib
 import re
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from datetime import UTC, datetime
 from urllib.parse import urlsplit
 
-import pandas as pd
+import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize, shared_path, table
+from tessera.llm.common import materialize, scratch, shared_path, table
 
-#: A capture of page n that has no time of its own is dated n seconds after this.
+#: A capture of page n that has no time of its own is dated n seconds after this, by the last 31 bits of n.
 EPOCH = datetime(2024, 1, 1, tzinfo=UTC)
-RUN = "urlkey string, ts string, page_id long, file string, offset long, length long"
+#: Index lines that a task merges, about.
+RANGE_LINES = 100_000
+LINE = pa.schema([("urlkey", pa.string()), ("ts", pa.string()), ("page_id", pa.int64()), ("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64())])
+#: ``at`` is a line's place in its run; ``part`` and ``nth`` are its range and its place there.
+RUN = "urlkey string, ts string, page_id long, file string, offset long, length long, at long"
+HISTORY = "urlkey string, ts string, page_id long, file string, offset long, length long, part int, nth long"
+RECORD = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, ts string, file string, offset long"
 _NAMED = re.compile(r"^([a-zA-Z][a-zA-Z0-9+.-]*):")
 
 
@@ -99,48 +107,57 @@ def _filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
 
 
 def _write(folder: str):
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         fs, base = _filesystem(folder)
-        name, temp, out, at, run = f"part-{TaskContext.get().partitionId():06d}.warc.gz", f"{base}/.{uuid.uuid4().hex}", None, 0, []
+        attempt = uuid.uuid4().hex
+        name, temp, out, at, run = f"part-{TaskContext.get().partitionId():09d}-{attempt[:12]}.warc.gz", f"{base}/.{attempt}", None, 0, []
         for batch in batches:
-            for r in batch.itertuples(index=False):
+            for page, url, html, ts, revisit, to in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if out is None:
                     fs.create_dir(base, recursive=True)
                     out = fs.open_output_stream(temp)
-                page, to = (None if pd.isna(x) else int(x) for x in (r.page_id, r.refers_to))
-                member = gzip.compress(record("revisit" if r.revisit else "response", page, r.url, r.ts, (r.html or "").encode("utf-8", "surrogatepass"), to), 5, mtime=0)
+                member = gzip.compress(record("revisit" if revisit else "response", page, url, ts, (html or "").encode("utf-8", "surrogatepass"), to), 5, mtime=0)
                 out.write(member)
-                run.append((url_key(r.url), r.ts, page, f"{folder}/{name}", at, len(member)))
+                run.append((url_key(url), ts, page, f"{folder}/{name}", at, len(member)))
                 at += len(member)
         if out is not None:
             out.close()
             fs.move(temp, f"{base}/{name}")
             run.sort(key=_order)
             for k in range(0, len(run), 10_000):
-                yield pd.DataFrame(run[k : k + 10_000], columns=["urlkey", "ts", "page_id", "file", "offset", "length"]).astype({"page_id": "Int64"})
+                lines = _batch(run[k : k + 10_000], LINE)
+                yield pa.RecordBatch.from_arrays([*lines.columns, pa.array(range(k, k + lines.num_rows), pa.int64())], [*LINE.names, "at"])
 
     return write
 
 
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+
 def _order(line: tuple) -> tuple:
     key, ts, page, file, offset, _ = line
     return key.encode("utf-8", "surrogatepass"), ts, page is not None, page or 0, file, offset
 
 
 class LoserTree:
-    """Merges sorted runs: each inner node keeps the loser of its match, so a step replays one path from leaf to root."""
+    """Merges sorted runs, given as iterables: each inner node keeps the loser of its match, so a step replays one path from leaf to root."""
 
-    def __init__(self, runs: list[list[tuple]]):
-        self.runs, self.at, self.k = runs, [0] * len(runs), len(runs)
-        self.heads = [self._key(r) for r in range(self.k)]
+    def __init__(self, runs: list[Iterable[tuple]]):
+        self.runs, self.k = [iter(r) for r in runs], len(runs)
+        self.lines: list[tuple | None] = [None] * self.k
+        self.heads: list[tuple | None] = [None] * self.k
         self.losers = [-1] * max(self.k, 1)
+        for r in range(self.k):
+            self._advance(r)
         for r in range(self.k):
             self._replay(r)
 
-    def _key(self, run: int) -> tuple | None:
-        return _order(self.runs[run][self.at[run]]) if self.at[run] < len(self.runs[run]) else None
+    def _advance(self, run: int) -> None:
+        line = self.lines[run] = next(self.runs[run], None)
+        self.heads[run] = None if line is None else _order(line)
 
     def _beats(self, a: int, b: int) -> bool:
         """Whether run a goes before run b. An ended run comes last; of equal heads the earlier run goes first."""
@@ -161,76 +178,105 @@ class LoserTree:
 
     def __iter__(self) -> Iterator[tuple]:
         while self.k and self.heads[w := self.losers[0]] is not None:
-            yield self.runs[w][self.at[w]]
-            self.at[w] += 1
-            self.heads[w] = self._key(w)
+            yield self.lines[w]
+            self._advance(w)
             self._replay(w)
 
 
-def _merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    runs: dict[str, list[tuple]] = {}
+def _lines(parts: list[pa.RecordBatch]) -> Iterator[tuple]:
+    for part in parts:
+        for at in range(0, part.num_rows, 1_000):
+            yield from zip(*(c.to_pylist() for c in part.slice(at, 1_000).select(LINE.names).columns), strict=True)
+
+
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines come run after run, each run in its order."""
+    from pyspark import TaskContext
+
+    slices: dict[str, list[pa.RecordBatch]] = {}
     for b in batches:
-        for r in b.itertuples(index=False):
-            runs.setdefault(r.file, []).append((r.urlkey, r.ts, None if pd.isna(r.page_id) else int(r.page_id), r.file, int(r.offset), int(r.length)))
-    slices = [runs[f] for f in sorted(runs)]
-    for s in slices:  # a slice may arrive in blocks; of sorted blocks this is one pass
-        s.sort(key=_order)
-    out: list[tuple] = []
-    for line in LoserTree(slices):
+        files, start = b.column(b.schema.get_field_index("file")).to_pylist(), 0
+        for k in range(1, len(files) + 1):
+            if k == len(files) or files[k] != files[start]:
+                slices.setdefault(files[start], []).append(b.slice(start, k - start))
+                start = k
+    part, n, out = TaskContext.get().partitionId(), 0, []
+
+    def made() -> pa.RecordBatch:
+        lines = _batch(out, LINE)
+        return pa.RecordBatch.from_arrays([*lines.columns, pa.array([part] * len(out), pa.int32()), pa.array(range(n - len(out), n), pa.int64())], [*LINE.names, "part", "nth"])
+
+    for line in LoserTree([_lines(p) for p in slices.values()]):
         out.append(line)
+        n += 1
         if len(out) == 10_000:
-            yield _frame(out)
+            yield made()
             out = []
     if out:
-        yield _frame(out)
-
-
-def _frame(lines: list[tuple]) -> pd.DataFrame:
-    return pd.DataFrame(lines, columns=["urlkey", "ts", "page_id", "file", "offset", "length"]).astype({"page_id": "Int64"})
+        yield made()
 
 
 def merge_runs(runs: DataFrame) -> DataFrame:
     """The global history: partition by partition in order of URL key, timestamp and page, and so inside each."""
-    ranged = runs.repartitionByRange("urlkey", "ts", F.col("page_id").asc_nulls_first(), "file", "offset")
-    return ranged.mapInPandas(_merge, RUN)
+    ranges = max(int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-runs.count() // RANGE_LINES))
+    ranged = runs.repartitionByRange(ranges, "urlkey", "ts", F.col("page_id").asc_nulls_first(), "file", "offset")
+    return ranged.sortWithinPartitions("file", "at").mapInArrow(_merge, HISTORY)
 
 
-def classified(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """(page_id, url, html, ts, revisit, refers_to)."""
+def placed(history: DataFrame) -> DataFrame:
+    """``history`` with the place of each line in the whole, from 0 on. Ranges, a row each, are all that is counted in one task."""
+    merged = materialize(history, "warc-history")
+    before = F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    ranges = merged.groupBy("part").agg(F.count("*").alias("n")).select("part", before.alias("before"))
+    return merged.join(ranges, "part").select(*LINE.names, (F.col("before") + F.col("nth")).alias("place"))
+
+
+def _digested(pages: DataFrame, time: str | None) -> DataFrame:
+    """(page_id, url, html, ts, sha, bytes). ``time`` names a column with the time of each capture."""
     body = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
-    stamp = F.date_format(F.timestamp_seconds(F.lit(int(EPOCH.timestamp())) + F.coalesce("page_id", F.lit(0))), "yyyyMMddHHmmss") if "ts" not in pages.columns else F.date_format("ts", "yyyyMMddHHmmss")
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", stamp.alias("ts"), F.sha1(body).alias("sha"), F.length(body).alias("bytes"))
-    me = F.struct(F.col("page_id").isNotNull().alias("known"), "page_id")
-    groups = rows.select("page_id", "sha", "bytes").groupBy("sha", "bytes").agg(F.max(me).alias("top"), F.count("*").alias("n"))
-    groups = materialize(groups.where(f"n > 1 AND bytes >= {least_bytes}").select("sha", "bytes", F.col("top.page_id").alias("top_id")), "warc-groups")
-    # Most payloads occur once, so the groups are few; which side is hashed, broadcast or split is left to Spark.
-    return rows.join(groups.withColumn("grouped", F.lit(True)), ["sha", "bytes"], "left").select(
-        "page_id", "url", "html", "ts", "sha", "bytes", F.coalesce("grouped", F.lit(False)).alias("grouped"), "top_id"
-    )
+    own = F.timestamp_seconds(F.lit(int(EPOCH.timestamp())) + F.pmod(F.coalesce(F.col("page_id").cast("long"), F.lit(0)), F.lit(1 << 31)))
+    stamp = own if time is None else F.coalesce(F.col(time).try_cast("timestamp"), own)
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", F.date_format(stamp, "yyyyMMddHHmmss").alias("ts"), F.sha1(body).alias("sha"), F.length(body).alias("bytes"))
+
+
+def _groups(rows: DataFrame, least_bytes: int) -> DataFrame:
+    """(sha, bytes, top_id, n_top): the payloads of several rows, their largest page_id, and how many rows have it."""
+    by_page = rows.groupBy("sha", "bytes", "page_id").agg(F.count("*").alias("n"))
+    top = F.max(F.struct(F.col("page_id").isNotNull().alias("known"), "page_id", "n"))
+    groups = by_page.groupBy("sha", "bytes").agg(top.alias("top"), F.sum("n").alias("n")).where(f"n > 1 AND bytes >= {least_bytes}")
+    return materialize(groups.select("sha", "bytes", F.col("top.page_id").alias("top_id"), F.col("top.n").alias("n_top")), "warc-groups")
 
 
-def write(pages: DataFrame, folder: str | None = None, least_bytes: int = 0) -> DataFrame:
-    """Write the archives; returns the runs (urlkey, ts, page_id, file, offset, length), sorted within each archive."""
+def classified(pages: DataFrame, least_bytes: int = 0, time: str | None = None) -> DataFrame:
+    """(page_id, url, html, ts, revisit, refers_to)."""
+    rows = _digested(pages, time)
+    groups = _groups(rows, least_bytes)
+    # Most payloads occur once, so the groups are few; which side is hashed, broadcast or split is left to Spark.
+    rows = rows.join(groups, ["sha", "bytes"], "left")
+    revisit = F.col("n_top").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("top_id"))
+    shown = ["page_id", "url", "html", "ts", "revisit", F.when(F.col("revisit"), F.col("top_id")).alias("refers_to")]
+    if groups.where("n_top > 1").isEmpty():
+        return rows.withColumn("revisit", revisit).select(*shown)
+    # Rows that repeat the largest page_id of their payload: the first by url is the response.
+    is_tied = F.coalesce(F.col("n_top") > 1, F.lit(False)) & F.col("page_id").eqNullSafe(F.col("top_id"))
+    tied = materialize(rows.where(is_tied).withColumn("_row", F.monotonically_increasing_id()), "warc-tied")
+    first = tied.groupBy("sha", "bytes").agg(F.min(F.struct("url", "_row"))["_row"].alias("_first"))
+    tied = tied.join(first, ["sha", "bytes"]).withColumn("revisit", F.col("_row") != F.col("_first"))
+    return rows.where(~is_tied).withColumn("revisit", revisit).select(*shown).unionByName(tied.select(*shown))
+
+
+def write(pages: DataFrame, folder: str | None = None, least_bytes: int = 0, time: str | None = None) -> DataFrame:
+    """Write the archives; returns the runs (urlkey, ts, page_id, file, offset, length, at), sorted within each archive."""
     spark = pages.sparkSession
     folder = folder or shared_path(spark, "warc")
-    rows = classified(pages, least_bytes)
-    same = F.col("page_id").eqNullSafe(F.col("top_id"))
-    # Rows that repeat the largest page_id of their payload: the first is the response.
-    tied = rows.where("grouped").where(same).groupBy("sha", "bytes").agg(F.count("*").alias("n")).where("n > 1")
-    if tied.isEmpty():
-        revisit = F.col("grouped") & ~same
-        ready = rows.select("page_id", "url", "html", "ts", revisit.alias("revisit"), F.when(revisit, F.col("top_id")).alias("refers_to"))
-    else:
-        first = F.row_number().over(W.partitionBy("sha", "bytes", "page_id").orderBy("url")) == 1
-        revisit = F.col("grouped") & ~(same & F.col("first"))
-        ready = rows.withColumn("first", first).select("page_id", "url", "html", "ts", revisit.alias("revisit"), F.when(revisit, F.col("top_id")).alias("refers_to"))
-    return materialize(ready.mapInPandas(_write(folder), RUN), "warc-runs")
-
-
-def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    with scratch(spark) as work:
+        return work.keep(materialize(classified(pages, least_bytes, time).mapInArrow(_write(folder), RUN), "warc-runs"))
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Reads the archives from end to end, member by member."""
     for b in batches:
-        for name in b["file"]:
+        for name in b.column(0).to_pylist():
             fs, path = _filesystem(name)
             with fs.open_input_stream(path, compression=None) as f:
                 inflate, raw, at, used, out = zlib.decompressobj(31), [], 0, 0, []
@@ -249,41 +295,49 @@ def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                         sha = fields["WARC-Payload-Digest"].partition(":")[2]
                         if response and digest(payload) != sha:
                             raise ValueError(f"{name}: a payload at {at} does not match its digest")
-                        out.append((_page(fields["WARC-Record-ID"]), len(payload) if response else int(fields["X-Payload-Length"]), sha, fields["WARC-Type"], None if response else _page(fields["WARC-Refers-To"]), name, at))
+                        size = len(payload) if response else int(fields["X-Payload-Length"])
+                        to = None if response else _page(fields["WARC-Refers-To"])
+                        out.append((_page(fields["WARC-Record-ID"]), size, sha, fields["WARC-Type"], to, re.sub("[^0-9]", "", fields["WARC-Date"]), name, at))
                         at, raw, data, inflate = used, [], inflate.unused_data, zlib.decompressobj(31)
                         if len(out) >= 5_000:
-                            yield _records(out)
+                            yield _batch(out, _RECORD)
                             out = []
             if raw and any(raw):
                 raise ValueError(f"{name} breaks off inside a record")
             if out:
-                yield _records(out)
+                yield _batch(out, _RECORD)
 
 
-def _records(rows: list[tuple]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "file", "offset"]).astype({"page_id": "Int64", "refers_to": "Int64"})
+_RECORD = pa.schema([(c.split()[0], pa.int64() if c.endswith("long") else pa.string()) for c in RECORD.split(", ")])
 
 
 def read(files: DataFrame) -> DataFrame:
     """A row a record of the archives named in ``files`` (file); a task an archive, however small the list is."""
-    return files.select("file").repartition(max(1, files.count())).mapInPandas(_read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, file string, offset long")
+    return files.select("file").repartition(max(1, files.count())).mapInArrow(_read, RECORD)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every record read back from the archives, with its time from the merged history."""
-    runs = write(table(spark, sf_dir, "pages"))
-    history = merge_runs(runs).select("file", "offset", "ts")
+    """Every record read back from the archives, with its key and its place in the merged history."""
+    runs = write(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    history = placed(merge_runs(runs)).select("file", "offset", "urlkey", "place")
     records = read(materialize(runs.select("file").distinct(), "warc-files"))
-    return history.join(records, ["file", "offset"]).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "ts")
+    # Both sides have a row a record, so neither is broadcast.
+    got = history.hint("merge").join(records.hint("merge"), ["file", "offset"])
+    return got.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "ts", "urlkey", "place")
 
 
 #: The hex SHA-1 is cut into 5 digits, which are 4 characters of base 32.
 _B32 = " || ".join(
     f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(sha, {5 * k + 1}, 5))::BIGINT >> {5 * (3 - j)}) & 31)::BIGINT, 1)" for k in range(8) for j in range(4)
 )
-SQL = f"""
-WITH p AS (SELECT page_id, url, sha1(coalesce(html, '')) AS sha, strlen(coalesce(html, ''))::BIGINT AS payload_bytes FROM pages
-), g AS (SELECT *, max(page_id) OVER (PARTITION BY sha, payload_bytes) AS top FROM p)
+SQL = rf"""
+WITH p AS (SELECT page_id, sha1(coalesce(html, '')) AS sha, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, regexp_replace(coalesce(url, ''), '^[a-zA-Z][a-zA-Z0-9+.-]*://', '') AS u FROM pages
+), q AS (SELECT *, regexp_replace(lower(regexp_replace(regexp_extract(u, '^([^/?#]*)', 1), '^.*@|:[0-9]*$', '', 'g')), '^www[0-9]*\.', '') AS host, regexp_extract(u, '^[^/?#]*:([0-9]+)', 1) AS port,
+  lower(regexp_extract(u, '^[^/?#]*([^?#]*)', 1)) AS path, lower(regexp_extract(u, '^[^?#]*\?([^#]*)', 1)) AS asked FROM p
+), k AS (SELECT *, CASE WHEN u = '' THEN '' ELSE array_to_string(list_reverse(string_split(host, '.')), ',') || CASE WHEN port IN ('', '80', '443') THEN '' ELSE ':' || port END || ')' || CASE WHEN path = '' THEN '/' ELSE path END
+  || CASE WHEN asked = '' THEN '' ELSE '?' || array_to_string(list_sort(string_split(asked, '&')), '&') END END AS urlkey,
+  strftime(TIMESTAMP '2024-01-01' + to_seconds((page_id % 2147483648 + 2147483648) % 2147483648), '%Y%m%d%H%M%S') AS ts FROM q
+), g AS (SELECT *, max(page_id) OVER (PARTITION BY sha, payload_bytes) AS top FROM k)
 SELECT page_id, payload_bytes, {_B32} AS payload_digest, CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> top THEN top END AS refers_to,
-  strftime(TIMESTAMP '2024-01-01' + to_seconds(page_id), '%Y%m%d%H%M%S') AS ts FROM g
+  ts, urlkey, row_number() OVER (ORDER BY urlkey, ts, page_id) - 1 AS place FROM g
 """

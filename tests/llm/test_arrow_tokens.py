@@ -1,3 +1,4 @@
+import json
 import random
 import zlib
 
@@ -39,3 +40,30 @@ def test_repeated_and_null_ids(spark):
     rows = [(None, "x"), (1, "b a"), (1, "b a"), (1, None)]
     got = A.read(A.write(spark.createDataFrame(rows, "doc_id long, text string"))).orderBy("start").collect()
     assert [r.doc_id for r in got] == [None, 1, 1, 1] and got[-1].start + got[-1].n_tokens == sum(r.n_tokens for r in got)
+
+
+def test_other_tokenizers_get_whole_texts():
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        definition = json.load(f)
+    assert A.splits_at_space(json.dumps(definition))
+    cased, threes, marked = (json.loads(json.dumps(definition)) for _ in range(3))
+    cased["normalizer"]["normalizers"].pop()
+    threes["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] = threes["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"].replace(r"[\p{N}]|", r"[\p{N}]{1,3}|")
+    marked["added_tokens"].append({"id": 49408, "content": "world", "single_word": False, "lstrip": False, "rstrip": False, "normalized": True, "special": False})
+    for d in (cased, threes, marked):
+        text = json.dumps(d)
+        assert not A.splits_at_space(text)
+        tok, texts = Tokenizer.from_str(text), ["Hello World 2024", "the new world", "12345 Ab", "", "a\n\tb"]
+        got = [np.frombuffer(x, np.uint32 if A._is_wide(text, 1) else np.uint16).tolist() for x in A.Encoder(text, A._is_wide(text, 1))(texts)]
+        assert got == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_rows_of_one_id_fill_several_files(spark):
+    docs = spark.createDataFrame([(None, f"text {i}", 0, 0) for i in range(400)], "doc_id long, text string, file int, base int").repartition(4)
+    manifest = A.write(docs, length=16)
+    rows = A.read(manifest).orderBy("start").collect()
+    assert manifest.count() > 1 and len(rows) == 400
+    at = 0
+    for r in rows:
+        assert r.start == at
+        at += r.n_tokens

@@ -1,3 +1,7 @@
+import random
+import re
+from html.parser import HTMLParser
+
 from tessera.llm import html as H
 
 
@@ -100,3 +104,142 @@ def test_extract(spark):
     got = H.extract(pages)
     assert got.columns == ["page_id", "html", "todo", "text"] and sorted(r.text for r in got.collect()) == ["", "a", "a"]
     assert H.extract(pages.limit(0)).count() == 0
+
+
+def test_cells_that_span_rows_and_columns():
+    cases = {
+        "<table><tr><td rowspan=2>a<td>b<tr><td>c<tr><td>d<td>e</table>": "a  b\n   c\nd  e",
+        "<table><tr><td>x<td rowspan=0>y<td>z<tr><td>1<td>2<tr><td>3<td>4</table>": "x  y  z\n1     2\n3     4",
+        "<table><tr><td colspan=1000>wide<td>end<tr><td>1<td>2</table>": "wide     end\n1     2",
+        "<table><tr><td rowspan=2 colspan=2>q<td>r<tr><td>s<tr><td>t<td>u<td>v</table>": "q     r\n      s\nt  u  v",
+    }
+    for page, text in cases.items():
+        assert H.text_of(page) == text, page
+    assert H.text_of("<table><tr>" + "<td colspan=1000 rowspan=9>x" * 3000 + "<tr><td>y</table>").endswith("y")
+
+
+def test_visibility_can_be_shown_again_and_objects_have_content():
+    cases = {
+        "<div style='visibility:hidden'>a<p style='visibility: visible'>b</p>c<img alt=d><hr></div>e": "b\n\ne",
+        "<ol style='visibility:hidden'><li>a<li style='visibility:visible'>b</ol>": "2. b",
+        "<table style='visibility:hidden'><tr><td>a<td style='visibility:visible'>b</table>": "b",
+        "<div style='display:none'><b style='visibility:visible'>a</b></div>b": "b",
+        "<object data=x><p>instead</object>": "instead",
+        "visibility: hidden": "visibility: hidden",
+    }
+    for page, text in cases.items():
+        assert H.text_of(page) == text, page
+
+
+def test_tables_in_tables_at_any_depth():
+    page = "x"
+    for _ in range(60):
+        page = f"<table><tr><td>{page}</td><td>y</td></tr></table>"
+    assert H.text_of(page).split() == ["x"] + ["y"] * 60 and "\n" not in H.text_of(page)
+
+
+class Plain(HTMLParser):
+    """A tree of well-formed markup: [tag, attributes, children]."""
+
+    def __init__(self, page):
+        super().__init__()
+        self.open = [["", {}, []]]
+        self.feed(page)
+
+    def handle_starttag(self, tag, attrs):
+        node = [tag, dict(attrs), []]
+        self.open[-1][2].append(node)
+        if tag != "br":
+            self.open.append(node)
+
+    def handle_endtag(self, tag):
+        self.open.pop()
+
+    def handle_data(self, data):
+        self.open[-1][2].append(data)
+
+
+def plain_lines(node, lists=()):
+    """Lines and marks: 1 for a boundary with an empty line, 0 for one without; None ends a line by force."""
+    tag, attrs, children = node
+    if "hidden" in attrs or tag == "script":
+        return []
+    if tag == "br":
+        return [None]
+    if tag == "table":
+        spots, rows = {}, [r for r in children if r[0] == "tr"]
+        for y, row in enumerate(rows):
+            x = 0
+            for cell in row[2]:
+                while (y, x) in spots:
+                    x += 1
+                for dy in range(int(cell[1].get("rowspan", 1))):
+                    for dx in range(int(cell[1].get("colspan", 1))):
+                        spots[y + dy, x + dx] = ""
+                spots[y, x] = " ".join("".join(cell[2]).split())
+        used = [x for x in range(40) if any(spots.get((y, x)) for y in range(len(rows)))]
+        width = {x: max(len(spots.get((y, x), "")) for y in range(len(rows))) for x in used}
+        text = ["  ".join(spots.get((y, x), "").ljust(width[x]) for x in used).rstrip() for y in range(len(rows))]
+        return [1, *[(t,) for t in text if t], 1]
+    lead, inner, n = "", lists, 0
+    edge = {"p": 1, "h2": 1, "div": 0, "li": 0, "ul": int(not lists), "ol": int(not lists)}.get(tag)
+    out = [] if edge is None else [edge]
+    for c in children:
+        if isinstance(c, str):
+            out.append(c)
+            continue
+        if tag in ("ul", "ol"):
+            n += 1
+            lead = "- " if tag == "ul" else f"{n}. "
+            for k, line in enumerate(flowed(plain_lines(c, (*lists, tag)))):
+                out.append((" " * len(lead) + line if k else lead + line,))
+        else:
+            out += plain_lines(c, inner)
+    return out + ([] if edge is None else [edge])
+
+
+def flowed(parts):
+    """Lines of inline text (strings), ready lines (tuples) and boundaries."""
+    lines, now, gap = [], "", 0
+    for p in [*parts, 0]:
+        if isinstance(p, str):
+            now += p
+            continue
+        text = " ".join(now.split())
+        for line in ([text] if text or p is None else []) + ([p[0]] if isinstance(p, tuple) else []):
+            lines += [""] * (gap if lines else 0) + [line]
+            gap = 0
+        now, gap = "", max(gap, p if isinstance(p, int) else 0)
+    return lines
+
+
+def test_against_a_plain_renderer():
+    r = random.Random(6)
+    word = lambda: "".join(r.choice("abcdefg") for _ in range(r.randint(1, 7)))
+    words = lambda: " ".join(word() for _ in range(r.randint(1, 6)))
+
+    def inline():
+        return "".join(r.choice([words(), f"<b>{words()}</b>", f"{words()}<br>{words()}", f"<i hidden>{words()}</i>"]) + " " for _ in range(r.randint(1, 3)))
+
+    def items(depth):
+        tag = r.choice(["ul", "ol"])
+        rows = "".join(f"<li>{words()}{items(depth + 1) if depth < 2 and r.random() < 0.3 else ''}</li>" for _ in range(r.randint(1, 4)))
+        return f"<{tag}>{rows}</{tag}>"
+
+    def cells():
+        rows = "".join("<tr>" + "".join(f"<td rowspan={r.choice([1, 1, 2])} colspan={r.choice([1, 1, 2])}>{word()}</td>" for _ in range(r.randint(1, 4))) + "</tr>" for _ in range(r.randint(1, 4)))
+        return f"<table>{rows}</table>"
+
+    def block():
+        kind = r.randrange(6)
+        return [f"<p>{inline()}</p>", f"<h2>{words()}</h2>", items(0), cells(), f"<div{r.choice(['', ' hidden'])}>{inline()}<p>{words()}</p></div>", f"<script>{word()}</script>"][kind]
+
+    for _ in range(400):
+        page = "".join(block() for _ in range(r.randint(1, 6)))
+        assert H.text_of(page) == "\n".join(flowed(plain_lines(Plain(page).open[0]))), page
+
+
+def test_extract_replaces_a_column_of_the_name(spark):
+    pages = spark.createDataFrame([(1, "<p>a", "old")], "page_id long, html string, text string")
+    got = H.extract(pages)
+    assert got.columns == ["page_id", "html", "text"] and got.first().text == "a"

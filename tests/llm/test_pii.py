@@ -75,3 +75,32 @@ def test_redact(spark):
     got = {r.doc_id: r.text for r in P.redact(docs).collect()}
     assert got == {1: "mail <EMAIL> or <CARD> <CARD>.", 2: None, 3: "clean 12"}
     assert P.redact(docs).columns == docs.columns
+
+
+def test_spans_of_numbers_in_brackets():
+    decoder = P.Decoder(P.trained())
+    cases = {
+        "call (743) 555-3824 or": ["(743) 555-3824"],
+        "call (743) 555-3824, or (555) 743-1234.": ["(743) 555-3824", "(555) 743-1234"],
+        "call ((743) 555-3824) or": ["(743) 555-3824"],
+        "+1 (743) 555-3824 +44 (200) 555-9999": ["+1 (743) 555-3824", "+44 (200) 555-9999"],
+        "call (743)\n555-3824": ["(743)", "555-3824"],
+    }
+    for text, want in cases.items():
+        assert [text[a:b] for k, a, b in decoder.spans([text])[0] if k == "phone"] == want, text
+
+
+def test_safe_tokens_have_all_shapes():
+    safe = {tuple(P.shape(t)) for t in P._SAFE}
+    rng = np.random.default_rng(4)
+    words = ["email", "mail", "e-mail", "contact", "write", "phone", "tel", "call", "mobile", "fax", "card", "visa", "credit", "ip", "host", "address", "server", "Mail", "VISA", "E-MAIL", "x", "é", "٣", "x٣", "-", "_", "..", "(", "()", "#", "+", "½", "w" * 64, "w" * 65, "-" * 70]
+    for _ in range(5000):
+        t = "".join(rng.choice(words) for _ in range(rng.integers(1, 3))) + str(rng.choice(["", ".", ")", "'s", "-"]))
+        assert tuple(P.shape(t)) in safe, t
+
+
+def test_no_rows_repeated_rows_and_names(spark):
+    schema = "doc_id long, text string, pii_spans int"
+    assert P.redact(spark.createDataFrame([], schema)).count() == 0 and P.find(spark.createDataFrame([], schema)).count() == 0
+    got = P.find(spark.createDataFrame([(1, "a@b.org", 5)] * 2, schema)).collect()
+    assert [[(s.kind, s.start, s.end) for s in r.pii_spans] for r in got] == [[("email", 0, 7)]] * 2

@@ -49,3 +49,23 @@ def test_repeated_rows_nulls_and_none(spark):
 @pytest.mark.parametrize("url,key", [("http://www.Example.com/A?b=2&a=1#x", "com,example)/a?a=1&b=2"), ("https://example.com:8080", "com,example:8080)/"), (None, "")])
 def test_url_key(url, key):
     assert R.url_key(url) == key
+
+
+def test_query_takes_odd_ids_columns_and_none(spark, tmp_path):
+    pages = [(2**63 - 1, "http://a.example/1", "x", "never"), (None, "http://a.example/0", "x", None), (3 * 10**11, None, None, ""), (5, "http://b.example", "y", "2024"), (-7, "http://c.example", "z", "1")]
+    schema = "page_id long, url string, html string, ts string"
+    for name, rows in (("some", pages), ("none", [])):
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}/pages.parquet")
+    got = R.query(spark, f"{tmp_path}/some")
+    assert {r.page_id: (r.record_type, r.refers_to) for r in got.collect()} == {2**63 - 1: ("response", None), None: ("revisit", 2**63 - 1), 3 * 10**11: ("response", None), 5: ("response", None), -7: ("response", None)}
+    order = [r.place for r in sorted(got.collect(), key=lambda r: (r.urlkey, r.ts, r.page_id or 0))]
+    assert order == list(range(5)) and all(len(r.ts) == 14 for r in got.collect())
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan
+    assert R.query(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_times_are_an_argument(spark):
+    pages = spark.createDataFrame([(1, "http://a.example", "p", "2020-02-03 04:05:06"), (2, "http://a.example", "q", None)], "page_id long, url string, html string, seen string")
+    assert sorted(r.ts for r in R.write(pages, time="seen").collect()) == ["20200203040506", "20240101000002"]
+    assert sorted(r.ts for r in R.write(pages).collect()) == ["20240101000001", "20240101000002"]
