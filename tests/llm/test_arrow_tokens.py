@@ -59,9 +59,11 @@ def test_other_tokenizers_get_whole_texts():
 
 
 def test_rows_of_one_id_fill_several_files(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     docs = spark.createDataFrame([(None, f"text {i}", 0, 0) for i in range(400)], "doc_id long, text string, file int, base int").repartition(4)
     manifest = A.write(docs, length=16)
     rows = A.read(manifest).orderBy("start").collect()
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert manifest.count() > 1 and len(rows) == 400
     at = 0
     for r in rows:
