@@ -1,9 +1,11 @@
 """SentencePiece encoding and decoding by a weighted finite-state transducer.
 
-Three machines are compiled from a model: the normaliser (dummy prefix, space to the word mark), the pieces with byte
-fallback (an arc for each piece, with its weight; a path of byte arcs for each character that no piece holds), and,
-for a model trained by merges, an acceptor of neighbours. They are composed with each input word and the shortest path
-in the tropical semiring (weights add along a path, the least path wins) is its encoding.
+Three machines are compiled from a model: the normaliser (a transducer from bytes to strings: the trie of the model's
+character map, whose longest rule at each place is rewritten at no weight, every other character passing as it is, and
+behind it what becomes of white space: runs shortened if the model asks for it, the dummy prefix, space to the word
+mark), the pieces with byte fallback (an arc for each piece, with its weight; a path of byte arcs for each character
+that no piece holds), and, for a model trained by merges, an acceptor of neighbours. They are composed with each input
+word and the shortest path in the tropical semiring (weights add along a path, the least path wins) is its encoding.
 
 For a unigram model a piece's weight is its negated score and any neighbours are accepted. For a merge model a
 segmentation is the one that merging gives exactly if merging leaves each pair of neighbours as it is; so the acceptor
@@ -11,13 +13,16 @@ gives such pairs weight 0 and others infinity, and exactly one path to each stat
 across pieces that it leaves apart, hence the pairs decide. The neighbour weights are computed when first asked for.
 
 The arcs into a word mark from another character hold no piece (``Machine`` checks the vocabulary for that), so a text
-falls apart into words there, and each Python worker composes a distinct word once while it remembers it.
+falls apart into words there, and each Python worker composes a distinct word once while it remembers it. Where the
+normaliser has no character map and keeps all white space, words of the input are remembered as they are, so that a
+known word passes neither machine again.
 
-Limits: a model with a character map in its normaliser, or with user-defined pieces, is refused.
+Limits: a model with user-defined pieces, or that marks the ends of words instead of their beginnings, is refused.
 
 Defined cases: null and empty text encode to no ids; text that holds the word mark itself decodes to spaces; bytes
 that are no UTF-8 decode to U+FFFD; texts of any length are encoded whole; repeated rows encode alike; an empty table
-gives an empty result; extra columns pass through ``encode`` and ``decode`` untouched.
+gives an empty result; extra columns pass through ``encode`` and ``decode`` untouched, but for one of the name that
+the result gets, which the result replaces.
 """
 
 from __future__ import annotations
@@ -38,6 +43,8 @@ MARK = "▁"
 #: Distinct words (the older half goes when the newer is full), and pairs of neighbours, that a Python worker remembers.
 REMEMBERED = 400_000
 PAIRS = 400_000
+#: Texts that are encoded or decoded at a time.
+SLICE = 512
 INF = float("inf")
 
 
@@ -51,14 +58,80 @@ def model_bytes(path: str | None = None) -> bytes:
         return f.read()
 
 
+class Normaliser:
+    """The transducer from texts to normalised ones, over the double array that the model holds its character map in.
+
+    Fixed format: four bytes with the size of the array, its units of 32 bits, then strings that end with a zero byte.
+    A unit has a label in its low byte and bit 31, a bit 8 that tells of a value one step on, and the offset of its
+    children in bits 10 to 30, eight bits further left if bit 9 is set.
+    """
+
+    def __init__(self, spec):
+        raw = spec.precompiled_charsmap
+        size = int.from_bytes(raw[:4], "little")
+        self.units = np.frombuffer(raw[4 : 4 + size], "<u4").tolist()
+        self.strings = raw[4 + size :]
+        self.prefix, self.shorten = spec.add_dummy_prefix, spec.remove_extra_whitespaces
+        #: Whether every character passes as it is, behind the dummy prefix.
+        self.plain = not self.units and self.prefix and not self.shorten
+        self.first = {b for b in range(256) if self.units and self._step(self._children(0, self.units[0]), b) is not None}
+
+    @staticmethod
+    def _children(node: int, unit: int) -> int:
+        return node ^ ((unit >> 10) << ((unit & 512) >> 6))
+
+    def _step(self, node: int, byte: int) -> int | None:
+        """The state behind an arc; none where the trie has no such arc."""
+        to = node ^ byte
+        return to if to < len(self.units) and self.units[to] & 0x800000FF == byte else None
+
+    def _longest(self, data: bytes, at: int) -> tuple[int, bytes] | None:
+        """The end of the longest rule from a place on, and what it writes."""
+        node, found = self._children(0, self.units[0]), None
+        for k in range(at, len(data)):
+            to = self._step(node, data[k])
+            if to is None:
+                break
+            unit = self.units[to]
+            node = self._children(to, unit)
+            if unit & 256:
+                start = self.units[node] & 0x7FFFFFFF
+                found = k + 1, self.strings[start : self.strings.index(b"\0", start)]
+        return found
+
+    def rewritten(self, text: str) -> str:
+        """The composition with the character map."""
+        if not self.units:
+            return text
+        data, out, at = text.encode("utf-8", "surrogatepass"), [], 0
+        while at < len(data):
+            hit = self._longest(data, at) if data[at] in self.first else None
+            if hit:
+                at, written = hit
+            else:
+                head = data[at]
+                end = at + (1 if head < 0xC0 else 2 if head < 0xE0 else 3 if head < 0xF0 else 4)
+                written, at = data[at:end], end
+            out.append(written)
+        return b"".join(out).decode("utf-8", "surrogatepass")
+
+    def __call__(self, text: str) -> str:
+        got = self.rewritten(text)
+        if self.shorten:
+            got = " ".join(w for w in got.split(" ") if w)
+        mark = MARK if self.prefix and (got or (text and not self.shorten)) else ""
+        return mark + got.replace(" ", MARK)
+
+
 class Machine:
     def __init__(self, model: bytes):
         from sentencepiece import sentencepiece_model_pb2 as pb
 
         m = pb.ModelProto.FromString(model)
         norm, kinds = m.normalizer_spec, pb.ModelProto.SentencePiece
-        if norm.precompiled_charsmap or norm.remove_extra_whitespaces or not norm.escape_whitespaces or not norm.add_dummy_prefix:
-            raise ValueError("only normalisers that add the dummy prefix and escape spaces are compiled")
+        if not norm.escape_whitespaces or m.trainer_spec.treat_whitespace_as_suffix:
+            raise ValueError("only models that mark the beginnings of words are compiled")
+        self.normal = Normaliser(norm)
         if m.trainer_spec.model_type not in (1, 2) or any(p.type == kinds.USER_DEFINED for p in m.pieces):
             raise ValueError("only unigram and merge models without user-defined pieces are compiled")
         self.merges = m.trainer_spec.model_type == 2
@@ -72,7 +145,7 @@ class Machine:
         for value, k in self.bytes.items():
             out[k] = bytes([value])
         out[self.unknown] = m.trainer_spec.unk_surface.encode()
-        self.surface = out
+        self.surface = pa.array(out, pa.large_binary())
         if any(MARK in p.lstrip(MARK) for p in self.ids):
             raise ValueError("a piece holds the word mark behind another character")
         self.line_apart = not any("\n" in p for p in self.ids)
@@ -174,20 +247,30 @@ class Machine:
     def encode(self, text: str) -> np.ndarray:
         if not text:
             return np.zeros(0, np.int32)
-        if self.line_apart and MARK not in text:
+        if self.normal.plain and self.line_apart and MARK not in text:
             words = text.replace("\n", " \n").split(" ")
             if "" not in words:
                 try:
                     return np.frombuffer(b"".join(map(self.words.__getitem__, words)), np.int32)
                 except KeyError:
                     return np.frombuffer(b"".join(map(self._word, words)), np.int32)
-        parts = re.findall(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n" if self.line_apart else f"{MARK}*[^{MARK}]+|{MARK}+", MARK + text.replace(" ", MARK))
+        parts = re.findall(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n" if self.line_apart else f"{MARK}*[^{MARK}]+|{MARK}+", self.normal(text))
         return np.array([k for p in parts for k in self.shortest(p)], np.int32)
 
-    def decode(self, ids) -> str:
+    def decode_all(self, lists: list[np.ndarray]) -> list[str]:
         """The inverse machine: surfaces of pieces and bytes, the mark to a space, without the dummy prefix."""
-        text = b"".join(map(self.surface.__getitem__, ids)).decode("utf-8", "replace").replace(MARK, " ")
-        return text[1:] if text[:1] == " " else text
+        flat = np.concatenate([np.zeros(0, np.int32), *lists])
+        laid = self.surface.take(pa.array(flat))
+        ends = np.frombuffer(laid.buffers()[1], np.int64, len(flat) + 1) if len(flat) else np.zeros(1, np.int64)
+        at = ends[np.cumsum([0, *map(len, lists)])].tolist()
+        data, out = memoryview(laid.buffers()[2] or b""), []
+        for a, b in zip(at[:-1], at[1:], strict=True):
+            text = str(data[a:b], "utf-8", "replace").replace(MARK, " ")
+            out.append(text.lstrip(" ") if self.normal.shorten else text[1:] if self.normal.prefix and text[:1] == " " else text)
+        return out
+
+    def decode(self, ids) -> str:
+        return self.decode_all([np.asarray(ids, np.int32)])[0]
 
 
 #: One a Python worker and model, kept from task to task.
@@ -214,7 +297,8 @@ def _decoder(model: bytes):
     def decode(columns: Iterator[pd.Series]) -> Iterator[pd.Series]:
         machine = _machine(model)
         for ids in columns:
-            yield pd.Series([machine.decode([] if x is None else x.tolist()) for x in ids], dtype=object)
+            found = [np.zeros(0, np.int32) if x is None else np.asarray(x, np.int32) for x in ids]
+            yield pd.Series([t for k in range(0, len(found), SLICE) for t in machine.decode_all(found[k : k + SLICE])], dtype=object)
 
     return F.pandas_udf(decode, "string")
 
@@ -232,13 +316,14 @@ def decode(docs: DataFrame, ids: str = "ids", to: str = "text", model: str | Non
 def _round_trip(model: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = _machine(model)
-        for batch in batches:
-            ids, same = [], []
-            for t in batch.column(1):
-                text = t.as_py() or ""
-                ids.append(machine.encode(text))
-                same.append(machine.decode(ids[-1].tolist()) == text)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in ids], pa.int64()), _lists(ids), pa.array(same, pa.bool_())], ["doc_id", "n_ids", "ids", "round_trip"])
+        for large in batches:
+            for at in range(0, large.num_rows, SLICE):
+                batch = large.slice(at, SLICE)
+                texts = [t or "" for t in batch.column(1).to_pylist()]
+                ids = list(map(machine.encode, texts))
+                same = [a == b for a, b in zip(machine.decode_all(ids), texts, strict=True)]
+                made = [batch.column(0), pa.array(list(map(len, ids)), pa.int64()), _lists(ids), pa.array(same, pa.bool_())]
+                yield pa.RecordBatch.from_arrays(made, ["doc_id", "n_ids", "ids", "round_trip"])
 
     return run
 

@@ -55,3 +55,42 @@ def test_query_and_columns(spark, tmp_path):
     assert sorted(back.columns) == ["doc_id", "ids", "n_ids", "text"]
     assert {r.doc_id: r.text for r in back.collect() if r.doc_id not in (6, 7)} == {i: t or "" for i, t, _ in rows if i not in (6, 7)}
     assert S.encode(docs.limit(0)).count() == 0
+
+
+def test_unigram_scores_equal_the_library():
+    m = pb.ModelProto.FromString(S.model_bytes())
+    m.trainer_spec.model_type = 1
+    machine, lib = S.Machine(m.SerializeToString()), sentencepiece.SentencePieceProcessor(model_proto=m.SerializeToString())
+    score = lambda ids: sum(machine.floor if k in machine.bytes.values() else machine.score[k] for k in ids)
+    for t in texts(300) + ["several words of one text, and more of them", "naïve façade 😀 ok"]:
+        ids, want = machine.encode(t or "").tolist(), lib.encode(t or "")
+        assert machine.decode(ids) == lib.decode(want) and abs(score(ids) - score(want)) <= 1e-3 * max(1, abs(score(want))), repr(t)
+
+
+def test_character_maps_are_compiled():
+    r = random.Random(3)
+    letters = list("aéＡ①ﬁ́̈ｶﾞ㌢ 　\t\nx​ß가…½")
+    for rule in ("nmt_nfkc", "nfkc_cf", "nfkc"):
+        spec = pb.ModelProto.FromString(sentencepiece.SentencePieceNormalizer(rule_name=rule).serialized_model_proto()).normalizer_spec
+        for prefix, shorten in ((True, True), (True, False), (False, False), (False, True)):
+            m = pb.ModelProto.FromString(S.model_bytes())
+            m.normalizer_spec.precompiled_charsmap = spec.precompiled_charsmap
+            m.normalizer_spec.add_dummy_prefix, m.normalizer_spec.remove_extra_whitespaces = prefix, shorten
+            raw = m.SerializeToString()
+            machine, lib = S.Machine(raw), sentencepiece.SentencePieceProcessor(model_proto=raw)
+            for t in ["", " ", "  a  b ", "​", "ﬁ ﬁ", *("".join(r.choice(letters) for _ in range(r.randint(1, 20))) for _ in range(150))]:
+                ids = machine.encode(t).tolist()
+                assert machine.normal(t) == lib.normalize(t), (rule, prefix, shorten, t)
+                assert ids == lib.encode(t) and machine.decode(ids) == lib.decode(ids), (rule, prefix, shorten, t)
+
+
+def test_long_and_repeated_texts_and_names(spark):
+    long = "word and more of it, é\n" * 20_000
+    rows = [(1, long, "x"), (1, long, "x"), (2, "", "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, ids string")
+    got = S.encode(docs)
+    assert got.columns == docs.columns
+    ids = [r.ids for r in got.orderBy("doc_id").collect()]
+    lib = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    assert ids[0] == ids[1] == lib.encode(long) and ids[2] == []
+    assert [r.text for r in S.decode(got.select("doc_id", "text", "ids")).orderBy("doc_id").collect()] == [long, long, ""]
