@@ -6,6 +6,9 @@ prefixes of all others leaves the maximal ones, of equal ones the smallest conv_
 Both sides of the anti-join are grouped by hash first, with partial sums on the map side, so that a first turn or a
 conversation that a third of the rows share is one row on either side.
 
+Limits: the turns of one conversation are sorted by one task, and a maximal one is one row, of 2 GB at most, as is
+the conversation that the rows without conv_id form.
+
 Defined cases: null role or text differs from the empty string; null turns come first; turns that tie are ordered by
 role and text; rows of null conv_id form one conversation; an exactly repeated row is a turn of its own; an empty
 table gives an empty result; extra columns are ignored.
@@ -43,9 +46,9 @@ def maximal(turns: DataFrame) -> DataFrame:
 
 def render(turns: DataFrame) -> DataFrame:
     """(conv_id, chat): turns in order, each between markers. The result is one row a conversation, so a conversation is what one task holds."""
-    line = F.concat(F.lit(OPEN), F.coalesce("role", F.lit("")), F.lit("\n"), F.coalesce("text", F.lit("")), F.lit(CLOSE))
-    got = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text", line.alias("line")))).alias("ts"))
-    return got.select("conv_id", F.array_join(F.col("ts.line"), "").alias("chat"))
+    got = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("ts"))
+    line = lambda t: F.concat(F.lit(OPEN), F.coalesce(t["role"], F.lit("")), F.lit("\n"), F.coalesce(t["text"], F.lit("")), F.lit(CLOSE))
+    return got.select("conv_id", F.array_join(F.transform("ts", line), "").alias("chat"))
 
 
 def collapse(turns: DataFrame) -> DataFrame:

@@ -55,6 +55,11 @@ class Scratch:
         return df
 
 
+    def adopt(self, df: DataFrame) -> None:
+        """Takes charge of a table that ``materialize`` has returned before."""
+        self.paths.append(df._scratch_path)
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[Scratch]:
     """Tables that ``materialize`` writes inside are removed at the end, but those that are kept; all are left where the work breaks off."""

@@ -8,9 +8,11 @@ Sources are ordered by code point with null last; the weights repeat along that
 anew by weight until none is above. That fixed point is min(cap * size, weight * level) for one level, which one
 sort of the sources by cap * size / weight finds without iteration.
 
+Sources, a row each, are ordered in one task; its sorts spill, but hundreds of millions of sources would take it long.
+
 Defined cases: null text has size 0; a null source is a source of its own; a source of size 0 has target 0 and its
-documents are emitted no time; equal (id, text) rows decide alike unless ``salt`` columns tell them apart; an
-empty table gives an empty result; extra columns pass through ``mix`` untouched.
+documents are emitted no time; rows of equal id share one draw, and so do all rows without id, so a source needs ids
+to come near its target; an empty table gives an empty result; extra columns pass through ``mix`` untouched.
 """
 
 from __future__ import annotations
@@ -27,7 +29,8 @@ WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
 CAP = 2.0
 SEED = "mix-1"
-#: Up to so many sources (each a name and three numbers), their rates are broadcast; beyond, joined by shuffle.
+#: Up to so many sources (each a name and three numbers), their rates are broadcast; beyond, joined by shuffle, with
+#: the same result.
 BROADCAST_SOURCES = 20_000
 
 

@@ -78,3 +78,18 @@ def test_em_against_plain_python(spark):
 def test_empty(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert Q.keep_good(empty).count() == 0
+
+
+def test_query_on_no_rows_and_verdicts_end_to_end(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string").write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert Q.query(spark, f"{tmp_path}/none").count() == 0
+    docs = rows(spark)
+    docs.write.parquet(f"{tmp_path}/some/documents.parquet")
+    got = Q.query(spark, f"{tmp_path}/some").collect()
+    kept = {r.doc_id for r in Q.keep_good(docs.repartition(3)).collect()}
+    assert len(got) == docs.count() and {r.doc_id for r in got if r.kept} == kept
+    by_text = {}
+    for r in got:
+        t = docs.where(f"doc_id = {r.doc_id}").first().text if r.doc_id in (0, 50) else None
+        by_text.setdefault(t, set()).add((r.kept, round(r.p_good, 12)))
+        assert not (r.base_failed and r.kept) and r.kept == (not r.base_failed and r.p_good >= Q.THRESHOLD)
