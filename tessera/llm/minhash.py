@@ -266,11 +266,12 @@ def _name(docs: DataFrame, percent: int, width: int, bands: int, rows: int, key:
     sketch = materialize(source.mapInArrow(_sketch(bands, rows, width), "doc_id long, n_shingles long, node binary, bands array<long>, sig binary"), "minhash-sketch")
     filled = sketch.where("node IS NOT NULL")
     # A node is in a bucket once, however many documents share its set; its bands are dealt out behind the shuffle.
-    slots = filled.select("node", "bands").distinct().select("node", F.posexplode("bands").alias("band", "bucket"))
+    nodes = materialize(filled.select("node", "n_shingles", "sig", "bands").distinct(), "minhash-nodes")
+    slots = nodes.select("node", F.posexplode("bands").alias("band", "bucket"))
     sizes = slots.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     slots = materialize(slots.join(sizes, "bucket"), "minhash-buckets")
     members = slots.select("node").distinct()
-    sigs = materialize(filled.select("node", "n_shingles", "sig", "bands").join(members, "node", "left_semi").groupBy("node", "n_shingles", "sig", "bands").agg(F.lit(1).alias("one")).drop("one"), "minhash-signatures")
+    sigs = materialize(nodes.join(members, "node", "left_semi"), "minhash-signatures")
     first = filled.groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(members, "node", "left_semi")
     odd = materialize(sketch.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "minhash-odd")
     odd = None if odd.isEmpty() else odd
