@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
-from tessera.operators import chunking, dedup, graph, rules, search, security, vector
+from tessera.operators import chunking, dedup, graph, rules, search, security, sync, vector
 from tessera.sources import files
 
 
@@ -64,3 +64,20 @@ class Engine:
         q = F.lit(query.lower())
         words, found = X.keywords(q), X.entities(q)
         return self.spark.range(1).select(X.query_type(q).alias("type"), X.intent(q).alias("intent"), words.alias("keywords"), found.alias("entities"), X.query_complexity(q, words, found).alias("complexity"))
+
+    # ---- the index: what is in it, and changes to it
+
+    def with_files(self, docs: DataFrame) -> Engine:
+        """The index with these files written over those of the same doc_id."""
+        return Engine(self.spark, sync.upsert(self.docs, docs, "doc_id"))
+
+    def without(self, ids: DataFrame) -> Engine:
+        """The index without these files (doc_id)."""
+        return Engine(self.spark, sync.delete(self.docs, ids, "doc_id"))
+
+    def status(self) -> DataFrame:
+        """Files, distinct texts and characters of each project."""
+        return self.docs.groupBy("source").agg(F.count("*").alias("n_files"), F.count_distinct(F.sha2("text", 256)).alias("n_distinct"), F.sum(F.length("text")).alias("n_chars"))
+
+    def projects(self) -> DataFrame:
+        return self.docs.select("source", files.project_id(F.col("source")).alias("project_id")).distinct()

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
@@ -47,13 +46,12 @@ def parsed(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 #: Node types and the patterns that find them.
-_BODY = r"\s*(\{[^}]*\}|[^\n;]*;?)"
 NODE_PATTERNS = (
-    ("if_statement", r"\bif\s*\([^)]*\)" + _BODY),
-    ("else_clause", r"\belse" + _BODY),
-    ("for_statement", r"\bfor\s*\([^)]*\)" + _BODY),
-    ("while_statement", r"\bwhile\s*\([^)]*\)" + _BODY),
-    ("do_statement", r"\bdo" + _BODY + r"\s*while\s*\([^)]*\);?"),
+    ("if_statement", r"\bif\s*\([^)]*\)\s*(\{[^}]*\}|[^\n;]*;?)"),
+    ("else_clause", r"\belse\s*(\{[^}]*\}|[^\n;]*;?)"),
+    ("for_statement", r"\bfor\s*\([^)]*\)\s*(\{[^}]*\}|[^\n;]*;?)"),
+    ("while_statement", r"\bwhile\s*\([^)]*\)\s*(\{[^}]*\}|[^\n;]*;?)"),
+    ("do_statement", r"\bdo\s*(\{[^}]*\}|[^\n;]*;?)\s*while\s*\([^)]*\);?"),
     ("switch_statement", r"\bswitch\s*\([^)]*\)\s*\{[^}]*\}"),
     ("try_statement", r"\btry\s*\{[^}]*\}\s*catch\s*\([^)]*\)\s*\{[^}]*\}\s*(?:finally\s*\{[^}]*\})?"),
     ("try_statement", r"\btry\s*\{[^}]*\}[\s\S]*?catch\s*\([^)]*\)\s*\{[^}]*\}"),
@@ -72,22 +70,102 @@ NODE_PATTERNS = (
 FUNCTION_TYPES = ("function_declaration", "function_expression")
 
 
+#: The node types that count as functions, classes, imports and exports.
+KINDS = {"functions": FUNCTION_TYPES, "classes": ("class_declaration",), "imports": ("import_statement",), "exports": ("export_statement",)}
+
+
 def syntax_nodes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, type, seq, node, start_line): the flat node list, in order of pattern and place; lines count from 1.
 
-    A node's line is that of the first place where its text stands.
+    A node's line follows from the line feeds in what stands between the matches and in the matches before it.
     """
     c = F.col(text)
-
+    feeds = lambda xs: F.transform(xs, lambda x: F.regexp_count(x, F.lit("\n")))
+    total = lambda xs, n: F.aggregate(F.slice(xs, F.lit(1), n), F.lit(0), lambda s, x: s + x)
 
     def found(kind: str, pattern: str) -> Column:
-        hits = F.regexp_extract_all(c, F.lit(f"({X.ascii_edges(pattern)})"), F.lit(1))
-        return F.transform(hits, lambda h: F.struct(F.lit(kind).alias("type"), h.alias("node")))
+        exact = X.ascii_edges(pattern)
+        hits = F.regexp_extract_all(c, F.lit(f"({exact})"), F.lit(1))
+        made = lambda m, between: F.transform(m, lambda h, k: F.struct(F.lit(kind).alias("type"), h.alias("node"), (1 + total(between, k + 1) + total(feeds(m), k)).cast("long").alias("line")))
+        return F.when(F.size(hits) > 0, made(hits, feeds(F.split(c, exact)))).otherwise(F.array().cast("array<struct<type:string,node:string,line:bigint>>"))
 
     lists = [found(kind, pattern) for kind, pattern in NODE_PATTERNS]
-    got = docs.select(key, c.alias("_text"), F.posexplode(F.concat(*lists)).alias("seq", "n"))
-    line = F.expr(r"size(split(substring(_text, 1, instr(_text, n.node) - 1), '\n'))")
-    return got.select(key, F.col("n.type").alias("type"), "seq", F.col("n.node").alias("node"), line.cast("long").alias("start_line"))
+    got = docs.select(key, F.posexplode(F.concat(*lists)).alias("seq", "n"))
+    return got.select(key, F.col("n.type").alias("type"), "seq", F.col("n.node").alias("node"), F.col("n.line").alias("start_line"))
+
+
+def nodes_of(nodes: DataFrame, kind: str) -> DataFrame:
+    """The functions, classes, imports or exports among the nodes."""
+    return nodes.where(F.col("type").isin(*KINDS[kind]))
+
+
+# ---- functions and classes
+
+#: Heads of functions (name, parameters, return type) and of classes (name, base), one a line, for languages with braces.
+FUNCTION_HEAD = r"\bfunction\s+(\w+)\s*\(([^)]*)\)\s*(?::\s*([^{]*[^{\s]))?\s*\{"
+ARROW_HEAD = r"\b(?:const|let|var)\s+(\w+)\s*=\s*(?:async\s+)?\(([^)]*)\)\s*(?::\s*([^=]*[^=\s]))?\s*=>"
+CLASS_HEAD = r"\bclass\s+(\w+)(?:\s+extends\s+([\w.]+))?"
+METHOD = r"(?m)^\s+(?:async\s+|static\s+)*\w+\s*\([^)]*\)\s*\{"
+BRANCH = r"(?m)^\s+(?:if|for|while|switch|catch)\s*\([^)]*\)\s*\{"
+PROPERTY = r"(?m)^\s+\w+\s*(?::\s*\w+\s*)?(?:=\s*[^=>\s][^\n]*)?;$"
+VARIABLE = r"\b(?:const|let|var)\s+(\w+)"
+
+
+def code_units(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, type, name, parameters, return_type, base, n_methods, n_properties, complexity, start_line, end_line, content).
+
+    A unit begins on the line of its head and ends where the braces that this line opens are closed, or on its own line
+    if it opens none. Lines before the end count, the texts are sliced once.
+    """
+    depth = F.transform(X.lines(F.col(text)), lambda x: F.regexp_count(x, F.lit(r"\{")) - F.regexp_count(x, F.lit(r"\}")))
+    rows = docs.select(key, X.lines(F.col(text)).alias("_ls"), depth.alias("_d"), F.posexplode(X.lines(F.col(text))).alias("_i", "_line"))
+    kind = F.when(F.col("_line").rlike(CLASS_HEAD), "class").when(F.col("_line").rlike(FUNCTION_HEAD) | F.col("_line").rlike(ARROW_HEAD), "function")
+    rows = rows.withColumn("type", kind).where("type IS NOT NULL")
+    # The running depth below the head's line, beginning with it; the unit ends where it is not positive any more.
+    rest = F.slice("_d", F.col("_i") + 1, F.size("_d") - F.col("_i"))
+    run = F.aggregate(rest, F.struct(F.lit(0).alias("depth"), F.lit(0).alias("n"), F.lit(False).alias("closed")), _below, lambda s: s["n"])
+    rows = rows.withColumn("_n", run).withColumn("content", F.array_join(F.slice("_ls", F.col("_i") + 1, F.col("_n")), "\n"))
+    part = lambda head, k: F.regexp_extract("_line", head, k)
+    of = lambda k: F.when(F.col("_line").rlike(FUNCTION_HEAD), part(FUNCTION_HEAD, k)).otherwise(part(ARROW_HEAD, k))
+    is_class, c = F.col("type") == "class", F.col("content")
+    parameters = F.filter(F.transform(F.split(of(2), ","), lambda x: F.trim(F.regexp_replace(x, r"[:=].*$", ""))), lambda x: x != "")
+    return rows.select(
+        key, "type",
+        F.when(is_class, part(CLASS_HEAD, 1)).otherwise(of(1)).alias("name"),
+        F.when(~is_class, parameters).alias("parameters"),
+        F.when(~is_class, F.when(of(3) == "", "unknown").otherwise(of(3))).alias("return_type"),
+        F.when(is_class, F.nullif(part(CLASS_HEAD, 2), F.lit(""))).alias("base"),
+        F.when(is_class, F.regexp_count(c, F.lit(METHOD)) - F.regexp_count(c, F.lit(BRANCH))).cast("long").alias("n_methods"),
+        F.when(is_class, F.regexp_count(c, F.lit(PROPERTY))).cast("long").alias("n_properties"),
+        X.complexity(c).alias("complexity"),
+        (F.col("_i") + 1).cast("long").alias("start_line"), (F.col("_i") + F.col("_n")).cast("long").alias("end_line"), "content",
+    )
+
+
+def _below(s: Column, d: Column) -> Column:
+    return F.struct(
+        (s["depth"] + d).alias("depth"),
+        F.when(s["closed"], s["n"]).otherwise(s["n"] + 1).alias("n"),
+        (s["closed"] | (s["depth"] + d <= 0)).alias("closed"),
+    )
+
+
+def symbols(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, kind, name, line, scope): functions, classes and variables with the innermost unit around them; a unit is not its own scope."""
+    units = code_units(docs, key, text).select(key, "type", "name", "start_line", "end_line")
+    lines = docs.select(key, F.posexplode(X.lines(F.col(text))).alias("_i", "_line"))
+    names = lines.withColumn("name", F.regexp_extract("_line", VARIABLE, 1)).where((F.col("name") != "") & ~F.col("_line").rlike(ARROW_HEAD))
+    found = units.select(key, F.col("type").alias("kind"), "name", F.col("start_line").alias("line")).union(names.select(key, F.lit("variable"), "name", (F.col("_i") + 1).cast("long")))
+    around = units.select(F.col(key).alias("_k"), F.col("name").alias("scope"), F.col("start_line").alias("_a"), F.col("end_line").alias("_b"))
+    inside = (F.col(key) == F.col("_k")) & (F.col("line") > F.col("_a")) & (F.col("line") <= F.col("_b"))
+    inner = F.max_by("scope", "_a").alias("scope")
+    return found.join(around, inside, "left").groupBy(key, "kind", "name", "line").agg(inner)
+
+
+def affected(changed: DataFrame, imports: DataFrame) -> DataFrame:
+    """(path): the changed files (path) and those that import one of them (path, imported)."""
+    direct = imports.join(changed.select(F.col("path").alias("imported")), "imported", "left_semi").select("path")
+    return changed.select("path").union(direct).distinct()
 
 
 def node_summary(nodes: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -129,6 +207,8 @@ def marked_snippets(docs: DataFrame, key: str = "doc_id", text: str = "text", ma
 
 
 def distinct_snippets(snippets: DataFrame, order: list[str], text: str = "content") -> DataFrame:
-    """Snippets of complexity 1 to 15 and 20 to 1000 characters, of equal texts the first."""
+    """Snippets of complexity 1 to 15 and 20 to 1000 characters, of equal texts the first; a text that many share is reduced on the map side."""
     ok = snippets.where(X.snippet_complexity(F.col(text)).between(1, 15) & F.length(text).between(20, 1000))
-    return ok.withColumn("_n", F.row_number().over(W.partitionBy(F.sha2(text, 256)).orderBy(*order))).where("_n = 1").drop("_n")
+    rest = [c for c in snippets.columns if c not in order]
+    first = ok.groupBy(F.sha2(text, 256).alias("_d")).agg(F.min(F.struct(*order, *rest)).alias("_s"))
+    return first.select(*[F.col(f"_s.{c}").alias(c) for c in snippets.columns])

@@ -3,17 +3,27 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera.functions.similarity import directory, path_proximity
 from tessera.functions.text import preprocess, semantic_features
+from tessera.operators.graph import saved
+
+
+def _first_of(chunks: DataFrame, digest, key: str, long) -> DataFrame:
+    """``chunks`` with ``digest`` and ``kept``: of equal digests the rows of the smallest key stay, and all that are not ``long``.
+
+    Digests and keys alone are grouped; short chunks, which have no digest, take no part in the join.
+    """
+    marked = chunks.withColumn("digest", F.when(long, digest))
+    first = marked.where("digest IS NOT NULL").groupBy("digest").agg(F.min(key).alias("_first"))
+    grouped = marked.where("digest IS NOT NULL").join(first, "digest").withColumn("kept", F.col(key).eqNullSafe(F.col("_first")))
+    return grouped.select(*marked.columns, "kept").unionByName(marked.where("digest IS NULL").withColumn("kept", F.lit(True)))
 
 
 def exact(chunks: DataFrame, key: str = "doc_id", text: str = "text", least: int = 50) -> DataFrame:
     """``chunks`` with ``kept``: of equal prepared texts the first by key; short chunks always stay."""
-    digest = F.when(F.length(text) >= least, F.sha2(preprocess(F.col(text)), 256))
-    first = F.row_number().over(W.partitionBy("digest").orderBy(key)) == 1
-    return chunks.withColumn("digest", digest).withColumn("kept", F.col("digest").isNull() | first)
+    return _first_of(chunks, F.sha2(preprocess(F.col(text)), 256), key, F.length(text) >= least)
 
 
 def savings(marked: DataFrame, text: str = "text") -> DataFrame:
@@ -25,9 +35,7 @@ def semantic(chunks: DataFrame, key: str = "doc_id", text: str = "text", kind: s
     """As ``exact``, by thirteen structural features; equal features are similarity 1, so groups are exact."""
     n_lines = F.size(F.split(F.col(text), "\n"))
     got = semantic_features(preprocess(F.col(text)), F.col(kind), n_lines)
-    digest = F.when(F.length(text) >= least, F.to_json(got))
-    first = F.row_number().over(W.partitionBy("digest").orderBy(key)) == 1
-    return chunks.withColumn("digest", digest).withColumn("kept", F.col("digest").isNull() | first)
+    return _first_of(chunks, F.to_json(got), key, F.length(text) >= least)
 
 
 def word_sets(chunks: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -44,8 +52,8 @@ def similar_pairs(sets: DataFrame, percent: int = 95) -> DataFrame:
     """
     rare = sets.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("df"))
     long = sets.select("id", "n", F.explode("words").alias("word")).join(rare, "word")
-    place = F.row_number().over(W.partitionBy("id").orderBy("df", "word"))
-    prefix = long.withColumn("place", place).where(f"place <= n - ceil(n * {percent} / 100.0) + 1").where("df > 1").select("id", "n", "word")
+    rarest = long.groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "word"))).alias("ws"))
+    prefix = rarest.select("id", "n", F.explode(F.expr(f"slice(ws, 1, CAST(n - ceil(n * {percent} / 100.0) + 1 AS INT))")).alias("w")).where("w.df > 1").select("id", "n", "w.word")
     other = prefix.select(F.col("id").alias("b"), F.col("n").alias("n_b"), "word")
     size_ok = f"100 * least(n, n_b) >= {percent} * greatest(n, n_b)"
     pairs = prefix.join(other, "word").where("id < b").where(size_ok).select(F.col("id").alias("a"), "b").distinct()
@@ -61,28 +69,46 @@ def copies_of(sets: DataFrame) -> DataFrame:
     return sets.select("id", digest.alias("digest")).join(first, "digest").select("id", "first_id")
 
 
-def fuzzy(chunks: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 95, most_rounds: int = 1000) -> DataFrame:
+def fuzzy(chunks: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 95) -> DataFrame:
     """(id, kept): greedy by key; a chunk stays if no chunk that stays before it is similar.
 
     Of equal word sets the first decides. On the similar pairs the greedy choice is a fixpoint: a chunk all of whose
     earlier partners are gone stays, a chunk with an earlier partner that stays is gone. Every round decides at least
-    the first undecided chunk of each chain; pairs shrink as they are decided.
+    the first undecided chunk of each chain, so the loop ends when all are decided.
     """
-    spark = chunks.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir("/tmp/checkpoints")
     sets = word_sets(chunks, key, text)
-    copies = copies_of(sets).checkpoint()
+    copies = saved(copies_of(sets))
     first = sets.join(copies.where("id = first_id").select("id"), "id", "left_semi")
-    pairs = similar_pairs(first, percent).select("a", "b").checkpoint()
-    state = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct().withColumn("kept", F.lit(None).cast("boolean")).checkpoint()
-    for _ in range(most_rounds):
+    pairs = similar_pairs(first, percent).select("a", "b")
+    pairs = saved(pairs)
+    state = saved(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct().withColumn("kept", F.lit(None).cast("boolean")))
+    while not state.where("kept IS NULL").isEmpty():
         earlier = pairs.join(state.select(F.col("id").alias("a"), F.col("kept").alias("kept_a")), "a")
         seen = earlier.groupBy(F.col("b").alias("id")).agg(F.bool_or(F.coalesce("kept_a", F.lit(False))).alias("some_kept"), F.count_if(F.col("kept_a").isNull()).alias("open"))
         decide = F.when(F.col("kept").isNotNull(), F.col("kept")).when(F.col("some_kept"), False).when(F.coalesce("open", F.lit(0)) == 0, True)
-        state = state.join(seen, "id", "left").select("id", decide.alias("kept")).checkpoint()
-        if state.where("kept IS NULL").isEmpty():
-            break
+        state = saved(state.join(seen, "id", "left").select("id", decide.alias("kept")))
     gone = state.where("NOT kept").select(F.col("id").alias("gone_id"))
     got = copies.join(gone, copies.first_id == gone.gone_id, "left")
     return got.select("id", ((F.col("id") == F.col("first_id")) & F.col("gone_id").isNull()).alias("kept"))
+
+
+def overlaps(rows: DataFrame, percent: int = 80, near: float = 0.5, key: str = "id", path: str = "path", text: str = "text") -> DataFrame:
+    """(a, b, shared, proximity): pairs that share at least ``percent`` of their words, or whose directories agree over more than ``near`` of the longer.
+
+    Pairs of the first kind come from ``similar_pairs`` between the first of equal word sets; of the second from
+    directories, of which each is one row, so files are counted and never paired: a and b are the directories' first
+    keys, and rows of one directory are near each other without being listed.
+    """
+    sets = word_sets(rows, key, text)
+    first = sets.join(copies_of(sets).where("id = first_id").select("id"), "id", "left_semi")
+    alike = similar_pairs(first, percent).select("a", "b", F.col("similarity").alias("shared"), F.lit(None).cast("double").alias("proximity"))
+    folders = rows.groupBy(directory(F.col(path)).alias("folder")).agg(F.min(key).alias("id"))
+    # Directories that agree over more than half of the longer share at least its first half, so they share that of the shorter.
+    head = F.substring("folder", F.lit(1), F.greatest(F.floor(F.length("folder") * near).cast("int") + 1, F.lit(1)))
+    heads = folders.select("id", "folder", F.explode(F.sequence(F.lit(1), F.greatest(F.length("folder"), F.lit(1)))).alias("n"))
+    keyed = heads.where(F.col("n") == F.length(head)).select("id", "folder", F.substring("folder", F.lit(1), F.col("n")).alias("head"))
+    others = heads.select(F.col("id").alias("b"), F.col("folder").alias("other"), F.substring("folder", F.lit(1), F.col("n")).alias("head"))
+    both = keyed.join(others, "head").where("length(folder) >= length(other) AND (length(folder) > length(other) OR id < b)")
+    close = path_proximity(F.concat("folder", F.lit("/x")), F.concat("other", F.lit("/x")))
+    got = both.where("id <> b").select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b"), F.lit(None).cast("double").alias("shared"), close.alias("proximity")).where(F.col("proximity") > near)
+    return alike.union(got)

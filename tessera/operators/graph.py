@@ -13,10 +13,13 @@ from pyspark.sql import functions as F
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """A checkpoint in the cluster's shared folder; one of its own only where none is set."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
+    """A checkpoint in the cluster's shared folder. Where none is set, one of its own on a single machine; on a cluster that is an error."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(folder or "/tmp/checkpoints")
     return df.checkpoint()
 
 
@@ -40,14 +43,15 @@ def hop(front: DataFrame, edges: DataFrame) -> DataFrame:
 
 def k_hop(starts: DataFrame, edges: DataFrame, k: int) -> DataFrame:
     """(start, id) at the end of some walk of exactly k edges."""
-    front = starts.select(F.col("id").alias("start"), "id")
+    front, edges = starts.select(F.col("id").alias("start"), "id"), saved(edges.select("src", "dst").distinct())
     for _ in range(k):
         front = hop(front, edges)
     return front
 
 
-def reach(starts: DataFrame, edges: DataFrame, depth: int = 3) -> DataFrame:
-    """(start, id, distance) of all nodes within ``depth`` edges, the start at 0."""
+def reach(starts: DataFrame, edges: DataFrame, depth: int = 3, where: Column | None = None, most: int | None = None) -> DataFrame:
+    """(start, id, distance) of all nodes within ``depth`` edges, the start at 0; by edges that meet ``where``, the first ``most`` by start, distance and id."""
+    edges = saved((edges if where is None else edges.where(where)).select("src", "dst").distinct())
     front = starts.select(F.col("id").alias("start"), "id").distinct()
     seen = front.withColumn("distance", F.lit(0))
     for d in range(1, depth + 1):
@@ -56,7 +60,115 @@ def reach(starts: DataFrame, edges: DataFrame, depth: int = 3) -> DataFrame:
         if front.isEmpty():
             break
         seen = seen.unionByName(front.withColumn("distance", F.lit(d)))
-    return seen
+    return seen if most is None else seen.orderBy("start", "distance", "id").limit(most)
+
+
+def with_properties(reached: DataFrame, vertices: DataFrame, *names: str) -> DataFrame:
+    """What was reached, with properties of its vertices (id, properties)."""
+    props = vertices.select("id", *[F.col("properties")[n].alias(n) for n in names])
+    return reached.join(props, "id", "left")
+
+
+def dependencies(starts: DataFrame, edges: DataFrame, depth: int = 3, inward: bool = False) -> DataFrame:
+    """(start, id, distance, kind): what the starts depend on, or what depends on them: direct at one edge, transitive beyond."""
+    e = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")) if inward else edges
+    return reach(starts, e, depth).where("distance > 0").withColumn("kind", F.when(F.col("distance") == 1, "direct").otherwise("transitive"))
+
+
+#: The edges that each focus of an analysis follows; none named are all.
+FOCUS = {"dependencies": ["IMPORTS", "CONTAINS"], "calls": ["CALLS"], "hierarchy": ["BELONGS_TO", "CONTAINS"]}
+
+
+def analysis(starts: DataFrame, edges: DataFrame, focus: str | None = None, depth: int = 3) -> DataFrame:
+    """One row on the part of the graph within ``depth`` edges of the starts: nodes, edges, mean degree, components, and edges of each type as a map."""
+    near = reach(starts, typed(edges, FOCUS.get(focus)), depth).select("id").distinct()
+    inside = typed(edges, FOCUS.get(focus)).join(near.select(F.col("id").alias("src")), "src", "left_semi").join(near.select(F.col("id").alias("dst")), "dst", "left_semi")
+    inside = saved(inside.select("type", "src", "dst"))
+    kinds = inside.groupBy("type").agg(F.count("*").alias("n")).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("type", "n")))).alias("by_type"))
+    joined = components(inside).select("id", "component")
+    alone = near.join(joined.select("id"), "id", "left_anti").agg(F.count("*").alias("n_alone"))
+    parts = joined.agg(F.count_distinct("component").alias("n_joined"))
+    got = summary(near, inside).crossJoin(parts).crossJoin(alone).crossJoin(kinds)  # a row each
+    return got.select("n_nodes", "n_edges", "avg_degree", (F.col("n_joined") + F.col("n_alone")).alias("n_components"), "by_type")
+
+
+def find(vertices: DataFrame, label: str | None = None, **properties) -> DataFrame:
+    """Vertices (id, tag, properties) of a tag with these properties."""
+    found = vertices if label is None else vertices.where(F.col("tag") == label)
+    for name, value in properties.items():
+        found = found.where(F.col("properties")[name] == value)
+    return found
+
+
+OPERATORS = {"==": lambda c, v: c == v, "IN": lambda c, v: c.isin(list(v)), "CONTAINS": lambda c, v: F.contains(c, F.lit(v)), "=~": lambda c, v: c.rlike(v)}
+
+
+def where(*conditions: tuple[str, str, object]) -> Column:
+    """The conjunction of (field, operator, value); of none, everything."""
+    test = F.lit(True)
+    for field, operator, value in conditions:
+        test = test & OPERATORS[operator](F.col(field), value)
+    return test
+
+
+def match(vertices: DataFrame, edges: DataFrame, *pattern: str) -> DataFrame:
+    """(n0, n1, ...): the ids along each walk whose vertices have the tags and whose edges the types of ``pattern``, such as ("Part", "SOLD_BY", "Supplier"). A tag or type of "" is any."""
+    of = lambda k: vertices.where(F.col("tag") == pattern[k]) if pattern[k] else vertices
+    walks = of(0).select(F.col("id").alias("n0"))
+    for k in range(1, len(pattern), 2):
+        step = (edges.where(F.col("type") == pattern[k]) if pattern[k] else edges).select(F.col("src").alias(f"n{k // 2}"), F.col("dst").alias(f"n{k // 2 + 1}"))
+        walks = walks.join(step, f"n{k // 2}").join(of(k + 1).select(F.col("id").alias(f"n{k // 2 + 1}")), f"n{k // 2 + 1}")
+    return walks.select(*[f"n{k}" for k in range((len(pattern) + 1) // 2)])
+
+
+def distances(ids: DataFrame, edges: DataFrame, depth: int = 10) -> DataFrame:
+    """(start, id, distance) between all pairs of the given ids, breadth first from all of them at once; pairs that are farther apart are left out."""
+    return reach(ids, edges, depth).join(ids.select("id"), "id", "left_semi").where("start <> id").select("start", "id", "distance")
+
+
+def resolved_calls(sites: DataFrame, functions: DataFrame) -> DataFrame:
+    """(file, line, caller, callee): call sites (file, line, name) joined with the last definition (name, file, start_line, seq) of the name and the function around the site."""
+    last = functions.groupBy("name").agg(F.max_by(F.concat_ws("#", "file", "name"), "seq").alias("callee"))
+    around = enclosing(sites.select("file", "line").distinct(), functions).select("file", "line", F.concat_ws("#", "file", "name").alias("caller"))
+    return sites.join(last, "name").join(around, ["file", "line"]).select("file", "line", "caller", "callee")
+
+
+def references(rows: DataFrame, hits: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(wanted, id): rows (id, refs array) that refer to a wanted id, and hits (wanted, id) of the graph, each once."""
+    held = rows.select("id", F.explode("refs").alias("wanted")).join(wanted.select(F.col("id").alias("wanted")), "wanted", "left_semi")
+    return held.select("wanted", "id").union(hits.select("wanted", "id")).distinct()
+
+
+def neighbours(edges: DataFrame) -> DataFrame:
+    """(id, successors, predecessors) as sorted arrays."""
+    names = lambda side, other, out: edges.groupBy(F.col(side).alias("id")).agg(F.sort_array(F.collect_set(other)).alias(out))
+    return names("src", "dst", "successors").join(names("dst", "src", "predecessors"), "id", "full_outer")
+
+
+def node_type(label: Column, kind: Column) -> Column:
+    """A label with a dot is a file; else the type given, else a project."""
+    return F.when(F.contains(label, F.lit(".")), "file").otherwise(F.coalesce(kind, F.lit("project")))
+
+
+def cyclic_estimate(n_nodes: Column, n_edges: Column) -> Column:
+    return F.greatest(F.lit(0), F.floor((n_edges - n_nodes) / 2)).cast("long")
+
+
+def cyclomatic(n_nodes: Column, n_edges: Column) -> Column:
+    return n_edges - n_nodes + 2
+
+
+def overview(vertices: DataFrame, edges: DataFrame, most_nodes: int = 100, most_edges: int = 200) -> tuple[DataFrame, DataFrame]:
+    """The first nodes by id and the first edges by their ends, for a picture."""
+    return vertices.orderBy("id").limit(most_nodes), edges.orderBy("src", "dst", "type").limit(most_edges)
+
+
+def flows(defs: DataFrame, uses: DataFrame, edges: DataFrame) -> DataFrame:
+    """(name, from_id, to_id): definitions (id, name) and the uses (id, name) of the same name that are reached along the flow edges."""
+    starts = defs.select("id").distinct()
+    met = reach(starts, edges, 1 << 30).select(F.col("start").alias("from_id"), F.col("id").alias("to_id"))
+    got = met.join(defs.select(F.col("id").alias("from_id"), "name"), "from_id").join(uses.select(F.col("id").alias("to_id"), F.col("name").alias("used")), "to_id")
+    return got.where("name = used AND from_id <> to_id").select("name", "from_id", "to_id")
 
 
 def impact(changed: DataFrame, edges: DataFrame, depth: int = 3) -> DataFrame:
@@ -270,10 +382,13 @@ def overlapping(changes: DataFrame, symbols: DataFrame) -> DataFrame:
 
 
 def export_lines(vertices: DataFrame, edges: DataFrame, form: str = "dot") -> DataFrame:
-    """(part, line): the graph as lines of DOT or Mermaid, sorted by part and line."""
+    """(part, line): the graph as lines of DOT, Mermaid or JSON objects; order them by part and line."""
     v, e = vertices.select(F.col("id").cast("string"), F.col("label").cast("string")), edges.select(F.col("src").cast("string"), F.col("dst").cast("string"))
     if form == "dot":
         shapes = ("digraph G {", F.format_string('  "%s" [label="%s"];', "id", "label"), F.format_string('  "%s" -> "%s";', "src", "dst"), "}")
+    elif form == "json":
+        rows = [v.select(F.lit(1).alias("part"), F.to_json(F.struct("id", "label")).alias("line")), e.select(F.lit(2), F.to_json(F.struct("src", "dst")))]
+        return rows[0].union(rows[1])
     elif form == "mermaid":
         shapes = ("graph TD", F.format_string("  %s[%s]", "id", "label"), F.format_string("  %s --> %s", "src", "dst"), "")
     else:

@@ -75,6 +75,16 @@ def batch_stats(df: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     )
 
 
+def adaptive_batching(df: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Of size changes (old_size, new_size, old_rate, new_rate): how many, the mean new size, the sum of changes, and the share after which the rate rose."""
+    return df.groupBy(*by).agg(
+        F.count("*").alias("n_changes"),
+        F.avg("new_size").alias("avg_size"),
+        F.sum(F.abs(F.col("new_size") - F.col("old_size"))).alias("total_change"),
+        F.avg(F.when(F.col("new_rate") > F.col("old_rate"), 1.0).otherwise(0.0)).alias("improved_share"),
+    )
+
+
 def last_rows(df: DataFrame, n: int, order: tuple[str, ...], by: tuple[str, ...] = ()) -> DataFrame:
     """The newest n rows, of each key if keys are given."""
     newest = [F.desc(c) for c in order]
@@ -125,6 +135,12 @@ def alerts(stats: DataFrame, rules: list[tuple[str, str, float, str]]) -> DataFr
     return stats.select("*", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("a")).select(*stats.columns, "a.*")
 
 
+def recommendations(stats: DataFrame, rules: list[tuple[str, Column, str]]) -> DataFrame:
+    """``stats`` times the rules (name, test, advice) that hold: one row an advice."""
+    found = F.array(*[F.when(test, F.struct(F.lit(name).alias("reason"), F.lit(advice).alias("advice"))) for name, test, advice in rules])
+    return stats.select("*", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("a")).select(*stats.columns, "a.*")
+
+
 def change(before: DataFrame, now: DataFrame, by: str, *values: str) -> DataFrame:
     """Percent change of each value between two aggregates by key."""
     pct = lambda v: F.try_divide((F.col(f"n.{v}") - F.col(f"b.{v}")) * 100.0, F.col(f"b.{v}")).alias(f"{v}_change")

@@ -92,13 +92,8 @@ def overall_risk(findings: DataFrame) -> DataFrame:
     return got.select("n", "n_errors", "n_rules", ratio.alias("ratio"), grade.alias("risk"), (F.col("n_errors") > 0).alias("has_errors"), (F.col("n_rules") > 5).alias("many_rules"))
 
 
-def severity_of(text: Column) -> Column:
-    up = F.upper(text)
-    return F.when(up.isin("ERROR", "CRITICAL", "HIGH"), "ERROR").when(up.isin("WARNING", "MEDIUM"), "WARNING").otherwise("INFO")
-
-
 def cvss(n_cwe: Column, severity: Column) -> Column:
-    step = F.when(severity == "ERROR", 1.0).when(severity == "WARNING", 0.6).otherwise(0.3)
+    step = F.when(severity == "ERROR", 1.0).when(severity == "WARNING", 0.7).otherwise(0.3)
     return F.least(F.lit(10.0), 0.5 * n_cwe + 5 * step)
 
 

@@ -59,3 +59,39 @@ def rates(found: DataFrame, resolved: Column) -> DataFrame:
     """Issues by kind and severity, with the share resolved in percent."""
     share = F.count_if(resolved) * 100.0 / F.count("*")
     return found.groupBy("issue", "severity").agg(F.count("*").alias("n"), share.alias("resolved_pct"))
+
+
+def open_issues(found: DataFrame, project: str | None = None, severity: str | None = None) -> DataFrame:
+    """Issues (project, severity, detected_at, ...) of a project and a severity, the newest first."""
+    for name, value in (("project", project), ("severity", severity)):
+        found = found.where(F.col(name) == value) if value is not None else found
+    return found.orderBy(F.desc("detected_at"))
+
+
+def select(mappings: DataFrame, project=None, kind: str | None = None, unsynced: bool = False) -> DataFrame:
+    """Mappings (project, kind, sync_status, ...) of a project, of a kind, and only those that are not in both stores."""
+    for name, value in (("project", project), ("kind", kind)):
+        mappings = mappings.where(F.col(name) == value) if value is not None else mappings
+    return mappings.where("sync_status <> 'synced'") if unsynced else mappings
+
+
+def repairs(mappings: DataFrame, mismatch: Column | None = None) -> DataFrame:
+    """(entity_id, action) for every issue: a missing side is written from the other one, data that differ are written anew from the vector side, an entity on neither side is dropped from the mapping."""
+    v, g = F.col("vector_id").isNotNull(), F.col("graph_id").isNotNull()
+    differs = mismatch if mismatch is not None else F.lit(False)
+    action = F.when(~v & ~g, "drop_mapping").when(~v, "write_vector").when(~g, "write_graph").when(differs, "rewrite_graph")
+    return mappings.select("entity_id", action.alias("action")).where("action IS NOT NULL")
+
+
+def repaired_mapping(mappings: DataFrame) -> DataFrame:
+    """The mappings after all repairs: a missing side gets the entity's own id, entities on neither side are gone."""
+    left = mappings.where("vector_id IS NOT NULL OR graph_id IS NOT NULL")
+    own = lambda c: F.coalesce(F.col(c), F.col("entity_id")).alias(c)
+    return left.select("entity_id", own("vector_id"), own("graph_id"), F.lit("synced").alias("sync_status"))
+
+
+def delete_files(paths: DataFrame, vectors: DataFrame, vertices: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Both stores without the files (path): their vectors (path, ...), their vertices (id, path, ...) and the edges (src, dst, ...) at either end of these."""
+    gone = vertices.join(paths, "path", "left_semi").select("id")
+    kept = edges.join(gone.select(F.col("id").alias("src")), "src", "left_anti").join(gone.select(F.col("id").alias("dst")), "dst", "left_anti")
+    return vectors.join(paths, "path", "left_anti"), vertices.join(paths, "path", "left_anti"), kept.select(*edges.columns)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import similarity as S
 from tessera.functions import text as X
-from tessera.operators import chunking, dedup, rules, security
+from tessera.operators import chunking, dedup, security
 from tessera.plans.common import r6, table
 
 
@@ -83,8 +83,15 @@ def _fuzzy(spark, d):
 
 
 def _pairs(spark, d):
+    """Pairs between the first documents of equal word sets."""
     sets = dedup.word_sets(_docs(spark, d))
-    return dedup.similar_pairs(sets, 80).select("a", "b", "shared", r6("similarity").alias("similarity"))
+    first = sets.join(dedup.copies_of(sets).where("id = first_id").select("id"), "id", "left_semi")
+    return dedup.similar_pairs(first, 80).select("a", "b", "shared", r6("similarity").alias("similarity"))
+
+
+def _copies(spark, d):
+    """The first document of each one's word set."""
+    return dedup.copies_of(dedup.word_sets(_docs(spark, d)))
 
 
 def _known(spark, d):
@@ -119,10 +126,6 @@ def _node_summary(spark, d):
     return got.select("doc_id", "n_nodes", F.size("by_type").cast("long").alias("n_types"))
 
 
-def _rules(spark, d):
-    return rules.match(chunking.syntax_nodes(table(spark, d, "pages"), "page_id", "html")).groupBy("rule", "type").agg(F.count("*").alias("n"))
-
-
 def _marked(spark, d):
     lines = F.array_join(F.transform(F.split("text", "\n"), lambda x, i: F.when(i % 3 == 0, F.concat(F.lit("// @example "), x)).otherwise(x)), "\n")
     got = chunking.marked_snippets(_docs(spark, d).select("doc_id", lines.alias("text")))
@@ -138,11 +141,12 @@ def _flows(spark, d):
 
 
 def _secrets(spark, d):
-    return security.secrets(_docs(spark, d), "doc_id", "text", 1000)  # as its SQL
+    return security.secrets(_docs(spark, d), "doc_id", "text")
 
 
-def _secrets_all(spark, d):
-    return security.secrets(_docs(spark, d), "doc_id", "text")
+def _secrets_short(spark, d):
+    """Those of texts of up to 1000 lines: the cap is the feature."""
+    return security.secrets(_docs(spark, d), "doc_id", "text", 1000)
 
 
 def findings(spark, d):
@@ -169,12 +173,12 @@ QUERIES = {
     "complexity_variants": _complexity, "language_features": _features, "language_by_content": _language, "language_by_path": _paths_language, "language_stats": _language_stats,
     "project_metrics": _project_metrics, "rolling_hash": _rolling, "query_analysis": _analysis, "query_cleanup": _cleaned, "query_cache_key": _cache,
     "chunk_lines": _chunks(False), "chunk_lines_compat": _chunks(True), "dedup_exact": _exact, "dedup_savings": _savings, "dedup_semantic": _semantic, "dedup_fuzzy": _fuzzy,
-    "jaccard_pairs": _pairs, "duplicate_check": _known, "path_proximity": _pages_path, "structural_similarity": _structural, "snippet_validity": _snippet_valid,
-    "syntax_nodes": _nodes, "node_summary": _node_summary, "snippet_rules": _rules, "marked_snippets": _marked,
-    "security_scan": _scan, "security_flows": _flows, "security_secrets": _secrets, "security_secrets_all": _secrets_all,
+    "jaccard_pairs": _pairs, "jaccard_copies": _copies, "duplicate_check": _known, "path_proximity": _pages_path, "structural_similarity": _structural, "snippet_validity": _snippet_valid,
+    "syntax_nodes": _nodes, "node_summary": _node_summary, "marked_snippets": _marked,
+    "security_scan": _scan, "security_flows": _flows, "security_secrets": _secrets, "security_secrets_short": _secrets_short,
     "findings_summary": lambda s, d: security.by(findings(s, d), "file", "severity"),
     "findings_top_rules": lambda s, d: security.top_rules(findings(s, d)),
-    "high_risk_files": lambda s, d: security.high_risk_files(findings(s, d), 2),
+    "high_risk_files": lambda s, d: security.high_risk_files(findings(s, d)),
     "severity_rollup": _rollup, "overall_risk": _risk,
     "same_rule_elsewhere": lambda s, d: security.same_rule(findings(s, d)),
     "finding_cvss": lambda s, d: findings(s, d).select("finding_id", r6(security.cvss(F.col("finding_id") % 4, F.col("severity"))).alias("cvss")),
@@ -192,6 +196,8 @@ _FEATS = f"""p AS (SELECT doc_id, lang, text, {_PREP} AS p, len(string_split(tex
   {_HAS('for|while|do')} AS b1, {_HAS('if|else|switch|case')} AS b2, {_HAS('function|def|func|=>')} AS b3, {_HAS('class|interface|struct')} AS b4, {_HAS('return|yield')} AS b5, {_HAS('try|catch|throw|except')} AS b6,
   len(regexp_extract_all(p, '[{{}}]'))::DOUBLE AS k1, len(regexp_extract_all(p, '[()]'))::DOUBLE AS k2, len(regexp_extract_all(p, ';'))::DOUBLE AS k3, {_V3.format(t='p')}::DOUBLE AS k4 FROM p)"""
 _WORDS = r"w AS (SELECT doc_id AS id, list_distinct(string_split_regex(lower(text), '[ \t\n\x0B\f\r]+')) AS ws FROM documents), e AS (SELECT id, unnest(ws) AS t FROM w), n AS (SELECT id, len(ws) AS n FROM w)"
+_SECRET_LINES = "l AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS line_no, len(ls) AS n_lines FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents))"
+_FIRST_WORDS = _WORDS.replace("w AS (", "w0 AS (", 1).replace("FROM documents)", "FROM documents), w AS (SELECT min(id) AS id, ws FROM (SELECT id, list_sort(ws) AS ws FROM w0) GROUP BY ws)", 1)
 _CHUNK = """WITH RECURSIVE l AS (SELECT doc_id, i, ls[i] AS line, len(ls) AS nl FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), unnest(range(1, len(ls) + 1)) AS u(i)),
 s AS (
   SELECT doc_id, 0::BIGINT AS i, 0::BIGINT AS begin_line, -1::BIGINT AS n, 0::BIGINT AS chunk, false AS emit, 0::BIGINT AS b, 0::BIGINT AS e FROM documents
@@ -244,7 +250,12 @@ SELECT item_id, CASE WHEN {_RX('q', X.STRUCTURAL)} AND {_RX('q', X.SEMANTIC)} TH
     "dedup_exact": f"SELECT doc_id, length(text) < 50 OR row_number() OVER (PARTITION BY CASE WHEN length(text) >= 50 THEN {_PREP} END ORDER BY doc_id) = 1 AS kept FROM documents",
     "dedup_savings": f"WITH k AS (SELECT text, length(text) < 50 OR row_number() OVER (PARTITION BY CASE WHEN length(text) >= 50 THEN {_PREP} END ORDER BY doc_id) = 1 AS kept FROM documents) SELECT count(*)::BIGINT AS n_chunks, count(*) FILTER (WHERE NOT kept)::BIGINT AS n_removed, coalesce(sum(length(text)) FILTER (WHERE NOT kept), 0)::BIGINT AS chars_saved FROM k",
     "dedup_semantic": f"WITH {_FEATS} SELECT doc_id, n_text < 50 OR row_number() OVER (PARTITION BY n_text >= 50, lang, nl, al, b1, b2, b3, b4, b5, b6, k1, k2, k3, k4 ORDER BY doc_id) = 1 AS kept FROM ft",
-    "jaccard_pairs": f"WITH {_WORDS}, i AS (SELECT x.id AS a, y.id AS b, count(*) AS k FROM e x JOIN e y ON x.t = y.t AND x.id < y.id GROUP BY ALL) SELECT a, b, k::BIGINT AS shared, round(k / (p.n + q.n - k)::DOUBLE, 6) AS similarity FROM i JOIN n p ON p.id = a JOIN n q ON q.id = b WHERE 100 * k >= 80 * (p.n + q.n - k)",
+    "jaccard_copies": f"WITH {_FIRST_WORDS} SELECT w0.id, w.id AS first_id FROM w0 JOIN w ON list_sort(w0.ws) = w.ws",
+    "dedup_fuzzy": f"""WITH RECURSIVE {_WORDS}, i AS (SELECT x.id AS a, y.id AS b, count(*) AS k FROM e x JOIN e y ON x.t = y.t AND x.id < y.id GROUP BY ALL), pr AS (SELECT a, b FROM i JOIN n p ON p.id = a JOIN n q ON q.id = b WHERE 100 * k >= 95 * (p.n + q.n - k)),
+o AS (SELECT id, list(a) FILTER (WHERE a IS NOT NULL) AS earlier, row_number() OVER (ORDER BY id) AS k FROM (SELECT a AS id, NULL AS a FROM pr UNION ALL SELECT b, a FROM pr) GROUP BY id),
+g AS (SELECT 0::BIGINT AS k, []::BIGINT[] AS kept UNION ALL SELECT o.k, CASE WHEN list_has_any(coalesce(o.earlier, []), g.kept) THEN g.kept ELSE list_append(g.kept, o.id) END FROM g JOIN o ON o.k = g.k + 1)
+SELECT id AS doc_id, id NOT IN (SELECT id FROM o) OR list_contains((SELECT kept FROM g ORDER BY k DESC LIMIT 1), id) AS kept FROM w""",
+    "jaccard_pairs": f"WITH {_FIRST_WORDS}, i AS (SELECT x.id AS a, y.id AS b, count(*) AS k FROM e x JOIN e y ON x.t = y.t AND x.id < y.id GROUP BY ALL) SELECT a, b, k::BIGINT AS shared, round(k / (p.n + q.n - k)::DOUBLE, 6) AS similarity FROM i JOIN n p ON p.id = a JOIN n q ON q.id = b WHERE 100 * k >= 80 * (p.n + q.n - k)",
     "duplicate_check": "SELECT doc_id FROM documents WHERE text IN (SELECT text FROM documents GROUP BY text HAVING count(*) > 1)",
     "path_proximity": """WITH p AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(url, '^https?://', ''), '[?#].*$', ''), '/?[^/]*$', '') AS x FROM pages), c AS (SELECT *, list_max(list_concat([0], [k FOR k IN range(1, 27) IF k <= length(x) AND x[1:k] = 'blog.ththan.example.com/en'[1:k]])) AS k FROM p)
 SELECT page_id, round(CASE WHEN x = 'blog.ththan.example.com/en' THEN 1.0 ELSE k / greatest(length(x), 26)::DOUBLE END, 6)::DOUBLE AS near FROM c""",
@@ -254,12 +265,13 @@ SELECT page_id, round(CASE WHEN x = 'blog.ththan.example.com/en' THEN 1.0 ELSE k
   AND len(list_distinct([t FOR t IN string_split_regex(text, '[ \t\n\x0B\f\r]+') IF length(t) > 1])) >= 3 AND {_FILLED} >= 3 AND length(text) >= 30 AS valid FROM documents""",
     "security_scan": "WITH l AS (SELECT page_id, i AS line_no, string_split(html, chr(10))[i] AS line FROM pages, unnest(range(1, len(string_split(html, chr(10))) + 1)) AS u(i)), h AS (" + " UNION ALL ".join(_SCAN) + ") SELECT page_id, issue, severity, pattern, line_no, instr(line, hit)::BIGINT AS start_col, (instr(line, hit) + length(hit))::BIGINT AS end_col FROM h",
     "security_flows": f"SELECT doc_id, source_word AS source, sink FROM (SELECT doc_id, text, unnest({_LIST(security.SOURCES)}) AS source_word FROM documents) JOIN (SELECT unnest({_LIST(security.SINKS)}) AS sink) ON contains(text, sink) WHERE contains(text, source_word)",
-    "security_secrets": f"WITH l AS (SELECT doc_id, i AS line_no, string_split(text, chr(10))[i] AS line FROM documents, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS u(i) WHERE len(string_split(text, chr(10))) <= 1000) SELECT doc_id, line_no, name FROM l JOIN (SELECT unnest({_LIST(security.SECRETS)}) AS name) ON contains(lower(line), name)",
+    "security_secrets": f"WITH {_SECRET_LINES} SELECT doc_id, line_no, name FROM l JOIN (SELECT unnest({_LIST(security.SECRETS)}) AS name) ON contains(lower(line), name)",
+    "security_secrets_short": f"WITH {_SECRET_LINES} SELECT doc_id, line_no, name FROM l JOIN (SELECT unnest({_LIST(security.SECRETS)}) AS name) ON contains(lower(line), name) WHERE n_lines <= 1000",
     "findings_summary": f"WITH {_FINDINGS} SELECT file, severity, count(*)::BIGINT AS n FROM f GROUP BY ALL",
     "findings_top_rules": f"WITH {_FINDINGS} SELECT rule, count(*)::BIGINT AS n FROM f GROUP BY rule ORDER BY n DESC, rule LIMIT 5",
-    "high_risk_files": f"WITH {_FINDINGS} SELECT file, count(*)::BIGINT AS n_errors FROM f WHERE severity = 'ERROR' GROUP BY file HAVING count(*) >= 2",
+    "high_risk_files": f"WITH {_FINDINGS} SELECT file, count(*)::BIGINT AS n_errors FROM f WHERE severity = 'ERROR' GROUP BY file HAVING count(*) >= 3",
     "severity_rollup": f"WITH {_FINDINGS} SELECT severity, rule, count(*)::BIGINT AS n FROM f GROUP BY ROLLUP (severity, rule)",
     "overall_risk": f"WITH {_FINDINGS}, a AS (SELECT count(*)::BIGINT AS n, count(*) FILTER (WHERE severity = 'ERROR')::BIGINT AS n_errors, count(DISTINCT rule)::BIGINT AS n_rules FROM f), r AS (SELECT *, n_errors / n::DOUBLE AS x FROM a) SELECT n, n_errors, n_rules, round(x, 6) AS ratio, CASE WHEN x > 0.2 THEN 'high' WHEN x > 0.1 THEN 'medium-high' WHEN x > 0.05 THEN 'medium' WHEN x > 0.01 THEN 'low-medium' ELSE 'low' END AS risk, n_errors > 0 AS has_errors, n_rules > 5 AS many_rules FROM r",
     "same_rule_elsewhere": f"WITH {_FINDINGS}, o AS (SELECT DISTINCT f.finding_id, g.file AS other_file FROM f JOIN f g ON f.rule = g.rule AND f.file <> g.file) SELECT finding_id, other_file FROM (SELECT *, row_number() OVER (PARTITION BY finding_id ORDER BY other_file) AS r FROM o) WHERE r <= 5",
-    "finding_cvss": f"WITH {_FINDINGS} SELECT finding_id, round(least(10.0, 0.5 * (finding_id % 4) + 5 * CASE severity WHEN 'ERROR' THEN 1.0 WHEN 'WARNING' THEN 0.6 ELSE 0.3 END), 6)::DOUBLE AS cvss FROM f",
+    "finding_cvss": f"WITH {_FINDINGS} SELECT finding_id, round(least(10.0, 0.5 * (finding_id % 4) + 5 * CASE severity WHEN 'ERROR' THEN 1.0 WHEN 'WARNING' THEN 0.7 ELSE 0.3 END), 6)::DOUBLE AS cvss FROM f",
 }

@@ -17,9 +17,17 @@ def edges(spark, d):
 
 
 def calls(spark, d):
-    """(src, dst): a small call graph with cycles: nation i calls (7 i + 3) mod 25 and (i * i + 1) mod 25."""
-    n = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("i"))
-    return n.select(F.col("i").alias("src"), ((7 * F.col("i") + 3) % 25).alias("dst")).union(n.select("i", (F.col("i") * F.col("i") + 1) % 25)).distinct()
+    """(src, dst): a call graph with cycles over the n parts: function i calls (10 i + 3) mod n and (i * i + 1) mod n."""
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("i"))
+    n = p.count()
+    return p.select(F.col("i").alias("src"), ((10 * F.col("i") + 3) % n).alias("dst")).union(p.select("i", (F.col("i") * F.col("i") + 1) % n)).distinct()
+
+
+def downward(spark, d):
+    """(src, dst): from one root to the regions, their nations, these nations' suppliers and the parts they offer."""
+    e = edges(spark, d).where("substr(src, 1, 1) <> 'c'")
+    down = e.where("type = 'BELONGS_TO'").select(F.col("dst").alias("src"), F.col("src").alias("dst")).union(e.where("type = 'CONTAINS'").select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    return down.union(table(spark, d, "region").select(F.lit("w"), F.concat(F.lit("r"), F.col("r_regionkey").cast("string"))))
 
 
 def _ids(spark, *ids):
@@ -35,12 +43,12 @@ def _critical(spark, d):
 
 
 def _khop(spark, d):
-    s = table(spark, d, "part").where("p_partkey <= 20").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("id"))
+    s = table(spark, d, "part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("id"))
     return G.k_hop(s, edges(spark, d), 3)
 
 
 def _reach(spark, d):
-    s = table(spark, d, "part").where("p_partkey <= 5").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("id"))
+    s = table(spark, d, "part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("id"))
     return G.reach(s, edges(spark, d), 3)
 
 
@@ -50,11 +58,11 @@ def _impact(spark, d):
 
 
 def _shortest(spark, d):
-    return G.shortest_path(0, 12, calls(spark, d), 10).select("distance", F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"))
+    return G.shortest_path(0, 33, calls(spark, d), 10).select("distance", F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"))
 
 
 def _paths(spark, d):
-    got = G.all_paths(0, 1, calls(spark, d), 6, 1000)
+    got = G.all_paths(0, 33, calls(spark, d), 6, 1000)
     return got.select("length", F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"))
 
 
@@ -66,8 +74,7 @@ def _cycles(compat):
 
 
 def _components(spark, d):
-    e = edges(spark, d).where("type = 'BELONGS_TO'")
-    return G.components(e).groupBy("component").agg(F.count("*").alias("n"))
+    return G.components(edges(spark, d)).groupBy("component").agg(F.count("*").alias("n"))
 
 
 def _pagerank(spark, d):
@@ -75,15 +82,15 @@ def _pagerank(spark, d):
 
 
 def _ranked(spark, d):
-    return G.ranked(G.pagerank(edges(spark, d).where("type = 'BELONGS_TO'"), 5)).select("id", F.col("place").cast("long").alias("place"), r6("rank").alias("rank"))
+    return G.ranked(G.pagerank(edges(spark, d), 5)).select("id", F.col("place").cast("long").alias("place"), r6("rank").alias("rank"))
 
 
 def _communities(spark, d):
-    return G.communities(edges(spark, d).where("type = 'BELONGS_TO'"), 4).groupBy("community").agg(F.count("*").alias("n"))
+    return G.communities(edges(spark, d), 4).groupBy("community").agg(F.count("*").alias("n"))
 
 
 def _functions(spark, d):
-    return table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("name"), (F.col("n_nationkey") % 9 == 0).alias("exported"))
+    return table(spark, d, "part").select(F.col("p_partkey").alias("name"), (F.col("p_partkey") % 9 == 1).alias("exported"))
 
 
 def _dead(spark, d):
@@ -116,37 +123,145 @@ def _risk(spark, d):
 
 
 def _dominators(spark, d):
-    got = G.dominators(0, calls(spark, d))
-    return got.select("id", F.array_join(F.transform("dominators", lambda x: x.cast("string")), ",").alias("dominators"))
+    got = G.dominators("w", downward(spark, d))
+    return got.select("id", F.array_join("dominators", ",").alias("dominators"))
+
+
+def _spans(spark, d):
+    """Orders as functions: a file, a name and lines."""
+    return table(spark, d, "orders").select((F.col("o_custkey") % 100).alias("file"), F.col("o_orderkey").alias("name"), (F.col("o_orderkey") % 1000).alias("start_line"), (F.col("o_orderkey") % 1000 + F.col("o_custkey") % 50).alias("end_line"))
 
 
 def _enclosing(spark, d):
-    f = table(spark, d, "orders").where("o_orderkey % 100 = 0").select((F.col("o_custkey") % 10).alias("file"), F.col("o_orderkey").alias("name"), (F.col("o_orderkey") % 1000).alias("start_line"), (F.col("o_orderkey") % 1000 + F.col("o_custkey") % 50).alias("end_line"))
-    s = table(spark, d, "part").select((F.col("p_partkey") % 10).alias("file"), F.col("p_size").cast("long").alias("line")).distinct()
-    return G.enclosing(s, f)
+    s = table(spark, d, "part").select((F.col("p_partkey") % 100).alias("file"), F.col("p_size").cast("long").alias("line")).distinct()
+    return G.enclosing(s, _spans(spark, d))
 
 
 def _overlap(spark, d):
-    sym = table(spark, d, "orders").where("o_orderkey % 50 = 0").select((F.col("o_custkey") % 10).alias("file"), F.col("o_orderkey").alias("name"), (F.col("o_orderkey") % 1000).alias("start_line"), (F.col("o_orderkey") % 1000 + F.col("o_custkey") % 50).alias("end_line"))
-    change = table(spark, d, "nation").select((F.col("n_nationkey") % 10).cast("long").alias("file"), (F.col("n_nationkey") * 40).cast("long").alias("start_line"), (F.col("n_nationkey") * 40 + 5).cast("long").alias("end_line"))
-    return G.overlapping(change, sym)
+    change = table(spark, d, "supplier").select((F.col("s_suppkey") % 100).alias("file"), (F.col("s_suppkey") * 37 % 1000).alias("start_line"), (F.col("s_suppkey") * 37 % 1000 + 5).alias("end_line"))
+    return G.overlapping(change, _spans(spark, d))
+
+
+def _lines(form):
+    def run(spark, d):
+        n = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("label"))
+        return G.export_lines(n, calls(spark, d), form)
+
+    return run
+
+
+def vertices(spark, d):
+    """(id, tag, properties) of customers, suppliers, nations, regions and parts."""
+    v = lambda t, tag, p, key, **props: table(spark, d, t).select(F.concat(F.lit(p), F.col(key).cast("string")).alias("id"), F.lit(tag).alias("tag"), F.create_map(*[x for k, c in props.items() for x in (F.lit(k), F.col(c).cast("string"))]).alias("properties"))
+    rows = v("customer", "Customer", "c", "c_custkey", name="c_name", segment="c_mktsegment").union(v("supplier", "Supplier", "s", "s_suppkey", name="s_name")).union(v("nation", "Nation", "n", "n_nationkey", name="n_name"))
+    return rows.union(v("region", "Region", "r", "r_regionkey", name="r_name")).union(v("part", "Part", "p", "p_partkey", name="p_name", brand="p_brand"))
+
+
+def _named(spark, d, table_name, p, key, test):
+    return table(spark, d, table_name).where(test).select(F.concat(F.lit(p), F.col(key).cast("string")).alias("id"))
+
+
+def _reach_props(spark, d):
+    s = _named(spark, d, "customer", "c", "c_custkey", "c_acctbal < 0")
+    got = G.reach(s, edges(spark, d), 3, F.col("type") == "BELONGS_TO", 100)
+    return G.with_properties(got, vertices(spark, d), "name").select("start", "id", "distance", "name")
+
+
+def _match(spark, d):
+    got = G.match(vertices(spark, d), edges(spark, d), "Part", "CONTAINS", "Supplier", "BELONGS_TO", "Nation")
+    return got.groupBy("n0", "n2").agg(F.count("*").alias("n_suppliers"))
+
+
+def _found(spark, d):
+    return G.find(vertices(spark, d), "Customer", segment="BUILDING").select("id", F.col("properties")["name"].alias("name"))
+
+
+def _where(spark, d):
+    v = vertices(spark, d).select("id", "tag", F.col("properties")["name"].alias("name"))
+    return v.where(G.where(("tag", "IN", ["Customer", "Supplier"]), ("name", "CONTAINS", "7"), ("id", "=~", "^[cs]1"))).select("id", "tag")
+
+
+def _ends(spark, d):
+    """Walks of up to three edges from parts to regions, by the names of their ends."""
+    v = vertices(spark, d).select("id", F.col("properties")["name"].alias("name"))
+    found = G.paths(v.where("substr(id, 1, 1) = 'p' AND name LIKE 'red%'").select("id"), edges(spark, d), 3).join(v.where("name LIKE 'A%'").select("id"), "id", "left_semi")
+    return found.where("substr(id, 1, 1) = 'r'").groupBy("id").agg(F.count("*").alias("n"))
+
+
+def _distances(spark, d):
+    return G.distances(_named(spark, d, "nation", "n", "n_nationkey", "true").union(_named(spark, d, "supplier", "s", "s_suppkey", "true")), G.both_ways(edges(spark, d).where("type = 'BELONGS_TO' AND substr(src, 1, 1) <> 'c'")), 6)
+
+
+def _analysis(spark, d):
+    s = _named(spark, d, "supplier", "s", "s_suppkey", "s_acctbal < 0")
+    got = G.analysis(s, edges(spark, d), "hierarchy", 2)
+    return got.select("n_nodes", "n_edges", r6("avg_degree").alias("avg_degree"), "n_components", F.col("by_type")["BELONGS_TO"].alias("n_belongs"), G.cyclic_estimate(F.col("n_nodes"), F.col("n_edges")).alias("cyclic"))
+
+
+def _dependencies(inward):
+    def run(spark, d):
+        s = _named(spark, d, "nation", "n", "n_nationkey", "true")
+        return G.dependencies(s, edges(spark, d), 2, inward).groupBy("start", "kind").agg(F.count("*").alias("n"))
+
+    return run
+
+
+def _neighbours(spark, d):
+    got = G.neighbours(calls(spark, d))
+    joined = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c)
+    return got.select("id", joined("successors"), joined("predecessors"))
+
+
+def _references(spark, d):
+    rows = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.array(F.col("p_size").cast("long"), F.col("p_partkey") % 11).alias("refs"))
+    hits = table(spark, d, "supplier").select(F.col("s_nationkey").cast("long").alias("wanted"), F.col("s_suppkey").alias("id"))
+    wanted = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("id"))
+    return G.references(rows, hits, wanted)
+
+
+def _node_types(spark, d):
+    v = vertices(spark, d)
+    label = F.when(F.col("tag") == "Part", F.concat("id", F.lit(".ts"))).otherwise(F.col("id"))
+    return v.groupBy(G.node_type(label, F.nullif("tag", F.lit("Region"))).alias("kind")).agg(F.count("*").alias("n"))
+
+
+def _overview(spark, d):
+    v, e = G.overview(vertices(spark, d), edges(spark, d))
+    return v.select(F.lit("node").alias("part"), F.col("id").alias("a"), F.lit(None).cast("string").alias("b")).union(e.select(F.lit("edge"), "src", "dst"))
+
+
+def _tainted(spark, d):
+    """Parts as variables: every 50th reads what comes in, and taint follows calls to larger keys."""
+    from tessera.operators import security
+
+    uses = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.when(F.col("p_size") == 50, "x = req.body").otherwise("y = 1").alias("code"))
+    return security.tainted(calls(spark, d).where("dst > src"), uses)
 
 
-def _dot(spark, d):
-    n = table(spark, d, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("label"))
-    return G.export_lines(n, calls(spark, d), "dot")
+def _flows(spark, d):
+    """Definitions at suppliers below zero and uses at nations, by the letter that their names share."""
+    defs = _named(spark, d, "customer", "c", "c_custkey", "c_acctbal < 0").withColumn("name", F.lit("v"))
+    uses = table(spark, d, "region").select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("id"), F.lit("v").alias("name"))
+    return G.flows(defs, uses, edges(spark, d)).groupBy("to_id").agg(F.count("*").alias("n"))
 
 
 QUERIES = {
     "graph_degree": _degrees, "graph_critical": _critical, "graph_khop": _khop, "graph_reach": _reach, "graph_impact": _impact, "graph_shortest": _shortest, "graph_all_paths": _paths,
     "graph_cycles": _cycles(False), "graph_cycles_compat": _cycles(True), "graph_components": _components, "graph_pagerank": _pagerank, "graph_pagerank_top": _ranked, "graph_communities": _communities,
     "dead_nodes": _dead, "entry_points": _entries, "graph_depth": _depth, "graph_summary": _summary, "graph_counts": _counts, "call_risk": _risk, "dominators": _dominators,
-    "enclosing_function": _enclosing, "overlapping_symbols": _overlap, "graph_dot": _dot,
+    "enclosing_function": _enclosing, "overlapping_symbols": _overlap, "graph_dot": _lines("dot"), "graph_mermaid": _lines("mermaid"), "graph_json": _lines("json"),
+    "graph_reach_filtered": _reach_props, "graph_match": _match, "graph_find": _found, "graph_where": _where, "graph_path_ends": _ends, "graph_distances": _distances, "graph_analysis": _analysis,
+    "graph_dependencies": _dependencies(False), "graph_dependents": _dependencies(True), "graph_neighbours": _neighbours, "graph_references": _references, "graph_node_types": _node_types,
+    "graph_overview": _overview, "taint_reach": _tainted, "def_use_flows": _flows,
 }
 
 _E = """e AS (SELECT 'BELONGS_TO' AS type, 'c' || c_custkey AS src, 'n' || c_nationkey AS dst FROM customer UNION ALL SELECT 'BELONGS_TO', 's' || s_suppkey, 'n' || s_nationkey FROM supplier
   UNION ALL SELECT 'BELONGS_TO', 'n' || n_nationkey, 'r' || n_regionkey FROM nation UNION ALL SELECT DISTINCT 'CONTAINS', 'p' || l_partkey, 's' || l_suppkey FROM lineitem)"""
-_C = "c AS (SELECT DISTINCT src, dst FROM (SELECT n_nationkey::BIGINT AS src, (7 * n_nationkey::BIGINT + 3) % 25 AS dst FROM nation UNION ALL SELECT n_nationkey::BIGINT, (n_nationkey::BIGINT * n_nationkey + 1) % 25 FROM nation))"
+_C = "np AS (SELECT count(*) AS np FROM part), c AS (SELECT DISTINCT src, dst FROM (SELECT p_partkey AS src, (10 * p_partkey + 3) % np AS dst FROM part, np UNION ALL SELECT p_partkey, (p_partkey * p_partkey + 1) % np FROM part, np))"
+_V = """v AS (SELECT 'c' || c_custkey AS id, 'Customer' AS tag, c_name AS name, c_mktsegment AS segment FROM customer UNION ALL SELECT 's' || s_suppkey, 'Supplier', s_name, NULL FROM supplier UNION ALL SELECT 'n' || n_nationkey, 'Nation', n_name, NULL FROM nation
+  UNION ALL SELECT 'r' || r_regionkey, 'Region', r_name, NULL FROM region UNION ALL SELECT 'p' || p_partkey, 'Part', p_name, NULL FROM part)"""
+_LPA = lambda n: "b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), l0 AS (SELECT DISTINCT src AS id, src AS c FROM b), " + ", ".join(f"l{k} AS MATERIALIZED (SELECT id, c FROM (SELECT b.src AS id, l.c, row_number() OVER (PARTITION BY b.src ORDER BY count(*) DESC, l.c) AS r FROM b JOIN l{k - 1} l ON l.id = b.dst GROUP BY b.src, l.c) WHERE r = 1)" for k in range(1, n + 1))
+_DOWN = f"{_E}, dn AS (SELECT dst AS src, src AS dst FROM e WHERE src NOT LIKE 'c%' UNION ALL SELECT 'w', 'r' || r_regionkey FROM region)"
 _DEG = "g AS (SELECT id, sum(i)::BIGINT AS n_in, sum(o)::BIGINT AS n_out, count(*)::BIGINT AS degree FROM (SELECT src AS id, 0 AS i, 1 AS o FROM {0} UNION ALL SELECT dst, 1, 0 FROM {0}) GROUP BY id)"
 _STR = "array_to_string([x::VARCHAR FOR x IN {}], '{}')"
 _WALK = "w AS (SELECT id AS start, id, 0 AS k FROM s UNION SELECT w.start, e.dst, k + 1 FROM w JOIN e ON e.src = w.id WHERE k < {})"
@@ -156,25 +271,46 @@ SELECT len(path)::BIGINT AS length, {_STR.format('path', '>')} AS cycle FROM p J
 SQL = {
     "graph_degree": f"WITH {_E}, {_DEG.format('e')} SELECT * FROM g WHERE degree >= 20",
     "graph_critical": f"WITH {_E}, {_DEG.format('e')} SELECT id, degree FROM g ORDER BY degree DESC, id LIMIT 3",
-    "graph_khop": f"WITH RECURSIVE {_E}, s AS (SELECT 'p' || p_partkey AS id FROM part WHERE p_partkey <= 20), {_WALK.format(3)} SELECT DISTINCT start, id FROM w WHERE k = 3",
-    "graph_reach": f"WITH RECURSIVE {_E}, s AS (SELECT 'p' || p_partkey AS id FROM part WHERE p_partkey <= 5), {_WALK.format(3)} SELECT start, id, min(k)::INT AS distance FROM w GROUP BY ALL",
+    "graph_khop": f"WITH RECURSIVE {_E}, s AS (SELECT 'p' || p_partkey AS id FROM part), {_WALK.format(3)} SELECT DISTINCT start, id FROM w WHERE k = 3",
+    "graph_reach": f"WITH RECURSIVE {_E}, s AS (SELECT 'p' || p_partkey AS id FROM part), {_WALK.format(3)} SELECT start, id, min(k)::INT AS distance FROM w GROUP BY ALL",
     "graph_impact": f"WITH RECURSIVE {_E}, w AS (SELECT 'r0' AS id, 0 AS k UNION SELECT e.src, k + 1 FROM w JOIN e ON e.dst = w.id WHERE k < 2), m AS (SELECT id, min(k) AS k FROM w GROUP BY id) SELECT k::INT AS distance, count(*)::BIGINT AS n FROM m GROUP BY k",
-    "graph_shortest": f"WITH RECURSIVE {_C}, p AS (SELECT [0::BIGINT] AS path, 0::BIGINT AS l UNION ALL SELECT list_append(path, c.dst), c.dst FROM p JOIN c ON c.src = p.l WHERE NOT list_contains(path, c.dst) AND len(path) <= 10) SELECT len(path)::BIGINT - 1 AS distance, {_STR.format('path', '>')} AS path FROM p WHERE l = 12 ORDER BY len(p.path), p.path LIMIT 1",
-    "graph_all_paths": f"WITH RECURSIVE {_C}, p AS (SELECT [0::BIGINT] AS path, 0::BIGINT AS l UNION ALL SELECT list_append(path, c.dst), c.dst FROM p JOIN c ON c.src = p.l WHERE NOT list_contains(path, c.dst) AND len(path) <= 6) SELECT len(path)::BIGINT - 1 AS length, {_STR.format('path', '>')} AS path FROM p WHERE l = 1 AND len(path) > 1",
+    "graph_shortest": f"WITH RECURSIVE {_C}, p AS (SELECT [0::BIGINT] AS path, 0::BIGINT AS l UNION ALL SELECT list_append(path, c.dst), c.dst FROM p JOIN c ON c.src = p.l WHERE NOT list_contains(path, c.dst) AND len(path) <= 10) SELECT len(path)::BIGINT - 1 AS distance, {_STR.format('path', '>')} AS path FROM p WHERE l = 33 ORDER BY len(p.path), p.path LIMIT 1",
+    "graph_all_paths": f"WITH RECURSIVE {_C}, p AS (SELECT [0::BIGINT] AS path, 0::BIGINT AS l UNION ALL SELECT list_append(path, c.dst), c.dst FROM p JOIN c ON c.src = p.l WHERE NOT list_contains(path, c.dst) AND len(path) <= 6) SELECT len(path)::BIGINT - 1 AS length, {_STR.format('path', '>')} AS path FROM p WHERE l = 33 AND len(path) > 1",
     "graph_cycles": _CYC.format("list_min(path) = path[1]"),
     "graph_cycles_compat": _CYC.format("true"),
-    "graph_components": f"WITH RECURSIVE {_E}, b AS (SELECT src, dst FROM e WHERE type = 'BELONGS_TO' UNION SELECT dst, src FROM e WHERE type = 'BELONGS_TO'), q AS (SELECT DISTINCT src AS id FROM b WHERE src LIKE 'r%'), w AS (SELECT id AS root, id FROM q UNION SELECT root, b.dst FROM w JOIN b ON b.src = w.id), m AS (SELECT root, min(id) AS component, count(*)::BIGINT AS n FROM w GROUP BY root) SELECT DISTINCT component, n FROM m",
+    "graph_components": f"WITH RECURSIVE {_E}, b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), q AS (SELECT DISTINCT src AS id FROM b WHERE src LIKE 'r%'), w AS (SELECT id AS root, id FROM q UNION SELECT root, b.dst FROM w JOIN b ON b.src = w.id), m AS (SELECT root, min(id) AS component, count(*)::BIGINT AS n FROM w GROUP BY root) SELECT DISTINCT component, n FROM m",
     "graph_pagerank": f"WITH {_C}, {_PR(20).format('c')} SELECT id, round(r, 6) AS rank FROM r20",
-    "graph_pagerank_top": f"WITH {_E}, b AS (SELECT src, dst FROM e WHERE type = 'BELONGS_TO'), {_PR(5).format('b')} SELECT id, row_number() OVER (ORDER BY r DESC, id)::BIGINT AS place, round(r, 6) AS rank FROM r5 ORDER BY r DESC, id LIMIT 10",
-    "dead_nodes": f"WITH {_C} SELECT n_nationkey::VARCHAR AS name FROM nation WHERE n_nationkey % 9 <> 0 AND n_nationkey NOT IN (SELECT dst FROM c)",
-    "entry_points": "SELECT n_nationkey::VARCHAR AS name FROM nation WHERE n_nationkey % 9 = 0",
-    "graph_depth": f"WITH RECURSIVE {_C}, w AS (SELECT 0::BIGINT AS id, 0 AS k UNION SELECT c.dst, k + 1 FROM w JOIN c ON c.src = w.id WHERE k < 30), m AS (SELECT id, min(k) AS k FROM w GROUP BY id) SELECT max(k)::BIGINT AS depth FROM m",
+    "graph_pagerank_top": f"WITH {_E}, b AS (SELECT src, dst FROM e), {_PR(5).format('b')} SELECT id, row_number() OVER (ORDER BY r DESC, id)::BIGINT AS place, round(r, 6) AS rank FROM r5 ORDER BY r DESC, id LIMIT 10",
+    "dead_nodes": f"WITH {_C} SELECT p_partkey::VARCHAR AS name FROM part WHERE p_partkey % 9 <> 1 AND p_partkey NOT IN (SELECT dst FROM c)",
+    "entry_points": "SELECT p_partkey::VARCHAR AS name FROM part WHERE p_partkey % 9 = 1",
+    "graph_depth": f"WITH RECURSIVE {_C}, w AS (SELECT 0::BIGINT AS id, 0 AS k UNION SELECT c.dst, k + 1 FROM w JOIN c ON c.src = w.id WHERE k < 60), m AS (SELECT id, min(k) AS k FROM w GROUP BY id) SELECT max(k)::BIGINT AS depth FROM m",
     "graph_summary": f"WITH {_E}, v AS (SELECT src AS id FROM e UNION SELECT dst FROM e) SELECT (SELECT count(*) FROM v)::BIGINT AS n_nodes, (SELECT count(*) FROM e)::BIGINT AS n_edges, round((SELECT count(*) FROM e) / (SELECT count(*) FROM v)::DOUBLE, 6) AS avg_degree",
     "graph_counts": f"WITH {_E}, v AS (SELECT src AS id FROM e UNION SELECT dst FROM e) SELECT 'node' AS kind, id[1] AS name, count(*)::BIGINT AS n FROM v GROUP BY ROLLUP (id[1]) UNION ALL SELECT 'edge', type, count(*) FROM e GROUP BY ROLLUP (type)",
     "call_risk": f"WITH {_C}, {_DEG.format('c')} SELECT id, CASE WHEN id % 12 > 10 OR n_in > 5 OR n_out > 10 THEN 'high' WHEN id % 12 > 5 OR n_in > 2 OR n_out > 5 THEN 'medium' ELSE 'low' END AS risk FROM g",
-    "dominators": f"""WITH RECURSIVE {_C}, v AS (SELECT 0::BIGINT AS id UNION SELECT c.dst FROM v JOIN c ON c.src = v.id), a AS (SELECT x.id AS cut, 0::BIGINT AS id FROM v x WHERE x.id <> 0 UNION SELECT a.cut, c.dst FROM a JOIN c ON c.src = a.id WHERE c.dst <> a.cut),
-d AS (SELECT v.id, x.id AS dom FROM v, v x WHERE x.id = v.id OR x.id = 0 OR NOT EXISTS (SELECT 1 FROM a WHERE a.cut = x.id AND a.id = v.id)) SELECT id, {_STR.format('list(dom ORDER BY dom)', ',')} AS dominators FROM d GROUP BY id""",
-    "enclosing_function": "WITH f AS (SELECT o_custkey % 10 AS file, o_orderkey AS name, o_orderkey % 1000 AS a, o_orderkey % 1000 + o_custkey % 50 AS b FROM orders WHERE o_orderkey % 100 = 0), s AS (SELECT DISTINCT p_partkey % 10 AS file, p_size::BIGINT AS line FROM part) SELECT file, line, name FROM (SELECT s.file, s.line, name, row_number() OVER (PARTITION BY s.file, s.line ORDER BY a, name) AS r FROM s JOIN f ON s.file = f.file AND s.line BETWEEN a AND b) WHERE r = 1",
-    "overlapping_symbols": "WITH f AS (SELECT o_custkey % 10 AS file, o_orderkey AS name, o_orderkey % 1000 AS a, o_orderkey % 1000 + o_custkey % 50 AS b FROM orders WHERE o_orderkey % 50 = 0), c AS (SELECT (n_nationkey % 10)::BIGINT AS file, (n_nationkey * 40)::BIGINT AS x, (n_nationkey * 40 + 5)::BIGINT AS y FROM nation) SELECT f.file, f.name, x AS change_start, y AS change_end FROM c JOIN f ON c.file = f.file AND x <= b AND y >= a",
-    "graph_dot": f"WITH {_C} SELECT 0 AS part, 'digraph G {{' AS line UNION ALL SELECT 1, '  \"' || n_nationkey || '\" [label=\"' || n_name || '\"];' FROM nation UNION ALL SELECT 2, '  \"' || src || '\" -> \"' || dst || '\";' FROM c UNION ALL SELECT 3, '}}'",
+    "dominators": f"""WITH {_DOWN}, d0 AS (SELECT 'w' AS id, 'w' AS dom), """ + ", ".join(
+        f"d{k} AS (SELECT id, dom FROM (SELECT dn.dst AS id, d.dom, count(*) AS n FROM dn JOIN d{k - 1} d ON d.id = dn.src GROUP BY ALL) JOIN (SELECT dst AS id, count(*) AS m FROM dn GROUP BY 1) USING (id) WHERE n = m UNION ALL SELECT DISTINCT dst, dst FROM dn JOIN d{k - 1} d ON d.id = dn.src)" for k in (1, 2, 3, 4)
+    ) + " SELECT id, string_agg(dom, ',' ORDER BY dom) AS dominators FROM (" + " UNION ALL ".join(f"SELECT * FROM d{k}" for k in range(5)) + ") GROUP BY id",
+    "enclosing_function": "WITH f AS (SELECT o_custkey % 100 AS file, o_orderkey AS name, o_orderkey % 1000 AS a, o_orderkey % 1000 + o_custkey % 50 AS b FROM orders), s AS (SELECT DISTINCT p_partkey % 100 AS file, p_size::BIGINT AS line FROM part) SELECT file, line, name FROM (SELECT s.file, s.line, name, row_number() OVER (PARTITION BY s.file, s.line ORDER BY a, name) AS r FROM s JOIN f ON s.file = f.file AND s.line BETWEEN a AND b) WHERE r = 1",
+    "overlapping_symbols": "WITH f AS (SELECT o_custkey % 100 AS file, o_orderkey AS name, o_orderkey % 1000 AS a, o_orderkey % 1000 + o_custkey % 50 AS b FROM orders), c AS (SELECT s_suppkey % 100 AS file, s_suppkey * 37 % 1000 AS x, s_suppkey * 37 % 1000 + 5 AS y FROM supplier) SELECT f.file, f.name, x AS change_start, y AS change_end FROM c JOIN f ON c.file = f.file AND x <= b AND y >= a",
+    "graph_dot": f"WITH {_C} SELECT 0 AS part, 'digraph G {{' AS line UNION ALL SELECT 1, '  \"' || p_partkey || '\" [label=\"' || p_name || '\"];' FROM part UNION ALL SELECT 2, '  \"' || src || '\" -> \"' || dst || '\";' FROM c UNION ALL SELECT 3, '}}'",
+    "graph_mermaid": f"WITH {_C} SELECT 0 AS part, 'graph TD' AS line UNION ALL SELECT 1, '  ' || p_partkey || '[' || p_name || ']' FROM part UNION ALL SELECT 2, '  ' || src || ' --> ' || dst FROM c",
+    "graph_json": f"""WITH {_C} SELECT 1 AS part, '{{"id":"' || p_partkey || '","label":"' || p_name || '"}}' AS line FROM part UNION ALL SELECT 2, '{{"src":"' || src || '","dst":"' || dst || '"}}' FROM c""",
+    "graph_communities": f"WITH {_E}, {_LPA(4)} SELECT c AS community, count(*)::BIGINT AS n FROM l4 GROUP BY c HAVING count(*) >= 2",
+    "graph_reach_filtered": f"WITH {_E}, {_V}, s AS (SELECT 'c' || c_custkey AS start, 'n' || c_nationkey AS n, 'r' || n_regionkey AS r FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_acctbal < 0), w AS (SELECT start, start AS id, 0 AS distance FROM s UNION ALL SELECT start, n, 1 FROM s UNION ALL SELECT start, r, 2 FROM s) SELECT start, id, distance, name FROM (SELECT * FROM w ORDER BY start, distance, id LIMIT 100) JOIN v USING (id)",
+    "graph_match": "SELECT 'p' || l_partkey AS n0, 'n' || s_nationkey AS n2, count(*)::BIGINT AS n_suppliers FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem) JOIN supplier ON s_suppkey = l_suppkey GROUP BY ALL",
+    "graph_find": "SELECT 'c' || c_custkey AS id, c_name AS name FROM customer WHERE c_mktsegment = 'BUILDING'",
+    "graph_where": f"WITH {_V} SELECT id, tag FROM v WHERE tag IN ('Customer', 'Supplier') AND contains(name, '7') AND regexp_matches(id, '^[cs]1')",
+    "graph_path_ends": "SELECT 'r' || r_regionkey AS id, count(*)::BIGINT AS n FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem) JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey WHERE p_name LIKE 'red%' AND r_name LIKE 'A%' GROUP BY 1",
+    "graph_distances": """WITH x AS (SELECT 'n' || n_nationkey AS id, n_nationkey AS n, n_regionkey AS r, 0 AS up FROM nation UNION ALL SELECT 's' || s_suppkey, n_nationkey, n_regionkey, 1 FROM supplier JOIN nation ON n_nationkey = s_nationkey)
+SELECT a.id AS start, b.id, (a.up + b.up + CASE WHEN a.n = b.n THEN 0 ELSE 2 END)::INT AS distance FROM x a JOIN x b ON a.r = b.r AND a.id <> b.id""",
+    "graph_analysis": f"""WITH {_E}, s AS (SELECT 's' || s_suppkey AS id FROM supplier WHERE s_acctbal < 0), a AS (SELECT id FROM s UNION SELECT dst FROM e JOIN s ON s.id = src), b AS (SELECT id FROM a UNION SELECT dst FROM e JOIN a ON a.id = src), i AS (SELECT e.* FROM e WHERE src IN (SELECT id FROM b) AND dst IN (SELECT id FROM b))
+SELECT (SELECT count(*) FROM b)::BIGINT AS n_nodes, count(*)::BIGINT AS n_edges, round(count(*) / (SELECT count(*) FROM b)::DOUBLE, 6) AS avg_degree, (SELECT count(*) FROM b WHERE id LIKE 'r%')::BIGINT AS n_components, count(*) FILTER (WHERE type = 'BELONGS_TO')::BIGINT AS n_belongs, greatest(0, (count(*) - (SELECT count(*) FROM b)) // 2)::BIGINT AS cyclic FROM i""",
+    "graph_dependencies": "SELECT 'n' || n_nationkey AS start, 'direct' AS kind, 1::BIGINT AS n FROM nation",
+    "graph_dependents": "WITH a AS (SELECT 'n' || s_nationkey AS start, 's' || s_suppkey AS id, 'direct' AS kind FROM supplier UNION ALL SELECT 'n' || c_nationkey, 'c' || c_custkey, 'direct' FROM customer UNION SELECT 'n' || s_nationkey, 'p' || l_partkey, 'transitive' FROM lineitem JOIN supplier ON s_suppkey = l_suppkey) SELECT start, kind, count(*)::BIGINT AS n FROM a GROUP BY ALL",
+    "graph_neighbours": f"WITH {_C} SELECT coalesce(a.src, b.dst) AS id, s AS successors, p AS predecessors FROM (SELECT src, string_agg(dst, ',' ORDER BY dst) AS s FROM c GROUP BY src) a FULL JOIN (SELECT dst, string_agg(src, ',' ORDER BY src) AS p FROM c GROUP BY dst) b ON a.src = b.dst",
+    "graph_references": "SELECT p_size::BIGINT AS wanted, p_partkey AS id FROM part WHERE p_size < 25 UNION SELECT p_partkey % 11, p_partkey FROM part UNION SELECT s_nationkey::BIGINT, s_suppkey FROM supplier",
+    "graph_node_types": f"WITH {_V} SELECT CASE tag WHEN 'Part' THEN 'file' WHEN 'Region' THEN 'project' ELSE tag END AS kind, count(*)::BIGINT AS n FROM v GROUP BY 1",
+    "graph_overview": f"WITH {_E}, {_V} SELECT 'node' AS part, id AS a, NULL::VARCHAR AS b FROM (SELECT id FROM v ORDER BY id LIMIT 100) UNION ALL SELECT 'edge', src, dst FROM (SELECT * FROM e ORDER BY src, dst, type LIMIT 200)",
+    "taint_reach": f"WITH RECURSIVE {_C}, t AS (SELECT p_partkey AS id FROM part WHERE p_size = 50 UNION SELECT c.dst FROM t JOIN c ON c.src = t.id WHERE c.dst > c.src) SELECT id FROM t",
+    "def_use_flows": "SELECT 'r' || n_regionkey AS to_id, count(*)::BIGINT AS n FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_acctbal < 0 GROUP BY 1",
 }

@@ -61,9 +61,9 @@ def _changed(spark, d):
 
 
 def _symbols(spark, d):
-    place = lambda k: [(F.col("p_partkey") % 40).alias("file_path"), (F.col("p_size") % k).cast("long").alias("start_line"), F.lit(9).cast("long").alias("end_line")]
-    hits = table(spark, d, "part").where("p_partkey <= 400").select(*place(7), F.lit(0.6).alias("score")).distinct()
-    symbols = table(spark, d, "part").where("p_partkey > 1000").select(*place(9), F.lit(0.5).alias("score"), F.col("p_partkey").alias("symbol"))
+    place = lambda key, line: [(F.col(key) % 40).alias("file_path"), line.cast("long").alias("start_line"), F.lit(9).cast("long").alias("end_line")]
+    hits = table(spark, d, "supplier").select(*place("s_suppkey", F.col("s_suppkey") % 7), F.lit(0.6).alias("score")).distinct()
+    symbols = table(spark, d, "part").select(*place("p_partkey", F.col("p_size") % 9), F.lit(0.5).alias("score"), F.col("p_partkey").alias("symbol"))
     got = search.add_symbol_hits(hits, symbols)
     return got.select("file_path", "start_line", "symbol", r6("score").alias("score"))
 
@@ -88,7 +88,7 @@ SQL = {
     "upsert": "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN upper(p_name) ELSE p_name END AS p_name FROM part WHERE p_partkey % 2 = 0 OR p_partkey % 3 <> 0",
     "delete_rows": "SELECT p_partkey FROM part WHERE p_partkey % 3 <> 0 AND p_partkey % 2 <> 0",
     "changed_rows": "SELECT doc_id AS path FROM documents WHERE doc_id % 4 = 0 AND text <> ''",
-    "symbol_hits": """WITH h AS (SELECT DISTINCT p_partkey % 40 AS file_path, (p_size % 7)::BIGINT AS start_line FROM part WHERE p_partkey <= 400), s AS (SELECT p_partkey % 40 AS file_path, (p_size % 9)::BIGINT AS start_line, p_partkey AS symbol FROM part WHERE p_partkey > 1000),
+    "symbol_hits": """WITH h AS (SELECT DISTINCT s_suppkey % 40 AS file_path, s_suppkey % 7 AS start_line FROM supplier), s AS (SELECT p_partkey % 40 AS file_path, (p_size % 9)::BIGINT AS start_line, p_partkey AS symbol FROM part),
 n AS (SELECT file_path, start_line, count(*) AS n FROM s GROUP BY ALL)
 SELECT h.file_path, h.start_line, NULL::BIGINT AS symbol, round(CASE WHEN n IS NULL THEN 0.6 ELSE least(1.0, 0.6 + 0.1 * n) END, 6)::DOUBLE AS score FROM h LEFT JOIN n USING (file_path, start_line)
 UNION ALL SELECT file_path, start_line, symbol, 0.4 FROM s WHERE (file_path, start_line) NOT IN (SELECT (file_path, start_line) FROM h)""",

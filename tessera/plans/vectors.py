@@ -32,7 +32,7 @@ SELECT vec_id, label, round(score, 6) AS score FROM s ORDER BY s.score {order},
 
 def _batch(spark, d):
     rows = table(spark, d, "embeddings")
-    return vector.knn_batch(rows, rows.where("vec_id < 20"), 5).select("query_id", "vec_id", "rank", r6("score").alias("score"))
+    return vector.knn_batch(rows, rows.where("vec_id % 50 = 0"), 5).select("query_id", "vec_id", "rank", r6("score").alias("score"))
 
 
 def _adapt(how, to):
@@ -59,7 +59,7 @@ def _keyword(spark, d):
 
 def _benchmark_terms(spark, d):
     """Each benchmark text's words against each document, through the words themselves."""
-    words = F.explode(F.array_distinct(F.filter(X.terms(F.col("text")), lambda t: F.length(t) > 6)))
+    words = F.explode(F.array_distinct(X.terms(F.col("text"))))
     asked = table(spark, d, "benchmark").select("item_id", words.alias("word"))
     held = table(spark, d, "documents").select("doc_id", words.alias("word"))
     n = asked.groupBy("item_id").agg(F.count("*").alias("n"))
@@ -68,15 +68,16 @@ def _benchmark_terms(spark, d):
 
 
 def _fuzzy_tokens(spark, d):
-    tokens = table(spark, d, "documents").select(F.explode(F.array_distinct(X.terms(F.col("text")))).alias("token")).where(F.col("token").rlike("^[a-z]+$")).distinct()
-    score = S.fuzzy(F.col("token"), F.lit("information"))
-    return tokens.select("token", r6(score).alias("score")).where("score > 0.5")
+    tokens = table(spark, d, "documents").select(F.explode(F.array_distinct(X.terms(F.col("text")))).alias("token")).distinct()
+    score = S.fuzzy(F.col("token"), F.lit("orantion"))
+    return tokens.select("token", r6(score).alias("score")).where("score > 0.7")
 
 
 def _semantic_final(spark, d):
     c, q = F.col("text"), F.lit(QUERY)
     modified = F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id") * 3600)
-    docs = table(spark, d, "documents").select("doc_id", search.semantic(F.lit(0.4), c, q).alias("sem"), search.contextual(c, F.col("lang")).alias("ctx"), search.recency(modified, F.lit(AS_OF).cast("timestamp")).alias("rec"), search.popularity(F.col("doc_id") % 60, F.lit(0)).alias("pop"))
+    base = F.when(F.col("doc_id") % 4 == 0, 0.0).when(F.col("doc_id") % 4 > 1, 0.4)
+    docs = table(spark, d, "documents").select("doc_id", search.semantic(base, c, q).alias("sem"), search.contextual(c, F.col("lang")).alias("ctx"), search.recency(modified, F.lit(AS_OF).cast("timestamp")).alias("rec"), search.popularity(F.col("doc_id") % 60, F.lit(0)).alias("pop"))
     return docs.select("doc_id", r6(search.final_score(*[F.col(x) for x in ("sem", "ctx", "rec", "pop")])).alias("score"))
 
 
@@ -174,7 +175,7 @@ SQL = {
     "knn_filtered": _near_sql(_COS, "DESC", "label IN (1, 2, 3)"),
     "knn_threshold_exclude": _near_sql(_COS, "DESC", f"vec_id NOT IN (0, 1, 2, 3) AND {_COS} >= 0.1"),
     "knn_batch_per_query": """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), s AS (
-  SELECT q.vec_id AS query_id, e.vec_id, list_cosine_similarity(e.v, q.v) AS s FROM e, e q WHERE q.vec_id < 20 AND e.vec_id <> q.vec_id
+  SELECT q.vec_id AS query_id, e.vec_id, round(list_cosine_similarity(e.v, q.v), 12) AS s FROM e, e q WHERE q.vec_id % 50 = 0 AND e.vec_id <> q.vec_id
 ), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id)::INT AS rank FROM s)
 SELECT query_id, vec_id, rank, round(s, 6) AS score FROM r WHERE rank <= 5""",
     "dim_truncate": _SUMS.format("v[1:32]"),
@@ -186,14 +187,14 @@ SELECT query_id, vec_id, rank, round(s, 6) AS score FROM r WHERE rank <= 5""",
   SELECT label, i, avg(x) AS x FROM x GROUP BY ALL), c AS (SELECT label, list(x ORDER BY i) AS c FROM m GROUP BY label)
 SELECT a.label AS label_a, b.label AS label_b, round(list_cosine_similarity(a.c, b.c), 6) AS cosine, round(list_distance(a.c, b.c), 6) AS euclidean FROM c a JOIN c b ON a.label < b.label""",
     "keyword_containment": f"SELECT doc_id AS id, least({_CONTAIN} / 4.0::DOUBLE, 1.0::DOUBLE) AS score FROM documents WHERE {_CONTAIN} / 4.0 >= 0.3 ORDER BY score DESC, id LIMIT 20",
-    "benchmark_term_overlap": r"""WITH w AS (SELECT item_id, unnest(list_distinct([t FOR t IN string_split_regex(lower(text), '\s+') IF length(t) > 6])) AS word FROM benchmark),
-h AS (SELECT doc_id, unnest(list_distinct([t FOR t IN string_split_regex(lower(text), '\s+') IF length(t) > 6])) AS word FROM documents),
+    "benchmark_term_overlap": r"""WITH w AS (SELECT item_id, unnest(list_distinct(string_split_regex(lower(text), '[ \t\n\x0B\f\r]+'))) AS word FROM benchmark),
+h AS (SELECT doc_id, unnest(list_distinct(string_split_regex(lower(text), '[ \t\n\x0B\f\r]+'))) AS word FROM documents),
 n AS (SELECT item_id, count(*) AS n FROM w GROUP BY 1), m AS (SELECT item_id, doc_id, count(*) AS hits FROM w JOIN h USING (word) GROUP BY ALL)
 SELECT item_id, doc_id, round(hits / n::DOUBLE, 6) AS score FROM m JOIN n USING (item_id) WHERE 2 * hits >= n""",
-    "fuzzy_token_match": r"""WITH t AS (SELECT DISTINCT unnest(string_split_regex(lower(text), '\s+')) AS token FROM documents)
-SELECT token, round((greatest(length(token), 11) - levenshtein(token, 'information')) / greatest(length(token), 11)::DOUBLE, 6) AS score FROM t
-WHERE regexp_matches(token, '^[a-z]+$') AND round((greatest(length(token), 11) - levenshtein(token, 'information')) / greatest(length(token), 11)::DOUBLE, 6) > 0.5""",
-    "semantic_final_score": f"""WITH p AS (SELECT doc_id, least(0.4 + 0.1::DOUBLE * {_CONTAIN}, 1.0) AS sem,
+    # A character that is not ASCII differs from all of the word asked for, whatever it is.
+    "fuzzy_token_match": r"""WITH t AS (SELECT DISTINCT unnest(string_split_regex(lower(text), '[ \t\n\x0B\f\r]+')) AS token FROM documents), a AS (SELECT token, regexp_replace(token, '[^\x00-\x7F]', '~', 'g') AS x FROM t),
+s AS (SELECT token, round((greatest(length(x), 8) - levenshtein(x, 'orantion')) / greatest(length(x), 8)::DOUBLE, 6) AS score FROM a) SELECT token, score FROM s WHERE score > 0.7""",
+    "semantic_final_score": f"""WITH p AS (SELECT doc_id, least(CASE WHEN doc_id % 4 > 1 THEN 0.4 ELSE 0.5 END + 0.1::DOUBLE * {_CONTAIN}, 1.0) AS sem,
   least(CASE WHEN {_ANY(('function', 'class'))} THEN 0.2 ELSE 0 END + CASE WHEN {_ANY(('import', 'export'))} THEN 0.1 ELSE 0 END + CASE WHEN {_ANY(('//', '*'))} THEN 0.15 ELSE 0 END, 1.0)::DOUBLE AS ctx,
   exp(-((1717200000 - 1704067200 - doc_id * 3600) / 86400.0::DOUBLE) / 365) AS rec, least((doc_id % 60) / 50.0::DOUBLE, 1.0) AS pop FROM documents)
 SELECT doc_id, round(sem * 0.5 + ctx * 0.25 + rec * 0.15 + pop * 0.1, 6) AS score FROM p""",

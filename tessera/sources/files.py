@@ -76,6 +76,18 @@ def directory_stats(files: DataFrame, path: str = "relative_path") -> tuple[Data
     return total, files.groupBy("language").agg(F.count("*").alias("n_files"), F.sum("size").alias("bytes"))
 
 
+def largest(files: DataFrame, k: int = 10, path: str = "relative_path") -> DataFrame:
+    """The k largest files, with their place."""
+    best = files.orderBy(F.desc("size"), path).limit(k)
+    return best.select(path, "size")
+
+
+def by_extension(files: DataFrame, path: str = "relative_path") -> DataFrame:
+    """(extension, n_files, bytes): without a dot there is none."""
+    ext = F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1))
+    return files.groupBy(ext.alias("extension")).agg(F.count("*").alias("n_files"), F.sum("size").alias("bytes"))
+
+
 def project_id(path: Column) -> Column:
     """A stable key of a project: by its path, not its content."""
     return F.substring(F.sha2(path, 256), 1, 16)

@@ -40,12 +40,31 @@ class Collections:
         return {"name": name, "dim": props.get("dim", ""), "metric": props.get("metric", ""), "points": str(self.table(name).count())}
 
     def replace(self, name: str, rows: DataFrame) -> None:
-        """The new rows are written beside the old ones first; only a complete table takes their place."""
-        staging = f"{name}__new"
-        self.drop(staging)
-        rows.write.saveAsTable(self._name(staging))
-        self.spark.table(self._name(staging)).write.mode("overwrite").insertInto(self._name(name))
-        self.drop(staging)
+        """The new rows are written as a table of their own, which then takes the old one's name; the old one goes last.
+
+        If that breaks off between, ``recover`` puts the complete table that is left in place.
+        """
+        self.recover(name)
+        new, old = f"{name}__new", f"{name}__old"
+        self.drop(new)
+        info = self.info(name)
+        self.create(new, int(info["dim"]), info["metric"])
+        rows.select("id", "vector", "payload", "ts").write.insertInto(self._name(new))
+        self.spark.sql(f"ALTER TABLE {self._name(name)} RENAME TO {self._name(old)}")
+        self.spark.sql(f"ALTER TABLE {self._name(new)} RENAME TO {self._name(name)}")
+        self.drop(old)
+
+    def recover(self, name: str) -> None:
+        """Finishes what a ``replace`` left unfinished."""
+        if not self.exists(name):
+            for left in (f"{name}__new", f"{name}__old"):
+                if self.exists(left) and not self.exists(name):
+                    self.spark.sql(f"ALTER TABLE {self._name(left)} RENAME TO {self._name(name)}")
+        elif self.exists(f"{name}__old"):
+            self.drop(f"{name}__old")
+
+    def clear(self, name: str) -> None:
+        self.spark.sql(f"TRUNCATE TABLE {self._name(name)}")
 
     def upsert(self, name: str, rows: DataFrame) -> None:
         """Last write wins for each id."""
@@ -58,6 +77,60 @@ class Collections:
         return self.table(name).where(where).select("id")
 
 
+class Spaces:
+    """Graph spaces: a catalog database each, with one table of vertices and one of edges."""
+
+    VERTICES = "tag STRING, id STRING, properties MAP<STRING, STRING>"
+    EDGES = "type STRING, src STRING, dst STRING, properties MAP<STRING, STRING>"
+
+    def __init__(self, spark: SparkSession, prefix: str = "graph_"):
+        self.spark, self.prefix = spark, prefix
+
+    def _table(self, space: str, table: str) -> str:
+        return f"`{self.prefix}{space}`.{table}"
+
+    def create(self, space: str) -> None:
+        self.spark.sql(f"CREATE DATABASE IF NOT EXISTS `{self.prefix}{space}`")
+        for table, columns in (("vertices", self.VERTICES), ("edges", self.EDGES)):
+            self.spark.sql(f"CREATE TABLE IF NOT EXISTS {self._table(space, table)} ({columns}) USING parquet")
+
+    def names(self) -> list[str]:
+        return sorted(d.name.removeprefix(self.prefix) for d in self.spark.catalog.listDatabases(f"{self.prefix}*"))
+
+    def drop(self, space: str) -> None:
+        self.spark.sql(f"DROP DATABASE IF EXISTS `{self.prefix}{space}` CASCADE")
+
+    def clear(self, space: str) -> None:
+        for table in ("vertices", "edges"):
+            self.spark.sql(f"TRUNCATE TABLE {self._table(space, table)}")
+
+    def vertices(self, space: str) -> DataFrame:
+        return self.spark.table(self._table(space, "vertices"))
+
+    def edges(self, space: str) -> DataFrame:
+        return self.spark.table(self._table(space, "edges"))
+
+    def size(self, space: str) -> dict[str, int]:
+        return {"vertices": self.vertices(space).count(), "edges": self.edges(space).count()}
+
+    def insert(self, space: str, vertices: DataFrame | None = None, edges: DataFrame | None = None) -> None:
+        for table, rows in (("vertices", vertices), ("edges", edges)):
+            if rows is not None:
+                rows.select(*self.spark.table(self._table(space, table)).columns).write.insertInto(self._table(space, table))
+
+
+def by_tag(rows: dict[str, DataFrame], key: str = "id") -> DataFrame:
+    """Rows of several tags, each with columns of its own, as one table of vertices: the properties of all tags' columns, null where a row has none."""
+    names = sorted({c for df in rows.values() for c in df.columns if c != key})
+
+    def one(tag: str, df: DataFrame) -> DataFrame:
+        value = lambda c: F.col(c).cast("string") if c in df.columns else F.lit(None).cast("string")
+        props = F.create_map(*[x for c in names for x in (F.lit(c), value(c))]) if names else F.create_map().cast("map<string,string>")
+        return df.select(F.lit(tag).alias("tag"), F.col(key).cast("string").alias("id"), props.alias("properties"))
+
+    return reduce(lambda a, b: a.unionByName(b), [one(t, df) for t, df in rows.items()])
+
+
 # ---- graph rows
 
 def graph_of_files(files: DataFrame, chunks: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 import pandas as pd
@@ -96,19 +97,52 @@ def windowed(events: DataFrame, size: str = "5 seconds", slide: str | None = Non
     return got.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), *by, "n", "total")
 
 
-def index_batch(read: Callable[[], DataFrame], write: Callable[[DataFrame], None], dead: Callable[[DataFrame], None] | None = None, key: str = "path") -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` function: deletes first, then upserts; rows without a key go to the dead letters."""
+def index_batch(read: Callable[[], DataFrame], write: Callable[[DataFrame], None], dead: Callable[[DataFrame], None] | None = None, key: str = "path", tries: int = 3, wait: float = 1.0) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function: deletes first, then upserts; rows without a key go to the dead letters.
+
+    A write that fails is tried again after ``wait`` seconds, then twice that, ``tries`` times in all; then the batch
+    goes to the dead letters if there are any, and is an error if not.
+    """
 
     def run(batch: DataFrame, epoch: int) -> None:
         if dead is not None:
             dead(batch.where(F.col(key).isNull()))
         good = batch.where(F.col(key).isNotNull())
-        left = sync.delete(read(), good.where("kind = 'deleted'"), key)
-        write(sync.upsert(left, good.where("kind <> 'deleted'").select(*left.columns), key, "ts" if "ts" in left.columns else None))
+        for n in range(1, tries + 1):
+            try:
+                left = sync.delete(read(), good.where("kind = 'deleted'"), key)
+                return write(sync.upsert(left, good.where("kind <> 'deleted'").select(*left.columns), key, "ts" if "ts" in left.columns else None))
+            except Exception:
+                if n == tries:
+                    if dead is None:
+                        raise
+                    return dead(good)
+                time.sleep(n * wait)
 
     return run
 
 
+def adapt_stream(feedback: DataFrame, start: float = 0.5, size: int = 10) -> DataFrame:
+    """(key, weight, confidence, batches) after each micro-batch, of feedback (key, seq, relevance) on a stream: as ``search.adapted_weights`` has it of the whole table.
+
+    A key's state is its weight, its confidence, the number of batches, and the feedback that does not fill one yet.
+    """
+
+    def step(key, parts, state):
+        weight, sure, n, rest = state.get if state.exists else (start, 0.5, 0, [])
+        rows = pd.concat(list(parts)).sort_values("seq", kind="stable")
+        rest = [*rest, *rows["relevance"].tolist()]
+        while len(rest) >= size:
+            mean, rest, n = sum(rest[:size]) / size, rest[size:], n + 1
+            rate = 0.05 if mean >= 0.7 else -0.1 if mean <= 0.3 else 0.0
+            weight, sure = max(0.0, min(1.0, weight * (1 + rate))), min(1.0, sure + 0.1 * abs(rate))
+        state.update((weight, sure, n, rest))
+        yield pd.DataFrame([(key[0], weight, sure, n)], columns=["key", "weight", "confidence", "batches"])
+
+    out = f"key {feedback.schema['key'].dataType.simpleString()}, weight double, confidence double, batches long"
+    return feedback.groupBy("key").applyInPandasWithState(step, out, "weight double, confidence double, batches long, rest array<double>", "update", "NoTimeout")
+
+
 def expired(rows: DataFrame, as_of: Column, seconds: str = "ttl") -> DataFrame:
     """Cache rows (ts, ttl in seconds) that are past their time."""
     return rows.where(F.unix_micros(as_of) - F.unix_micros("ts") >= F.col(seconds) * 1_000_000)
