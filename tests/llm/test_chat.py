@@ -52,3 +52,8 @@ def test_only_built_in_functions(spark):
 def test_empty(spark):
     empty = spark.createDataFrame([], "conv_id long, turn int, role string, text string")
     assert C.collapse(empty).count() == 0
+
+
+def test_other_columns_and_repeated_rows(spark):
+    turns = spark.createDataFrame([(1, 0, "user", "a", "x", 5)] * 2, "conv_id long, turn int, role string, text string, chat string, n_turns int")
+    assert [tuple(r) for r in C.collapse(turns).collect()] == [(1, 2, 1, f"{C.OPEN}user\na{C.CLOSE}" * 2)]

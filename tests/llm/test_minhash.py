@@ -90,3 +90,23 @@ def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(1000, i) for i in range(1001, 1050)] + [(7000, 7000)]
     got = {r.node: r.comp for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert len({got[i] for i in range(41)}) == 1 and len({got[i] for i in range(1000, 1050)}) == 1 and got[0] != got[1000]
+
+
+def test_small_and_large_buckets_give_the_same(spark, monkeypatch):
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(5))
+    base = [word() for _ in range(60)]
+    texts = []
+    for k in range(50):  # much in common, some alike, some not
+        w = list(base)
+        for j in r.sample(range(60), k % 12):
+            w[j] = word()
+        texts.append(" ".join(w))
+    rows = list(enumerate(texts))
+    want = brute(rows, 60, 1)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(M, "SMALL", 2)
+    monkeypatch.setattr(M, "BLOCK", 3)
+    for every_pair in (False, True):
+        got = M.classes(docs, 60, 1, 40, 2, every_pair=every_pair).collect()
+        assert {x.doc_id: (x.n_shingles, x.component_id) for x in got} == want

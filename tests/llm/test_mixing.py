@@ -59,3 +59,10 @@ def test_mix_repeats_rows_and_keeps_columns(spark):
 def test_empty(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, source string")
     assert M.mix(empty).count() == 0
+
+
+def test_rates_by_broadcast_and_by_shuffle(spark, monkeypatch):
+    docs = spark.createDataFrame(rows(), "doc_id long, text string, source string")
+    few = sorted(M.mix(docs).collect(), key=str)
+    monkeypatch.setattr(M, "BROADCAST_SOURCES", 0)
+    assert sorted(M.mix(docs).collect(), key=str) == few
