@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
@@ -11,10 +13,13 @@ from tessera.sources import files
 
 
 class Engine:
-    """Chunks, nodes and vectors of a corpus of (doc_id, text, lang, source); all results are DataFrames."""
+    """Chunks, nodes and vectors of a corpus of (doc_id, text, lang, source); all results are DataFrames.
+
+    ``embed`` makes a vector Column of a text Column and a dimension; a model's would be a pandas function.
+    """
 
-    def __init__(self, spark: SparkSession, docs: DataFrame):
-        self.spark, self.docs = spark, docs
+    def __init__(self, spark: SparkSession, docs: DataFrame, embed: Callable[[Column, int], Column] = vector.hashing_embedding):
+        self.spark, self.docs, self.embed = spark, docs, embed
 
     @classmethod
     def of_tree(cls, spark: SparkSession, root: str, **options) -> Engine:
@@ -42,11 +47,16 @@ class Engine:
         return search.top(scored, k)
 
     def semantic(self, query: str, k: int = 10, dim: int = 64, threshold: float | None = None) -> DataFrame:
-        """By the hashing embedder; a model's vectors go through ``vector.knn``."""
-        asked = self.spark.range(1).select(vector.hashing_embedding(F.lit(query), dim).alias("v")).first().v
-        rows = self.docs.select(F.col("doc_id").alias("vec_id"), vector.hashing_embedding(F.col("text"), dim).alias("embedding"))
+        """By the engine's embedder; stored vectors go through ``vector.knn``."""
+        asked = self.spark.range(1).select(self.embed(F.lit(query), dim).alias("v")).first().v
+        rows = self.docs.select(F.col("doc_id").alias("vec_id"), self.embed(F.col("text"), dim).alias("embedding"))
         return vector.knn(rows, asked, k, threshold=threshold)
 
+    def concept(self, name: str, context: str | None = None, k: int = 10, threshold: float = 0.6) -> DataFrame:
+        """The texts near the words that a concept stands for."""
+        words = vector.expanded(F.lit(name), F.lit(context) if context else None)
+        return self.semantic(self.spark.range(1).select(words.alias("w")).first().w, k, threshold=threshold)
+
     def hybrid(self, query: str, k: int = 10, weights: dict[str, float] | None = None) -> DataFrame:
         hits = {
             "semantic": self.semantic(query, 100).select(F.col("vec_id").alias("id"), "score"),
@@ -69,11 +79,11 @@ class Engine:
 
     def with_files(self, docs: DataFrame) -> Engine:
         """The index with these files written over those of the same doc_id."""
-        return Engine(self.spark, sync.upsert(self.docs, docs, "doc_id"))
+        return Engine(self.spark, sync.upsert(self.docs, docs, "doc_id"), self.embed)
 
     def without(self, ids: DataFrame) -> Engine:
         """The index without these files (doc_id)."""
-        return Engine(self.spark, sync.delete(self.docs, ids, "doc_id"))
+        return Engine(self.spark, sync.delete(self.docs, ids, "doc_id"), self.embed)
 
     def status(self) -> DataFrame:
         """Files, distinct texts and characters of each project."""

@@ -174,6 +174,18 @@ def node_summary(nodes: DataFrame, key: str = "doc_id") -> DataFrame:
     return by.groupBy(key).agg(F.sum("n").alias("n_nodes"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("type", "n")))).alias("by_type"))
 
 
+def depth(text: Column) -> Column:
+    """How deep braces are nested, at most."""
+    signs = F.split(F.regexp_replace(text, r"[^{}]", ""), "")
+    state = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+
+    def step(s: Column, x: Column) -> Column:
+        now = s["now"] + F.when(x == "{", 1).when(x == "}", -1).otherwise(0)
+        return F.struct(now.alias("now"), F.greatest(s["most"], now).alias("most"))
+
+    return F.aggregate(signs, state, step, lambda s: s["most"])
+
+
 def search_nodes(nodes: DataFrame, type: str | None = None, name: str | None = None, contains: str | None = None) -> DataFrame:
     """Nodes by ``//type`` or type, by a name in their text, by a text."""
     if type:

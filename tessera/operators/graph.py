@@ -1,26 +1,36 @@
 """Graph analytics over edge tables (src, dst, ...).
 
-Loops run on the driver, a join and an aggregation a step; between steps a reliable checkpoint cuts the lineage, so a
-lost executor costs a step at most. Neighbours are only ever aggregated with partial sums on the map side, so a node
+Loops run on the driver, a join and an aggregation a step; between steps a written table cuts the lineage, so a lost
+executor costs a step at most. Neighbours are only ever aggregated with partial sums on the map side, so a node
 of very many edges is no burden. Paths are bounded in length and never revisit a node.
 """
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """A checkpoint in the cluster's shared folder. Where none is set, one of its own on a single machine; on a cluster that is an error."""
+    """``df`` as a table in the cluster's shared folder, worked out once; lineage ends there.
+
+    Where no folder is set, one of its own on a single machine; on a cluster that is an error.
+    """
     spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder and not spark.sparkContext.master.startswith("local"):
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        spark.sparkContext.setCheckpointDir(folder or "/tmp/checkpoints")
-    return df.checkpoint()
+        folder = f"{tempfile.gettempdir()}/checkpoints"
+    if ":" not in folder:
+        folder = f"file://{folder}"
+    path = f"{folder.rstrip('/')}/tessera/step-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def typed(edges: DataFrame, types: list[str] | None) -> DataFrame:

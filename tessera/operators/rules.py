@@ -220,3 +220,15 @@ def scan(docs: DataFrame, rules: list[dict], key: str = "doc_id", text: str = "t
     tests = [F.when(F.col("line").rlike(X.ascii_edges(r["pattern"])), F.struct(F.lit(r["id"]).alias("rule"), F.lit(r["severity"]).alias("severity"), F.lit(r["message"]).alias("message"))) for r in rules]
     hit = F.explode(F.filter(F.array(*tests), lambda x: x.isNotNull()))
     return lines.select(key, (F.col("n") + 1).cast("long").alias("line_no"), hit.alias("x")).select(key, "x.*", "line_no")
+
+
+def from_yaml(source: str) -> list[dict]:
+    """The rules of a rule file that are plain patterns, for ``scan``; PyYAML is needed for it. Rules without a pattern of their own are left to other tools."""
+    import yaml
+
+    found = yaml.safe_load(source) or {}
+    return [
+        {"id": r["id"], "severity": r.get("severity", "INFO"), "message": r.get("message", ""), "pattern": r["pattern-regex"]}
+        for r in found.get("rules", [])
+        if "id" in r and "pattern-regex" in r
+    ]

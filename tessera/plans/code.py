@@ -99,7 +99,8 @@ def _kinds(spark, d):
 
 
 def _summary(spark, d):
-    return chunking.node_summary(nodes(spark, d), "id").select("id", "n_nodes", F.size("by_type").cast("long").alias("n_types"))
+    deep = code(spark, d).select("id", chunking.depth(F.col("text")).cast("long").alias("max_depth"))
+    return chunking.node_summary(nodes(spark, d), "id").join(deep, "id").select("id", "n_nodes", F.size("by_type").cast("long").alias("n_types"), "max_depth")
 
 
 def _rules(spark, d):
@@ -300,7 +301,8 @@ SELECT id, i AS marker_line, md5(array_to_string(ls[i + 1:stop - 1], chr(10))) A
 SELECT sy.id, kind, sy.name, line::BIGINT AS line, arg_max(u.name, u.start_line) AS scope FROM sy LEFT JOIN units u ON u.id = sy.id AND sy.line > u.start_line AND sy.line <= u.end_line GROUP BY ALL""",
     "syntax_node_lines": f"WITH {_NODES} SELECT id, type, md5(node) AS digest, start_line FROM nodes",
     "nodes_by_kind": f"WITH {_NODES} SELECT id, kind, count(*)::BIGINT AS n FROM nodes JOIN (VALUES ('functions', 'function_declaration'), ('functions', 'function_expression'), ('classes', 'class_declaration'), ('imports', 'import_statement'), ('exports', 'export_statement')) AS v(kind, type) USING (type) GROUP BY ALL",
-    "code_summary": f"WITH {_NODES} SELECT id, count(*)::BIGINT AS n_nodes, count(DISTINCT type)::BIGINT AS n_types FROM nodes GROUP BY id",
+    "code_summary": f"""WITH {_NODES}, s AS (SELECT id, [CASE x WHEN '{{' THEN 1 WHEN '}}' THEN -1 ELSE 0 END FOR x IN string_split(regexp_replace(text, '[^{{}}]', '', 'g'), '')] AS ss FROM code), dp AS (SELECT id, greatest(0, list_max([list_sum(ss[1:k]) FOR k IN range(1, len(ss) + 1)]))::BIGINT AS max_depth FROM s)
+SELECT id, count(*)::BIGINT AS n_nodes, count(DISTINCT type)::BIGINT AS n_types, any_value(max_depth) AS max_depth FROM nodes JOIN dp USING (id) GROUP BY id""",
     "snippet_rules": f"WITH {_RULES} SELECT rule, type, count(*)::BIGINT AS n FROM tests GROUP BY ALL",
     "code_snippets": f"WITH {_RULES} SELECT id, seq::BIGINT AS seq, rule, md5(node) AS digest FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY id, seq, rule) AS r FROM tests WHERE {_VALID} AND length(node) BETWEEN 20 AND 1000 AND {_V2} BETWEEN 1 AND 15) WHERE r = 1",
     "custom_rule": f"WITH {_NODES} SELECT id, md5(node) AS digest FROM nodes WHERE type = 'if_statement' AND contains(node, '> ') AND {_V2.replace('CASE WHEN regexp_matches(trim(node), ' + chr(39) + r'^\w+\([^)]*\);?$' + chr(39) + ') THEN 0 ELSE', '').replace(' END + 0.5', ' + 0.5')} > 4",

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.engine import Engine
-from tessera.operators import graph
+from tessera.operators import graph, search
 from tessera.sources import files, tables
 from tessera.streaming import changes as C
 
@@ -134,3 +134,36 @@ def test_batches_count_over_ranges(spark):
     want = sorted(rows, key=lambda r: (-1 if r[1] is None else r[1], -r[0]), reverse=True)
     assert {(r.seq, r.priority): r.batch for r in got.collect()} == {r: k // 50 for k, r in enumerate(want)}
     assert got.columns == ["seq", "priority", "batch"]
+
+
+def test_feedback_stream_equals_batch(spark, tmp_path):
+    rows = [[("a", i, float(i % 3 > 0)) for i in range(25)] + [("b", i, 0.1) for i in range(9)], [("a", 25 + i, 1.0) for i in range(20)] + [("b", 9 + i, 0.2) for i in range(2)]]
+    schema = "key string, seq long, relevance double"
+    want = {r.key: (round(r.weight, 9), round(r.confidence, 9), r.batches) for r in search.adapted_weights(spark.createDataFrame(rows[0] + rows[1], schema)).collect()}
+    stream = C.adapt_stream(_stream(spark, rows, schema, tmp_path))
+    q = stream.writeStream.format("memory").queryName("adapted").outputMode("update").option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    last = {}
+    for r in spark.table("adapted").orderBy("batches").collect():
+        last[r.key] = (round(r.weight, 9), round(r.confidence, 9), r.batches)
+    assert last == want and want["a"][2] == 4 and want["b"][2] == 1
+
+
+def test_engine_of_files(spark, tree):
+    engine = Engine.of_tree(spark, tree)
+    more = spark.createDataFrame([("src/a.ts", "class New {}", "typescript", "x"), ("n.go", "func f() {}", "go", "x")], "doc_id string, text string, lang string, source string")
+    new = engine.with_files(more)
+    assert new.docs.count() == 3 and new.docs.where("doc_id = 'src/a.ts'").first().text == "class New {}"
+    assert new.without(more.select("doc_id")).docs.count() == 1 and new.projects().count() == 2
+    assert {r.source: r.n_files for r in new.status().collect()}["x"] == 2
+    assert engine.concept("api", threshold=None).count() == 2
+    found = files.scan(spark, tree)
+    assert files.largest(found, 1).first().relative_path == "src/a.ts" and {r.extension for r in files.by_extension(found).collect()} == {"ts", "py"}
+
+
+def test_rules_from_yaml():
+    pytest.importorskip("yaml")
+    from tessera.operators import rules
+
+    text = "rules:\n  - id: a\n    severity: ERROR\n    message: m\n    pattern-regex: 'x+'\n  - id: b\n    pattern: $X\n"
+    assert rules.from_yaml(text) == [{"id": "a", "severity": "ERROR", "message": "m", "pattern": "x+"}] and rules.from_yaml("") == []
