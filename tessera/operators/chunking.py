@@ -85,9 +85,11 @@ def syntax_nodes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 
     def found(kind: str, pattern: str) -> Column:
         exact = X.ascii_edges(pattern)
+        bind = lambda value, use: F.element_at(F.transform(F.array(value), use), 1)  # noqa: E731  (worked out once, however often it is used)
+        node = lambda h, k, between, inside: F.struct(F.lit(kind).alias("type"), h.alias("node"), (1 + total(between, k + 1) + total(inside, k)).cast("long").alias("line"))
         hits = F.regexp_extract_all(c, F.lit(f"({exact})"), F.lit(1))
-        made = lambda m, between: F.transform(m, lambda h, k: F.struct(F.lit(kind).alias("type"), h.alias("node"), (1 + total(between, k + 1) + total(feeds(m), k)).cast("long").alias("line")))
-        return F.when(F.size(hits) > 0, made(hits, feeds(F.split(c, exact)))).otherwise(F.array().cast("array<struct<type:string,node:string,line:bigint>>"))
+        made = bind(F.struct(hits.alias("h"), feeds(F.split(c, exact)).alias("b")), lambda s: bind(feeds(s["h"]), lambda inside: F.transform(s["h"], lambda h, k: node(h, k, s["b"], inside))))
+        return F.when(c.rlike(exact), made).otherwise(F.array().cast("array<struct<type:string,node:string,line:bigint>>"))
 
     lists = [found(kind, pattern) for kind, pattern in NODE_PATTERNS]
     got = docs.select(key, F.posexplode(F.concat(*lists)).alias("seq", "n"))
