@@ -302,7 +302,8 @@ def _by_id(rows: DataFrame, ids: DataFrame, how: str, id: str = "doc_id") -> Dat
 def _one_text(source: DataFrame, first: DataFrame) -> DataFrame:
     """(node, text) by the node's smallest doc_id, which one row has."""
     first = first.select("node", F.col("doc_id").alias("_first_id"))
-    return first.join(source, F.col("_first_id").eqNullSafe(F.col("doc_id"))).select("node", "text")
+    # By shuffle at every size: ids of all that share a bucket grow with the corpus.
+    return first.hint("merge").join(source.hint("merge"), F.col("_first_id").eqNullSafe(F.col("doc_id"))).select("node", "text")
 
 
 def deduplicate(docs: DataFrame, percent: int = 80, width: int = 5, bands: int = 32, rows: int = 4, key: str = "doc_id", text: str = "text") -> DataFrame:
