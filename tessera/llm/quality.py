@@ -128,11 +128,11 @@ def judge(featured: DataFrame, verdicts: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are kept, with their columns. Rows are written once with their vote patterns, so that features are computed once."""
+    """The rows of ``docs`` that are kept, with their columns. Texts are read twice, for the model and for the verdicts, and neither shuffled nor written on the way."""
+    verdicts = materialize(fit(features(docs.select("text"))), "quality-verdicts")
     box = f"row_{uuid.uuid4().hex[:8]}"
     packed = docs.select(F.struct("*").alias(box), "text")
-    featured = materialize(features(packed, box).select(box, "pattern", "base_failed"), "quality-rows")
-    return judge(featured, materialize(fit(featured), "quality-verdicts")).where("kept").select(f"{box}.*")
+    return judge(features(packed, box), verdicts).where("kept").select(f"{box}.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
