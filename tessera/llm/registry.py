@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import ann, arrow_tokens, chat, html, minhash, mixing, pii, quality, warc, wfst
+from tessera.llm import ann, arrow_tokens, chat, fim, html, minhash, mixing, pii, quality, resample, warc, wfst
 
 QUERIES = {
     "op1_pii_crf": pii.query,
@@ -15,10 +15,14 @@ QUERIES = {
     "op8_snapshot_collapse": chat.query,
     "op9_sentencepiece_wfst": wfst.query,
     "op10_learned_partitions": ann.query,
+    "op11_fill_in_middle": fim.query,
+    "op13_importance_resampling": resample.query,
 }
 SQL = {
     "op2_warc_index_merge": warc.SQL,
     "op5_circulant_minhash": minhash.SQL,
     "op6_mix_sources": mixing.SQL,
     "op8_snapshot_collapse": chat.SQL,
+    "op11_fill_in_middle": fim.SQL,
+    "op13_importance_resampling": resample.SQL,
 }
