@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import ann, arrow_tokens, chat, fim, html, minhash, mixing, pii, quality, resample, warc, wfst
+from tessera.llm import ann, arrow_tokens, chat, fim, html, licenses, minhash, mixing, pii, quality, resample, warc, wfst
 
 QUERIES = {
     "op1_pii_crf": pii.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_sentencepiece_wfst": wfst.query,
     "op10_learned_partitions": ann.query,
     "op11_fill_in_middle": fim.query,
+    "op12_license_templates": licenses.query,
     "op13_importance_resampling": resample.query,
 }
 SQL = {
@@ -24,5 +25,6 @@ SQL = {
     "op6_mix_sources": mixing.SQL,
     "op8_snapshot_collapse": chat.SQL,
     "op11_fill_in_middle": fim.SQL,
+    "op12_license_templates": licenses.SQL,
     "op13_importance_resampling": resample.SQL,
 }
