@@ -71,22 +71,29 @@ def with_rates(docs: DataFrame, key: str = "doc_id", weights=WEIGHTS, share: flo
     The text is read twice, for the sums and for the result, and never shuffled.
     """
     name = f"mix_{uuid.uuid4().hex[:8]}"
-    sized = docs.select("source", n_words().alias("size"))
-    targets = materialize(source_targets(sized, weights, share, cap), "mix-targets")
-    few = targets.count() <= BROADCAST_SOURCES
-    right = targets.select(F.col("source").alias(f"{name}_s"), F.struct("source_size", "target", "rate").alias(f"{name}_t"))
-    joined = docs.join(F.broadcast(right) if few else right, F.col("source").eqNullSafe(F.col(f"{name}_s")), "left")
-    t = F.col(f"{name}_t")
-    out = F.struct(n_words().alias("size"), t["source_size"].alias("source_size"), t["target"].alias("target"), copies(t["rate"], F.col(key), seed).alias("copies"))
-    return joined.select(*[docs[c] for c in docs.columns], out.alias(name)), name
+    packed, targets, few = _packed(docs, key, weights, share, cap)
+    return _rated(packed, targets, few, seed).select("row.*", F.col("rated").alias(name)), name
 
 
-def mix(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
+def _packed(docs: DataFrame, key: str, weights, share: float, cap: float) -> tuple[DataFrame, DataFrame, bool]:
+    """(row, row_key, row_source, row_size) for each row of ``docs``, the targets, and whether these may be broadcast. Rows are structs, so that no name of theirs can clash."""
+    targets = materialize(source_targets(docs.select("source", n_words().alias("size")), weights, share, cap), "mix-targets")
+    packed = docs.select(F.struct("*").alias("row"), docs[f"`{key}`"].alias("row_key"), docs["source"].alias("row_source"), n_words().alias("row_size"))
+    return packed, targets, targets.count() <= BROADCAST_SOURCES
+
+
+def _rated(packed: DataFrame, targets: DataFrame, few: bool, seed: str) -> DataFrame:
+    right = F.broadcast(targets) if few else targets
+    joined = packed.join(right, F.col("row_source").eqNullSafe(F.col("source")), "left")
+    out = F.struct(F.col("row_size").alias("size"), "source_size", "target", copies(F.col("rate"), F.col("row_key"), seed).alias("copies"))
+    return joined.select("row", out.alias("rated"))
+
+
+def mix(docs: DataFrame, key: str = "doc_id", weights=WEIGHTS, share: float = SHARE, cap: float = CAP, seed: str = SEED) -> DataFrame:
     """The mixed corpus: each row of ``docs`` as often as the mix takes it, with the columns of ``docs``."""
-    rated, name = with_rates(docs, key, **options)
-    times = F.col(name)["copies"]
-    again = F.explode(F.sequence(F.lit(1), times.cast("int")))
-    return rated.where(times > 0).select(*docs.columns, again.alias(f"{name}_n")).drop(f"{name}_n")
+    rated = _rated(*_packed(docs, key, weights, share, cap), seed)
+    times = F.col("rated.copies")
+    return rated.where(times > 0).select("row", F.explode(F.sequence(F.lit(1), times.cast("int")))).select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
