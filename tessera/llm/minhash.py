@@ -13,9 +13,8 @@ components, those can be no link for which a lower bound on the symmetric differ
 shingles that only the one node holds, those that only the other holds, the difference between how many of the
 pivot's shingles the two have lost, and that between how many they have gained that others hold too. All others are
 compared, so no link between components is lost; a large bucket is dealt into blocks for it, so that it makes more
-tasks and no larger ones. Pairs whose sizes exclude the threshold are not verified. Nor are those whose signatures
-agree in far too few places (five standard deviations under the threshold; 3e-7 of the links, as rare as links that
-share no band) unless ``every_pair`` is set.
+tasks and no larger ones. All other candidates are verified on the whole sets,
+but for pairs whose sizes alone exclude the threshold. Signatures are not kept: only the bands are written.
 
 With 26 bands of 5 rows a pair of similarity 0.85 shares no band with probability 4e-7; with 32 bands of 4 rows one
 of 0.8 with 5e-8.
@@ -101,12 +100,12 @@ def _sketch(bands: int, rows: int, width: int):
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         salt = np.arange(bands, dtype=np.uint64)
         for batch in batches:
-            sizes, digests, keys, sigs = [], [], [], []
+            sizes, digests, keys = [], [], []
             for text in batch.column(1):
                 s = shingle_set(text.as_py(), width)
                 sizes.append(len(s))
                 if not len(s):
-                    digests.append(None), keys.append(None), sigs.append(None)
+                    digests.append(None), keys.append(None)
                     continue
                 sig = signature(s, bands * rows)
                 key = salt
@@ -114,10 +113,9 @@ def _sketch(bands: int, rows: int, width: int):
                     key = _mix(key * np.uint64(0x9E3779B97F4A7C15) + col)
                 digests.append(xxhash.xxh3_128_digest(s.tobytes()))
                 keys.append(key.view(np.int64))
-                sigs.append(sig.astype(np.uint8).tobytes())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sigs, pa.binary())],
-                ["doc_id", "n_shingles", "node", "bands", "sig"],
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+                ["doc_id", "n_shingles", "node", "bands"],
             )
 
     return sketch
@@ -149,20 +147,6 @@ def _node(width: int):
     return F.arrow_udf(node, "binary")
 
 
-def _likely(percent: int, shifts: int):
-    """Candidates whose signatures' last bytes agree often enough; 1 in 256 agrees by chance."""
-    t = percent / 100
-    least = max(0.0, t - 5 * (t * (1 - t) / shifts) ** 0.5)
-
-    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, shifts) for c in ("sig_a", "sig_b"))
-            agree = (x == y).mean(axis=1)
-            yield batch.filter(pa.array((agree - 1 / 256) / (255 / 256) >= least)).select(["a", "b"])
-
-    return likely
-
-
 def _overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         n = [len(np.intersect1d(np.frombuffer(p.as_buffer(), np.uint64), np.frombuffer(q.as_buffer(), np.uint64), assume_unique=True)) for p, q in zip(batch.column("sa"), batch.column("sb"), strict=True)]
@@ -175,12 +159,10 @@ def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return materialize(pairs.join(a, "a").join(b, "b").mapInArrow(_overlap, "a binary, b binary, n_a long, n_b long, shared long"), "minhash-overlaps")
 
 
-def _links(pairs: DataFrame, sigs: DataFrame, sets: DataFrame, percent: int, shifts: int, every_pair: bool) -> DataFrame:
+def _links(pairs: DataFrame, sigs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs (a, b) that are links."""
-    a, b = (sigs.select(F.col("node").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}")) for x in "ab")
-    near = pairs.join(a, "a").join(b, "b").where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)").select("a", "b", "sig_a", "sig_b")
-    near = near.select("a", "b") if every_pair else near.mapInArrow(_likely(percent, shifts), "a binary, b binary")
-    near = materialize(near, "minhash-likely")
+    a, b = (sigs.select(F.col("node").alias(x), F.col("n_shingles").alias(f"n_{x}")) for x in "ab")
+    near = pairs.join(a, "a").join(b, "b").where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)").select("a", "b")
     return _linked(_overlaps(near, sets), percent)
 
 
@@ -211,7 +193,7 @@ def _blocks(rows: DataFrame, sizes: DataFrame) -> DataFrame:
     return rows.join(sizes, "bucket").withColumn("own_block", F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int"))
 
 
-def _large(slots: DataFrame, links: DataFrame, sigs: DataFrame, sets: DataFrame, percent: int, shifts: int, every_pair: bool) -> DataFrame:
+def _large(slots: DataFrame, links: DataFrame, sigs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The links that large buckets add. Every link of a bucket joins components that the result joins too."""
     members = slots.select("node").distinct()
     held = materialize(sets.join(members, "node", "left_semi").dropDuplicates(["node"]), "minhash-large-sets")
@@ -242,31 +224,30 @@ def _large(slots: DataFrame, links: DataFrame, sigs: DataFrame, sets: DataFrame,
     once = "array_position(zip_with(bands, bands_y, (p, q) -> p = q), true) = band + 1"
     met = "comp <> comp_y AND (own_block < block OR node < node_y)"
     pairs = x.join(y, ["bucket", "own_block", "block"]).where(f"{met} AND {apart} AND {sized} AND {once}").select(*_ordered(F.col("node"), F.col("node_y")))
-    return links.union(_links(pairs, sigs, held, percent, shifts, every_pair))
+    return links.union(_links(pairs, sigs, held, percent))
 
 
-def classes(docs: DataFrame, percent: int = 80, width: int = 5, bands: int = 32, rows: int = 4, key: str = "doc_id", text: str = "text", every_pair: bool = False) -> DataFrame:
+def classes(docs: DataFrame, percent: int = 80, width: int = 5, bands: int = 32, rows: int = 4, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of ``docs``. Texts are shuffled once, by id, for the sets of those that share a bucket."""
-    named, _ = _named(docs, percent, width, bands, rows, key, text, every_pair)
+    named, _ = _named(docs, percent, width, bands, rows, key, text)
     least = named.where("comp IS NOT NULL").groupBy("comp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).where("n > 1").select("comp", "least")
     got = named.join(least, "comp", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
     return got.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def _named(docs: DataFrame, percent: int, width: int, bands: int, rows: int, key: str, text: str, every_pair: bool = False) -> tuple[DataFrame, DataFrame | None]:
+def _named(docs: DataFrame, percent: int, width: int, bands: int, rows: int, key: str, text: str) -> tuple[DataFrame, DataFrame | None]:
     """(doc_id, n_shingles, node, comp) for each row of ``docs``, and the ids (null among them) of more than one row, None if there are none."""
     with scratch(docs.sparkSession) as work:
-        named, odd = _name(docs, percent, width, bands, rows, key, text, every_pair)
+        named, odd = _name(docs, percent, width, bands, rows, key, text)
         return work.keep(named), None if odd is None else work.keep(odd)
 
 
-def _name(docs: DataFrame, percent: int, width: int, bands: int, rows: int, key: str, text: str, every_pair: bool) -> tuple[DataFrame, DataFrame | None]:
-    shifts = bands * rows
+def _name(docs: DataFrame, percent: int, width: int, bands: int, rows: int, key: str, text: str) -> tuple[DataFrame, DataFrame | None]:
     source = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    sketch = materialize(source.mapInArrow(_sketch(bands, rows, width), "doc_id long, n_shingles long, node binary, bands array<long>, sig binary"), "minhash-sketch")
+    sketch = materialize(source.mapInArrow(_sketch(bands, rows, width), "doc_id long, n_shingles long, node binary, bands array<long>"), "minhash-sketch")
     filled = sketch.where("node IS NOT NULL")
     # A node is in a bucket once, however many documents share its set; its bands are dealt out behind the shuffle.
-    nodes = materialize(filled.select("node", "n_shingles", "sig", "bands").distinct(), "minhash-nodes")
+    nodes = materialize(filled.select("node", "n_shingles", "bands").distinct(), "minhash-nodes")
     slots = nodes.select("node", F.posexplode("bands").alias("band", "bucket"))
     sizes = slots.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     slots = materialize(slots.join(sizes, "bucket"), "minhash-buckets")
@@ -285,10 +266,10 @@ def _name(docs: DataFrame, percent: int, width: int, bands: int, rows: int, key:
 
     small = slots.where(f"n <= {SMALL}")
     pairs = small.select("bucket", F.col("node").alias("x")).join(small.select("bucket", F.col("node").alias("y")), "bucket").where("x < y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
-    links = _links(pairs, sigs, sets, percent, shifts, every_pair)
+    links = _links(pairs, sigs, sets, percent)
     large = slots.where(f"n > {SMALL}").select("bucket", "band", "node")
     if not large.isEmpty():
-        links = _large(large, links, sigs, sets, percent, shifts, every_pair)
+        links = _large(large, links, sigs, sets, percent)
     comps = components(links)
     named = sketch.select("doc_id", "n_shingles", "node").join(comps, "node", "left").select("doc_id", "n_shingles", "node", F.coalesce("comp", "node").alias("comp"))
     return materialize(named, "minhash-named"), odd
@@ -316,15 +297,16 @@ def deduplicate(docs: DataFrame, percent: int = 80, width: int = 5, bands: int =
     best = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "node")).alias("best")
     kept = named.where("comp IS NOT NULL").groupBy("comp").agg(best).select("best.doc_id", "best.node")
     kept = materialize(kept.union(named.where("comp IS NULL").select("doc_id", "node").distinct()), "minhash-kept")
-    tagged = docs.withColumn("_row_id", F.col(key).cast("long"))
+    # The rows travel as one struct, so that no name of theirs can clash.
+    tagged = docs.select(F.struct("*").alias("row"), docs[f"`{key}`"].cast("long").alias("row_id"), docs[f"`{text}`"].alias("row_text"))
     if odd is None:
-        return _by_id(tagged, kept, "left_semi", "_row_id").select(*docs.columns)
-    alone = _by_id(tagged, _by_id(kept, odd, "left_anti"), "left_semi", "_row_id").select(*docs.columns)
-    many = _by_id(tagged, odd, "left_semi", "_row_id").withColumn("_row_node", _node(width)(F.col(text)))
-    many = many.join(_by_id(kept, odd, "left_semi").select(F.col("doc_id").alias("_kept_id"), F.col("node").alias("_kept_node")), F.expr("_row_id <=> _kept_id AND _row_node <=> _kept_node"), "left_semi")
+        return _by_id(tagged, kept, "left_semi", "row_id").select("row.*")
+    alone = _by_id(tagged, _by_id(kept, odd, "left_anti"), "left_semi", "row_id").select("row")
+    many = _by_id(tagged, odd, "left_semi", "row_id").withColumn("row_node", _node(width)(F.col("row_text")))
+    many = many.join(_by_id(kept, odd, "left_semi").select(F.col("doc_id").alias("kept_id"), F.col("node").alias("kept_node")), F.expr("row_id <=> kept_id AND row_node <=> kept_node"), "left_semi")
     many = materialize(many, "minhash-many")
-    bare = "_row_id IS NULL AND _row_node IS NULL"
-    return alone.union(many.where(f"NOT ({bare})").dropDuplicates(["_row_id", "_row_node"]).select(*docs.columns)).union(many.where(bare).select(*docs.columns))
+    bare = "row_id IS NULL AND row_node IS NULL"
+    return alone.union(many.where(f"NOT ({bare})").dropDuplicates(["row_id", "row_node"]).select("row")).union(many.where(bare).select("row")).select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

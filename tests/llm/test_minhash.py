@@ -107,6 +107,5 @@ def test_small_and_large_buckets_give_the_same(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     monkeypatch.setattr(M, "SMALL", 2)
     monkeypatch.setattr(M, "BLOCK", 3)
-    for every_pair in (False, True):
-        got = M.classes(docs, 60, 1, 40, 2, every_pair=every_pair).collect()
-        assert {x.doc_id: (x.n_shingles, x.component_id) for x in got} == want
+    got = M.classes(docs, 60, 1, 40, 2).collect()
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in got} == want

@@ -42,13 +42,16 @@ def test_stages_against_plain_python(spark, tmp_path):
 
 
 def test_pipeline_on_no_rows_and_clashing_names(spark, tmp_path):
-    schema = "doc_id long, text string, lang string, source string, n_chars long, ids string, size int, node string"
+    odd = ["a.b", "we`ird", "_row_id", "_other_id", "_kept_id", "row", "row_id", "row_source", "kept_node", "rated"]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, ids string, size int, node string, " + ", ".join(f"`{c.replace('`', '``')}` string" for c in odd)
     text = " ".join(f"word{i}" for i in range(40)) + "."
     rows = [(1, text, "en", "a", 5, "old", 1, "n"), (1, text, "en", "a", 5, "old", 1, "n"), (None, text.replace("word3", "other"), None, None, None, None, None, None), (3, None, "en", "a", 0, "", 0, "")]
+    rows = [(*r, *[f"keep {c}" for c in odd]) for r in rows]
     for name, data in (("none", []), ("some", rows)):
         spark.createDataFrame(data, schema).write.parquet(f"{tmp_path}/{name}/documents.parquet")
     assert C.run(spark, f"{tmp_path}/none").count() == 0
     got = C.run(spark, f"{tmp_path}/some")
     assert got.columns == [*spark.createDataFrame([], schema).columns, "n_ids"]
     machine = wfst.Machine(wfst.model_bytes())
+    assert all([r[c] for c in odd] == [f"keep {c}" for c in odd] for r in got.collect()) and got.count() > 0
     assert {r.doc_id for r in got.collect()} <= {1, None} and all(r.ids == machine.encode(r.text).tolist() for r in got.collect())
