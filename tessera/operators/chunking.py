@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
+from tessera.operators import structure
 
 MOST, LEAST = 1000, 100
 
@@ -103,65 +104,37 @@ def nodes_of(nodes: DataFrame, kind: str) -> DataFrame:
 
 # ---- functions and classes
 
-#: Heads of functions (name, parameters, return type) and of classes (name, base), one a line, for languages with braces.
-FUNCTION_HEAD = r"\bfunction\s+(\w+)\s*\(([^)]*)\)\s*(?::\s*([^{]*[^{\s]))?\s*\{"
-ARROW_HEAD = r"\b(?:const|let|var)\s+(\w+)\s*=\s*(?:async\s+)?\(([^)]*)\)\s*(?::\s*([^=]*[^=\s]))?\s*=>"
-CLASS_HEAD = r"\bclass\s+(\w+)(?:\s+extends\s+([\w.]+))?"
-METHOD = r"(?m)^\s+(?:async\s+|static\s+)*\w+\s*\([^)]*\)\s*\{"
-BRANCH = r"(?m)^\s+(?:if|for|while|switch|catch)\s*\([^)]*\)\s*\{"
-PROPERTY = r"(?m)^\s+\w+\s*(?::\s*\w+\s*)?(?:=\s*[^=>\s][^\n]*)?;$"
-VARIABLE = r"\b(?:const|let|var)\s+(\w+)"
+#: The types of nodes that are units, and what they count as.
+UNITS = {"function": "function", "class": "class"}
 
 
-def code_units(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def code_units(docs: DataFrame, key: str = "doc_id", text: str = "text", language: Column | str = "javascript", methods: bool = False) -> DataFrame:
     """(key, type, name, parameters, return_type, base, n_methods, n_properties, complexity, start_line, end_line, content).
 
-    A unit begins on the line of its head and ends where the braces that this line opens are closed, or on its own line
-    if it opens none. Lines before the end count, the texts are sliced once.
+    Functions with a name and classes, by the tree of the text; their content is whole lines, from the line of the head
+    to that of the end. ``methods`` adds the methods of classes and objects.
     """
-    depth = F.transform(X.lines(F.col(text)), lambda x: F.regexp_count(x, F.lit(r"\{")) - F.regexp_count(x, F.lit(r"\}")))
-    rows = docs.select(key, X.lines(F.col(text)).alias("_ls"), depth.alias("_d"), F.posexplode(X.lines(F.col(text))).alias("_i", "_line"))
-    kind = F.when(F.col("_line").rlike(CLASS_HEAD), "class").when(F.col("_line").rlike(FUNCTION_HEAD) | F.col("_line").rlike(ARROW_HEAD), "function")
-    rows = rows.withColumn("type", kind).where("type IS NOT NULL")
-    # The running depth below the head's line, beginning with it; the unit ends where it is not positive any more.
-    rest = F.slice("_d", F.col("_i") + 1, F.size("_d") - F.col("_i"))
-    run = F.aggregate(rest, F.struct(F.lit(0).alias("depth"), F.lit(0).alias("n"), F.lit(False).alias("closed")), _below, lambda s: s["n"])
-    rows = rows.withColumn("_n", run).withColumn("content", F.array_join(F.slice("_ls", F.col("_i") + 1, F.col("_n")), "\n"))
-    part = lambda head, k: F.regexp_extract("_line", head, k)
-    of = lambda k: F.when(F.col("_line").rlike(FUNCTION_HEAD), part(FUNCTION_HEAD, k)).otherwise(part(ARROW_HEAD, k))
-    is_class, c = F.col("type") == "class", F.col("content")
-    parameters = F.filter(F.transform(F.split(of(2), ","), lambda x: F.trim(F.regexp_replace(x, r"[:=].*$", ""))), lambda x: x != "")
+    kinds = [*UNITS, *(["method"] if methods else [])]
+    name = F.lit(language) if isinstance(language, str) else language
+    ls = X.lines(F.col(text))
+    nodes = F.filter(structure.nodes(F.col(text), name), lambda n: n["type"].isin(kinds))
+    # Lines are taken inside the row, so that each unit carries its own and no other.
+    cut = F.transform(nodes, lambda n: F.struct(n.alias("n"), F.array_join(F.slice(ls, n["start_line"].cast("int"), (n["end_line"] - n["start_line"] + 1).cast("int")), "\n").alias("content")))
+    rows = docs.select(key, F.explode(cut).alias("u")).select(key, "u.n.*", F.col("u.content").alias("content"))
+    is_class = F.col("type") == "class"
     return rows.select(
-        key, "type",
-        F.when(is_class, part(CLASS_HEAD, 1)).otherwise(of(1)).alias("name"),
-        F.when(~is_class, parameters).alias("parameters"),
-        F.when(~is_class, F.when(of(3) == "", "unknown").otherwise(of(3))).alias("return_type"),
-        F.when(is_class, F.nullif(part(CLASS_HEAD, 2), F.lit(""))).alias("base"),
-        F.when(is_class, F.regexp_count(c, F.lit(METHOD)) - F.regexp_count(c, F.lit(BRANCH))).cast("long").alias("n_methods"),
-        F.when(is_class, F.regexp_count(c, F.lit(PROPERTY))).cast("long").alias("n_properties"),
-        X.complexity(c).alias("complexity"),
-        (F.col("_i") + 1).cast("long").alias("start_line"), (F.col("_i") + F.col("_n")).cast("long").alias("end_line"), "content",
+        key, "type", "name", "parameters", F.col("returns").alias("return_type"), "base",
+        *[F.when(is_class, F.col(c)).alias(c) for c in ("n_methods", "n_properties")],
+        X.complexity(F.col("content")).alias("complexity"), "start_line", "end_line", "content",
     )
 
 
-def _below(s: Column, d: Column) -> Column:
-    return F.struct(
-        (s["depth"] + d).alias("depth"),
-        F.when(s["closed"], s["n"]).otherwise(s["n"] + 1).alias("n"),
-        (s["closed"] | (s["depth"] + d <= 0)).alias("closed"),
-    )
-
-
-def symbols(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, kind, name, line, scope): functions, classes and variables with the innermost unit around them; a unit is not its own scope."""
-    units = code_units(docs, key, text).select(key, "type", "name", "start_line", "end_line")
-    lines = docs.select(key, F.posexplode(X.lines(F.col(text))).alias("_i", "_line"))
-    names = lines.withColumn("name", F.regexp_extract("_line", VARIABLE, 1)).where((F.col("name") != "") & ~F.col("_line").rlike(ARROW_HEAD))
-    found = units.select(key, F.col("type").alias("kind"), "name", F.col("start_line").alias("line")).union(names.select(key, F.lit("variable"), "name", (F.col("_i") + 1).cast("long")))
-    around = units.select(F.col(key).alias("_k"), F.col("name").alias("scope"), F.col("start_line").alias("_a"), F.col("end_line").alias("_b"))
-    inside = (F.col(key) == F.col("_k")) & (F.col("line") > F.col("_a")) & (F.col("line") <= F.col("_b"))
-    inner = F.max_by("scope", "_a").alias("scope")
-    return found.join(around, inside, "left").groupBy(key, "kind", "name", "line").agg(inner)
+def symbols(docs: DataFrame, key: str = "doc_id", text: str = "text", language: Column | str = "javascript", methods: bool = False) -> DataFrame:
+    """(key, kind, name, line, scope): functions, classes and variables with the innermost unit around them; a unit is not its own scope. ``methods`` makes methods units and properties symbols too."""
+    units = [*UNITS, *(["method"] if methods else [])]
+    kinds = [*units, "variable", *(["property"] if methods else [])]
+    nodes = structure.tree(docs, key, text, language).where(F.col("type").isin(kinds))
+    return nodes.select(key, F.col("type").alias("kind"), "name", F.col("start_line").alias("line"), structure.enclosing(tuple(units)).alias("scope"))
 
 
 def affected(changed: DataFrame, imports: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
-from tessera.operators import chunking, graph, rules, security
+from tessera.operators import chunking, graph, rules, security, structure
 from tessera.plans.common import r6, table
 
 #: A file's text; %k is the part's key, %m its key modulo 7, %z its size. Files of even keys have the second part too.
@@ -206,7 +206,132 @@ def _searched(spark, d):
     return found.select("id", "node")
 
 
+#: Texts whose strings, comments, template texts, heads and blocks mislead whoever counts braces or reads line by line.
+SCRIPT = """import { a%m, b } from "mod%m";
+/* class No { function no() { */
+const quote%k = "}{ function no() {", mark = /[{"'`]/;
+export default class Cart%k extends base.Shop%m {
+  size = %z; // }
+  static label: string = '{';
+  async add(item, n = { k: [1, 2] }, ...rest) {
+    const text = `}${ rest.map(r => `{${r.id}}`).join("}") } {`;
+    if (n > %z && mark.test(text)) {
+      for (const x of rest) { log(x); }
+    }
+  }
+  get total() { return this.sum(function (p) { return p; }); }
+}
+export async function
+  load%k(
+    path,
+    // not ) yet {
+    options = "{",
+  ): Promise<string> {
+  const read = async (p: string): Promise<void> => {
+    try { go(p) } catch (e) { fail(e, "}"); }
+  };
+  return read(path);
+}
+const twice = (x) =>
+  x * %z;
+"""
+INDENTED = '''import os
+from pack%m.mod import name
+LIMIT = %z
+class Cart%k(Shop%m, metaclass=Meta):
+    """A class: and def no(self): in its text.
+
+  class No:
+    """
+    size: int = %z
+
+    def add(self, item, n={"k": [1, 2]}, *rest) -> "list[int]":
+        text = "def no():" + \'"""\'
+        if n and (
+            item
+        ):
+            for x in rest: log(x)
+  # a comment that ends nothing
+        return [f"{i}" for i in rest]
+
+    async def total(self): return self.sum(lambda p: p)
+
+def load%k(
+    path,
+    options="(",
+):
+    def read(p):
+        try:
+            go(p)
+        except OSError as e:
+            fail(e)
+    return read(path)
+done%k = load%k(1)
+'''
+TYPED = """package shop%m;
+import java.util.Map;
+// class No {
+public class Cart%k extends Shop%m implements A, B {
+  private final int size = %z;
+  static Map<String, int[]> label;
+  public Cart%k(int n) { this.size = n; }
+  @Override
+  protected String add(final Item item,
+      int n) throws IOException {
+    char c = '{'; String s = "}\\"{";
+    if (n > %z) {
+      while (item.next()) { log(item); }
+    }
+    return s;
+  }
+  interface Part%k { }
+}
+"""
+LANGUAGES = {"javascript": SCRIPT, "python": INDENTED, "java": TYPED}
+
+
+def source(spark, d):
+    """(id, language, text): one of the three a part."""
+    made = lambda t: F.concat(*[F.expr(x).cast("string") if e else F.lit(x) for e, x in _pieces(t)])
+    pick = F.expr("p_partkey % 3")
+    text, name = (reduce(lambda c, k: c.when(pick == k, f(k)), range(1, 3), F.when(pick == 0, f(0))) for f in (lambda k: made([*LANGUAGES.values()][k]), lambda k: F.lit([*LANGUAGES][k])))
+    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), name.alias("language"), text.alias("text"))
+
+
+def _source_units(spark, d):
+    u = chunking.code_units(source(spark, d), "id", language=F.col("language"), methods=True)
+    return u.select("id", "type", "name", F.array_join("parameters", "|").alias("parameters"), "return_type", "base", "n_methods", "n_properties", "start_line", "end_line", F.md5("content").alias("digest"))
+
+
+def _source_tree(spark, d):
+    nodes = structure.tree(source(spark, d), "id", language=F.col("language"))
+    return nodes.select("id", "seq", "parent", "depth", "last", "type", "name", "start_line", "end_line")
+
+
+def _source_paths(spark, d):
+    nodes = structure.tree(source(spark, d), "id", language=F.col("language"))
+    ask = lambda q: structure.find(nodes, q).groupBy("name").agg(F.count("*").alias("n")).select(F.lit(q).alias("query"), "name", "n")
+    return reduce(lambda a, b: a.union(b), map(ask, PATHS))
+
+
+PATHS = ("//class/method", "//class//if", "//method/if/for/call", "//function//function", "/class/property[size]", "//class//call[log]", "/*/try")
+
+
+def _source_symbols(spark, d):
+    return chunking.symbols(source(spark, d), "id", language=F.col("language"), methods=True)
+
+
+def _source_summary(spark, d):
+    s = structure.summary(structure.tree(source(spark, d), "id", language=F.col("language")), "id")
+    return s.select("id", "n_nodes", "max_depth", F.to_json("by_type").alias("by_type"))
+
+
 QUERIES = {
+    "source_units": _source_units,
+    "source_tree": _source_tree,
+    "source_paths": _source_paths,
+    "source_symbols": _source_symbols,
+    "source_summary": _source_summary,
     "code_marked": _marked,
     "node_search": _searched,
     "compare_files": lambda s, d: chunking.compare(nodes(s, d), 1, 2, "id"),
@@ -231,8 +356,16 @@ QUERIES = {
 
 # ---- the same in SQL
 
+#: What units look like in the texts of ``code``, a line each; for the SQL alone, as the operators read any text.
+FUNCTION_HEAD = r"\bfunction\s+(\w+)\s*\(([^)]*)\)\s*(?::\s*([^{]*[^{\s]))?\s*\{"
+ARROW_HEAD = r"\b(?:const|let|var)\s+(\w+)\s*=\s*(?:async\s+)?\(([^)]*)\)\s*(?::\s*([^=]*[^=\s]))?\s*=>"
+CLASS_HEAD = r"\bclass\s+(\w+)(?:\s+extends\s+([\w.]+))?"
+METHOD = r"(?m)^\s+(?:async\s+|static\s+)*\w+\s*\([^)]*\)\s*\{"
+BRANCH = r"(?m)^\s+(?:if|for|while|switch|catch)\s*\([^)]*\)\s*\{"
+PROPERTY = r"(?m)^\s+\w+\s*(?::\s*\w+\s*)?(?:=\s*[^=>\s][^\n]*)?;$"
+VARIABLE = r"\b(?:const|let|var)\s+(\w+)"
 _q = lambda p: p.replace("'", "''")
-_FH, _AH, _CH = (_q(p) for p in (chunking.FUNCTION_HEAD, chunking.ARROW_HEAD, chunking.CLASS_HEAD))
+_FH, _AH, _CH = (_q(p) for p in (FUNCTION_HEAD, ARROW_HEAD, CLASS_HEAD))
 _n = lambda c, p: f"len(regexp_extract_all({c}, '{_q(p)}'))"
 _COMPLEX = rf"CASE WHEN length(content) < 10 THEN 1 ELSE 1 + {_n('content', X.CONTROL)} END::BIGINT"
 _LINES = f"""{CODE}, ll AS (SELECT id, text, string_split(text, chr(10)) AS ls, [{_n('x', '[{]')} - {_n('x', '[}]')} FOR x IN string_split(text, chr(10))] AS ds FROM code),
@@ -243,7 +376,7 @@ hc AS (SELECT *, array_to_string(ls[i:j], chr(10)) AS content, CASE WHEN regexp_
 units AS (SELECT id, type, CASE WHEN type = 'class' THEN regexp_extract(line, '{_CH}', 1) ELSE g.a END AS name,
   CASE WHEN type = 'function' THEN [p FOR p IN [trim(regexp_replace(x, '[:=].*$', '')) FOR x IN string_split(g.b, ',')] IF p <> ''] END AS parameters,
   CASE WHEN type = 'function' THEN CASE WHEN g.c = '' THEN 'unknown' ELSE g.c END END AS return_type, CASE WHEN type = 'class' THEN nullif(regexp_extract(line, '{_CH}', 2), '') END AS base,
-  CASE WHEN type = 'class' THEN {_n('content', chunking.METHOD)} - {_n('content', chunking.BRANCH)} END::BIGINT AS n_methods, CASE WHEN type = 'class' THEN {_n('content', chunking.PROPERTY)} END::BIGINT AS n_properties,
+  CASE WHEN type = 'class' THEN {_n('content', METHOD)} - {_n('content', BRANCH)} END::BIGINT AS n_methods, CASE WHEN type = 'class' THEN {_n('content', PROPERTY)} END::BIGINT AS n_properties,
   {_COMPLEX} AS complexity, i::BIGINT AS start_line, j::BIGINT AS end_line, content FROM hc)"""
 _NODES = CODE + ", nodes AS (" + " UNION ALL ".join(
     f"SELECT id, '{t}' AS type, {k} AS no, k, hits[k] AS node, (1 + list_sum([length(x) - length(replace(x, chr(10), '')) FOR x IN parts[1:k]]) + coalesce(list_sum([length(x) - length(replace(x, chr(10), '')) FOR x IN hits[1:k - 1]]), 0))::BIGINT AS start_line "
@@ -297,7 +430,7 @@ SELECT id, i AS marker_line, md5(array_to_string(ls[i + 1:stop - 1], chr(10))) A
     "node_search": f"WITH {_NODES} SELECT id, node FROM nodes WHERE type = 'class_declaration' AND contains(node, '7')",
     "compare_files": f"WITH {_NODES}, c AS (SELECT id, count(*) FILTER (WHERE type IN ('function_declaration', 'function_expression')) AS f, count(*) FILTER (WHERE type = 'class_declaration') AS k FROM nodes WHERE id IN (1, 2) GROUP BY id) SELECT (max(f) - min(f))::BIGINT AS functions, (max(k) - min(k))::BIGINT AS classes FROM c",
     "code_units": f"WITH {_UNITS} SELECT id, type, name, array_to_string(parameters, ',') AS parameters, return_type, base, n_methods, n_properties, complexity, start_line, end_line, md5(content) AS digest FROM units",
-    "symbol_table": f"""WITH {_UNITS}, sy AS (SELECT id, type AS kind, name, start_line AS line FROM units UNION ALL SELECT id, 'variable', regexp_extract(line, '{chunking.VARIABLE}', 1), i FROM li WHERE regexp_matches(line, '{chunking.VARIABLE}') AND NOT regexp_matches(line, '{_AH}'))
+    "symbol_table": f"""WITH {_UNITS}, sy AS (SELECT id, type AS kind, name, start_line AS line FROM units UNION ALL SELECT id, 'variable', regexp_extract(line, '{VARIABLE}', 1), i FROM li WHERE regexp_matches(line, '{VARIABLE}') AND NOT regexp_matches(line, '{_AH}'))
 SELECT sy.id, kind, sy.name, line::BIGINT AS line, arg_max(u.name, u.start_line) AS scope FROM sy LEFT JOIN units u ON u.id = sy.id AND sy.line > u.start_line AND sy.line <= u.end_line GROUP BY ALL""",
     "syntax_node_lines": f"WITH {_NODES} SELECT id, type, md5(node) AS digest, start_line FROM nodes",
     "nodes_by_kind": f"WITH {_NODES} SELECT id, kind, count(*)::BIGINT AS n FROM nodes JOIN (VALUES ('functions', 'function_declaration'), ('functions', 'function_expression'), ('classes', 'class_declaration'), ('imports', 'import_statement'), ('exports', 'export_statement')) AS v(kind, type) USING (type) GROUP BY ALL",
@@ -318,3 +451,96 @@ SELECT project, loc, n_functions, n_classes, coalesce(n_issues, 0) AS n_issues,
     "code_flows": f"WITH {CODE}, {_FLOWS} SELECT * FROM flows",
     "code_secrets": f"WITH {_LINES} SELECT id, i AS line_no, name FROM li JOIN (SELECT unnest({_WORD(security.SECRETS)}) AS name) ON contains(lower(line), name)",
 }
+
+# ---- the trees of the texts with traps, written out: language, seq, parent, depth, last, type, name, parameters,
+# return type, base, first and last line, methods, properties
+
+EXPECTED = """
+javascript|0||0|0|import|mod%m||||1|1|0|0
+javascript|1||0|1|variable|quote%k||||3|3|0|0
+javascript|2||0|2|variable|mark||||3|3|0|0
+javascript|3||0|19|class|Cart%k|||base.Shop%m|4|14|2|2
+javascript|4|3|1|4|property|size||||5|5|0|0
+javascript|5|3|1|5|property|label||||6|6|0|0
+javascript|6|3|1|16|method|add|item,n,...rest|unknown||7|12|0|0
+javascript|7|6|2|7|object|||||7|7|0|0
+javascript|8|6|2|8|variable|text||||8|8|0|0
+javascript|9|6|2|10|call|rest.map||||8|8|0|0
+javascript|10|9|3|10|lambda||r|unknown||8|8|0|0
+javascript|11|6|2|11|call|join||||8|8|0|0
+javascript|12|6|2|16|if|||||9|11|0|0
+javascript|13|12|3|13|call|mark.test||||9|9|0|0
+javascript|14|12|3|16|for|||||10|10|0|0
+javascript|15|14|4|15|variable|x||||10|10|0|0
+javascript|16|14|4|16|call|log||||10|10|0|0
+javascript|17|3|1|19|method|total||unknown||13|13|0|0
+javascript|18|17|2|19|call|this.sum||||13|13|0|0
+javascript|19|18|3|19|lambda||p|unknown||13|13|0|0
+javascript|20||0|26|function|load%k|path,options|Promise<string>||15|25|0|0
+javascript|21|20|1|25|function|read|p|Promise<void>||21|23|0|0
+javascript|22|21|2|23|try|||||22|22|0|0
+javascript|23|22|3|23|call|go||||22|22|0|0
+javascript|24|21|2|25|catch|||||22|22|0|0
+javascript|25|24|3|25|call|fail||||22|22|0|0
+javascript|26|20|1|26|call|read||||24|24|0|0
+javascript|27||0|27|function|twice|x|unknown||26|27|0|0
+python|0||0|0|import|os||||1|1|0|0
+python|1||0|1|import|pack%m.mod||||2|2|0|0
+python|2||0|2|variable|LIMIT||||3|3|0|0
+python|3||0|11|class|Cart%k|||Shop%m|4|20|2|1
+python|4|3|1|4|property|size||||9|9|0|0
+python|5|3|1|9|method|add|self,item,n,*rest|"list[int]"||11|18|0|0
+python|6|5|2|6|variable|text||||12|12|0|0
+python|7|5|2|9|if|||||13|16|0|0
+python|8|7|3|9|for|||||16|16|0|0
+python|9|8|4|9|call|log||||16|16|0|0
+python|10|3|1|11|method|total|self|unknown||20|20|0|0
+python|11|10|2|11|call|self.sum||||20|20|0|0
+python|12||0|18|function|load%k|path,options|unknown||22|31|0|0
+python|13|12|1|17|function|read|p|unknown||26|30|0|0
+python|14|13|2|15|try|||||27|28|0|0
+python|15|14|3|15|call|go||||28|28|0|0
+python|16|13|2|17|except|||||29|30|0|0
+python|17|16|3|17|call|fail||||30|30|0|0
+python|18|12|1|18|call|read||||31|31|0|0
+python|19||0|20|variable|done%k||||32|32|0|0
+python|20|19|1|20|call|load%k||||32|32|0|0
+java|0||0|0|import|java.util.Map||||2|2|0|0
+java|1||0|10|class|Cart%k|||Shop%m|4|18|2|2
+java|2|1|1|2|property|size||||5|5|0|0
+java|3|1|1|3|property|label||||6|6|0|0
+java|4|1|1|4|method|Cart%k|int n|unknown||7|7|0|0
+java|5|1|1|9|method|add|final Item item,int n|unknown||9|16|0|0
+java|6|5|2|9|if|||||12|14|0|0
+java|7|6|3|9|while|||||13|13|0|0
+java|8|7|4|8|call|item.next||||13|13|0|0
+java|9|7|4|9|call|log||||13|13|0|0
+java|10|1|1|10|class|Part%k||||17|17|0|0
+"""
+_NUMBERS = {1, 2, 3, 4, 10, 11, 12, 13}
+_VALUE = lambda k, x: (x or "NULL::BIGINT") + ("::BIGINT" if x else "") if k in _NUMBERS else _literal(x)
+_ROWS = ", ".join("(" + ", ".join(_VALUE(k, x) for k, x in enumerate(row.split("|"))) + ")" for row in EXPECTED.split("\n") if row)
+_FILL = lambda c: f"replace(replace({c}, '%k', p_partkey::VARCHAR), '%m', (p_partkey % 7)::VARCHAR)"
+_SOURCE = f"""expected AS (SELECT * FROM (VALUES {_ROWS}) AS v(language, seq, parent, depth, last, type, name, parameters, returns, base, start_line, end_line, n_methods, n_properties)),
+source AS (SELECT p_partkey, p_partkey AS id, CASE p_partkey % 3 {' '.join(f"WHEN {k} THEN '{x}'" for k, x in enumerate(LANGUAGES))} END AS language, CASE p_partkey % 3 {' '.join(f"WHEN {k} THEN {_made(x)}" for k, x in enumerate(LANGUAGES.values()))} END AS text FROM part),
+tree AS (SELECT id, p_partkey, text, seq, parent, depth, last, type, {_FILL('name')} AS name, parameters, returns, {_FILL('base')} AS base, start_line, end_line, n_methods, n_properties FROM source JOIN expected USING (language))"""
+_ABOVE = f"""{_SOURCE}, up AS (SELECT id, seq, parent AS above, 1 AS steps FROM tree WHERE parent IS NOT NULL UNION ALL SELECT u.id, u.seq, t.parent, steps + 1 FROM up u JOIN tree t ON t.id = u.id AND t.seq = u.above WHERE t.parent IS NOT NULL),
+pairs AS (SELECT u.id, u.seq, u.steps, a.seq AS above, a.type, a.name, a.depth FROM up u JOIN tree a ON a.id = u.id AND a.seq = u.above)"""
+SQL |= {
+    "source_units": f"""WITH {_SOURCE} SELECT id, type, name, CASE WHEN type <> 'class' THEN replace(parameters, ',', '|') END AS parameters, nullif(returns, '') AS return_type, nullif(base, '') AS base,
+  CASE WHEN type = 'class' THEN n_methods END AS n_methods, CASE WHEN type = 'class' THEN n_properties END AS n_properties, start_line, end_line, md5(array_to_string(string_split(text, chr(10))[start_line:end_line], chr(10))) AS digest
+FROM tree WHERE type IN ('function', 'class', 'method')""",
+    "source_tree": f"WITH {_SOURCE} SELECT id, seq, parent, depth, last, type, name, start_line, end_line FROM tree",
+    "source_symbols": f"""WITH RECURSIVE {_ABOVE} SELECT t.id, t.type AS kind, t.name, t.start_line AS line, arg_max(p.name, p.depth) AS scope FROM tree t LEFT JOIN pairs p ON p.id = t.id AND p.seq = t.seq AND p.type IN ('function', 'class', 'method')
+WHERE t.type IN ('function', 'class', 'method', 'variable', 'property') GROUP BY t.id, t.seq, t.type, t.name, t.start_line""",
+    "source_summary": f"WITH {_SOURCE}, b AS (SELECT id, type, count(*) AS n, max(depth) AS d FROM tree GROUP BY id, type) SELECT id, sum(n)::BIGINT AS n_nodes, max(d) AS max_depth, '{{' || string_agg('\"' || type || '\":' || n, ',' ORDER BY type) || '}}' AS by_type FROM b GROUP BY id",
+    "source_paths": f"""WITH RECURSIVE {_ABOVE}, hits AS (
+  SELECT '//class/method' AS query, t.name FROM tree t JOIN pairs p USING (id, seq) WHERE t.type = 'method' AND p.type = 'class' AND steps = 1
+  UNION ALL SELECT '//class//if', t.name FROM tree t WHERE t.type = 'if' AND EXISTS (SELECT 1 FROM pairs p WHERE p.id = t.id AND p.seq = t.seq AND p.type = 'class')
+  UNION ALL SELECT '//method/if/for/call', t.name FROM tree t JOIN pairs a USING (id, seq) JOIN pairs b USING (id, seq) JOIN pairs c USING (id, seq) WHERE t.type = 'call' AND a.steps = 1 AND a.type = 'for' AND b.steps = 2 AND b.type = 'if' AND c.steps = 3 AND c.type = 'method'
+  UNION ALL SELECT '//function//function', t.name FROM tree t WHERE t.type = 'function' AND EXISTS (SELECT 1 FROM pairs p WHERE p.id = t.id AND p.seq = t.seq AND p.type = 'function')
+  UNION ALL SELECT '/class/property[size]', t.name FROM tree t JOIN pairs p USING (id, seq) WHERE t.type = 'property' AND t.name = 'size' AND p.type = 'class' AND t.depth = 1
+  UNION ALL SELECT '//class//call[log]', t.name FROM tree t WHERE t.type = 'call' AND t.name = 'log' AND EXISTS (SELECT 1 FROM pairs p WHERE p.id = t.id AND p.seq = t.seq AND p.type = 'class')
+  UNION ALL SELECT '/*/try', t.name FROM tree t WHERE t.type = 'try' AND t.depth = 1)
+SELECT query, name, count(*)::BIGINT AS n FROM hits GROUP BY ALL""",
+}
