@@ -7,78 +7,66 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators import sync
+from tessera.sources.keyed import BUCKETS, Keyed
 
 
 class Collections:
-    """Vector collections: one table each in a catalog database, with dimension and metric as properties."""
+    """Vector collections: a keyed table each in a catalog database, with dimension and metric as properties."""
+
+    COLUMNS = "id STRING, vector ARRAY<FLOAT>, payload MAP<STRING, STRING>, ts TIMESTAMP"
 
     def __init__(self, spark: SparkSession, database: str = "vectors"):
         self.spark, self.database = spark, database
         spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}")
 
-    def _name(self, name: str) -> str:
-        return f"{self.database}.`{name}`"
+    def keyed(self, name: str) -> Keyed:
+        return Keyed(self.spark, self.database, name, ["id"])
 
-    def create(self, name: str, dim: int, metric: str = "cosine") -> None:
-        self.spark.sql(f"CREATE TABLE IF NOT EXISTS {self._name(name)} (id STRING, vector ARRAY<FLOAT>, payload MAP<STRING, STRING>, ts TIMESTAMP) USING parquet TBLPROPERTIES ('dim' = '{int(dim)}', 'metric' = '{metric}')")
+    def create(self, name: str, dim: int, metric: str = "cosine", buckets: int = BUCKETS) -> None:
+        self.keyed(name).create(self.COLUMNS, buckets, dim=str(int(dim)), metric=metric)
 
     def exists(self, name: str) -> bool:
-        return self.spark.catalog.tableExists(self._name(name))
+        return self.keyed(name).exists()
 
     def names(self) -> list[str]:
-        return sorted(t.name for t in self.spark.catalog.listTables(self.database))
+        return sorted(t.name for t in self.spark.catalog.listTables(self.database) if not t.name.endswith("__stage"))
 
     def drop(self, name: str) -> None:
-        self.spark.sql(f"DROP TABLE IF EXISTS {self._name(name)}")
+        self.keyed(name).drop()
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.table(self._name(name))
+        return self.keyed(name).read()
 
     def info(self, name: str) -> dict[str, str]:
-        props = {r.key: r.value for r in self.spark.sql(f"SHOW TBLPROPERTIES {self._name(name)}").collect()}
+        props = self.keyed(name).properties()
         return {"name": name, "dim": props.get("dim", ""), "metric": props.get("metric", ""), "points": str(self.table(name).count())}
 
     def replace(self, name: str, rows: DataFrame) -> None:
-        """The new rows are written as a table of their own, which then takes the old one's name; the old one goes last.
-
-        If that breaks off between, ``recover`` puts the complete table that is left in place.
-        """
-        self.recover(name)
-        new, old = f"{name}__new", f"{name}__old"
-        self.drop(new)
-        info = self.info(name)
-        self.create(new, int(info["dim"]), info["metric"])
-        rows.select("id", "vector", "payload", "ts").write.insertInto(self._name(new))
-        self.spark.sql(f"ALTER TABLE {self._name(name)} RENAME TO {self._name(old)}")
-        self.spark.sql(f"ALTER TABLE {self._name(new)} RENAME TO {self._name(name)}")
-        self.drop(old)
+        self.keyed(name).replace(rows)
 
     def recover(self, name: str) -> None:
-        """Finishes what a ``replace`` left unfinished."""
-        if not self.exists(name):
-            for left in (f"{name}__new", f"{name}__old"):
-                if self.exists(left) and not self.exists(name):
-                    self.spark.sql(f"ALTER TABLE {self._name(left)} RENAME TO {self._name(name)}")
-        elif self.exists(f"{name}__old"):
-            self.drop(f"{name}__old")
+        """Finishes what a change left unfinished, as every read and change does; a complete copy beside a table that is gone takes its place."""
+        for left in (f"{name}__new", f"{name}__old"):
+            if not self.exists(name) and self.exists(left):
+                self.spark.sql(f"ALTER TABLE {self.keyed(left).name} RENAME TO {self.keyed(name).name}")
+        self.keyed(name).recover()
 
     def clear(self, name: str) -> None:
-        self.spark.sql(f"TRUNCATE TABLE {self._name(name)}")
+        self.keyed(name).clear()
 
     def upsert(self, name: str, rows: DataFrame) -> None:
         """Last write wins for each id."""
-        self.replace(name, sync.upsert(self.table(name), rows, "id", "ts").select("id", "vector", "payload", "ts"))
+        self.keyed(name).apply(rows, order="ts")
 
     def delete(self, name: str, ids: DataFrame) -> None:
-        self.replace(name, sync.delete(self.table(name), ids, "id"))
+        self.keyed(name).apply(deletes=ids)
 
     def ids(self, name: str, where: Column) -> DataFrame:
         return self.table(name).where(where).select("id")
 
 
 class Spaces:
-    """Graph spaces: a catalog database each, with one table of vertices and one of edges."""
+    """Graph spaces: a catalog database each, with a keyed table of vertices and one of edges."""
 
     VERTICES = "tag STRING, id STRING, properties MAP<STRING, STRING>"
     EDGES = "type STRING, src STRING, dst STRING, properties MAP<STRING, STRING>"
@@ -86,13 +74,15 @@ class Spaces:
     def __init__(self, spark: SparkSession, prefix: str = "graph_"):
         self.spark, self.prefix = spark, prefix
 
-    def _table(self, space: str, table: str) -> str:
-        return f"`{self.prefix}{space}`.{table}"
+    def keyed(self, space: str, table: str) -> Keyed:
+        """A vertex is known by its id; an edge by type and ends, and it lies in the bucket of its source."""
+        key, by = (["id"], ["id"]) if table == "vertices" else (["type", "src", "dst"], ["src"])
+        return Keyed(self.spark, f"{self.prefix}{space}", table, key, by)
 
-    def create(self, space: str) -> None:
+    def create(self, space: str, buckets: int = BUCKETS) -> None:
         self.spark.sql(f"CREATE DATABASE IF NOT EXISTS `{self.prefix}{space}`")
         for table, columns in (("vertices", self.VERTICES), ("edges", self.EDGES)):
-            self.spark.sql(f"CREATE TABLE IF NOT EXISTS {self._table(space, table)} ({columns}) USING parquet")
+            self.keyed(space, table).create(columns, buckets)
 
     def names(self) -> list[str]:
         return sorted(d.name.removeprefix(self.prefix) for d in self.spark.catalog.listDatabases(f"{self.prefix}*"))
@@ -102,21 +92,22 @@ class Spaces:
 
     def clear(self, space: str) -> None:
         for table in ("vertices", "edges"):
-            self.spark.sql(f"TRUNCATE TABLE {self._table(space, table)}")
+            self.keyed(space, table).clear()
 
     def vertices(self, space: str) -> DataFrame:
-        return self.spark.table(self._table(space, "vertices"))
+        return self.keyed(space, "vertices").read()
 
     def edges(self, space: str) -> DataFrame:
-        return self.spark.table(self._table(space, "edges"))
+        return self.keyed(space, "edges").read()
 
     def size(self, space: str) -> dict[str, int]:
         return {"vertices": self.vertices(space).count(), "edges": self.edges(space).count()}
 
     def insert(self, space: str, vertices: DataFrame | None = None, edges: DataFrame | None = None) -> None:
+        """Vertices and edges that the space has already take the new properties."""
         for table, rows in (("vertices", vertices), ("edges", edges)):
             if rows is not None:
-                rows.select(*self.spark.table(self._table(space, table)).columns).write.insertInto(self._table(space, table))
+                self.keyed(space, table).apply(rows)
 
 
 def by_tag(rows: dict[str, DataFrame], key: str = "id") -> DataFrame:
