@@ -7,10 +7,12 @@ of very many edges is no burden. Paths are bounded in length and never revisit a
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -30,9 +32,23 @@ def saved(df: DataFrame) -> DataFrame:
         folder = f"file://{folder}"
     path = f"{folder.rstrip('/')}/tessera/step-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _steps.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: The tables of steps that this driver has written.
+_steps: list[str] = []
+
+
+def forget(spark: SparkSession) -> int:
+    """Removes the tables of all steps so far, and says how many. Results that are not written yet may still read them."""
+    n = len(_steps)
+    while _steps:
+        where = spark._jvm.org.apache.hadoop.fs.Path(_steps.pop())
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    return n
+
+
 def typed(edges: DataFrame, types: list[str] | None) -> DataFrame:
     return edges.where(F.col("type").isin(types)) if types else edges
 
@@ -132,8 +148,17 @@ def match(vertices: DataFrame, edges: DataFrame, *pattern: str) -> DataFrame:
 
 
 def distances(ids: DataFrame, edges: DataFrame, depth: int = 10) -> DataFrame:
-    """(start, id, distance) between all pairs of the given ids, breadth first from all of them at once; pairs that are farther apart are left out."""
-    return reach(ids, edges, depth).join(ids.select("id"), "id", "left_semi").where("start <> id").select("start", "id", "distance")
+    """(start, id, distance) between all pairs of the given ids that are at most ``depth`` edges apart.
+
+    Two-hop labels: each id knows the nodes up to half the depth ahead of it and, against the edges, up to half behind
+    it. A shortest path has a middle, which its start knows as far ahead as its end knows it behind, or one edge
+    farther; so pairs meet at such nodes, and nothing is searched over the whole depth.
+    """
+    back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    ahead = saved(reach(ids, edges, (depth + 1) // 2)).select("start", F.col("id").alias("mid"), F.col("distance").alias("a"))
+    behind = saved(reach(ids, back, depth // 2)).select(F.col("start").alias("id"), F.col("id").alias("mid"), F.col("distance").alias("b"))
+    met = ahead.join(behind, "mid").where("start <> id AND (a = b OR a = b + 1)")
+    return met.groupBy("start", "id").agg(F.min(F.col("a") + F.col("b")).alias("distance"))
 
 
 def resolved_calls(sites: DataFrame, functions: DataFrame) -> DataFrame:
@@ -175,8 +200,12 @@ def overview(vertices: DataFrame, edges: DataFrame, most_nodes: int = 100, most_
 
 def flows(defs: DataFrame, uses: DataFrame, edges: DataFrame) -> DataFrame:
     """(name, from_id, to_id): definitions (id, name) and the uses (id, name) of the same name that are reached along the flow edges."""
-    starts = defs.select("id").distinct()
-    met = reach(starts, edges, 1 << 30).select(F.col("start").alias("from_id"), F.col("id").alias("to_id"))
+    used = uses.select("name").distinct()
+    starts = defs.join(used, "name", "left_semi").select("id").distinct()
+    # Only what can come to a use is walked: the closure against the edges has a row a node.
+    edges = saved(edges.select("src", "dst").distinct())
+    useful = closure(uses.select("id"), edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).select(F.col("id").alias("dst"))
+    met = reach(starts, edges.join(useful, "dst", "left_semi"), 1 << 30).select(F.col("start").alias("from_id"), F.col("id").alias("to_id"))
     got = met.join(defs.select(F.col("id").alias("from_id"), "name"), "from_id").join(uses.select(F.col("id").alias("to_id"), F.col("name").alias("used")), "to_id")
     return got.where("name = used AND from_id <> to_id").select("name", "from_id", "to_id")
 
@@ -217,11 +246,57 @@ def shortest_path(source, target, edges: DataFrame, depth: int = 10) -> DataFram
     return seen.where(F.col("id") == F.lit(target)).select((F.size("path") - 1).cast("long").alias("distance"), "path")
 
 
+def _halves(front: DataFrame, step: DataFrame, most: int, keep: Column | None = None) -> list[DataFrame]:
+    """Simple paths (path, first, last) of 0, 1, ... ``most`` edges (src, dst) on from ``front``."""
+    out = [front]
+    for _ in range(most):
+        grown = out[-1].join(step.select(F.col("src").alias("last"), "dst"), "last").where(~F.array_contains("path", F.col("dst")))
+        grown = grown if keep is None else grown.where(keep)
+        out.append(saved(grown.select(F.concat("path", F.array("dst")).alias("path"), "first", F.col("dst").alias("last"))))
+    return out
+
+
+def _joined(ahead: DataFrame, behind: DataFrame, on: list[str], closed: bool) -> DataFrame:
+    """(path) of halves that end in the same node and share no other; ``closed``: both begin in the same node, which is given once."""
+    back = behind.select(*[c for c in on if c != "last"], "last", F.col("path").alias("behind"))
+    rest = F.slice(F.reverse("behind"), 2, F.greatest(F.size("behind") - (2 if closed else 1), F.lit(0)))
+    inner = F.slice("path", 2, F.size("path") - 1) if closed else F.col("path")
+    return ahead.join(back, on).where(~F.arrays_overlap(inner, rest)).select(F.concat("path", rest).alias("path"))
+
+
 def all_paths(source, target, edges: DataFrame, depth: int = 5, most: int = 10) -> DataFrame:
-    """Simple paths between two nodes, by length, then by their nodes; the first ``most``."""
-    start = edges.sparkSession.range(1).select(F.lit(source).alias("id"))
-    found = paths(start, edges, depth).where(F.col("id") == F.lit(target))
-    return found.select((F.size("path") - 1).cast("long").alias("length"), "path").orderBy("length", "path").limit(most)
+    """(length, path): simple paths between two nodes, by length, then by their nodes; the first ``most``.
+
+    Lengths are tried in turn until there are enough paths. Those of a length are made of two halves that meet in the
+    middle, one from either end, each kept to nodes from which the other end is near enough.
+    """
+    step = saved(edges.select("src", "dst").where("src <> dst").distinct())
+    back = step.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    kind = step.schema["src"].dataType
+    one = lambda x: step.sparkSession.range(1).select(F.lit(x).cast(kind).alias("id"))
+    near, far = saved(closure(one(source), step, depth)), saved(closure(one(target), back, depth))
+    close = near.join(far.withColumnRenamed("distance", "left"), "id").where(F.col("distance") + F.col("left") <= depth).select("id")
+    step = saved(step.join(close.withColumnRenamed("id", "src"), "src", "left_semi").join(close.withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", "dst"))
+    back = step.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    begin = lambda x: one(x).select(F.array("id").alias("path"), F.col("id").alias("first"), F.col("id").alias("last"))
+    ahead, behind = [begin(source)], [begin(target)]
+    found, n = None, 0
+    if source == target:
+        depth = 0
+    for length in range(1, depth + 1):
+        h = length // 2
+        if len(ahead) <= length - h:
+            ahead += _halves(ahead[-1], step.where(F.col("dst") != F.lit(source)), 1)[1:]
+        if len(behind) <= h:
+            behind += _halves(behind[-1], back.where(F.col("dst") != F.lit(target)), 1)[1:]
+        got = saved(_joined(ahead[length - h], behind[h], ["last"], False).select(F.lit(length).cast("long").alias("length"), "path"))
+        found = got if found is None else found.union(got)
+        n += got.count()
+        if n >= most:
+            break
+    if found is None:
+        found = begin(source).select(F.lit(0).cast("long").alias("length"), "path").limit(0)
+    return found.orderBy("length", "path").limit(most)
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -281,20 +356,21 @@ def communities(edges: DataFrame, iterations: int = 10, least: int = 2) -> DataF
 
 
 def cycles(edges: DataFrame, most: int = 5, compat: bool = False) -> DataFrame:
-    """(length, cycle) of simple cycles up to ``most`` edges. Each is given once, from its least node on; with ``compat`` once from each of its nodes."""
-    step = edges.where("src <> dst").select("src", "dst").distinct()
-    front = step.select(F.array("src", "dst").alias("path"), F.col("src").alias("first"), F.col("dst").alias("last"))
+    """(length, cycle) of simple cycles up to ``most`` edges. Each is given once, from its least node on; with ``compat`` once from each of its nodes.
+
+    A cycle is two halves from its first node, along and against the edges, that meet in the middle.
+    """
+    step = saved(edges.where("src <> dst").select("src", "dst").distinct())
+    back = step.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     found = edges.where("src = dst").select(F.lit(1).alias("length"), F.array("src").alias("cycle")).distinct()
-    if not compat:
-        front = front.where("last > first")
+    # Only nodes that an edge enters and leaves are on cycles.
+    first = step.select(F.col("src").alias("id")).join(step.select(F.col("dst").alias("id")), "id", "left_semi").distinct()
+    begin = first.select(F.array("id").alias("path"), F.col("id").alias("first"), F.col("id").alias("last"))
+    keep = None if compat else F.col("dst") > F.col("first")
+    ahead, behind = _halves(begin, step, (most + 1) // 2, keep), _halves(begin, back, most // 2, keep)
     for n in range(2, most + 1):
-        closing = step.select(F.col("src").alias("last"), F.col("dst").alias("first"))
-        found = found.union(front.join(closing, ["last", "first"]).select(F.lit(n).alias("length"), F.col("path").alias("cycle")))
-        if n < most:
-            grown = front.join(step.select(F.col("src").alias("last"), "dst"), "last").where(~F.array_contains("path", F.col("dst")))
-            if not compat:
-                grown = grown.where("dst > first")
-            front = grown.select(F.concat("path", F.array("dst")).alias("path"), "first", F.col("dst").alias("last"))
+        got = _joined(ahead[(n + 1) // 2], behind[n // 2], ["first", "last"], True)
+        found = found.union(got.select(F.lit(n).alias("length"), F.col("path").alias("cycle")))
     return found
 
 
@@ -350,26 +426,121 @@ def counts(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     return v.union(e)
 
 
-def dominators(root, edges: DataFrame) -> DataFrame:
-    """(id, dominators): nodes on every path from the root, itself included, as a sorted array; by intersection until nothing changes.
+def dominator_tree(root, edges: DataFrame) -> DataFrame:
+    """(id, idom, depth): what can be reached from the root, a row a node, with its immediate dominator (null for the root) and its depth in the tree of these.
 
-    The sets are rows (id, dom). A node not met yet holds all nodes and has no rows; of the others a dominator is what
-    as many of the nodes before hold as have been met.
+    It begins with a tree of first paths. As long as a node's parent is not the nearest common ancestor of all nodes
+    before it, it becomes that; the tree in which no parent changes is that of the dominators. Ancestors are met by
+    depth: of the nodes that a node's predecessors have come up to, the deepest step up, until one is left.
     """
-    e = saved(edges.select("src", "dst").where((F.col("src") != F.col("dst")) & (F.col("dst") != F.lit(root))).distinct())
-    top = F.lit(root).cast(e.schema["src"].dataType)
-    first = e.sparkSession.range(1).select(top.alias("id"), top.alias("dom"))
-    doms, n = saved(first), 1
+    e = edges.select("src", "dst").where((F.col("src") != F.col("dst")) & (F.col("dst") != F.lit(root))).distinct()
+    e = saved(e)
+    kind = e.schema["src"].dataType
+    tree = front = saved(e.sparkSession.range(1).select(F.lit(root).cast(kind).alias("id"), F.lit(None).cast(kind).alias("parent"), F.lit(0).cast("long").alias("depth")))
+    d = 0
+    while not front.isEmpty():
+        d += 1
+        new = front.select(F.col("id").alias("src")).join(e, "src").groupBy("dst").agg(F.min("src").alias("parent"))
+        front = saved(new.select(F.col("dst").alias("id"), "parent", F.lit(d).cast("long").alias("depth")).join(tree.select("id"), "id", "left_anti"))
+        tree = saved(tree.union(front)) if d % 8 == 0 else tree.union(front)
+    tree = saved(tree)
+    e = saved(e.join(tree.select(F.col("id").alias("src")), "src", "left_semi").select("src", "dst"))
     while True:
-        met = e.join(doms.where("id = dom").select(F.col("id").alias("src")), "src").groupBy("dst").agg(F.count("*").alias("n_met"))
-        held = e.join(doms.withColumnRenamed("id", "src"), "src").groupBy("dst", "dom").agg(F.count("*").alias("n_held"))
-        shared = held.join(met, "dst").where("n_held = n_met").select(F.col("dst").alias("id"), "dom")
-        new = saved(shared.union(met.select("dst", "dst")).union(first).distinct())
-        m = new.count()
-        if m == n and new.join(doms, ["id", "dom"], "left_anti").isEmpty():
-            break
-        doms, n = new, m
-    return doms.groupBy("id").agg(F.sort_array(F.collect_list("dom")).alias("dominators"))
+        above = tree.select(F.col("id").alias("at"), "parent", "depth")
+        # The nodes that a node's predecessors, and its parent, have come up to.
+        met = e.select(F.col("dst").alias("id"), F.col("src").alias("at")).union(tree.where("parent IS NOT NULL").select("id", F.col("parent").alias("at"))).distinct()
+        met = saved(met.join(above, "at"))
+        done = None
+        while True:
+            spread = met.groupBy("id").agg(F.count("*").alias("n"), F.max("depth").alias("deepest"))
+            both = saved(met.join(spread, "id"))
+            alone = both.where("n = 1").select("id", F.col("at").alias("new"))
+            done = alone if done is None else done.union(alone)
+            open_ = both.where("n > 1")
+            if open_.isEmpty():
+                break
+            up = open_.select("id", F.when(F.col("depth") == F.col("deepest"), F.col("parent")).otherwise(F.col("at")).alias("at")).distinct()
+            met = up.join(above, "at")
+        moved = saved(tree.join(done, "id", "left").select("id", "parent", F.coalesce("new", "parent").alias("new")))
+        if moved.where("new <> parent").isEmpty():
+            return tree.select("id", F.col("parent").alias("idom"), "depth")
+        tree = _depths(moved.select("id", F.col("new").alias("parent")))
+
+
+def _depths(tree: DataFrame) -> DataFrame:
+    """(id, parent, depth) of a tree (id, parent), by doubling the steps up."""
+    jump = saved(tree.select("id", "parent", F.col("parent").alias("up"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("depth")))
+    while not jump.where("up IS NOT NULL").isEmpty():
+        far = jump.select(F.col("id").alias("up"), F.col("up").alias("next"), F.col("depth").alias("more"))
+        jump = saved(jump.join(far, "up", "left").select("id", "parent", F.col("next").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth")))
+    return jump.select("id", "parent", "depth")
+
+
+def dominators(root, edges: DataFrame) -> DataFrame:
+    """(id, dominators): nodes on every path from the root, itself included, as a sorted array: the ancestors in the tree of immediate dominators, of which ``dominator_tree`` has one a node."""
+    tree = saved(dominator_tree(root, edges))
+    held = front = tree.select("id", F.col("id").alias("dom"), F.col("idom").alias("up"))
+    above = tree.select(F.col("id").alias("up"), F.col("idom").alias("next"))
+    while True:
+        front = saved(front.join(above, "up").select("id", F.col("up").alias("dom"), F.col("next").alias("up")))
+        if front.isEmpty():
+            return held.groupBy("id").agg(F.sort_array(F.collect_list("dom")).alias("dominators"))
+        held = held.union(front)
+
+
+def _idoms(top, pairs: list) -> list[tuple]:
+    """(id, idom, depth) of one graph: a numbering by depth-first search, then meets by number until nothing changes."""
+    ahead, before = {}, {}
+    for a, b in pairs:
+        if b != top and a != b:
+            ahead.setdefault(a, []).append(b)
+    number, order, stack = {top: -1}, [], [(top, iter(ahead.get(top, ())))]
+    while stack:  # a node is numbered behind all that it leads to
+        a, rest = stack[-1]
+        b = next((b for b in rest if b not in number), None)
+        if b is None:
+            number[a] = len(order)
+            order.append(a)
+            stack.pop()
+        else:
+            number[b] = -1
+            stack.append((b, iter(ahead.get(b, ()))))
+    for a in order:
+        for b in ahead.get(a, ()):
+            before.setdefault(b, []).append(a)
+
+    def meet(x, y):
+        while x != y:  # of two nodes the one with the smaller number is deeper
+            x, y = (idom[x], y) if number[x] < number[y] else (x, idom[y])
+        return x
+
+    idom, changed = {top: top}, True
+    while changed:
+        changed = False
+        for b in reversed(order[:-1]):
+            new = functools.reduce(meet, (a for a in before[b] if a in idom))
+            changed |= idom.get(b) != new
+            idom[b] = new
+    depth = {top: 0}
+    for b in reversed(order[:-1]):
+        path = [b]
+        while path[-1] not in depth:
+            path.append(idom[path[-1]])
+        for k, x in enumerate(reversed(path)):
+            depth.setdefault(x, depth[path[-1]] + k)
+    return [(b, None if b == top else idom[b], depth[b]) for b in reversed(order)]
+
+
+def dominator_trees(edges: DataFrame, root: str = "root", by: str = "graph") -> DataFrame:
+    """(graph, id, idom, depth) for many graphs (graph, root, src, dst), such as the control flow of each function: a graph's edges are gathered in one row, so it is as large as its function."""
+    kind = edges.schema["src"].dataType.simpleString()
+
+    def trees(tops: pd.Series, graphs: pd.Series) -> pd.Series:
+        return pd.Series([[{"id": a, "idom": b, "depth": d} for a, b, d in _idoms(top, [(e["src"], e["dst"]) for e in g])] for top, g in zip(tops, graphs, strict=True)], dtype=object)
+
+    gathered = edges.groupBy(by, root).agg(F.sort_array(F.collect_set(F.struct("src", "dst"))).alias("e"))
+    tree = F.pandas_udf(trees, f"array<struct<id:{kind},idom:{kind},depth:bigint>>")(F.col(root), F.col("e"))
+    return gathered.select(by, F.explode(tree).alias("t")).select(by, "t.*")
 
 
 def ranked(ranks: DataFrame, k: int = 10, score: str = "rank") -> DataFrame:

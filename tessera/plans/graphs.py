@@ -132,6 +132,21 @@ def _spans(spark, d):
     return table(spark, d, "orders").select((F.col("o_custkey") % 100).alias("file"), F.col("o_orderkey").alias("name"), (F.col("o_orderkey") % 1000).alias("start_line"), (F.col("o_orderkey") % 1000 + F.col("o_custkey") % 50).alias("end_line"))
 
 
+def _dominator_tree(spark, d):
+    return G.dominator_tree("w", downward(spark, d))
+
+
+def _flow(spark, d):
+    """(graph, root, src, dst): for each order a graph over its lines: each line leads to the next, and to the line that its part points at."""
+    l = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("graph"), F.col("l_linenumber").cast("long").alias("src"), "l_partkey")  # noqa: E741
+    ends = F.explode(F.array(F.col("src") + 1, 1 + F.col("l_partkey") % 7))
+    return l.select("graph", F.lit(1).cast("long").alias("root"), "src", ends.alias("dst"))
+
+
+def _dominator_trees(spark, d):
+    return G.dominator_trees(_flow(spark, d))
+
+
 def _enclosing(spark, d):
     s = table(spark, d, "part").select((F.col("p_partkey") % 100).alias("file"), F.col("p_size").cast("long").alias("line")).distinct()
     return G.enclosing(s, _spans(spark, d))
@@ -248,7 +263,7 @@ def _flows(spark, d):
 QUERIES = {
     "graph_degree": _degrees, "graph_critical": _critical, "graph_khop": _khop, "graph_reach": _reach, "graph_impact": _impact, "graph_shortest": _shortest, "graph_all_paths": _paths,
     "graph_cycles": _cycles(False), "graph_cycles_compat": _cycles(True), "graph_components": _components, "graph_pagerank": _pagerank, "graph_pagerank_top": _ranked, "graph_communities": _communities,
-    "dead_nodes": _dead, "entry_points": _entries, "graph_depth": _depth, "graph_summary": _summary, "graph_counts": _counts, "call_risk": _risk, "dominators": _dominators,
+    "dead_nodes": _dead, "entry_points": _entries, "graph_depth": _depth, "graph_summary": _summary, "graph_counts": _counts, "call_risk": _risk, "dominators": _dominators, "dominator_tree": _dominator_tree, "function_dominators": _dominator_trees,
     "enclosing_function": _enclosing, "overlapping_symbols": _overlap, "graph_dot": _lines("dot"), "graph_mermaid": _lines("mermaid"), "graph_json": _lines("json"),
     "graph_reach_filtered": _reach_props, "graph_match": _match, "graph_find": _found, "graph_where": _where, "graph_path_ends": _ends, "graph_distances": _distances, "graph_analysis": _analysis,
     "graph_dependencies": _dependencies(False), "graph_dependents": _dependencies(True), "graph_neighbours": _neighbours, "graph_references": _references, "graph_node_types": _node_types,
@@ -290,6 +305,16 @@ SQL = {
     "dominators": f"""WITH {_DOWN}, d0 AS (SELECT 'w' AS id, 'w' AS dom), """ + ", ".join(
         f"d{k} AS (SELECT id, dom FROM (SELECT dn.dst AS id, d.dom, count(*) AS n FROM dn JOIN d{k - 1} d ON d.id = dn.src GROUP BY ALL) JOIN (SELECT dst AS id, count(*) AS m FROM dn GROUP BY 1) USING (id) WHERE n = m UNION ALL SELECT DISTINCT dst, dst FROM dn JOIN d{k - 1} d ON d.id = dn.src)" for k in (1, 2, 3, 4)
     ) + " SELECT id, string_agg(dom, ',' ORDER BY dom) AS dominators FROM (" + " UNION ALL ".join(f"SELECT * FROM d{k}" for k in range(5)) + ") GROUP BY id",
+    "dominator_tree": f"""WITH {_DOWN}, d0 AS (SELECT 'w' AS id, 'w' AS dom), """ + ", ".join(
+        f"d{k} AS (SELECT id, dom FROM (SELECT dn.dst AS id, d.dom, count(*) AS n FROM dn JOIN d{k - 1} d ON d.id = dn.src GROUP BY ALL) JOIN (SELECT dst AS id, count(*) AS m FROM dn GROUP BY 1) USING (id) WHERE n = m UNION ALL SELECT DISTINCT dst, dst FROM dn JOIN d{k - 1} d ON d.id = dn.src)" for k in (1, 2, 3, 4)
+    ) + ", doms AS (" + " UNION ALL ".join(f"SELECT * FROM d{k}" for k in range(5)) + "), deep AS (SELECT id, count(*) - 1 AS depth FROM doms GROUP BY id) SELECT d.id, max(CASE WHEN p.depth = d.depth - 1 THEN o.dom END) AS idom, d.depth FROM deep d JOIN doms o ON o.id = d.id JOIN deep p ON p.id = o.dom GROUP BY d.id, d.depth",
+    "function_dominators": """WITH RECURSIVE e AS (SELECT DISTINCT l_orderkey AS graph, l_linenumber::BIGINT AS src, unnest([l_linenumber + 1, 1 + l_partkey % 7])::BIGINT AS dst FROM lineitem),
+ns AS (SELECT DISTINCT graph, n FROM (SELECT graph, src AS n FROM e UNION ALL SELECT graph, dst FROM e)),
+r AS (SELECT DISTINCT graph, 0::BIGINT AS cut, 1::BIGINT AS n FROM e UNION SELECT graph, n, 1::BIGINT FROM ns WHERE n <> 1 UNION SELECT r.graph, r.cut, e.dst FROM r JOIN e ON e.graph = r.graph AND e.src = r.n WHERE e.dst <> r.cut),
+live AS (SELECT graph, n FROM r WHERE cut = 0),
+doms AS (SELECT a.graph, a.n, b.n AS dom FROM live a JOIN live b ON a.graph = b.graph WHERE b.n = 1 OR a.n = b.n OR NOT EXISTS (SELECT 1 FROM r WHERE r.graph = a.graph AND r.cut = b.n AND r.n = a.n)),
+deep AS (SELECT graph, n, count(*) - 1 AS depth FROM doms GROUP BY ALL)
+SELECT d.graph, d.n AS id, max(CASE WHEN p.depth = d.depth - 1 THEN o.dom END) AS idom, d.depth FROM deep d JOIN doms o ON o.graph = d.graph AND o.n = d.n JOIN deep p ON p.graph = o.graph AND p.n = o.dom GROUP BY d.graph, d.n, d.depth""",
     "enclosing_function": "WITH f AS (SELECT o_custkey % 100 AS file, o_orderkey AS name, o_orderkey % 1000 AS a, o_orderkey % 1000 + o_custkey % 50 AS b FROM orders), s AS (SELECT DISTINCT p_partkey % 100 AS file, p_size::BIGINT AS line FROM part) SELECT file, line, name FROM (SELECT s.file, s.line, name, row_number() OVER (PARTITION BY s.file, s.line ORDER BY a, name) AS r FROM s JOIN f ON s.file = f.file AND s.line BETWEEN a AND b) WHERE r = 1",
     "overlapping_symbols": "WITH f AS (SELECT o_custkey % 100 AS file, o_orderkey AS name, o_orderkey % 1000 AS a, o_orderkey % 1000 + o_custkey % 50 AS b FROM orders), c AS (SELECT s_suppkey % 100 AS file, s_suppkey * 37 % 1000 AS x, s_suppkey * 37 % 1000 + 5 AS y FROM supplier) SELECT f.file, f.name, x AS change_start, y AS change_end FROM c JOIN f ON c.file = f.file AND x <= b AND y >= a",
     "graph_dot": f"WITH {_C} SELECT 0 AS part, 'digraph G {{' AS line UNION ALL SELECT 1, '  \"' || p_partkey || '\" [label=\"' || p_name || '\"];' FROM part UNION ALL SELECT 2, '  \"' || src || '\" -> \"' || dst || '\";' FROM c UNION ALL SELECT 3, '}}'",
