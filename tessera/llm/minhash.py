@@ -297,11 +297,12 @@ def deduplicate(docs: DataFrame, percent: int = 80, width: int = 5, bands: int =
     best = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "node")).alias("best")
     kept = named.where("comp IS NOT NULL").groupBy("comp").agg(best).select("best.doc_id", "best.node")
     kept = materialize(kept.union(named.where("comp IS NULL").select("doc_id", "node").distinct()), "minhash-kept")
-    # The rows travel as one struct, so that no name of theirs can clash.
+    # The rows travel as one struct, so that no name of theirs can clash; by shuffle at every size, since the ids that
+    # stay grow with the corpus.
     tagged = docs.select(F.struct("*").alias("row"), docs[f"`{key}`"].cast("long").alias("row_id"), docs[f"`{text}`"].alias("row_text"))
     if odd is None:
-        return _by_id(tagged, kept, "left_semi", "row_id").select("row.*")
-    alone = _by_id(tagged, _by_id(kept, odd, "left_anti"), "left_semi", "row_id").select("row")
+        return _by_id(tagged.hint("merge"), kept.hint("merge"), "left_semi", "row_id").select("row.*")
+    alone = _by_id(tagged.hint("merge"), _by_id(kept, odd, "left_anti").hint("merge"), "left_semi", "row_id").select("row")
     many = _by_id(tagged, odd, "left_semi", "row_id").withColumn("row_node", _node(width)(F.col("row_text")))
     many = many.join(_by_id(kept, odd, "left_semi").select(F.col("doc_id").alias("kept_id"), F.col("node").alias("kept_node")), F.expr("row_id <=> kept_id AND row_node <=> kept_node"), "left_semi")
     many = materialize(many, "minhash-many")
