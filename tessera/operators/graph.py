@@ -549,17 +549,38 @@ def ranked(ranks: DataFrame, k: int = 10, score: str = "rank") -> DataFrame:
     return best.withColumn("place", F.row_number().over(W.orderBy(F.desc(score), "id")))
 
 
+def stabbed(points: DataFrame, spans: DataFrame, key: str, at: str, first: str, last: str) -> DataFrame:
+    """Points times the spans of their key that hold them, with the columns of both but for the spans' key.
+
+    A span lies in at most two bins of the smallest power of two that is as long as itself, and a point looks into one
+    bin of each such width. So rows meet by (key, width, bin): a key that holds very many spans is dealt out over its
+    bins, and a long span is not copied into many.
+    """
+    level = F.ceil(F.log2(F.greatest(F.col(last) - F.col(first) + 1, F.lit(1)).cast("double"))).cast("int")
+    binned = spans.where(F.col(first) <= F.col(last)).withColumn("_level", level)
+    bin_of = lambda c: F.floor(F.col(c) / F.pow(F.lit(2.0), F.col("_level"))).cast("long")
+    binned = binned.withColumn("_bin", F.explode(F.array_distinct(F.array(bin_of(first), bin_of(last))))).withColumnRenamed(key, "_key")
+    levels = sorted(r[0] for r in binned.select("_level").distinct().collect())  # a few dozen at most
+    looks = points.withColumn("_level", F.explode(F.array(*[F.lit(n) for n in levels]).cast("array<int>"))).withColumn("_bin", bin_of(at))
+    met = looks.join(binned, (F.col(key) == F.col("_key")) & (looks["_level"] == binned["_level"]) & (looks["_bin"] == binned["_bin"]))
+    return met.where(F.col(at).between(F.col(first), F.col(last))).drop("_level", "_bin", "_key")
+
+
 def enclosing(sites: DataFrame, functions: DataFrame) -> DataFrame:
-    """Call sites (file, line) with the first function (file, name, start_line, end_line) around them; the file is the join's hash key."""
-    j = sites.alias("s").join(functions.alias("f"), F.expr("s.file = f.file AND s.line BETWEEN f.start_line AND f.end_line"))
-    first = F.row_number().over(W.partitionBy("s.file", "s.line").orderBy("f.start_line", "f.name"))
-    return j.select("s.file", "s.line", "f.name", first.alias("n")).where("n = 1").drop("n")
+    """Call sites (file, line) with the first function (file, name, start_line, end_line) around them; equal sites are one."""
+    met = stabbed(sites.select("file", "line").distinct(), functions.select("file", "name", "start_line", "end_line"), "file", "line", "start_line", "end_line")
+    first = met.groupBy("file", "line").agg(F.min(F.struct("start_line", "name")).alias("f"))
+    return first.select("file", "line", F.col("f.name").alias("name"))
 
 
 def overlapping(changes: DataFrame, symbols: DataFrame) -> DataFrame:
-    """Symbols whose lines overlap those of a change in their file."""
-    j = changes.alias("c").join(symbols.alias("s"), F.expr("c.file = s.file AND c.start_line <= s.end_line AND c.end_line >= s.start_line"))
-    return j.select("s.file", "s.name", F.col("c.start_line").alias("change_start"), F.col("c.end_line").alias("change_end"))
+    """Symbols whose lines overlap those of a change in their file. Of two spans that overlap one begins inside the other, so each pair is met once: where the change begins, or where the symbol does."""
+    c = changes.where("start_line <= end_line").select("file", F.col("start_line").alias("change_start"), F.col("end_line").alias("change_end"))
+    s = symbols.where("start_line <= end_line").select("file", "name", "start_line", "end_line")
+    out = ["file", "name", "change_start", "change_end"]
+    begun = stabbed(c, s, "file", "change_start", "start_line", "end_line").select(*out)
+    later = stabbed(s, c.withColumn("_after", F.col("change_start") + 1), "file", "start_line", "_after", "change_end").select(*out)
+    return begun.union(later)
 
 
 def export_lines(vertices: DataFrame, edges: DataFrame, form: str = "dot") -> DataFrame:

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -222,6 +224,119 @@ def scan(docs: DataFrame, rules: list[dict], key: str = "doc_id", text: str = "t
     return lines.select(key, (F.col("n") + 1).cast("long").alias("line_no"), hit.alias("x")).select(key, "x.*", "line_no")
 
 
+def required(pattern: str) -> str:
+    """The longest text, in small letters, that all that the pattern finds must hold; "" if there is none to be seen."""
+    best, run = "", ""
+
+    def flush() -> None:
+        nonlocal best, run
+        best, run = max(best, run, key=len), ""
+
+    def walk(items) -> None:
+        nonlocal run
+        for op, value in items:
+            name = str(op)
+            if name == "LITERAL" and value < 128:
+                run += chr(value).lower()
+            elif name == "AT":
+                continue
+            elif name == "SUBPATTERN":
+                walk(value[-1])
+            elif name in ("MAX_REPEAT", "MIN_REPEAT", "POSSESSIVE_REPEAT") and value[0] > 0:
+                flush()
+                walk(value[2])
+                flush()
+            else:
+                flush()
+
+    walk(re._parser.parse(pattern))
+    flush()
+    return best
+
+
+class _Scanner:
+    """Many patterns over lines: an automaton over their required texts finds the few that a line can meet."""
+
+    def __init__(self, patterns: list[str]):
+        import ahocorasick
+
+        self.tests = [re.compile(p, re.ASCII) for p in patterns]
+        self.always, by_text = [], {}
+        for k, p in enumerate(patterns):
+            text = required(p)
+            if len(text) > 1:
+                by_text.setdefault(text, []).append(k)
+            else:
+                self.always.append(k)
+        self.automaton = ahocorasick.Automaton()
+        for text, ks in by_text.items():
+            self.automaton.add_word(text, tuple(ks))
+        self.automaton.make_automaton()
+
+    def line(self, line: str) -> list[int]:
+        may = set(self.always)
+        if len(self.automaton):
+            for _, ks in self.automaton.iter(line.lower()):
+                may.update(ks)
+        return sorted(k for k in may if self.tests[k].search(line))
+
+
+def scan_table(docs: DataFrame, rules: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, rule, severity, message, line_no) of a table of rules (id, severity, message, pattern): as ``scan``, for hundreds or thousands of rules in one pass.
+
+    The rules go to every task, so their table must be a small one (tens of thousands of rows). Null texts hold
+    nothing; a rule whose id is there twice counts twice.
+    """
+    listed = rules.select("id", "severity", "message", "pattern").orderBy("id", "pattern").collect()
+    patterns = [r.pattern for r in listed]
+
+    def find(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        scanner = _Scanner(patterns)
+        for part in texts:
+            yield pd.Series([[{"line": n, "rule": k} for n, line in enumerate((t or "").split("\n"), 1) for k in scanner.line(line)] for t in part], dtype=object)
+
+    hits = docs.select(key, F.explode(F.pandas_udf(find, "array<struct<line:bigint,rule:int>>")(F.col(text))).alias("x"))
+    said = docs.sparkSession.createDataFrame([(k, r.id, r.severity, r.message) for k, r in enumerate(listed)], "_k int, rule string, severity string, message string")
+    return hits.select(key, F.col("x.line").alias("line_no"), F.col("x.rule").alias("_k")).join(F.broadcast(said), "_k").select(key, "rule", "severity", "message", "line_no")
+
+
+#: Templates of rules: what is made of a name. A name is taken as it is, whatever signs it holds.
+TEMPLATES = {
+    "call": ("WARNING", "calls {name}", r"\b{name}\s*\("),
+    "definition": ("INFO", "defines {name}", r"\b(?:function|class|def)\s+{name}\b"),
+    "assignment": ("WARNING", "assigns {name}", r"\b{name}\s*=[^=]"),
+    "import": ("INFO", "imports {name}", r"\b(?:import|from|require)\b.*\b{name}\b"),
+    "text": ("INFO", "mentions {name}", r"{name}"),
+}
+
+
+def generated(names: DataFrame) -> DataFrame:
+    """(id, severity, message, pattern): a rule for each row (template, name)."""
+    quoted = F.regexp_replace("name", r"([^A-Za-z0-9_])", r"\\$1")
+    fill = lambda k, c: F.coalesce(*[F.when(F.col("template") == t, F.replace(F.lit(x[k]), F.lit("{name}"), c)) for t, x in TEMPLATES.items()])
+    made = names.select(F.concat_ws("-", "template", "name").alias("id"), fill(0, F.lit("")).alias("severity"), fill(1, F.col("name")).alias("message"), fill(2, quoted).alias("pattern"))
+    return made.where("pattern IS NOT NULL")
+
+
+def check_rules(rules: DataFrame) -> DataFrame:
+    """(id, problem) of rules (id, severity, message, pattern): what is missing, an unknown severity, a pattern that is none."""
+
+    def broken(patterns: pd.Series) -> pd.Series:
+        out = []
+        for p in patterns:
+            try:
+                re.compile(p or "")
+                out.append(None)
+            except re.error as e:
+                out.append(f"pattern: {e}")
+        return pd.Series(out, dtype=object)
+
+    missing = [F.when(F.coalesce(F.col(c), F.lit("")) == "", F.lit(f"{c} is missing")) for c in ("id", "severity", "message", "pattern")]
+    severity = F.when(~F.col("severity").isin("ERROR", "WARNING", "INFO"), F.lit("no such severity"))
+    problems = F.filter(F.array(*missing, severity, F.pandas_udf(broken, "string")("pattern")), lambda x: x.isNotNull())
+    return rules.select("id", F.explode(problems).alias("problem"))
+
+
 def from_yaml(source: str) -> list[dict]:
     """The rules of a rule file that are plain patterns, for ``scan``; PyYAML is needed for it. Rules without a pattern of their own are left to other tools."""
     import yaml

@@ -148,6 +148,14 @@ def _scanned(spark, d):
     return rules.scan(code(spark, d), SCANNED, "id").select("id", "rule", "severity", "line_no")
 
 
+def _generated(spark, d):
+    """Rules made for the function and the class of each part, over all files."""
+    p = table(spark, d, "part")
+    kinds = [("call", "f"), ("definition", "f"), ("definition", "C"), ("assignment", "keep"), ("text", "D")]
+    named = p.select(F.explode(F.array(*[F.struct(F.lit(t).alias("template"), F.concat(F.lit(n), "p_partkey").alias("name")) for t, n in kinds])).alias("x")).select("x.*")
+    return rules.scan_table(code(spark, d), rules.generated(named), "id").select("id", "rule", "severity", "line_no")
+
+
 def _pure(spark, d):
     f = units(spark, d).where("type = 'function'").select("id", X.has_side_effects(F.col("content")).alias("own"), X.has_page_effects(F.col("content")).alias("page"))
     share = lambda c: r6(F.avg(F.when(F.col(c), 0.0).otherwise(1.0))).alias(f"pure_by_{c}")
@@ -344,6 +352,7 @@ QUERIES = {
     "code_snippets": _snippets,
     "custom_rule": _custom,
     "regex_rule_scan": _scanned,
+    "generated_rule_scan": _generated,
     "pure_functions": _pure,
     "affected_files": _affected,
     "resolved_calls": _calls,
@@ -440,6 +449,12 @@ SELECT id, count(*)::BIGINT AS n_nodes, count(DISTINCT type)::BIGINT AS n_types,
     "code_snippets": f"WITH {_RULES} SELECT id, seq::BIGINT AS seq, rule, md5(node) AS digest FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY id, seq, rule) AS r FROM tests WHERE {_VALID} AND length(node) BETWEEN 20 AND 1000 AND {_V2} BETWEEN 1 AND 15) WHERE r = 1",
     "custom_rule": f"WITH {_NODES} SELECT id, md5(node) AS digest FROM nodes WHERE type = 'if_statement' AND contains(node, '> ') AND {_V2.replace('CASE WHEN regexp_matches(trim(node), ' + chr(39) + r'^\w+\([^)]*\);?$' + chr(39) + ') THEN 0 ELSE', '').replace(' END + 0.5', ' + 0.5')} > 4",
     "regex_rule_scan": f"WITH {_LINES} " + " UNION ALL ".join(f"SELECT id, '{r['id']}' AS rule, '{r['severity']}' AS severity, i AS line_no FROM li WHERE regexp_matches(line, '{_q(r['pattern'])}')" for r in SCANNED),
+    "generated_rule_scan": f"""WITH {_LINES}, w AS (
+  SELECT id, i, unnest(regexp_extract_all(line, '\\b(f\\d+)\\s*\\(', 1)) AS name, 'call' AS template, 'WARNING' AS severity FROM li
+  UNION ALL SELECT id, i, unnest(regexp_extract_all(line, '\\b(?:function|class|def)\\s+([fC]\\d+)\\b', 1)), 'definition', 'INFO' FROM li
+  UNION ALL SELECT id, i, unnest(regexp_extract_all(line, '\\b(keep\\d+)\\s*=[^=]', 1)), 'assignment', 'WARNING' FROM li
+  UNION ALL SELECT id, i, unnest([regexp_extract(line, '(D\\d+)', 1)[1:k] FOR k IN range(2, 12) IF k <= length(regexp_extract(line, '(D\\d+)', 1))]), 'text', 'INFO' FROM li WHERE regexp_matches(line, 'D\\d+'))
+SELECT DISTINCT id, template || '-' || name AS rule, severity, i AS line_no FROM w JOIN part ON substr(name, CASE WHEN name LIKE 'keep%' THEN 5 ELSE 2 END) = p_partkey::VARCHAR""",
     "pure_functions": f"WITH {_UNITS}, e AS (SELECT id, ({_WRITES}) AS own, regexp_matches(c, '{'|'.join(X.PAGE_EFFECTS)}') AS page FROM (SELECT id, content AS c FROM units WHERE type = 'function')) SELECT id % 10 AS bucket, count(*)::BIGINT AS n_functions, round(avg((NOT own)::INT), 6) AS pure_by_own, round(avg((NOT page)::INT), 6) AS pure_by_page FROM e GROUP BY 1",
     "affected_files": "SELECT p_partkey AS path FROM part WHERE p_size = 7 OR p_partkey % 97 IN (SELECT p_partkey FROM part WHERE p_size = 7)",
     "resolved_calls": f"WITH {_CALLED} SELECT * FROM calls",

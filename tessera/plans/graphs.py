@@ -152,6 +152,25 @@ def _enclosing(spark, d):
     return G.enclosing(s, _spans(spark, d))
 
 
+def _hot(spark, d, *more):
+    """Rows of orders by file, of which one file has a third."""
+    file = F.when(F.col("o_orderkey") % 3 == 0, 0).otherwise(F.col("o_custkey"))
+    return table(spark, d, "orders").select(file.cast("long").alias("file"), *[F.expr(x) for x in more])
+
+
+HOT_SPANS = ("o_orderkey AS name", "o_orderkey * 53 % 1000003 AS start_line", "o_orderkey * 53 % 1000003 + o_orderkey % 50 * (o_custkey % 7) AS end_line")
+
+
+def _hot_enclosing(spark, d):
+    sites = _hot(spark, d, "o_orderkey * 37 % 1000003 AS line")
+    return G.enclosing(sites, _hot(spark, d, *HOT_SPANS))
+
+
+def _hot_overlap(spark, d):
+    changes = _hot(spark, d, "o_orderkey * 41 % 1000003 AS start_line", "o_orderkey * 41 % 1000003 + o_custkey % 20 AS end_line")
+    return G.overlapping(changes, _hot(spark, d, *HOT_SPANS))
+
+
 def _overlap(spark, d):
     change = table(spark, d, "supplier").select((F.col("s_suppkey") % 100).alias("file"), (F.col("s_suppkey") * 37 % 1000).alias("start_line"), (F.col("s_suppkey") * 37 % 1000 + 5).alias("end_line"))
     return G.overlapping(change, _spans(spark, d))
@@ -264,7 +283,7 @@ QUERIES = {
     "graph_degree": _degrees, "graph_critical": _critical, "graph_khop": _khop, "graph_reach": _reach, "graph_impact": _impact, "graph_shortest": _shortest, "graph_all_paths": _paths,
     "graph_cycles": _cycles(False), "graph_cycles_compat": _cycles(True), "graph_components": _components, "graph_pagerank": _pagerank, "graph_pagerank_top": _ranked, "graph_communities": _communities,
     "dead_nodes": _dead, "entry_points": _entries, "graph_depth": _depth, "graph_summary": _summary, "graph_counts": _counts, "call_risk": _risk, "dominators": _dominators, "dominator_tree": _dominator_tree, "function_dominators": _dominator_trees,
-    "enclosing_function": _enclosing, "overlapping_symbols": _overlap, "graph_dot": _lines("dot"), "graph_mermaid": _lines("mermaid"), "graph_json": _lines("json"),
+    "hot_enclosing": _hot_enclosing, "hot_overlapping": _hot_overlap, "enclosing_function": _enclosing, "overlapping_symbols": _overlap, "graph_dot": _lines("dot"), "graph_mermaid": _lines("mermaid"), "graph_json": _lines("json"),
     "graph_reach_filtered": _reach_props, "graph_match": _match, "graph_find": _found, "graph_where": _where, "graph_path_ends": _ends, "graph_distances": _distances, "graph_analysis": _analysis,
     "graph_dependencies": _dependencies(False), "graph_dependents": _dependencies(True), "graph_neighbours": _neighbours, "graph_references": _references, "graph_node_types": _node_types,
     "graph_overview": _overview, "taint_reach": _tainted, "def_use_flows": _flows,
@@ -315,6 +334,8 @@ live AS (SELECT graph, n FROM r WHERE cut = 0),
 doms AS (SELECT a.graph, a.n, b.n AS dom FROM live a JOIN live b ON a.graph = b.graph WHERE b.n = 1 OR a.n = b.n OR NOT EXISTS (SELECT 1 FROM r WHERE r.graph = a.graph AND r.cut = b.n AND r.n = a.n)),
 deep AS (SELECT graph, n, count(*) - 1 AS depth FROM doms GROUP BY ALL)
 SELECT d.graph, d.n AS id, max(CASE WHEN p.depth = d.depth - 1 THEN o.dom END) AS idom, d.depth FROM deep d JOIN doms o ON o.graph = d.graph AND o.n = d.n JOIN deep p ON p.graph = o.graph AND p.n = o.dom GROUP BY d.graph, d.n, d.depth""",
+    "hot_enclosing": f"WITH h AS (SELECT *, (CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE o_custkey END)::BIGINT AS file FROM orders), f AS (SELECT file, {', '.join(HOT_SPANS)} FROM h), s AS (SELECT DISTINCT file, o_orderkey * 37 % 1000003 AS line FROM h) SELECT file, line, arg_min(name, (start_line, name)) AS name FROM s JOIN f USING (file) WHERE line BETWEEN start_line AND end_line GROUP BY file, line",
+    "hot_overlapping": f"WITH h AS (SELECT *, (CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE o_custkey END)::BIGINT AS file FROM orders), f AS (SELECT file, {', '.join(HOT_SPANS)} FROM h), c AS (SELECT file, o_orderkey * 41 % 1000003 AS change_start, o_orderkey * 41 % 1000003 + o_custkey % 20 AS change_end FROM h) SELECT file, name, change_start, change_end FROM c JOIN f USING (file) WHERE change_start <= end_line AND change_end >= start_line",
     "enclosing_function": "WITH f AS (SELECT o_custkey % 100 AS file, o_orderkey AS name, o_orderkey % 1000 AS a, o_orderkey % 1000 + o_custkey % 50 AS b FROM orders), s AS (SELECT DISTINCT p_partkey % 100 AS file, p_size::BIGINT AS line FROM part) SELECT file, line, name FROM (SELECT s.file, s.line, name, row_number() OVER (PARTITION BY s.file, s.line ORDER BY a, name) AS r FROM s JOIN f ON s.file = f.file AND s.line BETWEEN a AND b) WHERE r = 1",
     "overlapping_symbols": "WITH f AS (SELECT o_custkey % 100 AS file, o_orderkey AS name, o_orderkey % 1000 AS a, o_orderkey % 1000 + o_custkey % 50 AS b FROM orders), c AS (SELECT s_suppkey % 100 AS file, s_suppkey * 37 % 1000 AS x, s_suppkey * 37 % 1000 + 5 AS y FROM supplier) SELECT f.file, f.name, x AS change_start, y AS change_end FROM c JOIN f ON c.file = f.file AND x <= b AND y >= a",
     "graph_dot": f"WITH {_C} SELECT 0 AS part, 'digraph G {{' AS line UNION ALL SELECT 1, '  \"' || p_partkey || '\" [label=\"' || p_name || '\"];' FROM part UNION ALL SELECT 2, '  \"' || src || '\" -> \"' || dst || '\";' FROM c UNION ALL SELECT 3, '}}'",

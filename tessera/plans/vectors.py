@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import similarity as S
 from tessera.functions import text as X
 from tessera.operators import search, vector
+from tessera.operators.graph import saved
 from tessera.plans.common import r6, table
 
 QUERY = "the and that tion"
@@ -57,6 +58,12 @@ def _keyword(spark, d):
     return search.top(docs, 20, 0.3).select("id", "score")
 
 
+def _keyword_index(spark, d):
+    """As ``keyword_containment``, by an inverted index."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
+    return search.best_of_index(saved(search.inverted(docs)), QUERY, 20, 0.3)[0]
+
+
 def _benchmark_terms(spark, d):
     """Each benchmark text's words against each document, through the words themselves."""
     words = F.explode(F.array_distinct(X.terms(F.col("text"))))
@@ -151,6 +158,7 @@ QUERIES = {
     "dim_pad": _adapt("padding", 80),
     "label_centroid_similarity": _label_similarity,
     "keyword_containment": _keyword,
+    "keyword_index": _keyword_index,
     "benchmark_term_overlap": _benchmark_terms,
     "fuzzy_token_match": _fuzzy_tokens,
     "semantic_final_score": _semantic_final,
@@ -187,6 +195,7 @@ SELECT query_id, vec_id, rank, round(s, 6) AS score FROM r WHERE rank <= 5""",
   SELECT label, i, avg(x) AS x FROM x GROUP BY ALL), c AS (SELECT label, list(x ORDER BY i) AS c FROM m GROUP BY label)
 SELECT a.label AS label_a, b.label AS label_b, round(list_cosine_similarity(a.c, b.c), 6) AS cosine, round(list_distance(a.c, b.c), 6) AS euclidean FROM c a JOIN c b ON a.label < b.label""",
     "keyword_containment": f"SELECT doc_id AS id, least({_CONTAIN} / 4.0::DOUBLE, 1.0::DOUBLE) AS score FROM documents WHERE {_CONTAIN} / 4.0 >= 0.3 ORDER BY score DESC, id LIMIT 20",
+    "keyword_index": f"SELECT doc_id AS id, least({_CONTAIN} / 4.0::DOUBLE, 1.0::DOUBLE) AS score FROM documents WHERE {_CONTAIN} / 4.0 >= 0.3 ORDER BY score DESC, id LIMIT 20",
     "benchmark_term_overlap": r"""WITH w AS (SELECT item_id, unnest(list_distinct(string_split_regex(lower(text), '[ \t\n\x0B\f\r]+'))) AS word FROM benchmark),
 h AS (SELECT doc_id, unnest(list_distinct(string_split_regex(lower(text), '[ \t\n\x0B\f\r]+'))) AS word FROM documents),
 n AS (SELECT item_id, count(*) AS n FROM w GROUP BY 1), m AS (SELECT item_id, doc_id, count(*) AS hits FROM w JOIN h USING (word) GROUP BY ALL)
