@@ -75,7 +75,28 @@ FUNCTION_TYPES = ("function_declaration", "function_expression")
 KINDS = {"functions": FUNCTION_TYPES, "classes": ("class_declaration",), "imports": ("import_statement",), "exports": ("export_statement",)}
 
 
-def syntax_nodes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+#: Expressions, and constructs of other languages and of build and pipeline files, each as the language writes it.
+EXPRESSIONS = (
+    ("template_string", r"`[^`]*`"),
+    ("destructuring", r"\b(?:const|let|var)\s+[\[{][^=;]*=\s*[^;\n]+;?"),
+    ("object", r"=\s*\{[^{}]*\}"),
+    ("array", r"=\s*\[[^\[\]]*\]"),
+    ("assignment", r"(?m)^[ \t]*[\w.]+\s*[-+*/%]?=\s*[^=\s][^\n;]*;"),
+    ("declaration", r"\b(?:const|let|var)\s+\w+\s*=\s*[^\n;]*;"),
+    ("sequence", r"(?m)^[ \t]*[\w.]+\s*=\s*\w+\s*,\s*[^\n;]+;|\bfor\s*\([^;)]*,[^;)]*;"),
+    ("block", r"(?m)^\{[^{}]*\}"),
+    ("comprehension", r"[\[{][^\[\]{}\n]*\bfor\s[^\[\]{}\n]*\bin\s[^\[\]{}\n]*[\]}]"),
+    ("stream", r"\.stream\(\)(?:\s*\.\s*\w+\([^()]*(?:\([^()]*\)[^()]*)*\))+"),
+    ("thin_arrow", r"(?:\([^()\n]*\)|\b\w+)\s*->\s*[^;\n]+"),
+    ("goroutine", r"\bgo\s+(?:func\([^)]*\)\s*\{[^}]*\}\s*\([^)]*\)|\w+(?:\.\w+)*\([^)]*\))"),
+    ("channel", r"\w+\s*<-\s*\w+|\bmake\(chan\b[^)]*\)"),
+    ("go_interface", r"\btype\s+\w+\s+interface\s*\{[^}]*\}"),
+    ("build_line", r"(?m)^[ \t]*(?:implementation|api|testImplementation|compileOnly|repositories|plugins)\b[^\n]*|<(?:dependency|plugin|artifactId|version)>"),
+    ("pipeline_line", r"(?m)^[ \t-]*(?:on|name|runs-on|uses|stages|jobs|script|steps)[ \t]*:[^\n]*"),
+)
+
+
+def syntax_nodes(docs: DataFrame, key: str = "doc_id", text: str = "text", patterns=NODE_PATTERNS) -> DataFrame:
     """(key, type, seq, node, start_line): the flat node list, in order of pattern and place; lines count from 1.
 
     A node's line follows from the line feeds in what stands between the matches and in the matches before it.
@@ -92,7 +113,7 @@ def syntax_nodes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
         made = bind(F.struct(hits.alias("h"), feeds(F.split(c, exact)).alias("b")), lambda s: bind(feeds(s["h"]), lambda inside: F.transform(s["h"], lambda h, k: node(h, k, s["b"], inside))))
         return F.when(c.rlike(exact), made).otherwise(F.array().cast("array<struct<type:string,node:string,line:bigint>>"))
 
-    lists = [found(kind, pattern) for kind, pattern in NODE_PATTERNS]
+    lists = [found(kind, pattern) for kind, pattern in patterns]
     got = docs.select(key, F.posexplode(F.concat(*lists)).alias("seq", "n"))
     return got.select(key, F.col("n.type").alias("type"), "seq", F.col("n.node").alias("node"), F.col("n.line").alias("start_line"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.similarity import directory, path_proximity
@@ -10,32 +10,58 @@ from tessera.functions.text import preprocess, semantic_features
 from tessera.operators.graph import saved
 
 
-def _first_of(chunks: DataFrame, digest, key: str, long) -> DataFrame:
+def _first_of(chunks: DataFrame, digest: Column, key: str, long: Column) -> DataFrame:
     """``chunks`` with ``digest`` and ``kept``: of equal digests the rows of the smallest key stay, and all that are not ``long``.
 
-    Digests and keys alone are grouped; short chunks, which have no digest, take no part in the join.
+    The texts are read twice, for the first keys, of which only digests and keys are grouped, and for the rows. A short
+    chunk meets nothing, and is dealt by its own key.
     """
     marked = chunks.withColumn("digest", F.when(long, digest))
-    first = marked.where("digest IS NOT NULL").groupBy("digest").agg(F.min(key).alias("_first"))
-    grouped = marked.where("digest IS NOT NULL").join(first, "digest").withColumn("kept", F.col(key).eqNullSafe(F.col("_first")))
-    return grouped.select(*marked.columns, "kept").unionByName(marked.where("digest IS NULL").withColumn("kept", F.lit(True)))
+    first = marked.where("digest IS NOT NULL").groupBy(F.col("digest").alias("_digest")).agg(F.min(key).alias("_first"))
+    alone = F.concat(F.lit("short "), F.coalesce(F.col(key).cast("string"), F.lit("")))
+    both = marked.join(first, F.coalesce("digest", alone) == F.col("_digest"), "left")
+    return both.select(*marked.columns, (F.col("_digest").isNull() | F.col(key).eqNullSafe(F.col("_first"))).alias("kept"))
+
+
+def _marks(chunks: DataFrame, digest: Column, key: str, text: str, least: int) -> DataFrame:
+    """(key, n_chars, kept): as ``_first_of``, where the rows themselves are not wanted. The texts are read once, and what follows has a digest a row."""
+    small = saved(chunks.select(key, F.length(text).alias("n_chars"), F.when(F.length(text) >= least, F.md5(digest)).alias("digest")))
+    return _first_of(small, F.col("digest"), key, F.col("digest").isNotNull()).select(key, "n_chars", "kept")
+
+
+def _exact_digest(text: str) -> Column:
+    return F.sha2(preprocess(F.col(text)), 256)
+
+
+def _semantic_digest(text: str, kind: str) -> Column:
+    return F.to_json(semantic_features(preprocess(F.col(text)), F.col(kind), F.size(F.split(F.col(text), "\n"))))
 
 
 def exact(chunks: DataFrame, key: str = "doc_id", text: str = "text", least: int = 50) -> DataFrame:
     """``chunks`` with ``kept``: of equal prepared texts the first by key; short chunks always stay."""
-    return _first_of(chunks, F.sha2(preprocess(F.col(text)), 256), key, F.length(text) >= least)
+    return _first_of(chunks, _exact_digest(text), key, F.length(text) >= least)
+
+
+def exact_marks(chunks: DataFrame, key: str = "doc_id", text: str = "text", least: int = 50) -> DataFrame:
+    """(key, n_chars, kept) of ``exact``."""
+    return _marks(chunks, _exact_digest(text), key, text, least)
 
 
 def savings(marked: DataFrame, text: str = "text") -> DataFrame:
-    gone = F.when(~F.col("kept"), F.length(text))
+    """What the removal saves, of rows with ``kept`` and the text or, as ``n_chars``, its length."""
+    size = F.col("n_chars") if "n_chars" in marked.columns else F.length(text)
+    gone = F.when(~F.col("kept"), size)
     return marked.agg(F.count("*").alias("n_chunks"), F.count_if(~F.col("kept")).alias("n_removed"), F.coalesce(F.sum(gone), F.lit(0)).cast("long").alias("chars_saved"))
 
 
 def semantic(chunks: DataFrame, key: str = "doc_id", text: str = "text", kind: str = "lang", least: int = 50) -> DataFrame:
     """As ``exact``, by thirteen structural features; equal features are similarity 1, so groups are exact."""
-    n_lines = F.size(F.split(F.col(text), "\n"))
-    got = semantic_features(preprocess(F.col(text)), F.col(kind), n_lines)
-    return _first_of(chunks, F.to_json(got), key, F.length(text) >= least)
+    return _first_of(chunks, _semantic_digest(text, kind), key, F.length(text) >= least)
+
+
+def semantic_marks(chunks: DataFrame, key: str = "doc_id", text: str = "text", kind: str = "lang", least: int = 50) -> DataFrame:
+    """(key, n_chars, kept) of ``semantic``."""
+    return _marks(chunks, _semantic_digest(text, kind), key, text, least)
 
 
 def word_sets(chunks: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -76,7 +102,7 @@ def fuzzy(chunks: DataFrame, key: str = "doc_id", text: str = "text", percent: i
     earlier partners are gone stays, a chunk with an earlier partner that stays is gone. Every round decides at least
     the first undecided chunk of each chain, so the loop ends when all are decided.
     """
-    sets = word_sets(chunks, key, text)
+    sets = saved(word_sets(chunks, key, text))  # read again and again below
     copies = saved(copies_of(sets))
     first = sets.join(copies.where("id = first_id").select("id"), "id", "left_semi")
     pairs = similar_pairs(first, percent).select("a", "b")
@@ -99,7 +125,7 @@ def overlaps(rows: DataFrame, percent: int = 80, near: float = 0.5, key: str = "
     directories, of which each is one row, so files are counted and never paired: a and b are the directories' first
     keys, and rows of one directory are near each other without being listed.
     """
-    sets = word_sets(rows, key, text)
+    sets = saved(word_sets(rows, key, text))
     first = sets.join(copies_of(sets).where("id = first_id").select("id"), "id", "left_semi")
     alike = similar_pairs(first, percent).select("a", "b", F.col("similarity").alias("shared"), F.lit(None).cast("double").alias("proximity"))
     folders = rows.groupBy(directory(F.col(path)).alias("folder")).agg(F.min(key).alias("id"))

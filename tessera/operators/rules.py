@@ -53,11 +53,25 @@ def framework(*names: str, types: tuple[str, ...] = CODE) -> tuple:
     return types, has(*names)
 
 
+#: Control structures that are trivial, and calls that are simple.
+TRIVIAL_CONTROL = (
+    r"if\s*\([^)]*\)\s*\w+;\s*$",
+    r"if\s*\([^)]*\)\s*\{\s*\w+;\s*\}",
+    r"for\s*\(;;\)\s*\{\s*\}",
+    r"while\s*\([^)]*\)\s*;",
+)
+SIMPLE_CALLS = (
+    r"^[a-zA-Z_]\w*\(\s*\)$",
+    r"^[a-zA-Z_]\w*\(\s*[a-zA-Z_]\w*\s*\)$",
+    r"console\.(log|error|warn|info)\(",
+    r"return\s+[a-zA-Z_]\w*\(\s*\);?$",
+)
+
 #: rule: (node types, test of the node's text). Rules for frameworks name what their own documentation introduces them by.
 RULES = {
-    "control_structure": (CONTROL, ("all", ("any", ("lines", 1), has(r"&&", r"\|\|", r"\?\s*:")), ("not", has(r"^(if|while)\s*\([^)]*\)\s*\w*;\s*$", r"^for\s*\(;;\)\s*\{\s*\}$")))),
+    "control_structure": (CONTROL, ("all", ("any", ("lines", 1), has(r"&&", r"\|\|", r"\?\s*:")), ("not", has(*TRIVIAL_CONTROL)))),
     "error_handling": (("try_statement", "throw_statement"), has(r"\b(try|throw)\b")),
-    "function_call_chain": (CALLS, ("all", ("not", has(r"^\w+\(\s*\w*\s*\)$", r"^console\.")), has(r"\)\s*\.\s*\w+\s*\(", r"=>", r"\bawait\b", r"\([^)]*[,.][^)]*\)"))),
+    "function_call_chain": (CALLS, ("all", ("not", has(*SIMPLE_CALLS)), ("any", has(r"\)\s*\.\s*\w+\s*\(", r"\([^()]*[,{\[.][^()]*\)", r"\bawait\b", r"\bPromise\b", r"=>", r"\bfunction\b"), ("all", has(r"\."), ("longer", 15))))),
     "comment_marked": (("comment",), has(r"(?i)@snippet|@code|@example|SNIPPET:|EXAMPLE:")),
     "async_pattern": ((*CALLS, *FUNCTIONS), has(r"\basync\b", r"\bawait\b", r"\.then\(", r"\.catch\(", r"\bPromise\.(all|any|race|allSettled)\(")),
     "decorator_pattern": (("class_declaration",), has(r"@\w+")),
@@ -80,6 +94,24 @@ RULES = {
 }
 
 
+#: Rules for expressions and for languages and files of other kinds, over the nodes of ``chunking.EXPRESSIONS``.
+EXPRESSION_RULES = {
+    "template_literal": (("template_string",), has(r"\$\{[^}]+\}")),
+    "destructuring_assignment": (("destructuring",), has(r"[\[{]\s*[\w.]+\s*[,:=}\]]")),
+    "object_array_literal": (("object", "array"), ("any", ("longer", 30), ("twice", r":|,"))),
+    "arithmetic_logical": (("assignment", "declaration"), ("twice", r"[-+*/%]|&&|\|\||<=|>=")),
+    "expression_sequence": (("sequence",), ("twice", r"[=(]")),
+    "logic_block": (("block",), ("all", ("lines", 2), ("any", has(r"\breturn\b", r"\b(if|for|while|switch)\b", r"=")))),
+    "python_comprehension": (("comprehension",), has(r"\bfor\s+[\w, ]+\s+in\b")),
+    "java_stream": (("stream",), has(r"\.(map|filter|collect|reduce|flatMap|forEach|sorted)\(")),
+    "java_lambda": (("thin_arrow",), ("not", has(r"->\s*\{\s*\}"))),
+    "go_goroutine": (("goroutine", "channel"), ("any", has(r"<-", r"\bmake\(chan\b"), has(r"\bgo\s+\w"))),
+    "go_interface": (("go_interface",), has(r"\n\s*\w+\([^)]*\)")),
+    "java_build_systems": (("build_line",), has(r"\b(implementation|api|testImplementation|compileOnly)\b\s*[('\"]", r"<(dependency|plugin|artifactId)>")),
+    "cicd_configuration": (("pipeline_line",), has(r"\b(runs-on|uses|stages|jobs|script|steps)\s*:")),
+}
+
+
 def match(nodes: DataFrame, rules: dict | None = None, text: str = "node") -> DataFrame:
     """``nodes`` times the rules that they meet: all rules are tested in one pass over the rows."""
     rules = rules or RULES

@@ -156,6 +156,61 @@ def _generated(spark, d):
     return rules.scan_table(code(spark, d), rules.generated(named), "id").select("id", "rule", "severity", "line_no")
 
 
+#: Of each rule for expressions what it takes (parts of even keys) and what is near it (odd keys).
+TAKEN = """const t%k = `a ${x%k} b`;
+const { a%k, b: c } = load(%z);
+const o%k = { first: 1, second: 2 };
+const list%k = [1, 2, %z];
+total%k = a * %z + b;
+i%k = 0, j = run(%z);
+{
+  let n%k = %z;
+  if (n) go(n);
+  return n;
+}
+squares%k = [x * x for x in range(%z)]
+names%k.stream().filter(n -> n.ok()).map(N::id);
+run%k((a, b) -> a + b);
+go work%k(ch)
+ch <- v%k
+type Store%k interface {
+  Get(k string) string
+}
+  implementation 'org.x:y%k:1'
+  runs-on: linux%k
+"""
+NEAR = """const t%k = `plain`;
+const { } = %z;
+const o%k = {};
+const list%k = [%z];
+total%k = a;
+i%k = 0, j;
+{
+  skip%k
+}
+squares%k = [x, for_x, in_x]
+names%k.stream().count();
+run%k(() -> { });
+gone work%k(ch)
+ch < v%k
+type Store%k interface {
+}
+  repositories { y%k }
+  name: linux%k
+"""
+
+
+def expressions(spark, d):
+    """(id, text): the one or the other for each part."""
+    made = lambda t: F.concat(*[F.expr(x).cast("string") if e else F.lit(x) for e, x in _pieces(t)])
+    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.when(F.expr("p_partkey % 2 = 0"), made(TAKEN)).otherwise(made(NEAR)).alias("text"))
+
+
+def _expression_rules(spark, d):
+    nodes = chunking.syntax_nodes(expressions(spark, d).repartition(16, "id"), "id", patterns=chunking.EXPRESSIONS)
+    return rules.match(nodes, rules.EXPRESSION_RULES).select("id", "rule", "type", F.md5("node").alias("digest"))
+
+
 def _pure(spark, d):
     f = units(spark, d).where("type = 'function'").select("id", X.has_side_effects(F.col("content")).alias("own"), X.has_page_effects(F.col("content")).alias("page"))
     share = lambda c: r6(F.avg(F.when(F.col(c), 0.0).otherwise(1.0))).alias(f"pure_by_{c}")
@@ -349,6 +404,7 @@ QUERIES = {
     "nodes_by_kind": _kinds,
     "code_summary": _summary,
     "snippet_rules": _rules,
+    "expression_rules": _expression_rules,
     "code_snippets": _snippets,
     "custom_rule": _custom,
     "regex_rule_scan": _scanned,
@@ -414,6 +470,12 @@ def _test(test: tuple, c: str) -> str:
 _RULES = f"{_NODES}, tests AS (" + " UNION ALL ".join(
     "SELECT id, type, seq, node, '{}' AS rule FROM seqs WHERE type IN ({}) AND {}".format(name, ", ".join(f"'{t}'" for t in types), _test(test, "node")) for name, (types, test) in rules.RULES.items()
 ) + ")"
+_EXPRESSION_NODES = f"code AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 2 = 0 THEN {_made(TAKEN)} ELSE {_made(NEAR)} END AS text FROM part), seqs AS (" + " UNION ALL ".join(
+    f"SELECT id, '{t}' AS type, unnest(regexp_extract_all(text, '{_q(p)}')) AS node FROM code" for t, p in chunking.EXPRESSIONS
+) + ")"
+_EXPRESSION_RULES = f"WITH {_EXPRESSION_NODES} " + " UNION ALL ".join(
+    "SELECT id, '{}' AS rule, type, md5(node) AS digest FROM seqs WHERE type IN ({}) AND {}".format(name, ", ".join(f"'{t}'" for t in types), _test(test, "node")) for name, (types, test) in rules.EXPRESSION_RULES.items()
+)
 _BARE = r"trim(regexp_replace({}, '(?m)//.*$|/\*[\s\S]*?\*/', '', 'g'))"
 _BLOCK = r"(?:if|for|while|switch)\s*\([^)]*\)\s*\{([\s\S]*)\}"
 _VALID = rf"""length(node) BETWEEN 30 AND 1500 AND {_FILLED.format('node')} >= 3 AND length(regexp_replace(node, '[{{}}\[\]() \t\n\x0B\f\r;]', '', 'g')) >= 3 AND {_BARE.format('node')} <> ''
@@ -431,8 +493,8 @@ _SCANS = f"{_LINES}, scans AS (" + " UNION ALL ".join(
 ) + ")"
 _WORD = lambda ws: "[" + ", ".join(f"'{w}'" for w in ws) + "]"
 _FLOWS = f"flows AS (SELECT id, source, sink FROM (SELECT id, text, unnest({_WORD(security.SOURCES)}) AS source FROM code) JOIN (SELECT unnest({_WORD(security.SINKS)}) AS sink) ON contains(text, sink) WHERE contains(text, source))"
-_WRITES = rf"""regexp_matches(c, '{"|".join(_q(p) for p in X.EFFECTS)}') OR len([l FOR l IN [trim(x) FOR x IN string_split(c, chr(10))] IF contains(l, '=') AND NOT regexp_matches(l, '{_q(X.PURE_LINE)}')
-  AND CASE WHEN regexp_matches(l, '{X.DECLARES}') THEN regexp_matches(l, '{X.DECLARES_NAME}') AND NOT regexp_matches(trim(string_split(l, '=')[2]), '{_q(X.PURE_VALUE)}') ELSE regexp_matches(l, '{X.ASSIGNS}') END]) > 0"""
+_WRITES = rf"""regexp_matches(c, '{"|".join(_q(p) for p in X.EFFECTS)}') OR len([l FOR l IN [trim(x) FOR x IN string_split(c, chr(10))] IF contains(l, '=') AND NOT regexp_matches(l, '{"|".join(_q(p) for p in X.PURE_LINES)}')
+  AND CASE WHEN regexp_matches(l, '{X.DECLARES}') THEN regexp_matches(l, '{X.DECLARES_NAME}') AND NOT regexp_matches(trim(string_split(l, '=')[2]), '{"|".join(_q(p) for p in X.PURE_VALUES)}') ELSE regexp_matches(l, '{X.ASSIGNS}') END]) > 0"""
 SQL = {
     "code_marked": f"""WITH {_LINES}, k AS (SELECT *, coalesce([j FOR j IN range(i + 1, len(ls) + 1) IF trim(ls[j]) = '' OR regexp_matches(ls[j], '{chunking.MARKER}')][1], len(ls) + 1) AS stop FROM li WHERE regexp_matches(line, '{chunking.MARKER}'))
 SELECT id, i AS marker_line, md5(array_to_string(ls[i + 1:stop - 1], chr(10))) AS content, md5(array_to_string(list_concat(ls[greatest(i - 1, 1):i], ls[stop:stop + 1]), chr(10))) AS around FROM k WHERE stop > i + 1""",
@@ -445,6 +507,7 @@ SELECT sy.id, kind, sy.name, line::BIGINT AS line, arg_max(u.name, u.start_line)
     "nodes_by_kind": f"WITH {_NODES} SELECT id, kind, count(*)::BIGINT AS n FROM nodes JOIN (VALUES ('functions', 'function_declaration'), ('functions', 'function_expression'), ('classes', 'class_declaration'), ('imports', 'import_statement'), ('exports', 'export_statement')) AS v(kind, type) USING (type) GROUP BY ALL",
     "code_summary": f"""WITH {_NODES}, s AS (SELECT id, [CASE x WHEN '{{' THEN 1 WHEN '}}' THEN -1 ELSE 0 END FOR x IN string_split(regexp_replace(text, '[^{{}}]', '', 'g'), '')] AS ss FROM code), dp AS (SELECT id, greatest(0, list_max([list_sum(ss[1:k]) FOR k IN range(1, len(ss) + 1)]))::BIGINT AS max_depth FROM s)
 SELECT id, count(*)::BIGINT AS n_nodes, count(DISTINCT type)::BIGINT AS n_types, any_value(max_depth) AS max_depth FROM nodes JOIN dp USING (id) GROUP BY id""",
+    "expression_rules": _EXPRESSION_RULES,
     "snippet_rules": f"WITH {_RULES} SELECT rule, type, count(*)::BIGINT AS n FROM tests GROUP BY ALL",
     "code_snippets": f"WITH {_RULES} SELECT id, seq::BIGINT AS seq, rule, md5(node) AS digest FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY id, seq, rule) AS r FROM tests WHERE {_VALID} AND length(node) BETWEEN 20 AND 1000 AND {_V2} BETWEEN 1 AND 15) WHERE r = 1",
     "custom_rule": f"WITH {_NODES} SELECT id, md5(node) AS digest FROM nodes WHERE type = 'if_statement' AND contains(node, '> ') AND {_V2.replace('CASE WHEN regexp_matches(trim(node), ' + chr(39) + r'^\w+\([^)]*\);?$' + chr(39) + ') THEN 0 ELSE', '').replace(' END + 0.5', ' + 0.5')} > 4",

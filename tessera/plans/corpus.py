@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tessera.functions import similarity as S
 from tessera.functions import text as X
 from tessera.operators import chunking, dedup, security
+from tessera.operators.graph import saved
 from tessera.plans.common import r6, table
 
 
@@ -67,15 +68,15 @@ def _chunks(compat):
 
 
 def _exact(spark, d):
-    return dedup.exact(_docs(spark, d)).select("doc_id", "kept")
+    return dedup.exact_marks(_docs(spark, d)).select("doc_id", "kept")
 
 
 def _savings(spark, d):
-    return dedup.savings(dedup.exact(_docs(spark, d)))
+    return dedup.savings(dedup.exact_marks(_docs(spark, d)))
 
 
 def _semantic(spark, d):
-    return dedup.semantic(_docs(spark, d)).select("doc_id", "kept")
+    return dedup.semantic_marks(_docs(spark, d)).select("doc_id", "kept")
 
 
 def _fuzzy(spark, d):
@@ -84,7 +85,7 @@ def _fuzzy(spark, d):
 
 def _pairs(spark, d):
     """Pairs between the first documents of equal word sets."""
-    sets = dedup.word_sets(_docs(spark, d))
+    sets = saved(dedup.word_sets(_docs(spark, d)))
     first = sets.join(dedup.copies_of(sets).where("id = first_id").select("id"), "id", "left_semi")
     return dedup.similar_pairs(first, 80).select("a", "b", "shared", r6("similarity").alias("similarity"))
 

@@ -278,8 +278,8 @@ def _hash_names(spark, d):
 
 
 def _word_lists(spark, d):
-    """Each document's first eight words with those of the next document."""
-    words = F.slice(X.terms(F.col("text")), 1, 8)
+    """Each document's words with those of the next document."""
+    words = X.terms(F.col("text"))
     rows = table(spark, d, "documents").select("doc_id", words.alias("ws"))
     return rows.alias("a").join(rows.select((F.col("doc_id") - 1).alias("doc_id"), F.col("ws").alias("next")).alias("b"), "doc_id")
 
@@ -439,7 +439,7 @@ QUERIES = {
 }
 
 _LANG = lambda t: "coalesce(map_extract(MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in t.items()) + "}, e)[1], 'unknown')"
-_NEXT = r"""w AS (SELECT doc_id, string_split_regex(lower(text), '[ \t\n\x0B\f\r]+')[1:8] AS ws FROM documents), x AS (SELECT a.doc_id, a.ws AS a, b.ws AS b, len(list_intersect(list_distinct(a.ws), list_distinct(b.ws))) / len(list_distinct(list_concat(a.ws, b.ws)))::DOUBLE AS j FROM w a JOIN w b ON b.doc_id = a.doc_id + 1)"""
+_NEXT = r"""w AS (SELECT doc_id, string_split_regex(lower(text), '[ \t\n\x0B\f\r]+') AS ws FROM documents), x AS (SELECT a.doc_id, a.ws AS a, b.ws AS b, len(list_intersect(list_distinct(a.ws), list_distinct(b.ws))) / len(list_distinct(list_concat(a.ws, b.ws)))::DOUBLE AS j FROM w a JOIN w b ON b.doc_id = a.doc_id + 1)"""
 SQL = {
     "contextual_similarity": f"WITH {_NEXT} SELECT doc_id, round(j, 6) AS similarity FROM x",
     "ensemble_similarity": f"WITH {_NEXT} SELECT doc_id, round(j / 2 + doc_id % 10 / 10.0::DOUBLE / 3 + CASE WHEN greatest(doc_id % 7, doc_id % 5) > 0 THEN 1 - abs(doc_id % 7 - doc_id % 5) / greatest(doc_id % 7, doc_id % 5)::DOUBLE ELSE 1 END / 6, 6) AS similarity FROM x",
