@@ -54,7 +54,6 @@ class Scratch:
         self.kept.append(df._scratch_path)
         return df
 
-
     def adopt(self, df: DataFrame) -> None:
         """Takes charge of a table that ``materialize`` has returned before."""
         self.paths.append(df._scratch_path)
@@ -76,6 +75,18 @@ def scratch(spark: SparkSession) -> Iterator[Scratch]:
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Tables that are written inside go through Python in batches of so many rows: where a row is a whole text or set, that bounds what a worker holds."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: lineage ends there and lost executors cost nothing."""
     spark = df.sparkSession

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize, scratch, table
+from tessera.llm.common import batches_of, materialize, scratch, table
 from tessera.llm.components import components
 
 #: Places on the ring.
@@ -45,6 +45,8 @@ SEED = 20240117
 SMALL = 8
 #: Nodes of a large bucket in a block, about.
 BLOCK = 256
+#: Rows (texts, or pairs with both sets) that a Python worker is sent at once.
+BATCH = 1000
 #: Words whose hashes a Python worker remembers.
 REMEMBERED = 100_000
 
@@ -237,7 +239,7 @@ def classes(docs: DataFrame, percent: int = 80, width: int = 5, bands: int = 32,
 
 def _named(docs: DataFrame, percent: int, width: int, bands: int, rows: int, key: str, text: str) -> tuple[DataFrame, DataFrame | None]:
     """(doc_id, n_shingles, node, comp) for each row of ``docs``, and the ids (null among them) of more than one row, None if there are none."""
-    with scratch(docs.sparkSession) as work:
+    with scratch(docs.sparkSession) as work, batches_of(docs.sparkSession, BATCH):
         named, odd = _name(docs, percent, width, bands, rows, key, text)
         return work.keep(named), None if odd is None else work.keep(odd)
 
