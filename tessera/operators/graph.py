@@ -342,15 +342,24 @@ def pagerank(edges: DataFrame, iterations: int = 20, damping: float = 0.85) -> D
     return ranks.select("id", "rank")
 
 
-def communities(edges: DataFrame, iterations: int = 10, least: int = 2) -> DataFrame:
-    """(id, community) by synchronous label propagation (not Louvain): each node takes its neighbours' most frequent label, of several the least; groups under ``least`` are left out."""
+def communities(edges: DataFrame, iterations: int | None = None, least: int = 2) -> DataFrame:
+    """(id, community) by synchronous label propagation (not Louvain): each node takes its neighbours' most frequent label, of several the least; groups under ``least`` are left out.
+
+    It ends when no label changes, or when two states follow each other in turn, as in bipartite graphs: then with the
+    one after an even number of rounds. ``iterations`` bounds the rounds, whatever has been reached by then.
+    """
     e = saved(both_ways(edges).distinct())
-    label = e.select(F.col("src").alias("id")).distinct().withColumn("community", F.col("id"))
-    for k in range(iterations):
+    label, before, k = saved(e.select(F.col("src").alias("id")).distinct().withColumn("community", F.col("id"))), None, 0
+    same = lambda x, y: x.join(y.select("id", F.col("community").alias("other")), "id").where("community <> other").isEmpty()
+    while iterations is None or k < iterations:
         votes = e.join(label.select(F.col("id").alias("dst"), "community"), "dst").groupBy(F.col("src").alias("id"), "community").agg(F.count("*").alias("n"))
-        label = votes.groupBy("id").agg(F.min(F.struct((-F.col("n")).alias("n"), "community")).alias("best")).select("id", "best.community")
-        if k % 3 == 2:
-            label = saved(label)
+        new, k = saved(votes.groupBy("id").agg(F.min(F.struct((-F.col("n")).alias("n"), "community")).alias("best")).select("id", "best.community")), k + 1
+        if same(new, label):
+            break
+        if before is not None and same(new, before):
+            label = new if k % 2 == 0 else label
+            break
+        label, before = new, label
     size = label.groupBy("community").agg(F.count("*").alias("n")).where(F.col("n") >= least)
     return label.join(size.select("community"), "community", "left_semi").select("id", "community")
 

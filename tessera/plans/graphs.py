@@ -86,7 +86,7 @@ def _ranked(spark, d):
 
 
 def _communities(spark, d):
-    return G.communities(edges(spark, d), 4).groupBy("community").agg(F.count("*").alias("n"))
+    return G.communities(edges(spark, d)).groupBy("community").agg(F.count("*").alias("n"))
 
 
 def _functions(spark, d):
@@ -341,7 +341,7 @@ SELECT d.graph, d.n AS id, max(CASE WHEN p.depth = d.depth - 1 THEN o.dom END) A
     "graph_dot": f"WITH {_C} SELECT 0 AS part, 'digraph G {{' AS line UNION ALL SELECT 1, '  \"' || p_partkey || '\" [label=\"' || p_name || '\"];' FROM part UNION ALL SELECT 2, '  \"' || src || '\" -> \"' || dst || '\";' FROM c UNION ALL SELECT 3, '}}'",
     "graph_mermaid": f"WITH {_C} SELECT 0 AS part, 'graph TD' AS line UNION ALL SELECT 1, '  ' || p_partkey || '[' || p_name || ']' FROM part UNION ALL SELECT 2, '  ' || src || ' --> ' || dst FROM c",
     "graph_json": f"""WITH {_C} SELECT 1 AS part, '{{"id":"' || p_partkey || '","label":"' || p_name || '"}}' AS line FROM part UNION ALL SELECT 2, '{{"src":"' || src || '","dst":"' || dst || '"}}' FROM c""",
-    "graph_communities": f"WITH {_E}, {_LPA(4)} SELECT c AS community, count(*)::BIGINT AS n FROM l4 GROUP BY c HAVING count(*) >= 2",
+    "graph_communities": f"WITH {_E}, {_LPA(12)} SELECT c AS community, count(*)::BIGINT AS n FROM l12 GROUP BY c HAVING count(*) >= 2",
     "graph_reach_filtered": f"WITH {_E}, {_V}, s AS (SELECT 'c' || c_custkey AS start, 'n' || c_nationkey AS n, 'r' || n_regionkey AS r FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_acctbal < 0), w AS (SELECT start, start AS id, 0 AS distance FROM s UNION ALL SELECT start, n, 1 FROM s UNION ALL SELECT start, r, 2 FROM s) SELECT start, id, distance, name FROM (SELECT * FROM w ORDER BY start, distance, id LIMIT 100) JOIN v USING (id)",
     "graph_match": "SELECT 'p' || l_partkey AS n0, 'n' || s_nationkey AS n2, count(*)::BIGINT AS n_suppliers FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem) JOIN supplier ON s_suppkey = l_suppkey GROUP BY ALL",
     "graph_find": "SELECT 'c' || c_custkey AS id, c_name AS name FROM customer WHERE c_mktsegment = 'BUILDING'",

@@ -143,3 +143,26 @@ def test_flows_walk_only_towards_uses(spark):
 def test_steps_are_removed(spark):
     kept = G.dominator_tree(0, frame(spark, [(0, 1), (1, 2)])).collect()
     assert len(kept) == 3 and G.forget(spark) > 0 and G.forget(spark) == 0
+
+
+def test_communities_end_where_labels_do(spark):
+    def brute(edges):
+        around = {}
+        for a, b in set(edges) | {(b, a) for a, b in edges}:
+            around.setdefault(a, set()).add(b)
+        states = [{v: v for v in around}]
+        while True:
+            now = {}
+            for v, near in around.items():
+                votes = [states[-1][w] for w in near]
+                now[v] = min(set(votes), key=lambda c: (-votes.count(c), c))
+            if now == states[-1]:
+                return now
+            if len(states) > 1 and now == states[-2]:
+                return now if len(states) % 2 == 0 else states[-1]
+            states.append(now)
+
+    r = random.Random(4)
+    for edges in ([(0, 1), (1, 2), (2, 0), (3, 4), (4, 5), (5, 3), (2, 3)], [(0, 1)], [(k, k + 1) for k in range(12)], [(r.randrange(30), r.randrange(30)) for _ in range(60)]):
+        want = brute(edges)
+        assert {x.id: x.community for x in G.communities(frame(spark, edges), least=1).collect()} == want
