@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+import unicodedata
 from bisect import bisect_right
 from collections.abc import Iterator
 
@@ -72,8 +73,13 @@ _VALUE = rf"{_S}*+={_S}*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z)|[^\x20\t\n\f\r>\"
 _NAME = r"[^\x20\t\n\f\r/>][^\x20\t\n\f\r/>=]*+"
 _TOKEN = re.compile(rf"<!--(?:.*?-->|.*\Z)|<(/?)([a-zA-Z][^\x20\t\n\f\r/>]*+)((?:{_NAME}(?:{_VALUE})?+|[\x20\t\n\f\r/]++)*+)(?:>|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(rf"({_NAME})(?:{_S}*+={_S}*+(?:\"([^\"]*+)(?:\"|\Z)|'([^']*+)(?:'|\Z)|([^\x20\t\n\f\r>\"'][^\x20\t\n\f\r>]*+))?)?+")
-_GONE = re.compile(r"display\s*:\s*none", re.I)
-_VISIBILITY = re.compile(r"visibility\s*:\s*([a-z]+)", re.I)
+#: A property's name begins the style or stands behind a semicolon.
+_GONE = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
+_VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*([a-z]+)", re.I)
+_SAYS_VISIBILITY = re.compile("visibility", re.I)
+#: Kinds of form fields, and those whose value is on the screen, as text or on a button.
+KINDS = frozenset("hidden text search tel url email password date month week time datetime-local number range color checkbox radio file submit image reset button".split())
+SHOWN = frozenset("text search tel url email number date time month week datetime-local submit reset button".split())
 _BLANK = re.compile(r"[\x20\t\n\f\r]+")
 
 
@@ -184,9 +190,64 @@ def visible(node: Node) -> bool:
         return False
     if node.attrs:
         a = node.attributes()
-        if "hidden" in a or a.get("aria-hidden") == "true" or (a.get("style") and _GONE.search(a["style"])) or (node.tag == "input" and a.get("type") == "hidden"):
+        if "hidden" in a or (a.get("style") and _GONE.search(a["style"])):
             return False
-    return True
+        return node.tag != "dialog" or "open" in a
+    return node.tag != "dialog"
+
+
+def _value(field: Node) -> str:
+    """What a form field shows."""
+    a = field.attributes() if field.attrs else {}
+    kind = a.get("type", "text").strip().lower()
+    if kind in KINDS:
+        return a.get("value", "") if kind in SHOWN else a.get("alt", "") if kind == "image" else ""
+    return a.get("value", "")  # an unknown kind is a text field
+
+
+def _whole(given: str | None) -> int | None:
+    return int(given) if re.fullmatch(r"\s*-?[0-9]{1,9}\s*", given or "") else None
+
+
+class _Numbers:
+    """The marks of a list's items."""
+
+    def __init__(self, node: Node):
+        a = node.attributes() if node.attrs else {}
+        self.step = -1 if "reversed" in a else 1
+        items = sum(isinstance(c, Node) and c.tag == "li" and visible(c) for c in node.children)
+        start = _whole(a.get("start"))
+        self.next = start if start is not None else items if self.step < 0 else 1
+        self.kind = a.get("type", "1").strip()
+
+    def mark(self, item: Node) -> str:
+        a = item.attributes() if item.attrs else {}
+        n = _whole(a.get("value"))
+        n = self.next if n is None else n
+        self.next = n + self.step
+        return self._shown(n, a.get("type", self.kind).strip()) + ". "
+
+    @staticmethod
+    def _shown(n: int, kind: str) -> str:
+        if kind in ("a", "A") and n > 0:
+            out = ""
+            while n:
+                n, k = divmod(n - 1, 26)
+                out = chr(ord(kind) + k) + out
+            return out
+        if kind in ("i", "I") and 0 < n < 4000:
+            out = ""
+            for value, sign in ((1000, "m"), (900, "cm"), (500, "d"), (400, "cd"), (100, "c"), (90, "xc"), (50, "l"), (40, "xl"), (10, "x"), (9, "ix"), (5, "v"), (4, "iv"), (1, "i")):
+                out, n = out + sign * (n // value), n % value
+            return out.upper() if kind == "I" else out
+        return str(n)
+
+
+def columns(s: str) -> int:
+    """How many columns a text takes: wide characters two, marks that combine none."""
+    if s.isascii():
+        return len(s)
+    return sum(0 if unicodedata.combining(c) or unicodedata.category(c) in ("Cf", "Me", "Mn") else 2 if unicodedata.east_asian_width(c) in "WF" else 1 for c in s)
 
 
 def veil(root: Node) -> None:
@@ -277,7 +338,7 @@ def render(root: Node) -> str:
     out = Lines()
     # Steps still to take: a string, a node to open, or (a node, what it changed) to close.
     todo: list = [(child, False) for child in reversed(root.children)]
-    numbers: list[int | None] = []
+    numbers: list[_Numbers | None] = []
     while todo:
         item, pre = todo.pop()
         if isinstance(item, str):
@@ -295,7 +356,7 @@ def render(root: Node) -> str:
         tag = item.tag
         if tag == "br":
             out.end(keep=True)
-        elif item.unseen and tag in ("hr", "img"):
+        elif item.unseen and tag in ("hr", "img", "input"):
             out.block(False) if tag == "hr" else None
         elif tag == "hr":
             out.block(False)
@@ -305,6 +366,9 @@ def render(root: Node) -> str:
             alt = item.attributes().get("alt", "") if item.attrs else ""
             if alt:
                 out.text(alt, False)
+        elif tag == "input":
+            if shown := _value(item):
+                out.text(f" {shown} ", False)
         elif tag == "svg":
             todo += [(x, False) for x in reversed(_drawn(item))]
         elif tag == "textarea":
@@ -328,18 +392,17 @@ def render(root: Node) -> str:
             out.block(tag in SPACED and not (tag in ("ul", "ol") and numbers))
             todo.append(((item, out.indent), False))
             if tag in ("ul", "ol", "menu", "dir"):
-                start = item.attributes().get("start", "1") if item.attrs else "1"
-                numbers.append(int(start) if tag == "ol" and re.fullmatch(r"-?[0-9]{1,9}", start) else 1 if tag == "ol" else None)
+                numbers.append(_Numbers(item) if tag == "ol" else None)
             elif tag == "li":
-                n = numbers[-1] if numbers else None
-                if n is not None:
-                    numbers[-1] = n + 1
-                bullet = "- " if n is None else f"{n}. "
+                bullet = numbers[-1].mark(item) if numbers and numbers[-1] else "- "
                 out.indent += len(bullet)
                 out.bullet = "" if item.unseen else bullet
             elif tag in ("blockquote", "dd"):
                 out.indent += 2
-            todo += [(child, pre or tag == "pre") for child in reversed(item.children)]
+            inner = item.children
+            if tag == "pre" and inner and isinstance(inner[0], str):  # a line feed right behind the tag is no text
+                inner = [re.sub(r"\A\r?\n", "", inner[0]), *inner[1:]]
+            todo += [(child, pre or tag == "pre") for child in reversed(inner)]
         else:
             todo += [(child, pre) for child in reversed(item.children)]
     out.end()
@@ -446,14 +509,14 @@ def grid(node: Node) -> list[str]:
     widths: dict[int, int] = {}
     for row in cells:
         for at, text in row:
-            widths[at] = max(widths.get(at, 0), *map(len, text))
+            widths[at] = max(widths.get(at, 0), *map(columns, text))
     used = sorted(widths)
     out = [s for c in captions for s in c.split("\n")]
     for row in cells:
         of = dict(row)
         for k in range(max(len(text) for _, text in row)):
-            parts = [(of[at][k] if at in of and k < len(of[at]) else "").ljust(widths[at]) for at in used]
-            out.append("  ".join(parts).rstrip(" "))
+            parts = [(of[at][k] if at in of and k < len(of[at]) else "", at) for at in used]
+            out.append("  ".join(x + " " * (widths[at] - columns(x)) for x, at in parts).rstrip(" "))
     return out
 
 
@@ -461,7 +524,7 @@ def text_of(page: str | None) -> str:
     if not page:
         return ""
     root = tree(page)
-    if _VISIBILITY.search(page):
+    if _SAYS_VISIBILITY.search(page):
         veil(root)
     lay_tables(root)
     return render(root)

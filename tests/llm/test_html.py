@@ -16,8 +16,10 @@ def test_tables_are_aligned():
 
 
 def test_invisible_text_is_left_out():
-    page = "<style>p{}</style><script>var t='</p>'</script><!-- c --><div hidden>a</div><p style='color:red; display: none'>b</p><span aria-hidden=true>c</span><noscript>d</noscript>e<template>f</template>"
+    page = "<style>p{}</style><script>var t='</p>'</script><!-- c --><div hidden>a</div><p style='color:red; display: none'>b</p><noscript>d</noscript>e<template>f</template>"
     assert H.text_of(page) == "e"
+    # Hidden from readers of the screen's text aloud, and on the screen all the same.
+    assert H.text_of("<span aria-hidden=true>c</span>d") == "cd"
 
 
 def test_odd_markup():
@@ -243,3 +245,35 @@ def test_extract_replaces_a_column_of_the_name(spark):
     pages = spark.createDataFrame([(1, "<p>a", "old")], "page_id long, html string, text string")
     got = H.extract(pages)
     assert got.columns == ["page_id", "html", "text"] and got.first().text == "a"
+
+
+def test_form_fields_show_their_values():
+    page = "<form>Name <input value='Ada L'> <input type=Submit value='Go now'><input type=hidden value=h><input type=password value=p><input type=checkbox value=c>on<input type=image alt=pic value=v><input type=odd value=o></form>"
+    assert H.text_of(page) == "Name Ada L Go now on pic o"
+    assert H.text_of("a<input>b") == "ab" and H.text_of("<p style='visibility:hidden'>x<input value=y></p>z") == "z"
+
+
+def test_numbers_of_lists():
+    cases = {
+        "<ol><li>a<li value=5>b<li>c</ol>": "1. a\n5. b\n6. c",
+        "<ol reversed><li>a<li>b<li hidden>x<li>c</ol>": "3. a\n2. b\n1. c",
+        "<ol type=a start=26><li>x<li>y</ol>": "z. x\naa. y",
+        "<ol type=I><li>x<li value=14>y<li type=1>z</ol>": "I. x\nXIV. y\n15. z",
+        "<ol start=-1><li>x<li>y<li>z</ol>": "-1. x\n0. y\n1. z",
+        "<ol type=a><li value=0>x</ol>": "0. x",
+        "<ul><li>x<ol><li>y</ol><li>z</ul>": "- x\n  1. y\n- z",
+    }
+    for page, text in cases.items():
+        assert H.text_of(page) == text, page
+
+
+def test_dialogs_styles_and_pre():
+    assert H.text_of("<dialog>a</dialog><dialog open>b</dialog><dialog class=x>c</dialog>d") == "b\nd"
+    assert H.text_of("<p style='x-display:none'>a</p><p style='color:red;display : none'>b</p><p style='display:none'>c</p><p style='display:nonesuch'>d</p>") == "a\n\nd"
+    assert H.text_of("<p style='x-visibility:hidden'>a</p>") == "a"
+    assert H.text_of("<pre>\nx\n y</pre>") == "x\n y" and H.text_of("<pre>\n\nx</pre>") == "\nx" and H.text_of("<pre>x</pre>") == "x"
+
+
+def test_wide_characters_line_up():
+    page = "<table><tr><td>日本</td><td>a</td></tr><tr><td>xyz</td><td>b</td></tr><tr><td>e\u0301</td><td>c</td></tr></table>"
+    assert H.text_of(page) == "日本  a\nxyz   b\ne\u0301     c"
