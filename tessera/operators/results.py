@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions.text import terms
@@ -82,6 +83,9 @@ def queue_status(events: DataFrame, by: str = "priority", seconds: str = "second
 
 def for_a_model(hits: DataFrame, key: str = "query_id") -> DataFrame:
     """(key, summary): each query's hits as one JSON object, for a language model: how many, their mean score, languages and files, and the best by score."""
-    best = F.slice(F.reverse(F.sort_array(F.collect_list(F.struct("score", "file_path", "start_line")))), 1, 3)
-    per = hits.groupBy(key).agg(F.count("*").alias("n"), F.round(F.avg("score"), 6).alias("avg_score"), F.sort_array(F.collect_set("language")).alias("languages"), best.alias("best"))
+    hit = F.struct("score", "file_path", "start_line")
+    place = F.row_number().over(W.partitionBy(key).orderBy(hit.desc_nulls_last()))
+    # Three hits of a query are gathered, however many it has.
+    best = F.reverse(F.sort_array(F.collect_list(F.when(F.col("_place") <= 3, hit))))
+    per = hits.withColumn("_place", place).groupBy(key).agg(F.count("*").alias("n"), F.round(F.avg("score"), 6).alias("avg_score"), F.sort_array(F.collect_set("language")).alias("languages"), best.alias("best"))
     return per.select(key, F.to_json(F.struct("n", "avg_score", "languages", "best")).alias("summary"))

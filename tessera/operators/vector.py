@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -184,11 +185,16 @@ def snippets(rows: DataFrame, query: list[float], kind: str | None = None, k: in
 
 
 def hashing_embedding(text: Column, dim: int = 64) -> Column:
-    """A deterministic embedding without a model: signed token hashes, summed and scaled to length 1; zeros for no tokens."""
+    """A deterministic embedding without a model: signed token hashes, summed and scaled to length 1; zeros for no tokens, and for null."""
     tokens = F.filter(F.split(F.lower(text), r"\W+"), lambda t: t != "")
-    hashes = F.transform(tokens, lambda t: F.xxhash64(t))
-    empty = F.array_repeat(F.lit(0.0), dim)
-    add = lambda acc, h: F.transform(acc, lambda x, i: F.when(F.pmod(h, F.lit(dim)) == i, x + F.when(h < 0, -1.0).otherwise(1.0)).otherwise(x))
-    raw = F.aggregate(hashes, empty, add)
-    length = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda s, x: s + x * x))
-    return F.when(length > 0, F.transform(raw, lambda x: x / length)).otherwise(raw)
+
+    def summed(hashes: pd.Series) -> pd.Series:
+        out = []
+        for h in hashes:
+            h = np.zeros(0, np.int64) if h is None else np.asarray(h, np.int64)  # noqa: PLW2901
+            raw = np.bincount(h % dim, weights=np.where(h < 0, -1.0, 1.0), minlength=dim)
+            length = np.sqrt((raw * raw).sum())
+            out.append(raw / length if length > 0 else raw)
+        return pd.Series(out, dtype=object)
+
+    return F.pandas_udf(summed, "array<double>")(F.transform(tokens, lambda t: F.xxhash64(t)))

@@ -62,11 +62,16 @@ def _pieces(template: str) -> list[tuple[bool, str]]:
     return out
 
 
+def _parts(spark, d):
+    """What texts are made of, dealt out over all cores before they are made: a small ``part`` is one split."""
+    return table(spark, d, "part").select("p_partkey", "p_size").repartition(2 * spark.sparkContext.defaultParallelism, "p_partkey")
+
+
 def code(spark, d):
     """(id, text)."""
     made = lambda t: F.concat(*[F.expr(x).cast("string") if e else F.lit(x) for e, x in _pieces(t)])
     text = F.concat(made(FIRST), F.when(F.expr("p_partkey % 2 = 0"), made(SECOND)).otherwise(""))
-    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), text.alias("text"))
+    return _parts(spark, d).select(F.col("p_partkey").alias("id"), text.alias("text"))
 
 
 def _literal(s: str) -> str:
@@ -203,11 +208,11 @@ type Store%k interface {
 def expressions(spark, d):
     """(id, text): the one or the other for each part."""
     made = lambda t: F.concat(*[F.expr(x).cast("string") if e else F.lit(x) for e, x in _pieces(t)])
-    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.when(F.expr("p_partkey % 2 = 0"), made(TAKEN)).otherwise(made(NEAR)).alias("text"))
+    return _parts(spark, d).select(F.col("p_partkey").alias("id"), F.when(F.expr("p_partkey % 2 = 0"), made(TAKEN)).otherwise(made(NEAR)).alias("text"))
 
 
 def _expression_rules(spark, d):
-    nodes = chunking.syntax_nodes(expressions(spark, d).repartition(16, "id"), "id", patterns=chunking.EXPRESSIONS)
+    nodes = chunking.syntax_nodes(expressions(spark, d), "id", patterns=chunking.EXPRESSIONS)
     return rules.match(nodes, rules.EXPRESSION_RULES).select("id", "rule", "type", F.md5("node").alias("digest"))
 
 
@@ -358,7 +363,7 @@ def source(spark, d):
     made = lambda t: F.concat(*[F.expr(x).cast("string") if e else F.lit(x) for e, x in _pieces(t)])
     pick = F.expr("p_partkey % 3")
     text, name = (reduce(lambda c, k: c.when(pick == k, f(k)), range(1, 3), F.when(pick == 0, f(0))) for f in (lambda k: made([*LANGUAGES.values()][k]), lambda k: F.lit([*LANGUAGES][k])))
-    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), name.alias("language"), text.alias("text"))
+    return _parts(spark, d).select(F.col("p_partkey").alias("id"), name.alias("language"), text.alias("text"))
 
 
 def _source_units(spark, d):
