@@ -1,6 +1,5 @@
 import random
 
-import pytest
 from pyspark.sql import functions as F
 from tessera.operators import graph, rules, search
 
@@ -13,9 +12,8 @@ def spans(r, n, hot):
     return out
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_points_and_spans_meet_once(spark, seed):
-    r = random.Random(seed)
+def test_points_and_spans_meet_once(spark):
+    r = random.Random(1)
     f, c = spans(r, 120, 0.4), spans(r, 80, 0.4)
     sites = [(0 if r.random() < 0.4 else r.randrange(1, 5), r.randrange(-5, 7500)) for _ in range(150)] + [(0, 10), (0, 10)]
     functions = spark.createDataFrame([*f, (0, "none", 9, 3), (None, "null", 1, 9)], "file long, name string, start_line long, end_line long")
@@ -82,11 +80,10 @@ def test_index_finds_what_the_scan_finds(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "id long, content string")
     index = graph.saved(search.inverted(docs, n_blocks=20))
     total = index.agg(F.sum(F.size("ids"))).first()[0]
-    for query in ("alpha", "rare7 rare8", "Alpha beta rare3 alpha", "rare1 nothing", "nothing", "", "  gamma  rare5 "):
-        for k, threshold in ((5, 0.0), (10, 0.5), (1000, 0.3)):
-            got, read = search.best_of_index(index, query, k, threshold)
-            scored = docs.where("content IS NOT NULL").select("id", search.containment(F.col("content"), F.lit(query.strip())).alias("score")).where("score > 0") if query.strip() else docs.limit(0).selectExpr("id", "0D AS score")
-            want = [(x.id, round(x.score, 9)) for x in scored.where(F.col("score") >= threshold).orderBy(F.desc("score"), "id").limit(k).collect()]
-            assert sorted((x.id, round(x.score, 9)) for x in got.collect()) == sorted(want), (query, k)
-            assert read < total
+    for query, k, threshold in (("alpha", 5, 0.0), ("Alpha beta rare3 alpha", 10, 0.5), ("rare1 nothing", 1000, 0.3), ("nothing", 5, 0.0), ("", 5, 0.0), ("  gamma  rare5 ", 1000, 0.3)):
+        got, read = search.best_of_index(index, query, k, threshold)
+        scored = docs.where("content IS NOT NULL").select("id", search.containment(F.col("content"), F.lit(query.strip())).alias("score")).where("score > 0") if query.strip() else docs.limit(0).selectExpr("id", "0D AS score")
+        want = [(x.id, round(x.score, 9)) for x in scored.where(F.col("score") >= threshold).orderBy(F.desc("score"), "id").limit(k).collect()]
+        assert sorted((x.id, round(x.score, 9)) for x in got.collect()) == sorted(want), (query, k)
+        assert read < total
     assert search.best_of_index(index, "alpha rare7", 1, 0.0)[1] < search.best_of_index(index, "alpha rare7", 1000, 0.0)[1]
