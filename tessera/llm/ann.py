@@ -14,8 +14,10 @@ the driver but the counts of rows by length and whether a table is empty.
 
 Of rows with equal vectors only the k + 1 of smallest id can be among any query's k nearest, so the others are left
 out of the search before it begins, and a vector that a third of the rows share costs nothing. A part that no network
-divides is dealt into blocks of at most BLOCK rows, and the queries of a part into blocks too. A block returns each
-query's best few, which are merged. A query that meets too few rows is sent to all parts.
+divides is dealt out row by row. A query does not travel once a part: the parts that were split off one part lie
+together, by GATHERED rows, and a query comes to such a block once, with the names of the parts that it is to meet there.
+A block returns each query's best few of all its parts, which are merged. A query that meets too few rows is sent to
+all parts.
 
 Defined cases: vectors that are null, empty, zero, of another length than most, or hold nulls or non-finite numbers
 take no part; a repeated vec_id is one query (its least vector), its rows are candidates for others, once each if
@@ -42,6 +44,8 @@ ROWS_PER_PART = 1024
 BLOCK = 2048
 #: Rows or queries that one task routes at a time.
 ROUTED = 8192
+#: Rows, and queries, that a task of the search holds, about.
+GATHERED = 8192
 NEIGHBOURS = 10
 HIDDEN = 128
 #: A query is sent to as many parts as found this share of the neighbours of sample rows that training did not see.
@@ -190,30 +194,35 @@ LEAF = "!"
 
 
 def _router(every: str | None):
-    """``every``: the column of the router's row that tells to how many parts an item is sent; none: to the best one."""
+    """The best part of each item; with ``every``, the column of the router's row that tells how many, a list of its best parts as ``to``."""
 
     def route(key: tuple, items: pa.Table, routers: pa.Table) -> pa.Table:
         part, model = key[0].as_py(), routers.column("model")[0].as_py()
+        here = items.select(["id", "vector"])
         if model is None or not len(items):
-            return items.select(["id", "vector"]).append_column("part", pa.array([part + LEAF] * len(items), pa.string()))
-        n = routers.column(every)[0].as_py() if every else 1
-        best = np.argsort(-Router.loads(model)(_matrix(items.column("vector"))), axis=1, kind="stable")[:, :n]
-        sent = items.select(["id", "vector"]).take(pa.array(np.repeat(np.arange(len(items)), n)))
-        return sent.append_column("part", pa.array([f"{part}.{b}" for b in best.ravel()], pa.string()))
+            names, n = np.full((len(items), 1), part + LEAF, object), 1
+        else:
+            n = routers.column(every)[0].as_py() if every else 1
+            best = np.argsort(-Router.loads(model)(_matrix(items.column("vector"))), axis=1, kind="stable")[:, :n]
+            names = np.array([f"{part}.{b}" for b in range(best.max() + 1)], object)[best]
+        flat = pa.array(names.ravel(), pa.string())
+        if every is None:
+            return here.append_column("part", flat)
+        to = pa.ListArray.from_arrays(pa.array(np.arange(len(items) + 1) * names.shape[1], pa.int32()), flat)
+        return here.append_column("part", pa.array([part] * len(items), pa.string())).append_column("to", to)
 
     return route
 
 
 def _routed(items: DataFrame, routers: DataFrame, every: str | None = None) -> DataFrame:
-    """``items`` (id, vector, part), those of the routers' parts sent on; a task has at most about ROUTED of them."""
+    """Of ``items`` (id, vector, part) those of the routers' parts, sent on; a task has at most about ROUTED of them."""
     blocks = items.join(routers.select("part"), "part").groupBy("part").agg(F.ceil(F.count("*") / ROUTED).cast("int").alias("blocks"))
     blocks = materialize(blocks, "ann-blocks")
     dealt = items.join(blocks, "part").select("id", "vector", "part", F.pmod(F.xxhash64("id", "vector"), F.col("blocks")).cast("int").alias("block"))
     each = blocks.select(F.col("part").alias("of"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("nth"))
     models = routers.join(each, F.col("part") == F.col("of")).select("parts", "probes", "model", F.col("of"), "nth")
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in items.select("id", "vector", "part").schema)
-    sent = dealt.groupBy("part", "block").cogroup(models.groupBy("of", "nth")).applyInArrow(_router(every), schema)
-    return sent.unionByName(items.join(routers.select("part"), "part", "left_anti").select("id", "vector", "part"))
+    return dealt.groupBy("part", "block").cogroup(models.groupBy("of", "nth")).applyInArrow(_router(every), schema + (", to array<string>" if every else ""))
 
 
 def _split(rows: DataFrame, k: int, part_rows: int) -> tuple[DataFrame, list[DataFrame]]:
@@ -229,38 +238,56 @@ def _split(rows: DataFrame, k: int, part_rows: int) -> tuple[DataFrame, list[Dat
         drawn = drawn.where(F.col("place") * F.col("n") < F.lit((1 << 30) * 2 * SAMPLE))
         fitted = drawn.groupBy("part").applyInArrow(_fitter(k, part_rows), "part string, parts int, probes int, model binary")
         levels.append(materialize(fitted, "ann-routers"))
-        filed = materialize(_routed(filed, levels[-1]), "ann-filed")
+        rest = filed.join(levels[-1].select("part"), "part", "left_anti").select("id", "vector", "part")
+        filed = materialize(_routed(filed, levels[-1]).unionByName(rest), "ann-filed")
 
 
 def _descend(queries: DataFrame, levels: list[DataFrame], every: str) -> DataFrame:
-    """(query_id, vector, part): ``queries`` (query_id, vector) with all parts that they are sent to."""
-    sent = queries.select(F.col("query_id").alias("id"), "vector", F.lit("").alias("part"))
+    """(query_id, vector, part, to): ``queries`` (query_id, vector) once for each part that they come to, with the parts split off it that they are sent to. Only parts that are split again are gone into further."""
+    sent, out = queries.select(F.col("query_id").alias("id"), "vector", F.lit("").alias("part")), None
     for routers in levels:
-        sent = materialize(_routed(sent, routers, every), "ann-sent")
-    return sent.withColumnRenamed("id", "query_id")
+        at = materialize(_routed(sent, routers, every), "ann-sent")
+        out = at if out is None else out.unionByName(at)
+        sent = at.select("id", "vector", F.explode("to").alias("part"))
+    return out.withColumnRenamed("id", "query_id")
 
 
 def _best(k: int):
-    schema = pa.schema([("query_id", pa.int64()), ("part", pa.string()), ("ids", pa.list_(pa.int64())), ("scores", pa.list_(pa.float64()))])
+    schema = pa.schema([("query_id", pa.int64()), ("ids", pa.list_(pa.int64())), ("scores", pa.list_(pa.float64()))])
 
     def best(key: tuple, rows: pa.Table, queries: pa.Table) -> pa.Table:
-        out: dict[str, list] = {"query_id": [], "part": [], "ids": [], "scores": []}
+        out: dict[str, list] = {"query_id": [], "ids": [], "scores": []}
         if len(rows) and len(queries):
+            names = {name: n for n, name in enumerate(rows.column("part").unique().to_pylist())}
+            place = rows.column("part").combine_chunks().dictionary_encode()
             x, ids = _matrix(rows.column("vector")).astype(np.float64), rows.column("vec_id").to_numpy()
-            order = np.argsort(ids, kind="stable")
-            x, ids = x[order], ids[order]
-            n, asked, qx = min(k, len(x)), queries.column("query_id").to_numpy(), _matrix(queries.column("vector")).astype(np.float64)
-            longest = np.linalg.norm(x, axis=1).max()
+            code = np.array([names[name] for name in place.dictionary.to_pylist()])[place.indices.to_numpy()]
+            order = np.lexsort((ids, code))
+            x, ids, code = x[order], ids[order], code[order]
+            first = np.searchsorted(code, np.arange(len(names) + 1))
+            asked, qx = queries.column("query_id").to_numpy(), _matrix(queries.column("vector")).astype(np.float64)
+            to = queries.column("to").combine_chunks()
+            lists = to.flatten().dictionary_encode()
+            known = np.array([names.get(name, -1) for name in lists.dictionary.to_pylist()], np.int64)[lists.indices.to_numpy()]
+            whose = np.repeat(np.arange(len(asked)), to.value_lengths().to_numpy())
+            met = np.zeros((len(asked), len(names)), bool)
+            met[whose[known >= 0], known[known >= 0]] = True
+            longest, n = np.linalg.norm(x, axis=1).max(), min(k, len(x))
             for at in range(0, len(asked), 256):
                 qs, own_ids = qx[at : at + 256], asked[at : at + 256]
-                rough = np.where(ids[None, :] == own_ids[:, None], -np.inf, qs @ x.T)
+                rough = np.full((len(qs), len(x)), -np.inf)
+                for part in np.flatnonzero(met[at : at + 256].any(axis=0)):
+                    some, span = np.flatnonzero(met[at : at + 256, part]), slice(first[part], first[part + 1])
+                    rough[some, span] = qs[some] @ x[span].T
+                rough[ids[None, :] == own_ids[:, None]] = -np.inf
                 edge = np.partition(rough, len(x) - n, axis=1)[:, len(x) - n] - 1e-9 * np.linalg.norm(qs, axis=1) * longest
                 for q, own, row, least in zip(qs, own_ids, rough, edge, strict=True):
-                    near = np.flatnonzero((row >= least) & (ids != own))
+                    near = np.flatnonzero((row >= least) & (row > -np.inf))
+                    if not len(near):
+                        continue
                     s = (x[near] * q).sum(axis=1)  # the same sum for equal vectors, wherever they stand
                     best = np.lexsort((ids[near], -s))[:k]
                     out["query_id"].append(own)
-                    out["part"].append(key[0].as_py())
                     out["ids"].append(ids[near[best]])
                     out["scores"].append(-s[best])
         return pa.table(out, schema)
@@ -269,27 +296,37 @@ def _best(k: int):
 
 
 def _merge(found: DataFrame, k: int) -> DataFrame:
-    """(query_id, rank, vec_id, score) of (query_id, part, ids, scores): first the blocks of a part, then the parts, each time the k least of (negated score, id)."""
+    """(query_id, rank, vec_id, score) of (query_id, ids, scores): the k least of (negated score, id), first of a few blocks each, then of all."""
     least = lambda c: F.slice(F.sort_array(F.flatten(F.collect_list(c))), 1, k).alias("best")
-    pairs = found.select("query_id", "part", F.arrays_zip(F.col("scores").alias("s"), F.col("ids").alias("i")).alias("best"))
-    best = pairs.groupBy("query_id", "part").agg(least("best")).groupBy("query_id").agg(least("best"))
+    pairs = found.select("query_id", F.pmod(F.xxhash64("ids"), F.lit(16)).alias("some"), F.arrays_zip(F.col("scores").alias("s"), F.col("ids").alias("i")).alias("best"))
+    best = pairs.groupBy("query_id", "some").agg(least("best")).groupBy("query_id").agg(least("best"))
     got = best.select("query_id", F.posexplode("best").alias("at", "b"))
     return got.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("b")["i"].alias("vec_id"), (-F.col("b")["s"]).alias("score"))
 
 
 def _search(filed: DataFrame, sent: DataFrame, k: int) -> DataFrame:
-    """(query_id, part, ids, scores): each block's best, scores negated. ``filed`` has (vec_id, vector, part), ``sent`` (query_id, vector, part)."""
-    rows_in = filed.groupBy("part").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n_rows"))
-    queries_in = sent.groupBy("part").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n_queries"))
-    sizes = materialize(rows_in.join(queries_in, "part"), "ann-blocks")
+    """(query_id, ids, scores): each block's best, scores negated. ``filed`` has (vec_id, vector, part), ``sent`` (query_id, vector, part, to).
+
+    The parts split off one part are dealt whole into blocks of about GATHERED rows, one that no network divides row by
+    row; a query comes once to each block that holds one of its parts.
+    """
+    whole = ~F.endswith("part", F.lit(LEAF))
+    above = F.when(whole, F.regexp_replace("part", r"\.[0-9]+$", "")).otherwise(F.regexp_replace("part", f"{LEAF}$", ""))
+    filed = filed.select("vec_id", "vector", "part", above.alias("above"))
+    rows_in = filed.groupBy("above").agg(F.ceil(F.count("*") / GATHERED).cast("int").alias("n_rows"))
+    queries_in = sent.groupBy(F.col("part").alias("above")).agg(F.ceil(F.count("*") / GATHERED).cast("int").alias("n_queries"))
+    sizes = materialize(rows_in.join(queries_in, "above"), "ann-blocks")
     deal = lambda n, *c: F.pmod(F.xxhash64(*c), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = filed.join(sizes, "part").select("vec_id", "vector", "part", "n_queries", deal("n_rows", "vec_id", "vector").alias("row_block"))
-    left = left.select("vec_id", "vector", "part", "row_block", every("n_queries").alias("query_block"))
-    right = sent.join(sizes, "part").select("query_id", "vector", "part", "n_rows", deal("n_queries", "query_id").alias("query_block"))
-    right = right.select("query_id", "vector", "part", every("n_rows").alias("row_block"), "query_block")
-    keys = ["part", "row_block", "query_block"]
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_best(k), "query_id long, part string, ids array<long>, scores array<double>")
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    block = F.when(whole, deal("n_rows", "part")).otherwise(deal("n_rows", "vec_id", "vector"))
+    left = filed.join(sizes, "above").select("vec_id", "vector", "part", "above", block.alias("row_block"), F.explode(every("n_queries")).alias("query_block"))
+    comes = F.when(F.exists("to", lambda p: F.endswith(p, F.lit(LEAF))), every("n_rows")).otherwise(F.array_distinct(F.transform("to", lambda p: deal("n_rows", p))))
+    right = sent.withColumnRenamed("part", "above").join(sizes, "above")
+    right = right.select("query_id", "vector", "above", "to", "n_rows", deal("n_queries", "query_id").alias("query_block"), F.explode(comes).alias("row_block"))
+    here = F.filter("to", lambda p: F.endswith(p, F.lit(LEAF)) | (deal("n_rows", p) == F.col("row_block")))
+    right = right.select("query_id", "vector", "above", here.alias("to"), "row_block", "query_block")
+    keys = ["above", "row_block", "query_block"]
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_best(k), "query_id long, ids array<long>, scores array<double>")
 
 
 def search(vectors: DataFrame, every: int = 20, k: int = 20, key: str = "vec_id", vector: str = "embedding", part_rows: int | None = None) -> DataFrame:

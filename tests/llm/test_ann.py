@@ -90,3 +90,19 @@ def test_repeated_rows_and_clashing_columns(spark):
     got = collected(A.search(spark.createDataFrame([(*r, 0, "x") for r in data], "vec_id long, embedding array<float>, n int, part string"), k=3, part_rows=8))
     assert [a[1] for a in got[20]] == [0, 1, 2] and [a[1] for a in got[0]] == [1, 2, 3]
     assert [a[1] for a in got[200]] == [7, 0, 1] and set(got) == {0, 20, 40, 60, 80, 200}  # its least vector asks
+
+
+def test_a_query_comes_once_to_the_parts_of_a_part(spark, monkeypatch):
+    seen, search = [], A._search
+
+    def watched(filed, sent, k):
+        seen.append((sent.count(), sent.select("query_id", "part").distinct().count(), filed.select("part").distinct().count()))
+        found = search(filed, sent, k)
+        seen.append(found.groupBy("query_id").count().agg({"count": "max"}).first()[0])
+        return found
+
+    monkeypatch.setattr(A, "_search", watched)
+    v = np.random.default_rng(4).normal(size=(1500, 8)).astype(np.float32)  # no clusters, so most parts are visited
+    data = [(i, [float(x) for x in row]) for i, row in enumerate(v)]
+    assert len(collected(A.search(spark.createDataFrame(data, "vec_id long, embedding array<float>"), part_rows=64))) == 75
+    assert seen[0][0] == seen[0][1] == 75 and seen[0][2] >= 8 and seen[1] == 1  # one block of rows holds all parts
