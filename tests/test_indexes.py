@@ -40,6 +40,14 @@ def test_a_hot_file_is_dealt_out(spark):
     assert largest <= 8  # rows of one bin, of 30,000 in the file
 
 
+def test_spans_are_not_broadcast(spark):
+    s = spark.range(50).selectExpr("0L AS file", "CAST(id AS STRING) AS name", "id AS start_line", "id + 3 AS end_line")
+    c = spark.range(50).selectExpr("0L AS file", "id AS start_line", "id + 1 AS end_line")
+    met = graph.overlapping(c, s)
+    assert met.count() == sum(a <= b + 3 and b <= a + 1 for a in range(50) for b in range(50))
+    assert "Broadcast" not in met._jdf.queryExecution().executedPlan().toString()
+
+
 PATTERNS = [r"\bfoo\s*\(", r"(?i)Password\w*\s*=", r"a[bc]+d", r"x|y", r"\d{3}-\d{4}", r"(abc)?def", r"end$", r"^start", r"(?:one|two) three", r"\.exec\(", r"q{2}r", r"é+"]
 
 
