@@ -95,3 +95,15 @@ def test_index_finds_what_the_scan_finds(spark):
         assert sorted((x.id, round(x.score, 9)) for x in got.collect()) == sorted(want), (query, k)
         assert read < total
     assert search.best_of_index(index, "alpha rare7", 1, 0.0)[1] < search.best_of_index(index, "alpha rare7", 1000, 0.0)[1]
+
+
+def test_rules_are_not_gathered(spark, monkeypatch):
+    """However many rules there are, the driver takes only their beginnings and lengths."""
+    seen, collect = [], type(spark.range(0)).collect
+    made = rules.generated(spark.range(20_000).selectExpr("'text' AS template", "concat('n', id) AS name"))
+    docs = spark.createDataFrame([(1, "a n19999 b\nn7"), (2, "N12")], "doc_id long, text string")
+    with monkeypatch.context() as m:
+        m.setattr(type(spark.range(0)), "collect", lambda df: seen.append(collect(df)) or seen[-1])
+        got = rules.scan_table(docs, made)
+    assert sum(map(len, seen)) <= 10
+    assert sorted((r.doc_id, r.rule, r.line_no) for r in got.collect()) == [(1, f"text-n{n}", 1) for n in (1, 19, 199, 1999, 19999)] + [(1, "text-n7", 2)]
