@@ -107,3 +107,27 @@ def test_rules_are_not_gathered(spark, monkeypatch):
         got = rules.scan_table(docs, made)
     assert sum(map(len, seen)) <= 10
     assert sorted((r.doc_id, r.rule, r.line_no) for r in got.collect()) == [(1, f"text-n{n}", 1) for n in (1, 19, 199, 1999, 19999)] + [(1, "text-n7", 2)]
+
+
+def test_frequent_words_bring_no_sets_together(spark):
+    """Sets over few words, so that every word is frequent: what meets is of the order of what is similar."""
+    import pyarrow as pa
+    from tessera.operators import dedup
+
+    r = random.Random(8)
+    sets = [set(r.sample(range(400), 100)) for _ in range(300)]
+    for k in range(0, 60, 2):
+        sets[k + 1] = set(sorted(sets[k])[r.randrange(0, 25) :])
+    rows = [(k, sorted(map(str, s)), len(s)) for k, s in enumerate(sets)]
+    df = spark.createDataFrame(rows, "id long, words array<string>, n int")
+    jaccard = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    for percent in (80, 95):
+        want = {(a, b) for a in range(300) for b in range(a + 1, 300) if 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])}
+        got = {(x.a, x.b): x.similarity for x in dedup.similar_pairs(df, percent).collect()}
+        assert set(got) == want and all(abs(v - jaccard(*p)) < 1e-12 for p, v in got.items())
+        batch = pa.RecordBatch.from_arrays([pa.array(range(300)), pa.array([len(s) for s in sets], pa.int32()), pa.array([[hash((w, 1)) for w in s] for s in sets], pa.list_(pa.int64()))], ["id", "n", "hashes"])
+        by = {}
+        for out in dedup._signed(percent)([batch]):
+            for i, _, _, sig in zip(*[c.to_pylist() for c in out.columns]):
+                by.setdefault(sig, set()).add(i)
+        assert sum(len(x) * (len(x) - 1) // 2 for x in by.values()) < 300 * 299 // 2
