@@ -25,3 +25,12 @@ def test_nodes_leave_python_in_pieces(spark):
     docs = spark.range(600).select("id", F.when(F.col("id") % 7 != 0, F.repeat(F.lit(text), F.col("id").cast("int") % 5)).alias("text"))
     got = {r.id: r.n for r in structure.tree(docs.coalesce(1), "id").groupBy("id").agg(F.count("*").alias("n")).collect()}
     assert got == {i: 300 * (i % 5) for i in range(600) if i % 7 and i % 5}
+
+
+def test_paths_parse_each_text_once(spark, tmp_path):
+    from tessera.plans import code
+
+    spark.range(7).select(F.col("id").alias("p_partkey"), F.lit(3).alias("p_size")).write.parquet(f"{tmp_path}/part.parquet")
+    got = code.QUERIES["source_paths"](spark, str(tmp_path))
+    assert plan(got).count("ArrowEvalPython [") == 1
+    assert {r.query for r in got.collect()} == {q for q in code.PATHS if q != "/*/try"}  # none of the texts has one
