@@ -6,7 +6,7 @@ import io
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from tessera.operators import structure
+from tessera.operators import graph, structure
 
 
 def plan(df) -> str:
@@ -34,3 +34,22 @@ def test_paths_parse_each_text_once(spark, tmp_path):
     got = code.QUERIES["source_paths"](spark, str(tmp_path))
     assert plan(got).count("ArrowEvalPython [") == 1
     assert {r.query for r in got.collect()} == {q for q in code.PATHS if q != "/*/try"}  # none of the texts has one
+
+
+def test_distances_of_many_alike_keep_few_rows_between(spark, monkeypatch):
+    n = 300  # leaves at each of two nodes that meet in one
+    edges = [(f"a{k}", "a") for k in range(n)] + [(f"b{k}", "b") for k in range(n)] + [("a", "r"), ("b", "r")]
+    ids = ["a", "b", "alone"] + [f"{x}{k}" for x in "ab" for k in range(n)]
+    rows, saved = [], graph.saved
+
+    def counted(df):
+        made = saved(df)
+        rows.append(made.count())
+        return made
+
+    monkeypatch.setattr(graph, "saved", counted)
+    e = graph.both_ways(spark.createDataFrame(edges, "src string, dst string"))
+    got = {(r.start, r.id): r.distance for r in graph.distances(spark.createDataFrame([(i,) for i in ids], "id string"), e, 4).collect()}
+    near = lambda x: (x[0], len(x) > 1)
+    want = {(x, y): near(x)[1] + near(y)[1] + 2 * (x[0] != y[0]) for x in ids for y in ids if x != y and "alone" not in (x, y)}
+    assert got == want and max(rows) <= 4 * n + 8  # the edges; pairs only in the result
