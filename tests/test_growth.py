@@ -53,3 +53,20 @@ def test_distances_of_many_alike_keep_few_rows_between(spark, monkeypatch):
     near = lambda x: (x[0], len(x) > 1)
     want = {(x, y): near(x)[1] + near(y)[1] + 2 * (x[0] != y[0]) for x in ids for y in ids if x != y and "alone" not in (x, y)}
     assert got == want and max(rows) <= 4 * n + 8  # the edges; pairs only in the result
+
+
+def test_kinds_and_calls_read_each_text_once(spark, tmp_path, monkeypatch):
+    from tessera.operators import chunking
+    from tessera.plans import code
+
+    spark.range(7).select(F.col("id").alias("p_partkey"), F.lit(3).alias("p_size")).write.parquet(f"{tmp_path}/part.parquet")
+    kinds = code.QUERIES["nodes_by_kind"](spark, str(tmp_path))
+    assert plan(kinds).count("FileScan") == 1
+    nodes = code.nodes(spark, str(tmp_path))
+    want = {(r.id, k): r.n for k in chunking.KINDS for r in chunking.nodes_of(nodes, k).groupBy("id").agg(F.count("*").alias("n")).collect()}
+    assert {(r.id, r.kind): r.n for r in kinds.collect()} == want
+    parsed, saved = [], graph.saved
+    monkeypatch.setattr(graph, "saved", lambda df: parsed.append(plan(df).count("ArrowEvalPython [")) or saved(df))
+    for name in ("resolved_calls", "cyclomatic_by_file"):
+        parsed.clear()
+        assert plan(code.QUERIES[name](spark, str(tmp_path))).count("ArrowEvalPython [") + sum(parsed) == 1
