@@ -70,3 +70,28 @@ def test_kinds_and_calls_read_each_text_once(spark, tmp_path, monkeypatch):
     for name in ("resolved_calls", "cyclomatic_by_file"):
         parsed.clear()
         assert plan(code.QUERIES[name](spark, str(tmp_path))).count("ArrowEvalPython [") + sum(parsed) == 1
+
+
+def test_rounds_shuffle_what_is_sent_and_no_edges(spark, monkeypatch):
+    edges = [(f"a{k}", f"b{k * k % 7}") for k in range(30)] + [(f"b{k}", f"c{k % 3}") for k in range(7)] + [("x", "y"), ("x", None)]
+    frame = spark.createDataFrame(edges, "src string, dst string")
+    want = {x: x for e in edges for x in e if x}
+    for _ in want:
+        for a, b in edges[:-1]:
+            want[a] = want[b] = min(want[a], want[b])
+    joins = []
+    for name in ("saved", "bucketed"):
+        step = getattr(graph, name, None)
+        note = lambda df, *more, step=step: joins.append((p.count("Exchange hashpartitioning"), "agg" in p.lower()) if (p := plan(df)).count("Join") else (0, False)) or step(df, *more)
+        monkeypatch.setattr(graph, name, note, raising=False)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        graph.communities(frame)
+        rounds = [n for n, agg in joins if agg]
+        assert rounds[-2:] == [1, 1]  # votes, by the node that they are for
+        joins.clear()
+        assert {r.id: r.component for r in graph.components(frame).collect()} == want
+        rounds = [n for n, agg in joins if agg][1:]  # behind the numbering
+        assert rounds and max(rounds) == 1, joins
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10485760")
