@@ -95,3 +95,17 @@ def test_rounds_shuffle_what_is_sent_and_no_edges(spark, monkeypatch):
         assert rounds and max(rounds) == 1, joins
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10485760")
+
+
+def test_nodes_that_lead_nowhere_are_met_once(spark, monkeypatch):
+    ends = [(f"m{k % 3}", f"z{j}") for j in range(200) for k in (j, j + j % 2)]
+    edges = [("r", f"m{k}") for k in range(3)] + [("m0", "n"), ("m1", "n"), ("n", "o"), ("o", "y"), ("lost", "z0"), ("lost", "gone")] + ends
+    rows = []
+    for name in ("saved", "bucketed"):
+        step = getattr(graph, name, None)
+        monkeypatch.setattr(graph, name, lambda df, *more, step=step: rows.append((m := step(df, *more)).count()) or m, raising=False)
+    got = graph.dominators("r", spark.createDataFrame(edges, "src string, dst string"))
+    want = {"r": ["r"], "n": ["n", "r"], "o": ["n", "o", "r"], "y": ["n", "o", "r", "y"]} | {f"m{k}": [f"m{k}", "r"] for k in range(3)}
+    want |= {f"z{j}": sorted([f"z{j}", "r"] + ([] if j % 2 else [f"m{j % 3}"])) for j in range(200)}
+    assert {x.id: x.dominators for x in got.collect()} == want
+    assert sum(n > 150 for n in rows) <= 6  # before in each of the rounds
