@@ -119,11 +119,11 @@ def _snippet_valid(spark, d):
 
 
 def _nodes(spark, d):
-    return chunking.syntax_nodes(table(spark, d, "pages"), "page_id", "html").groupBy("type").agg(F.count("*").alias("n"))
+    return chunking.syntax_nodes(table(spark, d, "pages"), "page_id", "html", lines=False).groupBy("type").agg(F.count("*").alias("n"))
 
 
 def _node_summary(spark, d):
-    got = chunking.node_summary(chunking.syntax_nodes(_docs(spark, d)))
+    got = chunking.node_summary(chunking.syntax_nodes(_docs(spark, d), lines=False))
     return got.select("doc_id", "n_nodes", F.size("by_type").cast("long").alias("n_types"))
 
 

@@ -109,3 +109,18 @@ def test_nodes_that_lead_nowhere_are_met_once(spark, monkeypatch):
     want |= {f"z{j}": sorted([f"z{j}", "r"] + ([] if j % 2 else [f"m{j % 3}"])) for j in range(200)}
     assert {x.id: x.dominators for x in got.collect()} == want
     assert sum(n > 150 for n in rows) <= 6  # before in each of the rounds
+
+
+def test_texts_are_searched_once_a_pattern(spark, tmp_path):
+    from tessera.functions import text as X
+    from tessera.operators import chunking
+    from tessera.plans import code
+
+    spark.range(7).select(F.col("id").alias("p_partkey"), F.lit(3).alias("p_size")).write.parquet(f"{tmp_path}/part.parquet")
+    for name, patterns in (("expression_rules", chunking.EXPRESSIONS), ("code_snippets", chunking.NODE_PATTERNS)):
+        searched = [x for x in plan(code.QUERIES[name](spark, str(tmp_path))).split("Generate ") if "posexplode(" in x][-1]
+        assert searched.count("regexp_extract_all(") == len(patterns) and "split(" not in searched and "RLIKE" not in searched
+    docs = spark.createDataFrame([(1, "if (a) {\n b;\n}\n\u00e9if (b) c;\nxif (d) e; try { if (f) g }"), (2, None), (3, "")], "doc_id long, text string")
+    rows = lambda lines: chunking.syntax_nodes(docs, lines=lines).select("doc_id", "seq", "type", "node").collect()
+    assert rows(True) == rows(False) and [r.node for r in rows(False) if r.type == "if_statement"] == ["if (a) {\n b;\n}", "if (b) c;", "if (f) g }"]
+    assert "A-Z" not in X.ascii_edges(r"\bif\b|\b\w+\b")
