@@ -124,3 +124,23 @@ def test_texts_are_searched_once_a_pattern(spark, tmp_path):
     rows = lambda lines: chunking.syntax_nodes(docs, lines=lines).select("doc_id", "seq", "type", "node").collect()
     assert rows(True) == rows(False) and [r.node for r in rows(False) if r.type == "if_statement"] == ["if (a) {\n b;\n}", "if (b) c;", "if (f) g }"]
     assert "A-Z" not in X.ascii_edges(r"\bif\b|\b\w+\b")
+
+
+def test_unit_counts_take_no_trees_and_scans_test_few_lines(spark, tmp_path):
+    from tessera.operators import chunking, security
+    from tessera.plans import code
+
+    spark.range(7).select(F.col("id").alias("p_partkey"), F.lit(3).alias("p_size")).write.parquet(f"{tmp_path}/part.parquet")
+    python = [x for x in plan(code.QUERIES["code_metrics"](spark, str(tmp_path))).splitlines() if "ArrowEvalPython [" in x]
+    assert len(python) == 1 and "_types(" in python[0]
+    docs = code.source(spark, str(tmp_path)).union(spark.createDataFrame([(99, "javascript", None), (100, "java", "")], "id long, language string, text string"))
+    units = chunking.code_units(docs, "id", language=F.col("language"))
+    want = {r.id: (r.f, r.c) for r in units.groupBy("id").agg(F.count_if(F.col("type") == "function").alias("f"), F.count_if(F.col("type") == "class").alias("c")).collect()}
+    got = docs.select("id", chunking.count_units(F.col("text"), F.col("language")).alias("u")).select("id", "u.*").collect()
+    assert len(got) == 9 and {r.id: (r.n_functions, r.n_classes) for r in got} == {r.id: want.get(r.id, (0, 0)) for r in got} and len(want) == 7
+    texts = ["SELECT a FROM b WHERE c +", "sYsTeM 'x'", "x.INNERHTML = y", "a ../b", "nothing here", "<!entity", "xml version", "http://a.LocalHost", "ſelect a from b where c+"]
+    found = security.scan(spark.createDataFrame([(1, "\n".join(texts)), (2, None)], "page_id long, html string"))
+    assert "exists(array(lower(" in plan(found)
+    assert [(r.issue, r.line_no) for r in found.orderBy("line_no", "pattern").collect()] == [
+        ("sql_injection", 1), ("xxe", 2), ("xss", 3), ("path_traversal", 4), ("xxe", 6), ("xxe", 7), ("ssrf", 8),
+    ]
