@@ -109,7 +109,7 @@ def _pages_path(spark, d):
 
 def _structural(spark, d):
     f = X.semantic_features(X.preprocess(F.col("text")), F.col("lang"), F.size(F.split(F.col("text"), "\n")))
-    rows = _docs(spark, d).select("doc_id", f.alias("f"))
+    rows = saved(_docs(spark, d).select("doc_id", f.alias("f")))  # both sides read the features, which take longer than the join
     a, b = rows.alias("a"), rows.select((F.col("doc_id") - 1).alias("doc_id"), "f").alias("b")
     return a.join(b, "doc_id").select("doc_id", r6(S.structural(F.col("a.f"), F.col("b.f"))).alias("similarity"))
 

@@ -144,3 +144,16 @@ def test_unit_counts_take_no_trees_and_scans_test_few_lines(spark, tmp_path):
     assert [(r.issue, r.line_no) for r in found.orderBy("line_no", "pattern").collect()] == [
         ("sql_injection", 1), ("xxe", 2), ("xss", 3), ("path_traversal", 4), ("xxe", 6), ("xxe", 7), ("ssrf", 8),
     ]
+
+
+def test_features_are_worked_out_once_for_both_sides(spark, tmp_path, monkeypatch):
+    from tessera.plans import corpus
+
+    texts = [(0, "if (a) { b; }", "x"), (1, "if (a) { b; }", "x"), (2, None, None), (3, "class A { }", "y"), (5, "", "y")]
+    spark.createDataFrame(texts, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    steps, saved = [], corpus.saved
+    monkeypatch.setattr(corpus, "saved", lambda df: steps.append(plan(df)) or saved(df))
+    got = corpus.QUERIES["structural_similarity"](spark, str(tmp_path))
+    assert [p.count("FileScan") for p in steps] == [1] and "RLIKE" in steps[0] and "RLIKE" not in plan(got)
+    rows = {r.doc_id: r.similarity for r in got.collect()}
+    assert set(rows) == {0, 1, 2} and rows[0] == 1.0 and all(0 <= v < 1 for k, v in rows.items() if k and v is not None)
