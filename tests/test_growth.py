@@ -157,3 +157,27 @@ def test_features_are_worked_out_once_for_both_sides(spark, tmp_path, monkeypatc
     assert [p.count("FileScan") for p in steps] == [1] and "RLIKE" in steps[0] and "RLIKE" not in plan(got)
     rows = {r.doc_id: r.similarity for r in got.collect()}
     assert set(rows) == {0, 1, 2} and rows[0] == 1.0 and all(0 <= v < 1 for k, v in rows.items() if k and v is not None)
+
+
+def test_flows_walk_only_what_leads_from_definitions_to_uses(spark, monkeypatch):
+    others = [(f"p{k}", f"s{k % 5}") for k in range(200)] + [(f"s{k}", "r") for k in range(5)]  # these lead to the use, from no definition
+    edges = [("a", "n"), ("a", "n"), ("n", "r"), ("n", "m"), ("m", "n"), ("b", "x"), ("x", "y"), ("a", None), (None, "r"), ("r", "q"), *others]
+    frame = lambda rows, names: spark.createDataFrame(rows, names)
+    walked, reach = [], graph.reach
+    monkeypatch.setattr(graph, "reach", lambda starts, e, *more: walked.append(e.count()) or reach(starts, e, *more))
+    defs = frame([("a", "v"), ("b", "v"), ("r", "v"), ("a", "w"), ("p7", "u")], "id string, name string")
+    got = graph.flows(defs, frame([("r", "v"), ("m", "w"), ("n", "v")], "id string, name string"), frame(edges, "src string, dst string"))
+    assert sorted(tuple(r) for r in got.collect()) == [("v", "a", "n"), ("v", "a", "r"), ("w", "a", "m")]
+    assert walked == [4]  # a to n, n to r, n to m, m to n
+
+
+def test_pairs_are_told_apart_by_number(spark, tmp_path):
+    from tessera.plans import graphs
+
+    for name, columns in (("customer", "c_custkey long, c_nationkey int"), ("supplier", "s_suppkey long, s_nationkey int"), ("nation", "n_nationkey int, n_regionkey int")):
+        spark.createDataFrame([(1, 2)], columns).write.parquet(f"{tmp_path}/{name}.parquet")
+    spark.createDataFrame([(1, 2), (1, 2), (None, 2), (None, 2), (3, None)], "l_partkey long, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    e = graphs.edges(spark, str(tmp_path))
+    assert "keys=[l_partkey" in plan(e)
+    rows = sorted((r.src or "", r.dst or "") for r in e.where("type = 'CONTAINS'").collect())
+    assert rows == [("", "s2"), ("p1", "s2"), ("p3", "")]
