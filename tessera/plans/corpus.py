@@ -85,9 +85,7 @@ def _fuzzy(spark, d):
 
 def _pairs(spark, d):
     """Pairs between the first documents of equal word sets."""
-    sets = saved(dedup.word_sets(_docs(spark, d)))
-    first = sets.join(dedup.copies_of(sets).where("id = first_id").select("id"), "id", "left_semi")
-    return dedup.similar_pairs(first, 80).select("a", "b", "shared", r6("similarity").alias("similarity"))
+    return dedup.similar_pairs(dedup.word_sets(_docs(spark, d)), 80, firsts=True).select("a", "b", "shared", r6("similarity").alias("similarity"))
 
 
 def _copies(spark, d):

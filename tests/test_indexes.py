@@ -131,3 +131,50 @@ def test_frequent_words_bring_no_sets_together(spark):
             for i, _, _, sig in zip(*[c.to_pylist() for c in out.columns]):
                 by.setdefault(sig, set()).add(i)
         assert sum(len(x) * (len(x) - 1) // 2 for x in by.values()) < 300 * 299 // 2
+
+
+def test_sets_meet_by_their_rarest_words(spark, monkeypatch):
+    """Sets of frequent and of rare words, families of similar sets, copies and empty sets: few keys a set, and no pair lost by any path."""
+    import pyarrow as pa
+    from tessera.operators import dedup
+
+    r = random.Random(9)
+    sets = [set(r.sample(range(60), r.randrange(1, 12))) | {1000 * k + w for w in range(r.randrange(0, 90))} for k in range(150)]
+    for at in (3, 40):  # families
+        sets += [set(x for x in sets[at] if r.random() > 0.08) | {r.randrange(60)} for _ in range(40)]
+    sets += [set(sets[k]) for k in range(0, 190, 9)] + [set(), set(r.sample(range(10**6, 2 * 10**6), 5000))]
+    sets.append(set(list(sets[-1])[:4200]))
+    copies = {}
+    for k, s in enumerate(sets):
+        copies.setdefault(frozenset(s), k)
+    firsts = sorted(copies.values())
+    shuffled = [(k, [f"w{w}" for w in sorted(s)], len(s)) for k, s in enumerate(sets)] + [(len(sets), None, None)]
+    similarity = lambda a, b: len(sets[a] & sets[b]) / max(1, len(sets[a] | sets[b]))
+    by_name = spark.createDataFrame([(f"{k:04d}", *x) for k, *x in shuffled], "id string, words array<string>, n int")
+    frame = spark.createDataFrame(shuffled, "id long, words array<string>, n int")
+    for percent, rare, block, df, name in ((80, 1024, 512, frame, int), (80, 4, 2, frame, int), (95, 30, 3, by_name, "{:04d}".format), (80, 1, 1, by_name, "{:04d}".format)):
+        monkeypatch.setattr(dedup, "RARE", rare)
+        monkeypatch.setattr(dedup, "BLOCK", block)
+        for some in (True, False):
+            ids = firsts if some else range(len(sets))
+            want = {(name(a), name(b)): similarity(a, b) for a in ids for b in ids if a < b and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]) and sets[a]}
+            got = {(x.a, x.b): x.similarity for x in dedup.similar_pairs(df, percent, some).collect()}
+            assert got == want, (percent, rare, some)
+    own = [[hash((w, 1)) for w in s] for s in sets]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(sets))), pa.nulls(len(sets), pa.string()), pa.array(own, pa.list_(pa.int64()))], ["id", "digest", "hashes"])
+    *_, counted = dedup._marked([batch])
+    held = next(dedup._summed([counted.select(["piece", "counts"])]))
+    table = spark.sparkContext.broadcast(b"".join(held.column(1).to_pylist()))
+    keys = sum(len(x) for out in dedup._keyed(80, table, 1024)([batch.select(["id", "hashes"])]) for x in out.column(1).to_pylist())
+    assert keys <= 0.25 * sum(map(len, sets)) + len(sets)  # signatures take more than four for a word
+
+
+def test_words_of_sets_are_not_dealt_out(spark, monkeypatch):
+    """What is shuffled of sets that are not alike is a part of what they hold."""
+    from tessera.operators import dedup
+
+    steps, saved = [], dedup.saved
+    monkeypatch.setattr(dedup, "saved", lambda df: steps.append((df.columns, (m := saved(df)).count())) or m)
+    sets = spark.range(300).selectExpr("id", "transform(sequence(0, 99), k -> concat(if(k % 2 = 0, 'a', cast(id as string)), '-', cast(k as string))) AS words", "100 AS n")
+    assert dedup.similar_pairs(sets, 80, True).count() == 0
+    assert all("words" not in c for c, _ in steps) and max(n for c, n in steps if "others" in c) <= 1
