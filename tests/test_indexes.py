@@ -1,4 +1,5 @@
 import random
+import re
 
 from pyspark.sql import functions as F
 from tessera.operators import graph, rules, search
@@ -178,3 +179,36 @@ def test_words_of_sets_are_not_dealt_out(spark, monkeypatch):
     sets = spark.range(300).selectExpr("id", "transform(sequence(0, 99), k -> concat(if(k % 2 = 0, 'a', cast(id as string)), '-', cast(k as string))) AS words", "100 AS n")
     assert dedup.similar_pairs(sets, 80, True).count() == 0
     assert all("words" not in c for c, _ in steps) and max(n for c, n in steps if "others" in c) <= 1
+
+
+def test_near_directories_are_found_by_few_beginnings(spark, monkeypatch):
+    """Pairs of directories as by hand; no pattern is searched a letter, and keys that no smaller set can meet by are passed over."""
+    import contextlib
+    import io
+
+    import numpy as np
+    from tessera.operators import dedup
+
+    r = random.Random(5)
+    paths = [f"{r.choice(['a.example', 'b.example.org', ''])}/{r.choice(['en', 'es'])}/{r.randrange(10 ** r.randrange(1, 5))}/x{k}" for k in range(150)] + ["", "x", "/x", "ä/öü/x", "ä/öß/x"]
+    rows = spark.createDataFrame([(k, p, f"only{k}") for k, p in enumerate(paths)], "id long, path string, text string")
+    folders = {}
+    for k, p in enumerate(paths):
+        folders.setdefault(p.rpartition("/")[0], k)
+    common = lambda x, y: next((n for n, (v, w) in enumerate(zip(x, y, strict=False)) if v != w), min(len(x), len(y)))
+    for near in (0.5, 0.9):
+        want = {}
+        for x, i in folders.items():
+            for y, j in folders.items():
+                if i < j and common(x, y) / max(len(x), len(y)) > near:
+                    want[i, j] = common(x, y) / max(len(x), len(y))
+        got = dedup.overlaps(rows, 80, near).where("proximity IS NOT NULL")
+        assert {(x.a, x.b): x.proximity for x in got.collect()} == want and want
+        out = io.StringIO()
+        with contextlib.redirect_stdout(out):
+            got.explain()
+        assert not re.search(r"aggregate\([^\n]*regexp_replace", out.getvalue())
+    tried, least = [], dedup._least_shared
+    monkeypatch.setattr(dedup, "_least_shared", lambda percent, both: tried.append(np.size(both)) or least(percent, both))
+    late = np.full(3000, 6 << 32 | 1 << 2)  # the second of six words: a set as large has it first too late
+    assert not list(dedup._meet(80, np.zeros(3000, np.int64), late, np.arange(3000))) and sum(tried) == 3000
